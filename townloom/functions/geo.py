@@ -18,6 +18,11 @@ def c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate a value once and use it many times inside an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x, y) -> Column:
     return F.struct(c(x).cast("double").alias("x"), c(y).cast("double").alias("y"))
 
@@ -84,27 +89,27 @@ def bbox(rings) -> Column:
 
 
 def centroid(rings) -> Column:
-    """Area-weighted centroid; holes count against the outer ring by their winding."""
+    """Area-weighted centroid; holes count against the outer ring whatever their winding."""
     rings = c(rings)
 
     def moments(ring, sign):
-        seg = segments(ring)
-        a = _sum(seg, cross)
-        mx = _sum(seg, lambda s: (s["x1"] + s["x2"]) * cross(s))
-        my = _sum(seg, lambda s: (s["y1"] + s["y2"]) * cross(s))
-        # the signed area cancels the winding: |a| with moments of the same orientation
-        flip = F.when(a < 0, -1.0).otherwise(1.0) * sign
-        return F.struct((a * flip).alias("a"), (mx * flip).alias("mx"), (my * flip).alias("my"))
-
-    start = moments(rings[0], 1.0)
-    total = F.aggregate(
-        F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), start,
-        lambda acc, r: F.struct(
-            (acc["a"] + moments(r, -1.0)["a"]).alias("a"),
-            (acc["mx"] + moments(r, -1.0)["mx"]).alias("mx"),
-            (acc["my"] + moments(r, -1.0)["my"]).alias("my")))
-    return F.struct((total["mx"] / (total["a"] * 3.0)).alias("x"),
-                    (total["my"] / (total["a"] * 3.0)).alias("y"))
+        def body(seg):
+            sums = F.struct(_sum(seg, cross).alias("a"),
+                            _sum(seg, lambda s: (s["x1"] + s["x2"]) * cross(s)).alias("mx"),
+                            _sum(seg, lambda s: (s["y1"] + s["y2"]) * cross(s)).alias("my"))
+            return let(sums, lambda m: let(
+                F.when(m["a"] < 0, -sign).otherwise(sign),
+                lambda f: F.struct((m["a"] * f).alias("a"), (m["mx"] * f).alias("mx"),
+                                   (m["my"] * f).alias("my"))))
+        return let(segments(ring), body)
+
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    total = F.aggregate(holes, moments(rings[0], 1.0), lambda acc, r: let(
+        moments(r, -1.0), lambda m: F.struct((acc["a"] + m["a"]).alias("a"),
+                                             (acc["mx"] + m["mx"]).alias("mx"),
+                                             (acc["my"] + m["my"]).alias("my"))))
+    return let(total, lambda t: F.struct((t["mx"] / (t["a"] * 3.0)).alias("x"),
+                                         (t["my"] / (t["a"] * 3.0)).alias("y")))
 
 
 def contains(edge_list, x, y) -> Column:
@@ -315,41 +320,49 @@ def hu_moments(rings) -> Column:
 
     The moments are line integrals over the edges (Green's theorem), so no raster is needed.
     """
-    seg0 = segments(c(rings)[0])
-    sign = F.when(_sum(seg0, cross) < 0, -1.0).otherwise(1.0)
-    ctr = centroid(F.array(c(rings)[0]))
-    seg = F.transform(seg0, lambda s: F.struct(
-        (s["x1"] - ctr["x"]).alias("x1"), (s["y1"] - ctr["y"]).alias("y1"),
-        (s["x2"] - ctr["x"]).alias("x2"), (s["y2"] - ctr["y"]).alias("y2")))
+    import math
 
-    def moment(p, q):
-        import math
+    orders = [(0, 0), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)]
 
+    def moment(seg, p, q):
         def term(s):
             total = F.lit(0.0)
             for k in range(p + 1):
-                for l in range(q + 1):
-                    w = math.comb(k + l, l) * math.comb(p + q - k - l, q - l)
-                    part = F.lit(float(w))
-                    for base, power in ((s["x2"], k), (s["x1"], p - k), (s["y2"], l),
-                                        (s["y1"], q - l)):
+                for m in range(q + 1):
+                    part = F.lit(float(math.comb(k + m, m) * math.comb(p + q - k - m, q - m)))
+                    for base, power in ((s["x2"], k), (s["x1"], p - k), (s["y2"], m),
+                                        (s["y1"], q - m)):
                         for _ in range(power):
                             part = part * base
                     total = total + part
             return cross(s) * total
-        return sign * _sum(seg, term) / float((p + q + 2) * (p + q + 1) * math.comb(p + q, p))
-
-    m00 = moment(0, 0)
-    eta = {(p, q): moment(p, q) / F.pow(m00, F.lit(1 + (p + q) / 2.0))
-           for p, q in ((2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3))}
-    n20, n11, n02 = eta[2, 0], eta[1, 1], eta[0, 2]
-    a, b = eta[3, 0] + eta[1, 2], eta[2, 1] + eta[0, 3]
-    d, e = eta[3, 0] - 3.0 * eta[1, 2], 3.0 * eta[2, 1] - eta[0, 3]
-    h = [n20 + n02,
-         (n20 - n02) * (n20 - n02) + 4.0 * n11 * n11,
-         d * d + e * e,
-         a * a + b * b,
-         d * a * (a * a - 3.0 * b * b) + e * b * (3.0 * a * a - b * b),
-         (n20 - n02) * (a * a - b * b) + 4.0 * n11 * a * b,
-         e * a * (a * a - 3.0 * b * b) - d * b * (3.0 * a * a - b * b)]
-    return F.array(*[-F.signum(v) * F.log10(F.abs(v) + F.lit(1e-30)) for v in h])
+        return _sum(seg, term) / float((p + q + 2) * (p + q + 1) * math.comb(p + q, p))
+
+    def shifted(seg, ctr):
+        return F.transform(seg, lambda s: F.struct(
+            (s["x1"] - ctr["x"]).alias("x1"), (s["y1"] - ctr["y"]).alias("y1"),
+            (s["x2"] - ctr["x"]).alias("x2"), (s["y2"] - ctr["y"]).alias("y2")))
+
+    def normalised(seg):
+        raw = F.array(*[moment(seg, p, q) for p, q in orders])
+        # the winding flips the sign of every moment alike
+        return let(raw, lambda m: F.array(*[
+            F.signum(m[0]) * m[i] / F.pow(F.abs(m[0]), F.lit(1 + (p + q) / 2.0))
+            for i, (p, q) in enumerate(orders)]))
+
+    def invariants(n):
+        n20, n11, n02, n30, n21, n12, n03 = [n[i] for i in range(1, 8)]
+        a, b = n30 + n12, n21 + n03
+        d, e = n30 - 3.0 * n12, 3.0 * n21 - n03
+        h = [n20 + n02,
+             (n20 - n02) * (n20 - n02) + 4.0 * n11 * n11,
+             d * d + e * e,
+             a * a + b * b,
+             d * a * (a * a - 3.0 * b * b) + e * b * (3.0 * a * a - b * b),
+             (n20 - n02) * (a * a - b * b) + 4.0 * n11 * a * b,
+             e * a * (a * a - 3.0 * b * b) - d * b * (3.0 * a * a - b * b)]
+        return F.transform(F.array(*h), lambda v: -F.signum(v) * F.log10(F.abs(v) + F.lit(1e-30)))
+
+    ring = F.array(c(rings)[0])
+    return let(shifted(segments(c(rings)[0]), centroid(ring)),
+               lambda seg: let(normalised(seg), invariants))

@@ -100,20 +100,24 @@ def simplify_closed(points: np.ndarray, tolerance: float) -> np.ndarray:
     return np.vstack([first[:-1], second])
 
 
-@F.pandas_udf(HULL_STRUCT)
-def hull_measures(rings: pd.Series) -> pd.DataFrame:
+def hull_measures(rings):
     """Hull, smallest rectangle, largest diameter and simplified vertex count."""
-    rows = []
-    for polygon in rings:
-        pts = ring_array(polygon[0])
-        h = hull(pts)
-        long_side, short_side, direction = min_rectangle(h)
-        gap = h[:, None, :] - h[None, :, :]
-        rows.append((closed_area(h), closed_length(h), long_side, short_side, direction,
-                     float(np.sqrt((gap ** 2).sum(axis=2)).max()),
-                     len(simplify_closed(pts, 0.5)) - 1))
     names = [part.split()[0] for part in HULL_STRUCT.split(", ")]
-    return pd.DataFrame(rows, columns=names)
+
+    @F.pandas_udf(HULL_STRUCT)
+    def measure(polygons: pd.Series) -> pd.DataFrame:
+        rows = []
+        for polygon in polygons:
+            pts = ring_array(polygon[0])
+            h = hull(pts)
+            long_side, short_side, direction = min_rectangle(h)
+            gap = h[:, None, :] - h[None, :, :]
+            rows.append((closed_area(h), closed_length(h), long_side, short_side, direction,
+                         float(np.sqrt((gap ** 2).sum(axis=2)).max()),
+                         len(simplify_closed(pts, 0.5)) - 1))
+        return pd.DataFrame(rows, columns=names)
+
+    return measure(rings)
 
 
 def simplify_rings(tolerance: float):
@@ -130,36 +134,45 @@ def simplify_rings(tolerance: float):
     return simplified
 
 
-@F.pandas_udf("double")
-def convex_overlap(subject: pd.Series, clip: pd.Series) -> pd.Series:
-    """Exact area of a ring clipped to a convex ring (half-plane clipping)."""
-    out = []
-    for a, b in zip(subject, clip):
-        pts, window = ring_array(a)[:-1], ring_array(b)[:-1]
+def clipped_area(subject: np.ndarray, window: np.ndarray) -> float:
+    """Area of a polygon clipped to a convex polygon, by half planes; rings without repeat."""
+    pts, nxt = subject, np.roll(window, -1, axis=0)
+    if (window[:, 0] * nxt[:, 1] - nxt[:, 0] * window[:, 1]).sum() < 0:
+        window = window[::-1]
         nxt = np.roll(window, -1, axis=0)
-        if (window[:, 0] * nxt[:, 1] - nxt[:, 0] * window[:, 1]).sum() < 0:
-            window = window[::-1]
-            nxt = np.roll(window, -1, axis=0)
-        for p, q in zip(window, nxt):
-            if len(pts) == 0:
-                break
-            side = (q[0] - p[0]) * (pts[:, 1] - p[1]) - (q[1] - p[1]) * (pts[:, 0] - p[0])
-            kept = []
-            for i in range(len(pts)):
-                j = (i + 1) % len(pts)
-                if side[i] >= 0:
-                    kept.append(pts[i])
-                if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-                    t = side[i] / (side[i] - side[j])
-                    kept.append(pts[i] + t * (pts[j] - pts[i]))
-            pts = np.array(kept).reshape(-1, 2)
-        out.append(closed_area(pts) if len(pts) > 2 else 0.0)
-    return pd.Series(out)
-
-
-@F.pandas_udf("struct<x:double,y:double>")
-def wkb_point(wkb: pd.Series) -> pd.DataFrame:
+    for p, q in zip(window, nxt):
+        if len(pts) == 0:
+            break
+        side = (q[0] - p[0]) * (pts[:, 1] - p[1]) - (q[1] - p[1]) * (pts[:, 0] - p[0])
+        kept = []
+        for i in range(len(pts)):
+            j = (i + 1) % len(pts)
+            if side[i] >= 0:
+                kept.append(pts[i])
+            if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
+                kept.append(pts[i] + side[i] / (side[i] - side[j]) * (pts[j] - pts[i]))
+        pts = np.array(kept).reshape(-1, 2)
+    return closed_area(pts) if len(pts) > 2 else 0.0
+
+
+def convex_overlap(subject, clip):
+    """Exact area of a ring clipped to a convex ring."""
+
+    @F.pandas_udf("double")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([clipped_area(ring_array(s)[:-1], ring_array(w)[:-1])
+                          for s, w in zip(a, b)])
+
+    return overlap(subject, clip)
+
+
+def wkb_point(wkb):
     """Coordinates of point geometries in well-known binary."""
-    xy = [np.frombuffer(b, dtype="<f8" if b[0] == 1 else ">f8", count=2, offset=5)
-          if b is not None else (np.nan, np.nan) for b in wkb]
-    return pd.DataFrame(np.array(xy).reshape(-1, 2), columns=["x", "y"])
+
+    @F.pandas_udf("struct<x:double,y:double>")
+    def decode(values: pd.Series) -> pd.DataFrame:
+        xy = [np.frombuffer(b, dtype="<f8" if b[0] == 1 else ">f8", count=2, offset=5)
+              if b is not None else (np.nan, np.nan) for b in values]
+        return pd.DataFrame(np.array(xy).reshape(-1, 2), columns=["x", "y"])
+
+    return decode(wkb)

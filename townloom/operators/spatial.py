@@ -58,9 +58,9 @@ def tiles_of_box(box: Column, tile: float, grow: float = 0.0) -> Column:
     """Array of (tx, ty) structs covering a box."""
     span = lambda lo, hi: F.sequence(F.floor((lo - grow) / tile).cast("long"),
                                      F.floor((hi + grow) / tile).cast("long"))
-    return F.flatten(F.transform(span(box["xmin"], box["xmax"]), lambda tx: F.transform(
-        span(box["ymin"], box["ymax"]),
-        lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
+    return geo.let(box, lambda b: F.flatten(F.transform(
+        span(b["xmin"], b["xmax"]), lambda tx: F.transform(
+            span(b["ymin"], b["ymax"]), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty"))))))
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, carry: list[str], how: str = "inner",
@@ -117,17 +117,11 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
 
 def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
     """Cells whose centre lies in the polygon; the basis of every overlay here."""
-    box = geo.bbox("rings")
-    span = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"),
-                                     F.floor(hi / size).cast("long"))
-    cells = F.flatten(F.transform(span(box["xmin"], box["xmax"]), lambda cx: F.transform(
-        span(box["ymin"], box["ymax"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    edges = geo.edges("rings")
-    inside = F.filter(cells, lambda q: geo.contains(
-        F.col("_e"), geo.cell_centre(q["cx"], size), geo.cell_centre(q["cy"], size)))
-    return (polygons.withColumn("_e", edges)
-            .select(*keep, F.explode(inside).alias("_q"))
-            .select(*keep, F.col("_q.cx").alias("cell_x"), F.col("_q.cy").alias("cell_y")))
+    inside = geo.let(geo.edges("rings"), lambda e: F.filter(
+        tiles_of_box(geo.bbox("rings"), size), lambda q: geo.contains(
+            e, geo.cell_centre(q["tx"], size), geo.cell_centre(q["ty"], size))))
+    return (polygons.select(*keep, F.explode(inside).alias("_q"))
+            .select(*keep, F.col("_q.tx").alias("cell_x"), F.col("_q.ty").alias("cell_y")))
 
 
 def line_cover(lines: DataFrame, size: float, keep: list[str], half_width: str) -> DataFrame:
@@ -300,16 +294,17 @@ def enclosing_region(points: DataFrame, levels: list[tuple[str, DataFrame, str]]
 
 def representative_point(rings) -> Column:
     """A point inside the outer ring: the middle of the widest chord at mid height."""
-    seg = geo.edges(rings)
-    box = geo.bbox(rings)
-    mid = (box["ymin"] + box["ymax"]) / 2.0
-    xs = F.array_sort(F.transform(
-        F.filter(seg, lambda s: (s["y1"] > mid) != (s["y2"] > mid)),
-        lambda s: (s["x2"] - s["x1"]) * (mid - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
-    spans = F.transform(F.sequence(F.lit(0), F.size(xs) - 2, F.lit(2)), lambda i: F.struct(
-        (F.get(xs, i + 1) - F.get(xs, i)).alias("w"),
-        ((F.get(xs, i + 1) + F.get(xs, i)) / 2.0).alias("x")))
-    return F.struct(F.array_max(spans)["x"].alias("x"), mid.alias("y"))
+    def widest(mid):
+        xs = F.array_sort(F.transform(
+            F.filter(geo.edges(rings), lambda s: (s["y1"] > mid) != (s["y2"] > mid)),
+            lambda s: (s["x2"] - s["x1"]) * (mid - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+        spans = lambda v: F.array_max(F.transform(
+            F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: F.struct(
+                (F.get(v, i + 1) - F.get(v, i)).alias("w"),
+                ((F.get(v, i + 1) + F.get(v, i)) / 2.0).alias("x"))))
+        return F.struct(geo.let(xs, spans)["x"].alias("x"), mid.alias("y"))
+
+    return geo.let(geo.let(geo.bbox(rings), lambda b: (b["ymin"] + b["ymax"]) / 2.0), widest)
 
 
 def residential_provenance(buildings: DataFrame, residential: DataFrame, building_id: str,

@@ -24,7 +24,7 @@ def _(L):
 
 
 @query("g3_g6_hull_measures", """
-    SELECT building_id, 1.0 AS hull_ratio, 1.0 AS roughness, 5 * greatest(a, b) AS mrr_long_side_m,
+    SELECT building_id, 1.0::double AS hull_ratio, 1.0::double AS roughness, 5 * greatest(a, b) AS mrr_long_side_m,
       5 * least(a, b) AS mrr_short_side_m, greatest(a, b) / least(a, b) AS mrr_elongation,
       sqrt(1 - pow(least(a, b) / greatest(a, b), 2)) AS eccentricity,
       5 * sqrt(a * a + b * b) AS max_diameter_m, 4 AS vertex_count,
