@@ -90,34 +90,37 @@ def bbox(rings) -> Column:
 
 def centroid(rings) -> Column:
     """Area-weighted centroid; holes count against the outer ring whatever their winding."""
-    rings = c(rings)
-
-    def moments(ring, sign):
-        def body(seg):
-            sums = F.struct(_sum(seg, cross).alias("a"),
-                            _sum(seg, lambda s: (s["x1"] + s["x2"]) * cross(s)).alias("mx"),
-                            _sum(seg, lambda s: (s["y1"] + s["y2"]) * cross(s)).alias("my"))
-            return let(sums, lambda m: let(
-                F.when(m["a"] < 0, -sign).otherwise(sign),
-                lambda f: F.struct((m["a"] * f).alias("a"), (m["mx"] * f).alias("mx"),
-                                   (m["my"] * f).alias("my"))))
-        return let(segments(ring), body)
-
-    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
-    total = F.aggregate(holes, moments(rings[0], 1.0), lambda acc, r: let(
-        moments(r, -1.0), lambda m: F.struct((acc["a"] + m["a"]).alias("a"),
-                                             (acc["mx"] + m["mx"]).alias("mx"),
-                                             (acc["my"] + m["my"]).alias("my"))))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+
+    def add(acc, s):
+        return let(cross(s), lambda k: F.struct(
+            (acc["a"] + k).alias("a"), (acc["mx"] + (s["x1"] + s["x2"]) * k).alias("mx"),
+            (acc["my"] + (s["y1"] + s["y2"]) * k).alias("my")))
+
+    def oriented(ring, i):
+        # the outer ring counts positive, holes negative
+        return let(F.aggregate(segments(ring), zero, add), lambda m: let(
+            F.signum(m["a"]) * F.when(i == 0, 1.0).otherwise(-1.0),
+            lambda f: F.struct((m["a"] * f).alias("a"), (m["mx"] * f).alias("mx"),
+                               (m["my"] * f).alias("my"))))
+
+    total = F.aggregate(F.transform(c(rings), oriented), zero, lambda acc, m: F.struct(
+        (acc["a"] + m["a"]).alias("a"), (acc["mx"] + m["mx"]).alias("mx"),
+        (acc["my"] + m["my"]).alias("my")))
     return let(total, lambda t: F.struct((t["mx"] / (t["a"] * 3.0)).alias("x"),
                                          (t["my"] / (t["a"] * 3.0)).alias("y")))
 
 
 def contains(edge_list, x, y) -> Column:
     """Even-odd test against all edges, so holes are respected."""
-    x, y = c(x), c(y)
-    crossing = F.filter(c(edge_list), lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (
-        x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
-    return F.size(crossing) % 2 == 1
+    # the point is bound outside the edge loop, or its own expression would run per edge
+    def odd(p):
+        crossing = F.filter(c(edge_list), lambda s: (
+            (s["y1"] > p["y"]) != (s["y2"] > p["y"])) & (
+            p["x"] < (s["x2"] - s["x1"]) * (p["y"] - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+        return F.size(crossing) % 2 == 1
+
+    return let(point(x, y), odd)
 
 
 def point_segment_distance2(s, x, y) -> Column:
@@ -130,15 +133,15 @@ def point_segment_distance2(s, x, y) -> Column:
 
 
 def distance_to_edges(edge_list, x, y) -> Column:
-    x, y = c(x), c(y)
-    return F.sqrt(F.array_min(F.transform(
-        c(edge_list), lambda s: point_segment_distance2(s, x, y))))
+    return let(point(x, y), lambda p: F.sqrt(F.array_min(F.transform(
+        c(edge_list), lambda s: point_segment_distance2(s, p["x"], p["y"])))))
 
 
 def distance(edge_list, x, y) -> Column:
     """Distance from a point to a polygon, 0 inside."""
-    return F.when(contains(edge_list, x, y), F.lit(0.0)).otherwise(
-        distance_to_edges(edge_list, x, y))
+    return let(c(edge_list), lambda e: let(point(x, y), lambda p: F.when(
+        contains(e, p["x"], p["y"]), F.lit(0.0)).otherwise(
+        distance_to_edges(e, p["x"], p["y"]))))
 
 
 def segment_gap2(s, o) -> Column:
@@ -170,11 +173,10 @@ def polygon_gap(edges_a, edges_b) -> Column:
 
 def arc_position(ring, x, y) -> Column:
     """Distance along a ring to its point nearest to (x, y); the first nearest wins."""
-    x, y = c(x), c(y)
     inf = F.lit(float("inf"))
     start = F.struct(F.lit(0.0).alias("walked"), inf.alias("best"), F.lit(0.0).alias("at"))
 
-    def step(acc, s):
+    def step(acc, s, x, y):
         dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
         len2 = dx * dx + dy * dy
         t = F.when(len2 > 0, ((x - s["x1"]) * dx + (y - s["y1"]) * dy) / len2).otherwise(
@@ -188,7 +190,8 @@ def arc_position(ring, x, y) -> Column:
                         F.when(closer, acc["walked"] + t * length).otherwise(acc["at"])
                         .alias("at"))
 
-    return F.aggregate(segments(ring), start, step)["at"]
+    return let(point(x, y), lambda p: F.aggregate(
+        segments(ring), start, lambda acc, s: step(acc, s, p["x"], p["y"]))["at"])
 
 
 def bearing(x1, y1, x2, y2) -> Column:

@@ -222,15 +222,21 @@ class Layers:
     """District layers of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.spark, self.dir, self._seen = spark, sf_dir.rstrip("/"), {}
+        # inferring constraints from long geometry expressions takes longer than most queries
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._seen:
+            self._seen[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._seen[name]
 
     def view(self, name: str) -> DataFrame:
-        text = spark_text(name)
-        used = {t: self.table(t) for t in TABLES if "{%s}" % t in text}
-        return self.spark.sql(text, **used)
+        if f"v_{name}" not in self._seen:
+            text = spark_text(name)
+            used = {t: self.table(t) for t in TABLES if "{%s}" % t in text}
+            self._seen[f"v_{name}"] = self.spark.sql(text, **used)
+        return self._seen[f"v_{name}"]
 
     def boundaries(self) -> DataFrame:
         d = self.view("districts").withColumn("h", F.floor(F.col("radius") * 7 / 10).cast("double"))
@@ -241,6 +247,11 @@ class Layers:
                 .withColumn("edges", geo.edges("rings")).drop("h", "nk"))
 
     def buildings(self) -> DataFrame:
+        if "buildings" not in self._seen:
+            self._seen["buildings"] = self._buildings()
+        return self._seen["buildings"]
+
+    def _buildings(self) -> DataFrame:
         b = self.view("buildings0")
         ring = geo.ring_from(("x0", "y0"), ("x1", "y1"), ("x2", "y2"), ("x3", "y3"), ("x0", "y0"))
         return (b.withColumn("rings", F.array(ring)).withColumn("edges", geo.edges("rings"))
