@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from townloom.functions import geo
 from townloom.functions import vocab as V
 from townloom.operators.ranks import quantiles
+from townloom.session import cut
 
 
 def lines_from_points(points: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -73,6 +74,7 @@ def representative_dates(calendar: DataFrame, exceptions: DataFrame, as_of: str)
         "feed_id", "date").distinct()
     cand = cand.unionByName(span.join(cand, "feed_id", "left_anti").select(
         "feed_id", F.col("anchor").alias("date")))
+    cand = cut(cand)  # at most 53 dates and the added ones per feed, read several times below
     n = active_services(calendar, exceptions, cand).groupBy("feed_id", "date").agg(
         F.count("*").alias("n_services"))
     scored = cand.join(n, ["feed_id", "date"], "left").fillna(0, ["n_services"])

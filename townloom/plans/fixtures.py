@@ -371,15 +371,17 @@ def duck_sql(body: str, doubles: str = "", extra: dict | None = None) -> str:
                 todo.append(texts[name])
     ctes = [f"{n} AS ({texts[n]})" for n in order if n in used]
     ctes.append(f"answer AS ({body})")
-    replace = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in doubles.split())
+    replace = ", ".join(f"round({c} + 1.1e-7, 4) + 0.0 AS {c}" for c in doubles.split())
     tail = f"SELECT * REPLACE ({replace}) FROM answer" if replace else "SELECT * FROM answer"
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + tail
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded for comparison; adding 0.0 turns a negative zero into zero."""
+    """Doubles rounded for comparison. The offset keeps exact ties off the rounding edge, where
+    engines differ; adding 0.0 turns a negative zero into zero."""
     for field in df.schema.fields:
         if field.dataType.typeName() in ("double", "float"):
-            df = df.withColumn(field.name, F.round(F.col(field.name).cast("double"), digits)
+            df = df.withColumn(field.name, F.round(
+                F.col(field.name).cast("double") + F.lit(1.1e-7), digits)
                                + F.lit(0.0))
     return df

@@ -337,10 +337,7 @@ def _(L):
     return spatial.match_by_name(lab, d, "label_name", "code")
 
 
-@query("j21_spatial_context", """
-    SELECT b.building_id, min(gap) AS nearest_neighbor_m, count(*) FILTER (WHERE gap <= 50)
-      AS neighbors_within FROM buildings b LEFT JOIN gaps USING (building_id) GROUP BY 1""",
-       "nearest_neighbor_m", extra={
+GAPS = {
     "boxes": """SELECT building_id, district_id, least(x0, x1, x2, x3) AS xl, greatest(x0, x1, x2, x3)
         AS xh, least(y0, y1, y2, y3) AS yl, greatest(y0, y1, y2, y3) AS yh FROM buildings0""",
     "cand": """SELECT a.building_id, b.building_id AS other FROM buildings a JOIN boxes b
@@ -362,7 +359,13 @@ def _(L):
         FROM cand c JOIN bld_edges s ON s.building_id = c.building_id
         JOIN bld_edges o ON o.building_id = c.other GROUP BY 1, 2""",
     "gaps": """SELECT building_id, other, CASE WHEN crossing OR a_in_b OR b_in_a THEN 0
-        ELSE sqrt(d2) END AS gap FROM gap0"""})
+        ELSE sqrt(d2) END AS gap FROM gap0"""}
+
+
+@query("j21_spatial_context", """
+    SELECT b.building_id, min(gap) AS nearest_neighbor_m, count(*) FILTER (WHERE gap <= 50)
+      AS neighbors_within FROM buildings b LEFT JOIN gaps USING (building_id) GROUP BY 1""",
+       "nearest_neighbor_m", extra=GAPS)
 def _(L):
     return spatial.spatial_context(L.buildings()).drop("district_id")
 

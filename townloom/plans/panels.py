@@ -110,9 +110,10 @@ def _(L):
 
 @query("t9_newest_complete_year", """
     SELECT district_id, max(yr) AS yr FROM (SELECT t.district_id, a.yr FROM touched t JOIN avail a
-      USING (state) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM touched q
-        WHERE q.district_id = t.district_id)) z GROUP BY 1""", extra={
+      USING (state) JOIN need n USING (district_id) GROUP BY ALL HAVING count(*) = any_value(n.need)) z
+    GROUP BY 1""", extra={
     "touched": "SELECT DISTINCT district_id, segment AS state FROM places",
+    "need": "SELECT district_id, count(*) AS need FROM touched GROUP BY 1",
     "avail": """SELECT DISTINCT c_mktsegment AS state, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders
         JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 499000"""})
 def _(L):
