@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from townloom.functions import vocab as V
+from townloom.session import cut, is_small
+
 
 def positioning(subjects: DataFrame, context: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """District value, context value and their ratio per metric."""
@@ -15,3 +20,435 @@ def positioning(subjects: DataFrame, context: DataFrame, group: str, metrics: li
         long(context, [group], "context_value"), [group, "metric"], "left")
     ok = (F.col("value") != 0) & (F.col("context_value") != 0)
     return j.withColumn("ratio", F.when(ok, F.round(F.col("value") / F.col("context_value"), 3)))
+
+
+# --- exact nearest neighbours -------------------------------------------------------------------
+
+BLOCK_ROWS = 2048
+MAX_PIVOTS = 256
+ONE_BLOCK_BYTES = 4 * 1024 * 1024
+
+
+def vector_of(values: list):
+    """Feature expressions as one array; missing is NaN."""
+    return F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in values])
+
+
+def unit(vec):
+    """A vector divided by its length; a zero vector stays zero."""
+    from townloom.functions.geo import let
+
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return let(v, lambda a: let(
+        F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)),
+        lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
+
+
+def _pack(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """Rows of a block as sorted ids and one flat array of numbers."""
+    rows = F.array_sort(F.collect_list(F.struct("id", "vec")))
+    return df.groupBy(*by).agg(rows.alias("_r")).select(
+        *by, F.transform("_r", lambda r: r["id"]).alias(f"{prefix}_ids"),
+        F.flatten(F.transform("_r", lambda r: r["vec"])).alias(f"{prefix}_flat"))
+
+
+def _cells(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+    """Nearest pivot of every vector and the distance to it."""
+    def assign(batches):
+        for pdf in batches:
+            x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
+            d = np.sqrt(np.maximum(((x ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :]
+                                    - 2 * x @ pivots.T), 0))
+            pdf["cell"] = d.argmin(1).astype("int32")
+            pdf["reach"] = d.min(1)
+            yield pdf
+
+    return df.mapInPandas(assign, f"id {id_type}, vec array<double>, cell int, reach double")
+
+
+def nearest(df: DataFrame, k: int, ident: str, vec: str, metric: str = "euclidean",
+            corpus: DataFrame | None = None, shared: bool = False, digits: int = 6,
+            max_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest corpus rows of every row: columns id, neighbor, distance, dims, rank.
+
+    Vectors are grouped around pivots. A group can be skipped when the triangle inequality puts
+    all of it further away than k others surely are; the remaining groups meet as packed blocks,
+    each pair of blocks in one Arrow call that emits only its k best. Nothing but the pivots and
+    the group sizes reaches the driver. With `shared`, NaN features are left out per pair and the
+    distance is the root mean square over the common ones; groups cannot be skipped then.
+    Distances are rounded before ranking, ties take the smaller id. A row is never its own
+    neighbour.
+    """
+    id_type = df.schema[ident].dataType.simpleString()
+    v = unit(vec) if metric == "cosine" else F.col(vec)
+    prep = lambda d: d.select(F.col(ident).alias("id"), v.cast("array<double>").alias("vec"))
+    q, c = prep(df), prep(corpus if corpus is not None else df)
+    if max_pivots is None and is_small(q, ONE_BLOCK_BYTES) and is_small(c, ONE_BLOCK_BYTES):
+        pairs = _pack(q.withColumn("one", F.lit(0)), ["one"], "q").join(
+            _pack(c.withColumn("one", F.lit(0)), ["one"], "c"), "one")
+    else:
+        q, c = cut(q), cut(c)
+        n = c.count()
+        wanted = 1 if shared else min(max_pivots or MAX_PIVOTS, max(1, n // block_rows))
+        rows = c.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+        pivots = np.array([r["vec"] for r in rows], dtype=float)
+        if shared:
+            pivots = np.nan_to_num(pivots)
+            zero = lambda d: d.withColumn("cell", F.lit(0)).withColumn("reach", F.lit(0.0))
+            cq, cc = zero(q), zero(c)
+        else:
+            cq, cc = cut(_cells(q, pivots, id_type)), cut(_cells(c, pivots, id_type))
+        stat = lambda d: {r["cell"]: (r["n"], r["r"]) for r in d.groupBy("cell").agg(
+            F.count("*").alias("n"), F.max("reach").alias("r")).collect()}
+        sq, sc = stat(cq), stat(cc)
+        gap = np.sqrt(((pivots[:, None] - pivots[None, :]) ** 2).sum(-1))
+        plan = []
+        for i, (_, ri) in sq.items():
+            upper = sorted((gap[i, j] + ri + rj, nj) for j, (nj, rj) in sc.items())
+            bound, have = float("inf"), 0
+            for far, nj in upper:
+                have += nj
+                if have > k:
+                    bound = far
+                    break
+            plan += [(i, j, int(np.ceil(nj / block_rows))) for j, (nj, rj) in sc.items()
+                     if shared or gap[i, j] - ri - rj <= bound + 1e-6]
+        spark = df.sparkSession
+        parts = {j: int(np.ceil(nj / block_rows)) for j, (nj, _) in sc.items()}
+        qparts = {i: int(np.ceil(ni / block_rows)) for i, (ni, _) in sq.items()}
+        links = F.broadcast(spark.createDataFrame(plan, "cell int, ccell int, parts int"))
+        size = lambda p: F.broadcast(spark.createDataFrame(list(p.items()), "cell int, _p int"))
+        cut_cell = lambda d, p: d.join(size(p), "cell").withColumn(
+            "sub", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
+        qb = _pack(cut_cell(cq, qparts), ["cell", "sub"], "q")
+        cb = _pack(cut_cell(cc, parts), ["cell", "sub"], "c").withColumnRenamed("cell", "ccell")
+        pairs = qb.drop("sub").join(links, "cell").withColumn(
+            "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(cb, ["ccell", "sub"])
+    cosine = metric == "cosine"
+
+    def solve(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
+                a = np.asarray(row.q_flat, dtype=float).reshape(len(qi), -1)
+                b = np.asarray(row.c_flat, dtype=float).reshape(len(ci), -1)
+                ma, mb = ~np.isnan(a), ~np.isnan(b)
+                a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
+                if shared:
+                    dims = ma.astype(float) @ mb.T.astype(float)
+                    d2 = (a0 ** 2) @ mb.T - 2 * a0 @ b0.T + ma @ (b0 ** 2).T
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist = np.where(dims > 0, np.sqrt(np.maximum(d2, 0) / dims), np.inf)
+                else:
+                    dims = np.full((len(qi), len(ci)), float(a.shape[1]))
+                    d2 = np.maximum((a0 ** 2).sum(1)[:, None] + (b0 ** 2).sum(1)[None, :]
+                                    - 2 * a0 @ b0.T, 0)
+                    dist = d2 / 2 if cosine else np.sqrt(d2)
+                dist = np.round(dist, digits)
+                dist[qi[:, None] == ci[None, :]] = np.inf
+                # ids are sorted, so a stable sort settles ties by id
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                r = np.repeat(np.arange(len(qi)), best.shape[1])
+                col = best.ravel()
+                ok = np.isfinite(dist[r, col])
+                yield pd.DataFrame({"id": qi[r][ok], "neighbor": ci[col][ok],
+                                    "distance": dist[r, col][ok],
+                                    "dims": dims[r, col][ok].astype("int64")})
+
+    found = pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(
+        solve, f"id {id_type}, neighbor {id_type}, distance double, dims long")
+    w = Window.partitionBy("id").orderBy("distance", "neighbor")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# --- scaling ------------------------------------------------------------------------------------
+
+
+def _one_row(df: DataFrame, aggs: list) -> DataFrame:
+    """Statistics of the whole frame attached to each row (a single broadcast row)."""
+    return df.crossJoin(F.broadcast(df.agg(*aggs)))
+
+
+def zscore_sample(df: DataFrame, columns: list[str]) -> DataFrame:
+    """M2: sample standard deviation; constant columns and missing values become 0."""
+    aggs = [a for c in columns for a in (F.avg(c).alias(f"_m{c}"), F.stddev_samp(c).alias(f"_s{c}"))]
+    z = lambda c: F.coalesce(F.when(F.col(f"_s{c}") > 1e-10, (F.col(c) - F.col(f"_m{c}"))
+                                    / F.col(f"_s{c}")), F.lit(0.0))
+    keep = [c for c in df.columns if c not in columns]
+    return _one_row(df, aggs).select(*keep, *[z(c).alias(c) for c in columns])
+
+
+def complete_columns(df: DataFrame, optional: list[str], columns: list[str]) -> list[str]:
+    """M2: the columns to use; the optional ones only when no district lacks any of them."""
+    gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in optional]).first()
+    return columns if any(gaps[c] for c in optional) else columns + optional
+
+
+def zscore_population(df: DataFrame, columns: list[str], digits: int = 4, fill: bool = True
+                      ) -> DataFrame:
+    """M3: population standard deviation over the districts that have the value (at least two)."""
+    aggs = [a for c in columns for a in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c).alias(f"_s{c}"),
+                                         F.count(c).alias(f"_n{c}"))]
+
+    def z(c):
+        sd = F.when(F.col(f"_s{c}") > 1e-12, F.col(f"_s{c}")).otherwise(1.0)
+        v = F.when(F.col(f"_n{c}") >= 2, F.round((F.col(c) - F.col(f"_m{c}")) / sd, digits))
+        return F.coalesce(v, F.lit(0.0)) if fill else v
+
+    keep = [c for c in df.columns if c not in columns]
+    return _one_row(df, aggs).select(*keep, *[z(c).alias(c) for c in columns])
+
+
+def robust_scale(df: DataFrame, columns: list[str], clip: float = 8.0) -> DataFrame:
+    """M4: median and interquartile range over all rows, tiny ranges count as 1, clipped."""
+    from townloom.operators.ranks import quantiles
+
+    out = df
+    for c in columns:
+        q = quantiles(df, [], c, {"_l": 0.25, "_m": 0.5, "_h": 0.75})
+        r = F.when(F.col("_h") - F.col("_l") < 1e-6, 1.0).otherwise(F.col("_h") - F.col("_l"))
+        v = (F.col(c) - F.col("_m")) / r
+        out = out.crossJoin(F.broadcast(q)).withColumn(
+            c, F.least(F.greatest(v, F.lit(-clip)), F.lit(clip))).drop("_l", "_m", "_h")
+    return out
+
+
+def long_features(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
+    return df.select(ident, F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    ).alias("_f")).select(ident, "_f.feature", "_f.value")
+
+
+def distances_to(df: DataFrame, focus: DataFrame, ident: str, columns: list[str]) -> DataFrame:
+    """Cosine distance of every row to a few focus rows, nearest first."""
+    both = long_features(df, ident, columns).join(
+        long_features(focus, ident, columns).select(
+            F.col(ident).alias("focus"), "feature", F.col("value").alias("fv")), "feature")
+    s = both.groupBy("focus", ident).agg(
+        F.sum(F.col("value") * F.col("fv")).alias("_d"), F.sum(F.col("value") ** 2).alias("_a"),
+        F.sum(F.col("fv") ** 2).alias("_b"))
+    return s.select("focus", ident, (1 - F.coalesce(F.try_divide(
+        F.col("_d"), F.sqrt(F.col("_a") * F.col("_b"))), F.lit(0.0))).alias("distance"))
+
+
+def principal_components(df: DataFrame, ident: list[str], columns: list[str], n: int = 2):
+    """M6 / M7: projection on the first components and their variance shares.
+
+    MLlib does not centre, so pass z-scored columns. The sign makes each component's largest
+    loading positive. Returns (projection, shares, loadings).
+    """
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    asm = VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
+    model = PCA(k=n, inputCol="_v", outputCol="_p").fit(asm)
+    load = model.pc.toArray()
+    flip = np.sign(load[np.abs(load).argmax(axis=0), np.arange(n)])
+    load = load * flip
+    coord = [sum([F.col(c) * float(load[i, j]) for i, c in enumerate(columns)], F.lit(0.0))
+             .alias(f"PC{j + 1}") for j in range(n)]
+    return df.select(*ident, *coord), [float(x) for x in model.explainedVariance], load
+
+
+def panel_components(panel: DataFrame, ident: list[str], columns: list[str], n: int = 2):
+    """M7: one fixed basis over all (district, year) rows; incomplete rows are left out."""
+    whole = panel.dropna(subset=columns)
+    spread = whole.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    flat = [c for c in columns if not spread[c]]
+    if flat:
+        raise ValueError(f"columns without variance: {flat}")
+    return principal_components(zscore_population(whole, columns, digits=12), ident, columns, n)
+
+
+def distinguishing(pairs: DataFrame, df: DataFrame, ident: str, columns: list[str], k: int = 8
+                   ) -> DataFrame:
+    """M8: the features that differ most for each listed pair."""
+    f = long_features(df, ident, columns)
+    a = f.select(F.col(ident).alias("a"), "feature", F.col("value").alias("a_z"))
+    b = f.select(F.col(ident).alias("b"), "feature", F.col("value").alias("b_z"))
+    d = pairs.select("a", "b").join(a, "a").join(b, ["b", "feature"]).withColumn(
+        "abs_diff", F.round(F.abs(F.col("a_z") - F.col("b_z")), 9))
+    w = Window.partitionBy("a", "b").orderBy(F.desc("abs_diff"), "feature")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def rank_demographics(queries: DataFrame, corpus: DataFrame, ident: str, columns: list[str],
+                      log_columns=(), k: int = 8) -> DataFrame:
+    """M9: nearest corpus districts by RMS z-distance over the features both sides have."""
+    scaled = lambda d: d.select(ident, *[(F.log1p(c) if c in log_columns else F.col(c)).cast(
+        "double").alias(c) for c in columns])
+    c0, q0 = scaled(corpus), scaled(queries)
+    stats = c0.agg(*[a for c in columns for a in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c)
+                                                  .alias(f"_s{c}"))])
+
+    def z(d):
+        sd = lambda c: F.when(F.col(f"_s{c}") > 0, F.col(f"_s{c}")).otherwise(1.0)
+        return d.crossJoin(F.broadcast(stats)).select(ident, vector_of(
+            [(F.col(c) - F.col(f"_m{c}")) / sd(c) for c in columns]).alias("vec"))
+
+    return nearest(z(q0), k, ident, "vec", corpus=z(c0), shared=True)
+
+
+def rank_shares(shares: DataFrame, ident: str, columns: list[str], k: int) -> DataFrame:
+    """Nearest districts by RMS z-distance of bucket shares."""
+    z = zscore_population(shares, columns, digits=12)
+    root = float(np.sqrt(len(columns)))
+    v = z.select(ident, F.array(*[F.col(c) / root for c in columns]).alias("vec"))
+    return nearest(v, k, ident, "vec")
+
+
+def typology_fit(neighbours: DataFrame, labels: DataFrame, ident: str, types: list[str],
+                 eps: float = 1e-3) -> DataFrame:
+    """Percentage fit to each type from the neighbours' votes.
+
+    A neighbour votes its primary type with 1/(distance + eps) and its secondary with half.
+    """
+    lab = labels.select(F.col(ident).alias("neighbor"), F.coalesce("primary", "fallback").alias(
+        "_p"), F.col("secondary").alias("_s"))
+    w = 1.0 / (F.col("distance") + eps)
+    v = neighbours.join(lab, "neighbor")
+    vote = lambda t: F.sum(F.when(F.col("_p") == t, w).otherwise(0.0)
+                           + F.when(F.col("_s") == t, w * 0.5).otherwise(0.0))
+    g = v.groupBy("id").agg(*[vote(t).alias(f"_w{i}") for i, t in enumerate(types)])
+    total = sum([F.col(f"_w{i}") for i in range(1, len(types))], F.col("_w0"))
+    pct = lambda i: F.round(100.0 * F.col(f"_w{i}") / F.when(total > 0, total).otherwise(1.0), 1)
+    best = F.array_min(F.array(*[F.struct((-pct(i)).alias("p"), F.lit(i).alias("i"), F.lit(t)
+                                          .alias("t")) for i, t in enumerate(types)]))
+    return g.select("id", *[pct(i).alias("pct_" + t.lower().replace(" ", "_"))
+                            for i, t in enumerate(types)], best["t"].alias("top_type"))
+
+
+def fit_reason(shares: DataFrame, fit: DataFrame, ident: str) -> DataFrame:
+    """The leading type's driving buckets above 2 %, largest first, as text."""
+    drivers = F.create_map(*[x for t, bs in V.TYPOLOGY_DRIVERS.items() for x in (
+        F.lit(t), F.array(*[F.lit(b) for b in bs]))])
+    pairs = F.array(*[F.struct((-F.round(F.col(b), 3)).alias("v"), F.lit(b).alias("b"))
+                      for b in V.BUCKETS])
+    j = fit.join(shares, fit["id"] == shares[ident])
+    kept = F.array_sort(F.filter(pairs, lambda p: (p["v"] < -0.02) & F.array_contains(
+        F.try_element_at(drivers, F.col("top_type")), p["b"])))
+    text = F.array_join(F.transform(kept, lambda p: F.concat(
+        F.replace(p["b"], F.lit("_"), F.lit(" ")), F.lit(" "), F.round(-p["v"] * 100).cast("int")
+        .cast("string"), F.lit("%"))), ", ")
+    return j.select("id", F.coalesce(F.nullif(text, F.lit("")), F.lit(
+        "mixed program with no single dominant use")).alias("why"))
+
+
+def suggest_type(neighbours: DataFrame, confirmed: DataFrame, ident: str, k: int = 6) -> DataFrame:
+    """Most supported type among the k nearest confirmed districts, with its confidence."""
+    lab = confirmed.select(F.col(ident).alias("neighbor"), F.col("label").alias("_l"))
+    w = Window.partitionBy("id").orderBy("distance", "neighbor")
+    top = neighbours.join(lab, "neighbor").withColumn("_r", F.row_number().over(w)).where(
+        F.col("_r") <= k)
+    vote = top.groupBy("id", "_l").agg(F.sum(1.0 / (F.col("distance") + 0.05)).alias("_v"))
+    g = vote.groupBy("id").agg(F.min_by("_l", F.struct(-F.round("_v", 9), "_l")).alias("label"),
+                               F.max("_v").alias("_m"), F.sum("_v").alias("_t"))
+    return g.select("id", "label", (F.col("_m") / F.col("_t")).alias("confidence"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Neighbours of the first table; districts it does not know take the second."""
+    return first.withColumn("basis", F.lit("distance")).unionByName(
+        second.join(first.select("id").distinct(), "id", "left_anti").withColumn(
+            "basis", F.lit("shares")))
+
+
+def mean_pool(rows: DataFrame, group: str, vec: str) -> DataFrame:
+    """Element-wise mean of the vectors of each group."""
+    long = rows.select(group, F.posexplode(vec).alias("_i", "_v"))
+    m = long.groupBy(group, "_i").agg(F.avg("_v").alias("_m"))
+    return m.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))),
+                                            lambda s: s["_m"]).alias(vec))
+
+
+def dequantised_sum(pixels: DataFrame, group: str, vec: str) -> DataFrame:
+    """Codes to numbers, summed per band and scaled to unit length; nodata pixels drop out."""
+    div = V.VECTOR_DEQUANT_DIVISOR
+    ok = pixels.where(~F.exists(vec, lambda x: x == V.VECTOR_NODATA))
+    long = ok.select(group, F.posexplode(vec).alias("_i", "_c"))
+    v = (F.col("_c") / div) * (F.col("_c") / div) * F.signum(F.col("_c").cast("double"))
+    s = long.groupBy(group, "_i").agg(F.sum(v).alias("_s"))
+    g = s.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))),
+                                         lambda t: t["_s"]).alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)) + F.lit(1e-9)
+    return g.withColumn("_n", norm).select(group, F.transform(
+        "_v", lambda x: x / F.col("_n")).alias(vec))
+
+
+def hit_rates(neighbours: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
+    """Share of rows with a neighbour of their primary or secondary label in the top 1 / 3."""
+    lab = labels.where("primary is not null").select(ident, "primary", "secondary")
+    mine = lab.select(F.col(ident).alias("id"), "primary", "secondary")
+    theirs = lab.select(F.col(ident).alias("neighbor"), F.col("primary").alias("_np"))
+    j = mine.join(neighbours.where("rank <= 3"), "id", "left").join(theirs, "neighbor", "left")
+    hit = (F.col("_np") == F.col("primary")) | (F.col("_np") == F.col("secondary"))
+    flag = lambda top: F.max(F.when(F.coalesce(hit, F.lit(False)) & (F.col("rank") <= top), 1)
+                             .otherwise(0))
+    per = j.groupBy("id").agg(flag(1).alias("_1"), flag(3).alias("_3"))
+    top = lab.groupBy("primary").agg(F.count("*").alias("_n")).agg(
+        (F.max("_n") / F.sum("_n")).alias("majority"))
+    return per.agg(F.count("*").alias("n"), F.avg("_1").alias("top1"), F.avg("_3").alias("top3")
+                   ).crossJoin(F.broadcast(top))
+
+
+def lens_overlap(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
+    """Jaccard overlap of the top-k neighbours of two lenses."""
+    top = lambda d, n: d.where(F.col("rank") <= k).groupBy("id").agg(
+        F.collect_set("neighbor").alias(n))
+    j = top(a, "x").join(top(b, "y"), "id")
+    return j.select("id", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")))
+                    .alias("jaccard"))
+
+
+def within_cross_gap(rows: DataFrame, ident: str, vec: str, label: str) -> DataFrame:
+    """Mean cosine of pairs with the same label and of other pairs, and their gap.
+
+    For unit vectors the sum over all pairs follows from the vector sums, so no pair is formed.
+    """
+    u = rows.where(F.col(label).isNotNull()).select(label, F.posexplode(unit(vec)).alias("_i", "_v"))
+    per = u.groupBy(label, "_i").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") ** 2).alias("_q"),
+                                     F.count("*").alias("_n"))
+    grp = per.groupBy(label).agg(F.sum(F.col("_s") ** 2).alias("_g"), F.sum("_q").alias("_q"),
+                                 F.max("_n").cast("double").alias("_n"))
+    same = grp.agg(F.sum(F.col("_g") - F.col("_q")).alias("_sw"),
+                   F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_pw"),
+                   F.sum("_q").alias("_q"), F.sum("_n").alias("_n"))
+    alls = per.groupBy("_i").agg(F.sum("_s").alias("_s")).agg(F.sum(F.col("_s") ** 2).alias("_t"))
+    j = same.crossJoin(F.broadcast(alls))
+    within = F.col("_sw") / F.col("_pw")
+    cross = (F.col("_t") - F.col("_q") - F.col("_sw")) / (
+        F.col("_n") * (F.col("_n") - 1) - F.col("_pw"))
+    return j.select(within.alias("within"), cross.alias("cross"), (within - cross).alias("gap"))
+
+
+def leave_one_out(neighbours: DataFrame, labels: DataFrame, ident: str, k: int = 7) -> DataFrame:
+    """Share of labelled rows placed right by the nearest one (hard) or by any of k (hybrid).
+
+    Scaling is done once with the held-out row included; neighbours without a label count.
+    """
+    mine = labels.where("primary is not null").select(F.col(ident).alias("id"), "primary", "secondary")
+    theirs = labels.select(F.col(ident).alias("neighbor"), F.col("primary").alias("_np"))
+    j = neighbours.where(F.col("rank") <= k).join(mine, "id").join(theirs, "neighbor")
+    same = F.coalesce(F.col("_np") == F.col("primary"), F.lit(False))
+    known = same | F.coalesce(F.col("_np") == F.col("secondary"), F.lit(False))
+    per = j.groupBy("id").agg(F.max(F.when((F.col("rank") == 1) & same, 1).otherwise(0)).alias("_h"),
+                              F.max(F.when(known, 1).otherwise(0)).alias("_y"))
+    return per.agg(F.count("*").alias("n"), F.avg("_h").alias("hard"), F.avg("_y").alias("hybrid"))
+
+
+def separation(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """Mean over groups of the mean absolute difference to the row-weighted overall mean."""
+    g = df.where(F.col(label).isNotNull()).groupBy(label).agg(*[F.avg(c).alias(c) for c in columns])
+    overall = df.agg(*[F.avg(c).alias(f"_o{c}") for c in columns])
+    diff = sum([F.abs(F.col(c) - F.col(f"_o{c}")) for c in columns[1:]],
+               F.abs(F.col(columns[0]) - F.col(f"_o{columns[0]}"))) / len(columns)
+    return g.crossJoin(F.broadcast(overall)).agg(
+        F.when(F.count("*") >= 2, F.avg(diff)).alias("separation"))
+
+
+def compare_channels(program: DataFrame, structure: DataFrame, ident: str) -> DataFrame:
+    """Residential share of two channels and which one finds more housing (5 points)."""
+    j = program.select(ident, F.col("residential").alias("program_share")).join(
+        structure.select(ident, F.col("residential").alias("structure_share")), ident)
+    d = F.col("structure_share") - F.col("program_share")
+    return j.withColumn("delta", d).withColumn("flag", F.when(
+        d >= 0.05, "structure finds housing").when(d <= -0.05, "program higher").otherwise("agree"))
