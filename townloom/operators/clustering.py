@@ -94,10 +94,11 @@ def prepare_tree(df: DataFrame, ident: str, columns: list[str], keys=KEYS) -> Da
     k = list(keys)
     missing = sum([F.col(c).isNull().cast("int") for c in columns[1:]],
                   F.col(columns[0]).isNull().cast("int"))
-    d = df.where(missing <= len(columns) // 4).select(*k, ident, *columns)
-    for c in columns:
-        d = d.join(quantiles(d.select(*k, c), k, c, {"_m": 0.5}), k, "left").withColumn(
-            c, F.coalesce(F.col(c), F.col("_m"))).drop("_m")
+    d = cut(df.where(missing <= len(columns) // 4).select(*k, ident, *columns))
+    gaps = d.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
+    for c in [c for c in columns if gaps[c]]:
+        d = cut(d.join(quantiles(d.select(*k, c), k, c, {"_m": 0.5}), k, "left").withColumn(
+            c, F.coalesce(F.col(c), F.col("_m"))).drop("_m"))
     st = d.groupBy(*k).agg(*[a for c in columns for a in (F.avg(c).alias(f"_a{c}"), F.stddev_pop(c)
                                                           .alias(f"_s{c}"))])
     z = lambda c: (F.col(c) - F.col(f"_a{c}")) / F.when(F.col(f"_s{c}") > 0, F.col(f"_s{c}")
@@ -157,7 +158,7 @@ def ward_merges(rows: DataFrame, keys=KEYS, task_rows: int = TASK_ROWS) -> DataF
             res.insert(i, c, pdf[c].iloc[0])
         return res
 
-    merges = small.groupBy(*k).applyInPandas(tree, schema)
+    merges = cut(small.groupBy(*k).applyInPandas(tree, schema))
     if not large.isEmpty():
         merges = merges.unionByName(_ward_rounds(large, k))
     return merges
@@ -227,7 +228,7 @@ def cut_tree(rows: DataFrame, merges: DataFrame, clusters: int = 8, keys=KEYS) -
     n = rows.groupBy(*k).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*k).orderBy(F.desc("height"), "a", "b")
     top = merges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") < clusters)
-    top = top.join(n, k).where(F.col("_r") < F.least(F.lit(clusters), F.col("_n") - 1))
+    top = cut(top.join(n, k).where(F.col("_r") < F.least(F.lit(clusters), F.col("_n") - 1)))
     keep = merges.join(top.select(*k, "a", "b"), [*k, "a", "b"], "left_anti")
     parts = connected_components(rows.select(*k, F.col("id").alias("node")), keep.select(
         *k, F.col("a").alias("src"), F.col("b").alias("dst")), keys)

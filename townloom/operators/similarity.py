@@ -417,7 +417,7 @@ def within_cross_gap(rows: DataFrame, ident: str, vec: str, label: str) -> DataF
     within = F.col("_sw") / F.col("_pw")
     cross = (F.col("_t") - F.col("_q") - F.col("_sw")) / (
         F.col("_n") * (F.col("_n") - 1) - F.col("_pw"))
-    return j.select(within.alias("within"), cross.alias("cross"), (within - cross).alias("gap"))
+    return j.select(within.alias("same_label"), cross.alias("other_label"), (within - cross).alias("gap"))
 
 
 def leave_one_out(neighbours: DataFrame, labels: DataFrame, ident: str, k: int = 7) -> DataFrame:

@@ -368,10 +368,10 @@ def _(L):
 
 
 @query("m17_within_cross_gap", """
-    SELECT avg(c) FILTER (WHERE same) AS within, avg(c) FILTER (WHERE NOT same) AS cross,
+    SELECT avg(c) FILTER (WHERE same) AS same_label, avg(c) FILTER (WHERE NOT same) AS other_label,
       avg(c) FILTER (WHERE same) - avg(c) FILTER (WHERE NOT same) AS gap FROM (
       SELECT a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
-      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) q""", "within cross gap")
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) q""", "same_label other_label gap")
 def _(L):
     return sim.within_cross_gap(vectors(L), "vec_id", "vec", "label")
 
