@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
@@ -17,8 +18,6 @@ from townloom.streaming import intake
 
 def wkb_of(x: str, y: str):
     """Little-endian WKB of a point, as an Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(a: pd.Series, b: pd.Series) -> pd.Series:
         import struct
