@@ -13,6 +13,7 @@ from townloom.functions.classify import lookup
 from townloom.operators.graph import connected_components
 from townloom.operators.ranks import quantiles
 from townloom.operators.spatial import KEYS, cell_cover, line_cover, spread_hot_keys
+from townloom.session import fan_out
 
 
 def to_celsius(dn) -> Column:
@@ -32,11 +33,20 @@ def vegetation_index(red, nir) -> Column:
     return F.least(F.greatest(F.try_divide(n - r, n + r), F.lit(-1.0)), F.lit(1.0))
 
 
-def tag_inside(pixels: DataFrame, boundaries: DataFrame, keys=KEYS) -> DataFrame:
-    """Pixels with a flag telling whether their centre lies in the boundary."""
-    edge = boundaries.select(*keys, geo.edges("rings").alias("_b"))
-    left, edge, on = spread_hot_keys(pixels, edge, list(keys))
-    return left.join(edge, on).withColumn("inside", geo.contains("_b", "x", "y")).drop("_b", "_salt")
+def tag_inside(pixels: DataFrame, boundaries: DataFrame, size: float, row: str = "row_no",
+               col: str = "col_no", keys=KEYS) -> DataFrame:
+    """Pixels with a flag telling whether their centre lies in the boundary.
+
+    The test runs once per grid cell, not once per scene and pixel; pixels then meet the covered
+    cells in an ordinary equi-join. `size` is the pixel size, cell (0, 0) starts at the origin.
+    """
+    k = list(keys)
+    cells = cell_cover(boundaries, size, k).select(
+        *k, F.col("cell_x").alias(col), F.col("cell_y").alias(row), F.lit(True).alias("_in"))
+    left, cells, on = spread_hot_keys(pixels, cells, [*k, col, row])
+    known = boundaries.select(*k)
+    return left.join(cells, on, "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop(
+        "_in", "_salt").join(known, k, "left_semi")
 
 
 def zonal_stats(tagged: DataFrame, value: str, keys=KEYS) -> DataFrame:
@@ -217,6 +227,9 @@ def kernel_density(points: DataFrame, boundaries: DataFrame, cell: float, bandwi
         F.count("*").alias("_w"))
     reach = math.ceil(sigmas * bandwidth / cell)
     ring = F.sequence(F.lit(-reach), F.lit(reach))
+    # near points stay together, so most sums finish before the shuffle
+    zone = lambda c: geo.cell_of(c, 4 * bandwidth)
+    spots = fan_out(spots.withColumn("_zx", zone("x")).withColumn("_zy", zone("y")), *k, "_zx", "_zy")
     spread = spots.withColumn("_cx", geo.cell_of("x", cell)).withColumn(
         "_cy", geo.cell_of("y", cell)).select(*k, "x", "y", "_w", "_cy",
                                               F.explode(F.transform(ring, lambda i: F.col("_cx") + i))

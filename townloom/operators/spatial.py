@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
-from townloom.session import is_small
+from townloom.session import fan_out, is_small
 
 KEYS = ("district_id",)
 HOT_CHECK_BYTES = 512 * 1024 * 1024
@@ -116,11 +116,34 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
 
 
 def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
-    """Cells whose centre lies in the polygon; the basis of every overlay here."""
-    inside = geo.let(geo.edges("rings"), lambda e: F.filter(
-        tiles_of_box(geo.bbox("rings"), size), lambda q: geo.contains(
-            e, geo.cell_centre(q["tx"], size), geo.cell_centre(q["ty"], size))))
-    return (polygons.select(*keep, F.explode(inside).alias("_q"))
+    """Cells whose centre lies in the polygon; the basis of every overlay here.
+
+    Filled row by row: the edges crossing the middle of a row, in order, give the stretches
+    that lie inside, so the work follows the outline and the covered cells, not all cells of the
+    box times all edges.
+    """
+    def cells_of_row(e, ty):
+        y = geo.cell_centre(ty, size)
+        xs = F.array_sort(F.transform(
+            F.filter(e, lambda s: (s["y1"] > y) != (s["y2"] > y)),
+            lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+
+        def stretch(v, i):
+            lo, hi = F.get(v, i), F.get(v, i + 1)
+            wide = F.sequence(F.floor(lo / size).cast("long") - 1, F.floor(hi / size).cast("long") + 1)
+            return F.transform(F.filter(wide, lambda tx: (geo.cell_centre(tx, size) >= lo)
+                                        & (geo.cell_centre(tx, size) < hi)),
+                               lambda tx: F.struct(tx.alias("tx"), ty.alias("ty")))
+
+        return geo.let(xs, lambda v: F.when(F.size(v) >= 2, F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: stretch(v, i)))))
+
+    rows = geo.let(geo.bbox("rings"), lambda b: F.sequence(
+        F.floor(b["ymin"] / size).cast("long"), F.floor(b["ymax"] / size).cast("long")))
+    covered = geo.let(geo.edges("rings"), lambda e: F.flatten(F.array_compact(
+        F.transform(rows, lambda ty: cells_of_row(e, ty)))))
+    small = polygons.select(*keep, "rings")
+    return (fan_out(small, *keep).select(*keep, F.explode(covered).alias("_q"))
             .select(*keep, F.col("_q.tx").alias("cell_x"), F.col("_q.ty").alias("cell_y")))
 
 
@@ -133,6 +156,7 @@ def line_cover(lines: DataFrame, size: float, keep: list[str], half_width: str)
     seg = F.struct("x1", "y1", "x2", "y2")
     cells = F.filter(tiles_of_box(box, size), lambda q: geo.point_segment_distance2(
         seg, geo.cell_centre(q["tx"], size), geo.cell_centre(q["ty"], size)) <= w * w)
+    lines = fan_out(lines.select(*dict.fromkeys([*keep, "x1", "y1", "x2", "y2", half_width])), *keep)
     return (lines.select(*keep, F.explode(cells).alias("_q"))
             .select(*keep, F.col("_q.tx").alias("cell_x"), F.col("_q.ty").alias("cell_y")))
 

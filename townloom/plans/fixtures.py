@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.functions import vocab as V
+from townloom.session import spread_scan
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -228,7 +229,9 @@ class Layers:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._seen:
-            self._seen[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            # the geometry of these layers is heavy per row
+            self._seen[name] = spread_scan(df) if name in ("lineitem", "part", "customer") else df
         return self._seen[name]
 
     def view(self, name: str) -> DataFrame:

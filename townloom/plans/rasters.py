@@ -25,7 +25,7 @@ def pixels(L):
 
 
 def tagged(L):
-    return raster.tag_inside(pixels(L), L.boundaries())
+    return raster.tag_inside(pixels(L), L.boundaries(), 50.0)
 
 
 @query("s7_pixel_values", """

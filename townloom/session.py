@@ -61,3 +61,18 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return estimated_bytes(df) <= limit
+
+
+def fan_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Few rows that expand into much work, spread over the session's shuffle partitions.
+
+    The count is explicit, so adaptive execution does not fold the small rows into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan of fewer file splits than cores, spread over the cores. Larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
