@@ -162,7 +162,7 @@ VIEWS = {
         FROM {events}""",
     "streets": f"""
         SELECT s.*, i2 + 8 * j2 AS v, least(u, i2 + 8 * j2) AS lo, greatest(u, i2 + 8 * j2) AS hi,
-          {pick(ROADS, "(least(u, i2 + 8 * j2) * 5 + greatest(u, i2 + 8 * j2) * 3) % 8")} AS highway,
+          {pick(ROADS, "(least(u, i2 + 8 * j2) * 3 + greatest(u, i2 + 8 * j2) * 2) % 8")} AS highway,
           CAST(i * 120 AS double) AS x1, CAST(j * 120 AS double) AS y1,
           CAST(i2 * 120 AS double) AS x2, CAST(j2 * 120 AS double) AS y2
         FROM (SELECT t.*, CASE WHEN d = 0 THEN CASE WHEN i < 7 THEN i + 1 ELSE i - 1 END ELSE i END

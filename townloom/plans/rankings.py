@@ -34,18 +34,18 @@ def _(L):
 
 
 @query("w2_positioning", """
-    SELECT i.district_id, metric, sad_value, round(sad_value / metro_value, 3) AS ratio FROM (
-      UNPIVOT (SELECT district_id, rent, age FROM inc) ON rent, age INTO NAME metric VALUE sad_value) i
+    SELECT i.district_id, metric, district_value, round(district_value / metro_value, 3) AS ratio FROM (
+      UNPIVOT (SELECT district_id, rent, age FROM inc) ON rent, age INTO NAME metric VALUE district_value) i
     JOIN districts USING (district_id) JOIN (UNPIVOT (SELECT region, avg(rent) AS rent, avg(age) AS age
       FROM inc JOIN districts USING (district_id) GROUP BY 1) ON rent, age INTO NAME metric
-      VALUE metro_value) m USING (region, metric)""", "sad_value ratio", extra={"inc": INC})
+      VALUE metro_value) m USING (region, metric)""", "district_value ratio", extra={"inc": INC})
 def _(L):
     from townloom.operators.similarity import positioning
 
     d = district_income(L).join(L.view("districts").select("district_id", "region"), "district_id")
     metro = d.groupBy("region").agg(F.avg("rent").alias("rent"), F.avg("age").alias("age"))
     return positioning(d, metro, "region", ["rent", "age"]).select(
-        "district_id", "metric", F.col("value").alias("sad_value"), "ratio")
+        "district_id", "metric", F.col("value").alias("district_value"), "ratio")
 
 
 @query("w3_percentile_at_or_below", """
