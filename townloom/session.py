@@ -68,7 +68,9 @@ def fan_out(df: DataFrame, *columns: str) -> DataFrame:
 
     The count is explicit, so adaptive execution does not fold the small rows into one task.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            4 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
 
 
