@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from townloom.session import scratch_path
 
+PSEUDONYM_KEY = "townloom"  # a deployment passes its own secret key
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,3 +45,33 @@ def op7_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, path).drop("ids")
+
+
+SHINGLES_SQL = """(SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5
+    THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+  FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws
+    FROM {table} WHERE text IS NOT NULL))"""
+
+
+@query
+def op1_benchmark_decontamination(spark, sf_dir):
+    from townloom.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_benchmark_decontamination"] = f"""
+WITH d AS {SHINGLES_SQL.format(key="doc_id", table="documents")},
+     b AS {SHINGLES_SQL.format(key="item_id", table="benchmark")},
+     n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY 1, 2, 3 HAVING 5 * count(*) >= 4 * n_item"""
+
+
+@query
+def op9_pii_pseudonyms(spark, sf_dir):
+    from townloom.llm.pii import pseudonymize
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PSEUDONYM_KEY, count_col="n_values")
