@@ -75,3 +75,17 @@ def op9_pii_pseudonyms(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, PSEUDONYM_KEY, count_col="n_values")
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    from townloom.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from townloom.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
