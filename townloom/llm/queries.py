@@ -89,3 +89,10 @@ def op3_toxicity(spark, sf_dir):
     from townloom.llm.toxicity import classify_toxicity
 
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_lattice_lm(spark, sf_dir):
+    from townloom.llm.lattice_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
