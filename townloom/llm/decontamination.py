@@ -78,6 +78,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = 5, threshold: flo
     a passage that many documents share costs one row each. Null or wordless texts match nothing; an item
     shorter than n words only matches a document of exactly these words. Rows with null ids are kept.
     """
+    found = contaminated_texts(df, benchmark, n, threshold, id_col, text_col, item_id_col, item_text_col)
+    best = F.max(F.struct("containment", "n_shared", "n_item")).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", F.col("m.n_item").cast("long").alias("n_item"),
+        F.col("m.n_shared").cast("long").alias("n_shared"), F.col("m.containment").alias("containment"))
+
+
+def contaminated_texts(df: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
+                       text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """As contaminated, by the hash of the text too: doc_id, text_hash, item_id and the measures."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                      F.xxhash64(F.col(text_col)).alias("text_hash")).where(F.col("text").isNotNull())
     items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).where(
@@ -96,20 +106,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = 5, threshold: flo
         "item_row", shingle_texts(F.col("w"), n).alias("item_grams"))
     candidates = candidates.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     pairs = docs.join(small(candidates), F.col("doc_id").eqNullSafe(F.col("found_id"))
-                      & (F.col("text_hash") == F.col("found_hash"))).select("doc_id", "text", "item_row")
+                      & (F.col("text_hash") == F.col("found_hash"))).select("doc_id", "text", "text_hash", "item_row")
     exact = pairs.withColumn("w", words(F.col("text"))).withColumn("doc_grams", shingle_texts(F.col("w"), n)).join(
         small(cut(item_words)), "item_row")
-    counted = exact.select("doc_id", "item_row", F.size("item_grams").alias("n_item"),
+    counted = exact.select("doc_id", "text_hash", "item_row", F.size("item_grams").alias("n_item"),
                            F.size(F.array_intersect("doc_grams", "item_grams")).alias("n_shared"))
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("m")
     ids = small(items.select("item_row", "item_id"))
-    return counted.join(ids, "item_row").groupBy("doc_id", "item_id").agg(best).where(
-        F.col("m.n_shared") >= share(F.col("m.n_item"), threshold)).select(
-        "doc_id", "item_id", F.col("m.n_item").cast("long").alias("n_item"),
-        F.col("m.n_shared").cast("long").alias("n_shared"), F.col("m.containment").alias("containment"))
+    # grouping keeps the filter from being evaluated together with the arrays a second time
+    return counted.join(ids, "item_row").groupBy("doc_id", "text_hash", "item_id").agg(best).where(
+        F.col("m.n_shared") >= share(F.col("m.n_item"), threshold)).select("doc_id", "text_hash", "item_id", "m.*")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of `df` whose text holds no benchmark item; a null doc_id is compared like any other."""
-    bad = contaminated(df, benchmark, n, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return df.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of `df` whose text holds no benchmark item. Null texts stay; other columns are kept."""
+    bad = cut(contaminated_texts(df, benchmark, n, threshold).select(
+        F.col("doc_id").alias("townloom_id"), F.col("text_hash").alias("townloom_hash")).distinct())
+    return df.join(small(bad), F.col("doc_id").eqNullSafe(F.col("townloom_id"))
+                   & (F.xxhash64("text") == F.col("townloom_hash")), "left_anti")

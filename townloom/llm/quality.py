@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from townloom.llm.bytesops import lower_ascii, mix, spans_hash, text_bytes, word_spans
 from townloom.llm.labelled import SAMPLE_DOCS, fold, labelled_sample, sigmoid
@@ -167,11 +168,15 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
                 scores.append(sigmoid(attend(model, x, rows)[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*names, "quality_score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
+def keep_good(df: DataFrame, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of `df` with a score of at least 0.5 under a model fitted to the labelled ones of `docs`."""
+    scored = score_quality(df, fit_quality(docs, labels, "quality", folds, held))
+    return scored.where("quality_score >= 0.5").drop("quality_score")
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     model = fit_quality(docs, labels, "quality", folds, held)

@@ -96,3 +96,29 @@ def op8_lattice_lm(spark, sf_dir):
     from townloom.llm.lattice_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_exact_top_k(spark, sf_dir):
+    from townloom.llm.topk import top_products
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+ORACLES["op4_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(
+      CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    from townloom.llm.jaccard_join import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"))
