@@ -155,12 +155,34 @@ def clipped_area(subject: np.ndarray, window: np.ndarray) -> float:
     return closed_area(pts) if len(pts) > 2 else 0.0
 
 
-def convex_overlap(subject, clip):
-    """Exact area of a ring clipped to a convex ring."""
+def turns(window: np.ndarray) -> np.ndarray:
+    """Cross product at every corner of a ring without repeat."""
+    a, b = window - np.roll(window, 1, axis=0), np.roll(window, -1, axis=0) - window
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
+def simple_overlap(subject: np.ndarray, window: np.ndarray) -> float:
+    """Area of a polygon inside a simple polygon.
+
+    A window that is not convex counts as the signed sum of the triangles of its edges and its
+    first corner, each of which is convex.
+    """
+    turn = turns(window)
+    if (turn >= 0).all() or (turn <= 0).all():
+        return clipped_area(subject, window)
+    total = 0.0
+    for p, q in zip(window[1:-1], window[2:]):
+        triangle = np.array([window[0], p, q])
+        total += np.sign(turns(triangle)[0]) * clipped_area(subject, triangle)
+    return abs(total)
+
+
+def polygon_overlap(subject, clip):
+    """Exact area of a ring inside another simple ring."""
 
     @F.pandas_udf("double")
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([clipped_area(ring_array(s)[:-1], ring_array(w)[:-1])
+        return pd.Series([simple_overlap(ring_array(s)[:-1], ring_array(w)[:-1])
                           for s, w in zip(a, b)])
 
     return overlap(subject, clip)

@@ -48,7 +48,7 @@ def nearest_family(df: DataFrame, centres: DataFrame, ident: str, columns: list[
         F.round(d2, 9), "family")).alias("family"))
 
 
-def light_clusters(df: DataFrame, ident: str, keys=KEYS, rounds: int = 20) -> DataFrame:
+def light_clusters(df: DataFrame, ident: str, keys=KEYS, rounds: int = 1000) -> DataFrame:
     """K-means on scaled (log area, compactness) in all districts at once.
 
     k = n/20 clamped to 2..4, none below eight footprints. Centres start at area quantiles, so
@@ -83,6 +83,8 @@ def light_clusters(df: DataFrame, ident: str, keys=KEYS, rounds: int = 20) -> Da
         centres = moved
         if still:
             break
+    else:
+        raise RuntimeError(f"centres have not settled after {rounds} rounds")
     d2 = (F.col("a") - F.col("ca")) ** 2 + (F.col("b") - F.col("cb")) ** 2
     out = big.join(centres, k).groupBy(*k, ident).agg(
         F.min_by("c", F.struct(F.round(d2, 9), "c")).alias("cluster_id"))

@@ -55,6 +55,8 @@ def greedy_dedup(points: DataFrame, order: str, name: str, distance: float,
         open_ = cut(open_.join(gone, [*keys, "_id"], "left_anti"))
         if open_.isEmpty():
             break
+    else:
+        raise RuntimeError(f"points are still open after {MAX_ROUNDS} rounds")
     ids = kept.select(*keys, F.col("_fid").alias(order))
     unnamed = points.where(clean == "")
     return points.join(ids, [*keys, order], "left_semi").unionByName(unnamed)

@@ -333,6 +333,8 @@ def _by_joins(e: DataFrame, keys) -> DataFrame:
         paths = nxt.drop("_old")
         if settled:
             break
+    else:
+        raise RuntimeError(f"scores have not settled after {MAX_ROUNDS} rounds")
     pa = paths.select(*s, F.col("node").alias("src"), F.col("p").alias("_pa"))
     pb = paths.select(*s, F.col("node").alias("dst"), F.col("p").alias("_pb"))
     share = cut(dag.join(pa, [*s, "src"]).join(pb, [*s, "dst"]).select(
@@ -347,6 +349,8 @@ def _by_joins(e: DataFrame, keys) -> DataFrame:
         load = nxt.drop("_old")
         if settled:
             break
+    else:
+        raise RuntimeError(f"scores have not settled after {MAX_ROUNDS} rounds")
     flow = share.join(load.withColumnRenamed("node", "dst"), [*s, "dst"])
     return flow.groupBy(*k, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
                         ).agg(F.sum(F.col("_r") * (1 + F.col("l"))).alias("score"))

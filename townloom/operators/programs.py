@@ -338,8 +338,11 @@ def largest_part(parts: DataFrame, ident: list[str]) -> DataFrame:
 
 def cap_largest(df: DataFrame, ident: str, cap: int = V.CANVAS_MAX_BUILDINGS, keys=KEYS
                 ) -> DataFrame:
-    """Keep the largest footprints up to a cap; total and truncated tell what was dropped."""
+    """Rank of every footprint by area, the total, and whether the canvas has room for it.
+
+    Nothing is dropped: a canvas that draws only so many footprints filters on `drawn`.
+    """
     n = df.groupBy(*keys).agg(F.count("*").alias("total"))
     w = Window.partitionBy(*keys).orderBy(F.desc("area_m2"), ident)
-    return (df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    return (df.withColumn("area_rank", F.row_number().over(w)).withColumn("drawn", F.col("area_rank") <= cap)
             .join(n, list(keys)).withColumn("truncated", F.col("total") > cap))

@@ -106,14 +106,12 @@ def seasonal_amplitude(tagged: DataFrame, value: str, cloud: str, keys=KEYS, min
                     .alias("amplitude"), "mean")
 
 
-def scalar_field(tagged: DataFrame, value: str, keys=KEYS, scenes: int = 6) -> DataFrame:
-    """Mean over the first scenes inside, and its difference to the surroundings."""
+def scalar_field(tagged: DataFrame, value: str, keys=KEYS) -> DataFrame:
+    """Mean over all scenes inside, and its difference to the surroundings."""
     k = list(keys)
     per = tagged.groupBy(*k, "scene").agg(
         F.avg(F.when(F.col("inside"), F.col(value))).alias("_in"),
         F.avg(F.when(~F.col("inside"), F.col(value))).alias("_out"))
-    w = Window.partitionBy(*k).orderBy("scene")
-    per = per.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= scenes)
     return per.groupBy(*k).agg(F.avg("_in").alias("mean_inside"),
                                (F.avg("_in") - F.avg("_out")).alias("delta"))
 
@@ -175,9 +173,14 @@ def road_width(highway, lanes) -> Column:
 
 
 def layer_cells(layers: dict[str, DataFrame], size: float, keys=KEYS) -> DataFrame:
-    """Distinct cells per layer; polygon layers have rings, road layers x1..y2 and half_width."""
+    """Distinct cells per layer; polygon layers have rings, road layers x1..y2 and half_width.
+
+    Roads of a class that is not (or no longer) built are left out where a layer names classes.
+    """
     out = None
     for name, df in layers.items():
+        if "highway" in df.columns:
+            df = df.where(~F.coalesce(F.col("highway").isin(V.ROAD_SKIPPED_CLASSES), F.lit(False)))
         c = (line_cover(df, size, [*keys], "half_width") if "half_width" in df.columns
              else cell_cover(df, size, [*keys]))
         c = c.distinct().withColumn("layer", F.lit(name))

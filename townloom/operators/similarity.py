@@ -44,6 +44,19 @@ def unit(vec):
         lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
+def apart_unit(vec, own: int):
+    """Unit vectors with two more components; zero vectors get a direction of their own there.
+
+    The product of two such vectors from different sides is their cosine, and 0 where either
+    was zero.
+    """
+    from townloom.functions.geo import let
+
+    return let(unit(vec), lambda a: F.concat(a, F.when(
+        F.exists(a, lambda x: x != 0), F.array(F.lit(0.0), F.lit(0.0))).otherwise(
+        F.array(F.lit(1.0 - own), F.lit(0.0 + own)))))
+
+
 def _pack(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
     """Rows of a block as sorted ids and one flat array of numbers."""
     rows = F.array_sort(F.collect_list(F.struct("id", "vec")))
@@ -80,9 +93,9 @@ def nearest(df: DataFrame, k: int, ident: str, vec: str, metric: str = "euclidea
     neighbour.
     """
     id_type = df.schema[ident].dataType.simpleString()
-    v = unit(vec) if metric == "cosine" else F.col(vec)
-    prep = lambda d: d.select(F.col(ident).alias("id"), v.cast("array<double>").alias("vec"))
-    q, c = prep(df), prep(corpus if corpus is not None else df)
+    side = lambda own: apart_unit(vec, own) if metric == "cosine" else F.col(vec)
+    prep = lambda d, own: d.select(F.col(ident).alias("id"), side(own).cast("array<double>").alias("vec"))
+    q, c = prep(df, 0), prep(corpus if corpus is not None else df, 1)
     if max_pivots is None and is_small(q, ONE_BLOCK_BYTES) and is_small(c, ONE_BLOCK_BYTES):
         pairs = _pack(q.withColumn("one", F.lit(0)), ["one"], "q").join(
             _pack(c.withColumn("one", F.lit(0)), ["one"], "c"), "one")
@@ -140,10 +153,10 @@ def nearest(df: DataFrame, k: int, ident: str, vec: str, metric: str = "euclidea
                     with np.errstate(divide="ignore", invalid="ignore"):
                         dist = np.where(dims > 0, np.sqrt(np.maximum(d2, 0) / dims), np.inf)
                 else:
-                    dims = np.full((len(qi), len(ci)), float(a.shape[1]))
+                    dims = np.full((len(qi), len(ci)), float(a.shape[1] - 2 * cosine))
                     d2 = np.maximum((a0 ** 2).sum(1)[:, None] + (b0 ** 2).sum(1)[None, :]
                                     - 2 * a0 @ b0.T, 0)
-                    dist = d2 / 2 if cosine else np.sqrt(d2)
+                    dist = 1 - a0 @ b0.T if cosine else np.sqrt(d2)
                 dist = np.round(dist, digits)
                 dist[qi[:, None] == ci[None, :]] = np.inf
                 # ids are sorted, so a stable sort settles ties by id
@@ -288,12 +301,13 @@ def rank_demographics(queries: DataFrame, corpus: DataFrame, ident: str, columns
     return nearest(z(q0), k, ident, "vec", corpus=z(c0), shared=True)
 
 
-def rank_shares(shares: DataFrame, ident: str, columns: list[str], k: int) -> DataFrame:
-    """Nearest districts by RMS z-distance of bucket shares."""
+def rank_shares(shares: DataFrame, ident: str, columns: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
+    """Nearest districts by RMS z-distance of bucket shares, of those listed in `among` if given."""
     z = zscore_population(shares, columns, digits=12)
     root = float(np.sqrt(len(columns)))
     v = z.select(ident, F.array(*[F.col(c) / root for c in columns]).alias("vec"))
-    return nearest(v, k, ident, "vec")
+    corpus = v.join(among.select(ident), ident, "left_semi") if among is not None else None
+    return nearest(v, k, ident, "vec", corpus=corpus)
 
 
 def typology_fit(neighbours: DataFrame, labels: DataFrame, ident: str, types: list[str],

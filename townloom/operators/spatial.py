@@ -110,8 +110,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     """Nearest polygon within a distance; equal distances keep every polygon."""
     near = spatial_join(points, polygons, [poly_id], within=max_distance, tile=tile, keys=keys,
                         distance_as="distance_m")
-    near = near.withColumn("distance_m", F.round("distance_m", 6))
-    w = Window.partitionBy(*keys, point_id).orderBy("distance_m")
+    w = Window.partitionBy(*keys, point_id).orderBy(F.round("distance_m", 6))
     return near.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
 
 
@@ -120,45 +119,39 @@ def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
 
     Filled row by row: the edges crossing the middle of a row, in order, give the stretches
     that lie inside, so the work follows the outline and the covered cells, not all cells of the
-    box times all edges.
+    box times all edges. Rows are spread one by one, so neither a polygon nor its district stays
+    in one task, and no array is longer than the crossings of one row.
     """
-    def cells_of_row(e, ty):
-        y = geo.cell_centre(ty, size)
-        xs = F.array_sort(F.transform(
-            F.filter(e, lambda s: (s["y1"] > y) != (s["y2"] > y)),
-            lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
-
-        def stretch(v, i):
-            lo, hi = F.get(v, i), F.get(v, i + 1)
-            wide = F.sequence(F.floor(lo / size).cast("long") - 1, F.floor(hi / size).cast("long") + 1)
-            return F.transform(F.filter(wide, lambda tx: (geo.cell_centre(tx, size) >= lo)
-                                        & (geo.cell_centre(tx, size) < hi)),
-                               lambda tx: F.struct(tx.alias("tx"), ty.alias("ty")))
-
-        return geo.let(xs, lambda v: F.when(F.size(v) >= 2, F.flatten(F.transform(
-            F.sequence(F.lit(0), F.size(v) - 2, F.lit(2)), lambda i: stretch(v, i)))))
-
     rows = geo.let(geo.bbox("rings"), lambda b: F.sequence(
         F.floor(b["ymin"] / size).cast("long"), F.floor(b["ymax"] / size).cast("long")))
-    covered = geo.let(geo.edges("rings"), lambda e: F.flatten(F.array_compact(
-        F.transform(rows, lambda ty: cells_of_row(e, ty)))))
-    small = polygons.select(*keep, "rings")
-    return (fan_out(small, *keep).select(*keep, F.explode(covered).alias("_q"))
-            .select(*keep, F.col("_q.tx").alias("cell_x"), F.col("_q.ty").alias("cell_y")))
+    y = geo.cell_centre("cell_y", size)
+    crossings = F.array_sort(F.transform(
+        F.filter("_e", lambda s: (s["y1"] > y) != (s["y2"] > y)),
+        lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
+    per_row = polygons.select(*keep, geo.edges("rings").alias("_e"), F.explode(rows).alias("cell_y")).select(
+        *keep, "cell_y", crossings.alias("_x"))
+    # outer generators add no filter that would compute the crossings twice
+    starts = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("_x") - 2, F.lit(0)), F.lit(2)))
+    stretches = fan_out(per_row, *keep, "cell_y").select(*keep, "cell_y", "_x", starts.alias("_i")).select(
+        *keep, "cell_y", F.get("_x", F.col("_i")).alias("_lo"), F.get("_x", F.col("_i") + 1).alias("_hi"))
+    wide = F.explode_outer(F.sequence(F.floor(F.col("_lo") / size).cast("long") - 1,
+                                      F.floor(F.col("_hi") / size).cast("long") + 1))
+    centre = geo.cell_centre("cell_x", size)
+    return (stretches.select(*keep, "cell_y", "_lo", "_hi", wide.alias("cell_x"))
+            .where((centre >= F.col("_lo")) & (centre < F.col("_hi"))).select(*keep, "cell_x", "cell_y"))
 
 
 def line_cover(lines: DataFrame, size: float, keep: list[str], half_width: str) -> DataFrame:
     """Cells whose centre lies within half the width of a segment x1, y1 - x2, y2."""
     w = F.col(half_width)
-    box = F.struct((F.least("x1", "x2") - w).alias("xmin"), (F.least("y1", "y2") - w).alias("ymin"),
-                   (F.greatest("x1", "x2") + w).alias("xmax"),
-                   (F.greatest("y1", "y2") + w).alias("ymax"))
-    seg = F.struct("x1", "y1", "x2", "y2")
-    cells = F.filter(tiles_of_box(box, size), lambda q: geo.point_segment_distance2(
-        seg, geo.cell_centre(q["tx"], size), geo.cell_centre(q["ty"], size)) <= w * w)
-    lines = fan_out(lines.select(*dict.fromkeys([*keep, "x1", "y1", "x2", "y2", half_width])), *keep)
-    return (lines.select(*keep, F.explode(cells).alias("_q"))
-            .select(*keep, F.col("_q.tx").alias("cell_x"), F.col("_q.ty").alias("cell_y")))
+    ends = ["x1", "y1", "x2", "y2", half_width]
+    lines = fan_out(lines.select(*dict.fromkeys([*keep, *ends])), *keep, *ends[:4])
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - w) / size).cast("long"),
+                                             F.floor((F.greatest(a, b) + w) / size).cast("long")))
+    cells = lines.withColumn("cell_x", span("x1", "x2")).withColumn("cell_y", span("y1", "y2"))
+    near = geo.point_segment_distance2(F.struct("x1", "y1", "x2", "y2"), geo.cell_centre("cell_x", size),
+                                       geo.cell_centre("cell_y", size)) <= w * w
+    return cells.where(near).select(*keep, "cell_x", "cell_y")
 
 
 def largest_overlap(targets: DataFrame, sources: DataFrame, target_id: str, source_id: str,
@@ -185,12 +178,12 @@ def transfer_first(targets: DataFrame, polygons: DataFrame, target_id: str, orde
 
 
 def overlap_exact(units: DataFrame, windows: DataFrame, unit_id: str, keys=KEYS) -> DataFrame:
-    """Exact share of each unit inside a convex window, and whether all of it is inside."""
-    from townloom.functions.shapes import convex_overlap
+    """Exact share of each unit inside a simple window, and whether all of it is inside."""
+    from townloom.functions.shapes import polygon_overlap
 
     win = windows.select(*keys, F.col("rings").alias("_w"))
     out = units.join(win, list(keys))
-    shared = convex_overlap(F.col("rings")[0], F.col("_w")[0])
+    shared = polygon_overlap(F.col("rings")[0], F.col("_w")[0])
     out = out.withColumn("_shared", shared).withColumn("_area", geo.area("rings"))
     ratio = F.least(F.greatest(F.col("_shared") / F.col("_area"), F.lit(0.0)), F.lit(1.0))
     return (out.withColumn("overlap_m2", F.col("_shared"))

@@ -176,18 +176,18 @@ REP_SQL = f"""
 
 
 @query("g16_canvas_clip_and_cap", f"""
-    SELECT building_id, total, total > 15 AS truncated FROM (
+    SELECT building_id, total, total > 20000 AS truncated, r AS area_rank, r <= 20000 AS drawn FROM (
       SELECT building_id, district_id, count(*) OVER (PARTITION BY district_id) AS total,
         row_number() OVER (PARTITION BY district_id ORDER BY area_m2 DESC, building_id) AS r
       FROM (SELECT p.building_id, p.district_id, b.area_m2 FROM rep p JOIN buildings b USING (building_id)
         JOIN bnd e ON e.district_id = p.district_id AND {crosses('p.x', 'p.y')}
-        GROUP BY ALL HAVING count(*) % 2 = 1) i) q WHERE r <= 15""", extra={"rep": REP_SQL})
+        GROUP BY ALL HAVING count(*) % 2 = 1) i) q""", extra={"rep": REP_SQL})
 def _(L):
     b = L.buildings().withColumn("_p", spatial.representative_point("rings")).withColumn(
         "x", F.col("_p.x")).withColumn("y", F.col("_p.y"))
     inside = spatial.spatial_join(b.select("building_id", "district_id", "area_m2", "x", "y"),
                                   L.boundaries(), [], "left_semi")
-    return programs.cap_largest(inside, "building_id", 15).select("building_id", "total", "truncated")
+    return programs.cap_largest(inside, "building_id").select("building_id", "total", "truncated", "area_rank", "drawn")
 
 
 @query("g17_crop_to_boundary", f"""

@@ -83,9 +83,8 @@ def _(L):
 
 @query("a25_scalar_field", """
     SELECT district_id, avg(i) AS mean_inside, avg(i) - avg(o) AS delta FROM (SELECT district_id, scene,
-        avg(lst) FILTER (WHERE inside) AS i, avg(lst) FILTER (WHERE NOT inside) AS o,
-        row_number() OVER (PARTITION BY district_id ORDER BY scene) AS r FROM tagged GROUP BY 1, 2) q
-    WHERE r <= 6 GROUP BY 1""", "mean_inside delta", extra=PEX)
+        avg(lst) FILTER (WHERE inside) AS i, avg(lst) FILTER (WHERE NOT inside) AS o
+      FROM tagged GROUP BY 1, 2) q GROUP BY 1""", "mean_inside delta", extra=PEX)
 def _(L):
     return raster.scalar_field(tagged(L), "lst")
 
@@ -147,7 +146,7 @@ def _(L):
 SEGS = """SELECT DISTINCT district_id, x1, y1, x2, y2, greatest(coalesce(lanes * 3.5, 0), CASE highway
       WHEN 'motorway' THEN 14 WHEN 'primary' THEN 12 WHEN 'secondary' THEN 10 WHEN 'tertiary' THEN 8
       WHEN 'residential' THEN 6 WHEN 'unclassified' THEN 6 WHEN 'service' THEN 5 ELSE 2 END)::double / 2 AS hw
-    FROM streets"""
+    FROM streets WHERE highway IS NULL OR highway NOT IN ('proposed', 'construction', 'abandoned', 'razed', 'disused')"""
 ROADC = """SELECT DISTINCT g.district_id, g.cx, g.cy FROM (SELECT s.*, cx,
         unnest(range(floor((least(y1, y2) - hw) / 10)::BIGINT, floor((greatest(y1, y2) + hw) / 10)::BIGINT + 1))
         AS cy FROM (SELECT s.*, unnest(range(floor((least(x1, x2) - hw) / 10)::BIGINT,
@@ -166,7 +165,7 @@ PLAN = {"segs": SEGS, "roadc": ROADC, "parkc": PARKC, "bcells": building_cells(1
 
 def plan_cells(L):
     seg = L.view("streets").withColumn("half_width", raster.road_width("highway", "lanes") / 2).select(
-        "district_id", "x1", "y1", "x2", "y2", "half_width").distinct()
+        "district_id", "highway", "x1", "y1", "x2", "y2", "half_width").distinct()
     park = L.view("pixels").where("cover = 10").select("district_id", "col_no", "row_no").distinct()
     x, y = F.col("col_no") * 50, F.col("row_no") * 50
     ring = geo.ring_from((x, y), (x + 50, y), (x + 50, y + 50), (x, y + 50), (x, y))
@@ -231,10 +230,10 @@ def _(L):
 
 @query("a33_fractal_dimension", """
     SELECT district_id, -regr_slope(ln(n), ln(s)) AS fractal_dimension FROM (SELECT district_id, s,
-      count(DISTINCT (cx // s, cy // s)) AS n FROM fig, (VALUES (2), (4), (8), (16), (32)) v(s) GROUP BY 1, 2) q
+      count(DISTINCT (cx // s, cy // s)) AS n FROM fig, (VALUES (2), (4), (8), (16), (32), (64), (128), (256)) v(s) GROUP BY 1, 2) q
     GROUP BY 1""", "fractal_dimension", extra=FEX)
 def _(L):
-    return raster.fractal_dimension(figure(L), (2, 4, 8, 16, 32))
+    return raster.fractal_dimension(figure(L))
 
 
 @query("a34_texture", """

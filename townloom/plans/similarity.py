@@ -273,10 +273,10 @@ def _(L):
       SELECT id, label, sum(1 / (distance + 0.05)) AS v FROM (SELECT p.id, p.distance, l.primary1 AS label,
           row_number() OVER (PARTITION BY p.id ORDER BY distance, neighbor) AS r FROM pk40 p
           JOIN lab l ON l.district_id = p.neighbor WHERE primary1 IS NOT NULL) q WHERE r <= 6 GROUP BY 1, 2) z
-    GROUP BY 1""", "confidence", extra={"psh": PSH, "pk40": knn_sql("psh", B, 40), "lab": LAB})
+    GROUP BY 1""", "confidence", extra={"psh": PSH, "pk40": knn_sql("psh", B, 1000000), "lab": LAB})
 def _(L):
-    near = sim.rank_shares(program_shares(L), "district_id", B, 40)
     lab = labels(L).where("primary is not null").select("district_id", F.col("primary").alias("label"))
+    near = sim.rank_shares(program_shares(L), "district_id", B, 6, lab)
     return sim.suggest_type(near, lab, "district_id")
 
 

@@ -164,7 +164,7 @@ def _(L: Layers):
 @query("s12_thumbnails")
 def _(L: Layers):
     t = sinks.thumbnails(L.buildings().select("district_id", "building_id", "rings"), "building_id")
-    return t.select("district_id", "building_id", "rank", F.size("ring").alias("points"))
+    return t.select("district_id", "building_id", "rank", "drawn", F.size("ring").alias("points"))
 
 
 @query("x1_streaming_intake", """
@@ -177,7 +177,8 @@ def _(L: Layers):
         return batch.groupBy(F.expr("c_custkey div 30").alias("district_id"),
                              F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
 
-    intake.run_intake(L.spark, L.dir, schema, "customer.parquet", summarise, target)
+    intake.run_intake(L.spark, L.dir, schema, "customer.parquet", summarise, target,
+                      scratch_path(L.spark, "intake-checkpoint"))
     return intake.merged_counts(L.spark, target, ["district_id", "segment"], "n")
 
 

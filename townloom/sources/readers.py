@@ -68,11 +68,20 @@ def read_layer(spark: SparkSession, path: str, kinds: list[str], keep: list[str]
 def read_gtfs(spark: SparkSession, path: str, table: str) -> DataFrame:
     """S3: one table of all feeds; every column is text, feed_id comes from the folder.
 
-    Header names lose a byte-order mark and surrounding blanks.
+    Header names lose a byte-order mark and surrounding blanks. Files are read by their own
+    header: those with the same one together, the others apart, then merged by name.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(f"{path}/{table}")
     clean = lambda c: c.replace("﻿", "").strip()
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(clean(c)) for c in df.columns])
+    files = spark.read.format("binaryFile").load(f"{path}/{table}").where("length > 0").select("path").collect()
+    groups: dict[str, list[str]] = {}
+    for f in sorted(r.path for r in files):
+        groups.setdefault(spark.read.text(f).first()[0], []).append(f)
+    feeds = []
+    for same in groups.values():
+        df = spark.read.option("header", True).option("inferSchema", False).option(
+            "basePath", f"{path}/{table}").csv(same)
+        feeds.append(df.select(*[F.col(f"`{c}`").cast("string").alias(clean(c)) for c in df.columns]))
+    return merge_feeds(feeds)
 
 
 def merge_feeds(feeds: list[DataFrame]) -> DataFrame:

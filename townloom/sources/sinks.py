@@ -30,7 +30,9 @@ def replace_districts(df: DataFrame, path: str, key: str = "district_id") -> Non
 
 
 def thumbnails(footprints: DataFrame, ident: str, keys=KEYS) -> DataFrame:
-    """Outlines on a 0-1000 grid per district, small ones dropped, the largest kept.
+    """Outlines on a 0-1000 grid per district, small ones dropped, ranked by area.
+
+    All others are returned; `drawn` marks those that a picture of limited size would show.
 
     The y axis points down. Coordinates are whole numbers.
     """
@@ -50,5 +52,5 @@ def thumbnails(footprints: DataFrame, ident: str, keys=KEYS) -> DataFrame:
     w = Window.partitionBy(*k).orderBy(F.desc("_a"), ident)
     whole = F.transform("ring", lambda p: F.struct(F.round(p["x"]).cast("int").alias("x"),
                                                    F.round(p["y"]).cast("int").alias("y")))
-    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= V.THUMBNAIL_MAX_RINGS).select(
-        *k, ident, whole.alias("ring"), F.col("_r").alias("rank"))
+    return d.withColumn("_r", F.row_number().over(w)).select(
+        *k, ident, whole.alias("ring"), F.col("_r").alias("rank"), (F.col("_r") <= V.THUMBNAIL_MAX_RINGS).alias("drawn"))

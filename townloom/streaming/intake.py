@@ -7,16 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townloom.session import scratch_path
-
 
 def run_intake(spark: SparkSession, source: str, schema, pattern: str, summarise: Callable[
-        [DataFrame], DataFrame], target: str, checkpoint: str | None = None, files_per_batch: int = 1000
+        [DataFrame], DataFrame], target: str, checkpoint: str, files_per_batch: int = 1000
         ) -> None:
     """Files that arrive in a folder are summarised and stored, each batch exactly once.
 
     A batch writes its own folder named after the batch number and replaces it when repeated,
-    so a restart after a lost driver neither doubles nor drops a batch.
+    so a restart after a lost driver neither doubles nor drops a batch. `checkpoint` must be the
+    same folder at every start of the same intake.
     """
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
               .option("maxFilesPerTrigger", files_per_batch).parquet(source))
@@ -25,7 +24,7 @@ def run_intake(spark: SparkSession, source: str, schema, pattern: str, summarise
         summarise(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     query = (stream.writeStream.foreachBatch(store).trigger(availableNow=True)
-             .option("checkpointLocation", checkpoint or scratch_path(spark, "intake")).start())
+             .option("checkpointLocation", checkpoint).start())
     query.awaitTermination()
 
 
