@@ -428,23 +428,30 @@ def match_by_name(labels: DataFrame, districts: DataFrame, label_name: str, dist
 
 
 def footprint_pairs(a: DataFrame, a_id: str, window: float, tile: float = 250.0,
-                    keys=KEYS) -> DataFrame:
-    """Ordered pairs (a, b) where the box of b meets the square window around the centre of a."""
+                    keys=KEYS, force_rows: int | None = None) -> DataFrame:
+    """Ordered pairs (a, b) where the box of b meets the square window around the centre of a.
+
+    Tiles that hold too many centres are split; `force_rows` does so beyond that many.
+    """
     win = F.struct((F.col("cx") - window).alias("xmin"), (F.col("cy") - window).alias("ymin"),
                    (F.col("cx") + window).alias("xmax"), (F.col("cy") + window).alias("ymax"))
-    left = a.select(*keys, F.col(a_id).alias("a_id"), "cx", "cy", F.col("edges").alias("ae"),
-                    win.alias("aw"), F.explode(tiles_of_box(win, tile)).alias("_t"))
+    place = lambda box: F.explode(tiles_of_box(box, tile)).alias("_t")
+    left = a.select(*keys, F.col(a_id).alias("a_id"), "cx", "cy", win.alias("aw"), place(win))
     box = geo.bbox("rings")
-    right = a.select(*keys, F.col(a_id).alias("b_id"), F.col("cx").alias("bx"),
-                     F.col("cy").alias("by"), F.col("edges").alias("be"), box.alias("bb"),
-                     F.explode(tiles_of_box(box, tile)).alias("_t"))
+    right = a.select(*keys, F.col(a_id).alias("b_id"), F.col("cx").alias("bx"), F.col("cy").alias("by"),
+                     box.alias("bb"), place(box))
+    flat = lambda d: d.withColumn("_tx", F.col("_t.tx")).withColumn("_ty", F.col("_t.ty"))
+    left, right, on = spread_hot_keys(flat(left), flat(right).drop("_t"), [*keys, "_tx", "_ty"], force_rows)
     corner = lambda ax: F.floor(F.greatest(F.col(f"aw.{ax}min"), F.col(f"bb.{ax}min"))
                                 / tile).cast("long")
     meet = ((F.col("aw.xmin") <= F.col("bb.xmax")) & (F.col("bb.xmin") <= F.col("aw.xmax"))
             & (F.col("aw.ymin") <= F.col("bb.ymax")) & (F.col("bb.ymin") <= F.col("aw.ymax")))
-    return (left.join(right, [*keys, "_t"]).where(
+    pairs = left.join(right, on).where(
         (F.col("a_id") != F.col("b_id")) & meet & (F.col("_t.tx") == corner("x"))
-        & (F.col("_t.ty") == corner("y"))).drop("_t", "aw", "bb"))
+        & (F.col("_t.ty") == corner("y"))).drop("_t", "_tx", "_ty", "_salt", "aw", "bb")
+    # outlines join only the pairs that are left
+    outline = lambda i, e: a.select(*keys, F.col(a_id).alias(i), F.col("edges").alias(e))
+    return pairs.join(outline("a_id", "ae"), [*keys, "a_id"]).join(outline("b_id", "be"), [*keys, "b_id"])
 
 
 def spatial_context(buildings: DataFrame, building_id: str = "building_id", radius: float = 50.0,

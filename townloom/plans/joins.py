@@ -115,10 +115,10 @@ def _(L):
 
 @query("j8_left_join_filled", """
     SELECT unit_id, coalesce(jobs, 0) AS jobs FROM units LEFT JOIN (
-      SELECT district_id, block_no, sum(jobs) AS jobs FROM jobs_long WHERE yr = 1998 GROUP BY ALL) j
+      SELECT district_id, block_no, sum(jobs) AS jobs FROM jobs_long GROUP BY ALL) j
     ON j.district_id = units.district_id AND j.block_no = units.unit_no""", "jobs")
 def _(L):
-    jobs = L.view("jobs_long").where("yr = 1998").groupBy("district_id", "block_no").agg(
+    jobs = L.view("jobs_long").groupBy("district_id", "block_no").agg(
         F.sum("jobs").alias("jobs")).withColumnRenamed("block_no", "unit_no")
     return spatial.left_join_filled(L.view("units"), jobs, ["district_id", "unit_no"],
                                     {"jobs": 0.0}).select("unit_id", "jobs")

@@ -115,10 +115,10 @@ def _(L):
     "touched": "SELECT DISTINCT district_id, segment AS state FROM places",
     "need": "SELECT district_id, count(*) AS need FROM touched GROUP BY 1",
     "avail": """SELECT DISTINCT c_mktsegment AS state, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders
-        JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 499000"""})
+        JOIN customer ON c_custkey = o_custkey"""})
 def _(L):
     touched = L.view("places").select("district_id", F.col("segment").alias("state"))
-    avail = L.table("orders").where("o_totalprice > 499000").join(
+    avail = L.table("orders").join(
         L.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("state"), F.year("o_orderdate").alias("yr"))
     return census.newest_complete_year(avail, touched)

@@ -121,7 +121,7 @@ def _(L):
 
 MODS = "(VALUES ('jobs', true), ('program', false), ('environment', false)) m(module, us_only)"
 MARKS = ("SELECT DISTINCT district_id, CASE segment WHEN 'BUILDING' THEN 'jobs' WHEN 'MACHINERY' THEN "
-         "'program' ELSE 'environment' END AS module FROM places WHERE confidence > 0.9")
+         "'program' ELSE 'environment' END AS module FROM places")
 
 
 @query("w9_outstanding_work", f"""
@@ -133,7 +133,7 @@ MARKS = ("SELECT DISTINCT district_id, CASE segment WHEN 'BUILDING' THEN 'jobs'
 def _(L):
     mods = L.spark.createDataFrame([("jobs", True), ("program", False), ("environment", False)],
                                    "module string, us_only boolean")
-    marks = L.view("places").where("confidence > 0.9").select("district_id", F.expr(
+    marks = L.view("places").select("district_id", F.expr(
         "CASE segment WHEN 'BUILDING' THEN 'jobs' WHEN 'MACHINERY' THEN 'program' "
         "ELSE 'environment' END").alias("module")).distinct()
     d = L.view("districts").withColumn("has_manifest", F.col("radius") > 310)

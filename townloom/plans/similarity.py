@@ -287,12 +287,13 @@ RAW = f"""SELECT id, neighbor, distance FROM (SELECT a.district_id AS id, b.dist
 
 
 @query("m13_neighbours_with_fallback", """
-    SELECT id, neighbor, distance, 'distance' AS basis FROM pk WHERE rank <= 3 AND id % 5 <> 2 UNION ALL
-    SELECT id, neighbor, distance, 'shares' FROM raw WHERE id % 5 = 2""", "distance",
-       extra={**PKNN, "raw": RAW})
+    SELECT id, neighbor, distance, 'distance' AS basis FROM pk WHERE rank <= 3 AND id IN (FROM known) UNION ALL
+    SELECT id, neighbor, distance, 'shares' FROM raw WHERE id NOT IN (FROM known)""", "distance",
+       extra={**PKNN, "raw": RAW, "lab": LAB, "known": "SELECT district_id FROM lab WHERE primary1 IS NOT NULL"})
 def _(L):
     sh = program_shares(L)
-    first = sim.rank_shares(sh, "district_id", B, 3).where("id % 5 <> 2")
+    known = labels(L).where("primary is not null").select(F.col("district_id").alias("id"))
+    first = sim.rank_shares(sh, "district_id", B, 3).join(known, "id", "left_semi")
     raw = sim.nearest(sh.select("district_id", F.array(*B).alias("vec")), 3, "district_id", "vec")
     return sim.with_fallback(first, raw).select("id", "neighbor", "distance", "basis")
 
@@ -536,12 +537,12 @@ def _(L):
 
 @query("m30_site_facts", """
     SELECT district_id, metres, open_year FROM districts LEFT JOIN (SELECT s_suppkey // 2 AS district_id,
-      max(s_acctbal) AS metres, max(1990 + s_suppkey % 30)::INT AS open_year FROM supplier WHERE s_acctbal > 4000
+      max(s_acctbal) AS metres, max(1990 + s_suppkey % 30)::INT AS open_year FROM supplier
       GROUP BY 1) f USING (district_id)""", "metres")
 def _(L):
     from townloom.operators.features import site_facts
 
-    facts = L.table("supplier").where("s_acctbal > 4000").groupBy(
+    facts = L.table("supplier").groupBy(
         F.expr("s_suppkey div 2").alias("district_id")).agg(
         F.max("s_acctbal").alias("metres"), F.max(1990 + F.col("s_suppkey") % 30).cast("int")
         .alias("open_year"))

@@ -30,7 +30,7 @@ def wkb_of(x: str, y: str):
 @query("s1_places_parquet", f"""
     SELECT place_id AS id, z.district_id, round(confidence, 3) AS confidence, {leaf_case('leaf')} AS program
     FROM place_zone z JOIN (SELECT place_id, confidence FROM places) USING (place_id)
-    WHERE zone = 'interior' AND confidence >= 0.25 AND z.district_id > 2""", "confidence")
+    WHERE zone = 'interior' AND confidence >= 0.25""", "confidence")
 def _(L: Layers):
     path = scratch_path(L.spark, "places")
     shift = F.col("district_id") * 1000
@@ -41,7 +41,7 @@ def _(L: Layers):
              F.struct(F.col("gx").alias("xmin"), F.col("gx").alias("xmax"), F.col("y").alias("ymin"),
                       F.col("y").alias("ymax")).alias("bbox"), wkb_of("gx", "y").alias("geometry"),
              F.lit("place").alias("type")).write.partitionBy("type").parquet(path)
-    b = L.boundaries().where("district_id > 2").withColumn("rings", F.transform("rings", lambda r: F.transform(
+    b = L.boundaries().withColumn("rings", F.transform("rings", lambda r: F.transform(
         r, lambda q: F.struct((q["x"] + F.col("district_id") * 1000).alias("x"), q["y"].alias("y")))))
     return readers.read_places(L.spark, path, b, 0.25).select("id", "district_id", "confidence", "program")
 
@@ -185,9 +185,9 @@ def _(L: Layers):
 @query("x2_label_overrides", """
     SELECT district_id, coalesce(o.label, d.typology) AS label, o.label IS NOT NULL AS confirmed FROM districts d
     LEFT JOIN (SELECT user_id // 3 AS district_id, arg_max(event_type, (ts, event_id)) AS label FROM events
-      WHERE value > 80 GROUP BY 1) o USING (district_id)""")
+      GROUP BY 1) o USING (district_id)""")
 def _(L: Layers):
-    log = L.table("events").where("value > 80").select(
+    log = L.table("events").select(
         F.expr("user_id div 3").alias("district_id"), F.col("event_type").alias("label"), "ts", "event_id")
     o = intake.latest_label(log, "district_id", "label", ["ts", "event_id"])
     return intake.apply_overrides(L.view("districts").select("district_id", F.col("typology").alias("label")),
