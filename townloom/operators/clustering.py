@@ -15,28 +15,25 @@ TASK_ROWS = 4000
 MAX_ROUNDS = 100_000
 
 
-def form_families(df: DataFrame, ident: list[str], columns: list[str], ks=range(4, 11), seed: int = 0,
-                  sample_rows: int = 5000):
-    """K-means over all footprints, k by silhouette on a seeded sample of bounded size.
+def form_families(df: DataFrame, ident: list[str], columns: list[str], ks=range(4, 11), seed: int = 0):
+    """K-means over all footprints, k by the silhouette of all rows.
 
-    Returns (labelled rows, k, silhouette by k). The sample only chooses k; every row is used
-    for the final fit.
+    Returns (labelled rows, k, silhouette by k). Features are computed once and checkpointed; the
+    silhouette needs only sums per family.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    x = VectorAssembler(inputCols=columns, outputCol="features").transform(df).select(
-        *ident, "features")
-    probe = cut(x.orderBy(F.xxhash64(*ident, F.lit(seed)), *ident).limit(sample_rows))
+    x = cut(VectorAssembler(inputCols=columns, outputCol="features").transform(df).select(
+        *ident, "features"))
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="family")
-    scores = {}
+    scores, models = {}, {}
     for k in ks:
-        model = KMeans(k=k, seed=seed, predictionCol="family").fit(probe)
-        scores[k] = float(judge.evaluate(model.transform(probe)))
+        models[k] = KMeans(k=k, seed=seed, predictionCol="family").fit(x)
+        scores[k] = float(judge.evaluate(models[k].transform(x)))
     k = max(scores, key=lambda v: (scores[v], -v))
-    model = KMeans(k=k, seed=seed, predictionCol="family").fit(x)
-    return model.transform(x).drop("features"), k, scores
+    return models[k].transform(x).drop("features"), k, scores
 
 
 def nearest_family(df: DataFrame, centres: DataFrame, ident: str, columns: list[str]) -> DataFrame:

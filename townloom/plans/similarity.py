@@ -423,7 +423,7 @@ def shape_rows(L):
 def _(L):
     cols = ["la", "compactness", "solidity", "bbox_elongation"]
     z = sim.robust_scale(shape_rows(L), cols)
-    return clustering.form_families(z, ["district_id", "building_id"], cols, ks=range(4, 7))[0]
+    return clustering.form_families(z, ["district_id", "building_id"], cols)[0]
 
 
 def ward_rows(L):
