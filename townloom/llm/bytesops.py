@@ -12,7 +12,7 @@ import types
 import numpy as np
 import pyarrow as pa
 
-SEGMENT_BYTES = 4 << 20  # bytes hashed at once; bounds the temporary arrays
+SEGMENT_BYTES = 2 << 20  # bytes hashed at once; bounds the temporary arrays
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -49,6 +49,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and each row's offsets (n + 1 of them); null counts as empty."""
+    pa.default_memory_pool().release_unused()  # of the batches before; workers live long
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

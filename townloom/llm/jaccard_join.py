@@ -1,8 +1,8 @@
 """N-gram Jaccard join with several global token orders, and the components of its links.
 
 Two documents whose shingle sets are similar enough share a token within the first few of either set under
-any one order of all tokens. Orders used here put frequent tokens last (a counted, bounded list) and differ
-in how they shuffle the others. The first order makes candidates through an inverted index; a candidate
+any one order of all tokens. Orders used here put tokens that many documents share last (a counted, bounded
+list), before them tokens of frequent words, and differ in how they shuffle tokens of one class. The first order makes candidates through an inverted index; a candidate
 pair must also share a prefix token under the other orders before its sets are compared.
 """
 
@@ -23,53 +23,63 @@ from townloom.session import cut
 ORDERS = 3
 HOT_TOKENS = 200_000  # tokens that the orders rank by frequency, at most; any list keeps the join exact
 HOT_IN_BATCH, HOT_IN_ALL = 3, 20
+COUNT_BYTES = 6 << 20  # text that counts as a batch here
+COMMON_WORDS = 100_000  # words whose frequency shapes the orders, at most
+COMMON_IN_BATCH = 4
 NO_ID = 1 << 62  # rows without an id are numbered from here by their text
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every row, ascending within the row, and how many each row has.
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray] | None = None
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every row, ascending within the row, how many each row has, and classes.
 
-    A row with fewer than n words has its whole sequence as one shingle; one without words has none.
+    A row with fewer than n words has its whole sequence as one shingle; one without words has none. A
+    shingle's class follows from how common its words are (all 0 without `common`).
     """
     low = lower_ascii(raw)
     starts, ends, rows = word_spans(low, offsets)
     keys = spans_hash(low, starts, ends)
+    heavy = np.zeros(len(keys))
+    if common is not None and len(common[0]) and len(keys):
+        at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
+        heavy = np.where(common[0][at] == keys, common[1][at], 0)
     words = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(words) - words
     left = np.repeat(first + words, words) - np.arange(len(keys))  # words from here to the row's end
-    run = np.zeros(len(keys), np.uint64)
+    run, weight = np.zeros(len(keys), np.uint64), np.zeros(len(keys))
     for k in range(n):
         there = left > k
         at = np.minimum(np.arange(len(keys)) + k, max(len(keys) - 1, 0))
         run = np.where(there, mix(run * np.uint64(0x9E3779B97F4A7C15) + keys[at] + np.uint64(1)), run)
+        weight = np.where(there, weight + heavy[at], weight)
     whole = np.zeros(len(keys), bool)
     whole[first[(words > 0) & (words < n)]] = True
     kept = (left >= n) | whole
-    run, rows = run[kept], rows[kept]
+    run, rows, weight = run[kept], rows[kept], weight[kept]
     order = np.lexsort((run, rows))
-    run, rows = run[order], rows[order]
+    run, rows, weight = run[order], rows[order], weight[order]
     fresh = np.ones(len(run), bool)
     fresh[1:] = (run[1:] != run[:-1]) | (rows[1:] != rows[:-1])
-    return run[fresh], np.bincount(rows[fresh], minlength=len(offsets) - 1)
+    return run[fresh], np.bincount(rows[fresh], minlength=len(offsets) - 1), np.floor(weight[fresh] / n).astype(np.int64)
 
 
-def in_order(sets: np.ndarray, rows: np.ndarray, order: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Positions of the tokens, row by row, in the order: by listed frequency, then by a hash of its own."""
+def in_order(sets: np.ndarray, classes: np.ndarray, rows: np.ndarray, order: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Positions of the tokens, row by row: by listed frequency, by class, then by the order's own hash."""
     count = np.zeros(len(sets), np.int64)
     if len(hot[0]):
         at = np.minimum(np.searchsorted(hot[0], sets), len(hot[0]) - 1)
         count = np.where(hot[0][at] == sets, hot[1][at], 0)
-    return np.lexsort((mix(sets ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64))), count, rows))
+    return np.lexsort((mix(sets ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64))), classes, count, rows))
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def prefixes(sets: np.ndarray, sizes: np.ndarray, order: int, percent: int, hot) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(sets: np.ndarray, sizes: np.ndarray, classes: np.ndarray, order: int, percent: int, hot) -> tuple[np.ndarray, np.ndarray]:
     """The first tokens of every set under the order, and how many."""
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    sets = sets[in_order(sets, rows, order, hot)]
+    sets = sets[in_order(sets, classes, rows, order, hot)]
     nth = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = prefix_size(sizes, percent)
     return sets[nth < kept[rows]], kept
@@ -89,36 +99,51 @@ def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-def mapped(docs: DataFrame, schema: str, n: int, make) -> DataFrame:
-    """For each batch of (key, text): `make` turns keys, shingle sets and sizes into columns of the schema."""
+def mapped(docs: DataFrame, schema: str, n: int, make, common=None) -> DataFrame:
+    """For each batch of (key, text, ...): `make` turns the batch, shingle sets, sizes and classes into columns."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for i, j in batches_by_bytes(offsets):
-                sets, sizes = shingle_sets(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], n)
-                yield pa.record_batch(make(batch.column(0).slice(i, j - i), sets, sizes), names=names)
+                found = shingle_sets(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], n, common)
+                yield pa.record_batch(make(batch.slice(i, j - i), *found), names=names)
 
-    return docs.select("key", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens that look most frequent, with counts: the driver gets HOT_TOKENS rows at most.
+def ascending(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    item, count = np.asarray(table["item"]).view(np.uint64), np.asarray(table["n"])
+    order = np.argsort(item)
+    return item[order], count[order]
 
-    Counted are tokens that several documents of one batch share. The list only shapes the orders.
-    """
 
-    def make(_, sets, sizes):
-        token, count = np.unique(sets, return_counts=True)
-        often = count >= HOT_IN_BATCH
-        return [pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))]
+def frequencies(docs: DataFrame, n: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Tokens that many documents seem to share with counts, and common words with log-counts, by hash.
+
+    Counted are those that occur several times within a batch. The lists only shape the orders and are
+    bounded: the driver gets HOT_TOKENS and COMMON_WORDS rows at most.
+    """
 
-    counts = mapped(docs, "token bigint, n bigint", n, make).groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= HOT_IN_ALL).orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).toArrow()
-    token, count = np.asarray(top["token"]).view(np.uint64), np.asarray(top["n"])
-    order = np.argsort(token)
-    return token[order], count[order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            for i, j in batches_by_bytes(offsets, COUNT_BYTES):
+                part, at = raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+                low = lower_ascii(part)
+                starts, ends, _ = word_spans(low, at)
+                for token, values, least in ((True, shingle_sets(part, at, n)[0], HOT_IN_BATCH),
+                                             (False, spans_hash(low, starts, ends), COMMON_IN_BATCH)):
+                    item, count = np.unique(values, return_counts=True)
+                    often = count >= least
+                    yield pa.record_batch([pa.array(np.full(often.sum(), token)), pa.array(item[often].view(np.int64)),
+                                           pa.array(count[often].astype(np.int64))], names=["token", "item", "n"])
+
+    counts = cut(docs.mapInArrow(run, "token boolean, item bigint, n bigint").groupBy("token", "item").agg(F.sum("n").alias("n")))
+    top = lambda rows, most: ascending(rows.orderBy(F.col("n").desc(), "item").limit(most).toArrow())
+    words = top(counts.where("not token"), COMMON_WORDS)
+    return top(counts.where(F.col("token") & (F.col("n") >= HOT_IN_ALL)), HOT_TOKENS), (words[0], np.log2(words[1] + 1))
 
 
 def alike(a: Column, b: Column, percent: int) -> Column:
@@ -132,46 +157,47 @@ def needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def texts_of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The documents that stand for the nodes (node, sig_a)."""
-    return docs.join(small(nodes.select("node")), F.col("key") == F.col("node"), "left_semi")
+    """(key, text, own): the documents whose keys are nodes, with the signature of the node's text."""
+    wanted = small(nodes.select("node", F.col("sig_a").alias("own")))
+    return docs.join(wanted, F.col("key") == F.col("node")).select("key", "text", "own")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, hot) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, hot, common) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under every other order and are similar enough."""
     pairs = cut(pairs.distinct())
 
-    def others(keys, sets, sizes):
-        sig = signature(sets, sizes)
-        out = [keys, pa.array(sig[0])]
+    def own(batch, sets, sizes) -> list:
+        # a key may have other texts too; the signature picks the node's own
+        return [batch.column(0), pa.array(signature(sets, sizes)[0] == np.asarray(batch.column(2)))]
+
+    def others(batch, sets, sizes, classes):
+        out = [*own(batch, sets, sizes), pa.array(sizes.astype(np.int32))]
         for order in range(1, ORDERS):
-            tokens, kept = prefixes(sets, sizes, order, percent, hot)
+            tokens, kept = prefixes(sets, sizes, classes, order, percent, hot)
             # 32 bits of each token: a filter may pass more, never less
             out.append(lists(pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)), kept))
         return out
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sig_a"), "node")
+    def whole(batch, sets, sizes, classes):
+        data = [sets[e - k:e].tobytes() for k, e in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
+        return [*own(batch, sets, sizes), pa.array(data, pa.binary())]
 
-    def looked_up(found: DataFrame, wanted: DataFrame) -> DataFrame:
-        # a key may have other texts too; the signature picks the node's own
-        return found.join(wanted.withColumnRenamed("sig_a", "own"), (F.col("key") == F.col("node")) & (F.col("sig_a") == F.col("own"))).drop(
-            "key", "sig_a", "own").dropDuplicates(["node"])
+    def of_ends(pairs: DataFrame, schema: str, make) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sig_a"), "node")
+        return cut(mapped(texts_of_nodes(docs, cut(ends)), f"node bigint, own boolean, {schema}", n, make, common).where("own").drop("own"))
 
     columns = [f"p{k}" for k in range(1, ORDERS)]
-    wanted = cut(ends(pairs))
-    found = cut(looked_up(mapped(texts_of_nodes(docs, wanted), "key bigint, sig_a bigint, " + ", ".join(f"{c} array<int>" for c in columns),
-                                 n, others), wanted))
-    left = found.select(F.col("node").alias("a"), *(F.col(c).alias("l" + c) for c in columns))
-    right = found.select(F.col("node").alias("b"), *(F.col(c).alias("r" + c) for c in columns))
-    met = pairs.join(left, "a").join(right, "b")
+    found = of_ends(pairs, "n int, " + ", ".join(f"{c} array<int>" for c in columns), others)
+    side = lambda end, mark: found.select(F.col("node").alias(end), *(F.col(c).alias(mark + c) for c in ("n", *columns)))
+    met = pairs.join(side("a", "l"), "a").join(side("b", "r"), "b")
     for c in columns:
-        met = met.where(F.arrays_overlap("l" + c, "r" + c))
+        # one of the prefixes ends first; what it does not hold of the other is not shared, so beyond
+        # the common prefix tokens at most the rest of that set is
+        common_tokens = F.size(F.array_intersect("l" + c, "r" + c))
+        rest = F.greatest(F.col("ln") - F.size("l" + c), F.col("rn") - F.size("r" + c))
+        met = met.where((common_tokens > 0) & (common_tokens + rest >= needed(F.col("ln"), F.col("rn"), percent)))
     met = cut(met.select("a", "b"))
-
-    wanted = cut(ends(met))
-    whole = cut(looked_up(mapped(texts_of_nodes(docs, wanted), "key bigint, sig_a bigint, tokens binary", n, lambda keys, sets, sizes: [
-        keys, pa.array(signature(sets, sizes)[0]),
-        pa.array([sets[e - s:e].tobytes() for s, e in zip(sizes.tolist(), np.cumsum(sizes).tolist())], pa.binary())]), wanted))
+    found = of_ends(met, "tokens binary", whole)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +208,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
                 good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-    both = met.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
-        whole.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    both = met.join(found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
+        found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     return cut(both.mapInArrow(verify, "a bigint, b bigint"))
 
 
@@ -246,27 +272,28 @@ def similarity_components(df: DataFrame, n: int = 4, percent: int = 85, id_col:
 def similarity_keys(df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similarity_components with keys (see row_key) in place of ids: key, n, component."""
     docs = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    hot = frequent_tokens(docs, n)
+    hot, common = frequencies(docs, n)
 
-    def first_order(keys, sets, sizes):
-        tokens, kept = prefixes(sets, sizes, 0, percent, hot)
+    def first_order(batch, sets, sizes, classes):
+        tokens, kept = prefixes(sets, sizes, classes, 0, percent, hot)
         a, b = signature(sets, sizes)
-        return [keys, pa.array(sizes.astype(np.int32)), pa.array(a), pa.array(b), lists(pa.array(tokens.view(np.int64)), kept)]
+        return [batch.column(0), pa.array(sizes.astype(np.int32)), pa.array(a), pa.array(b), lists(pa.array(tokens.view(np.int64)), kept)]
 
-    members = cut(mapped(docs, "key bigint, n int, sig_a bigint, sig_b bigint, prefix array<bigint>", n, first_order))
+    members = cut(mapped(docs, "key bigint, n int, sig_a bigint, sig_b bigint, prefix array<bigint>", n, first_order, common))
     same = ["n", "sig_a", "sig_b"]
     nodes = members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("node", "n", "copies", F.posexplode_outer("prefix").alias("place", "token"))
-    hub = F.max(F.struct("copies", (-F.col("node")).alias("minus"), "n")).alias("hub")
-    hubs = rows.groupBy("token").agg(F.count("*").alias("nodes"), hub).where("nodes > 1").select(
-        "token", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = cut(rows.drop("copies").join(hubs, "token"))
-    identity = members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node"))
-
-    star = shared.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"), percent)).select(
-        F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = components(confirmed(star, docs, identity, n, percent, hot))
-    placed = shared.drop("hub", "hub_n").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a token's hub is a node with most copies; one number holds the order of their counts and the node's hash
+    standing = F.shiftleft(F.least(F.floor(F.log2("copies")), F.lit(30)).cast("long"), 57) + F.shiftrightunsigned(F.xxhash64("node"), 7)
+    rows = nodes.select("node", "n", standing.alias("standing"), F.posexplode_outer("prefix").alias("place", "token"))
+    hubs = rows.groupBy("token").agg(F.count("*").alias("nodes"), F.max("standing").alias("hub")).where("nodes > 1").drop("nodes")
+    shared = cut(rows.join(hubs, "token"))
+    identity = cut(members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node")))
+
+    chosen = shared.where("standing = hub").select("hub", F.col("node").alias("a"), F.col("n").alias("hub_n")).distinct()
+    star = shared.where("standing <> hub").select("node", "n", "hub").distinct().join(chosen, "hub").where(
+        alike(F.col("n"), F.col("hub_n"), percent)).select("a", F.col("node").alias("b"))
+    links = cut(components(confirmed(star, docs, identity, n, percent, hot, common)))
+    placed = shared.drop("hub", "standing").join(small(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest <> highest")
     placed = cut(placed.join(mixed.select("token"), "token", "left_semi"))
     # of the smaller set of a pair fewer tokens are enough
@@ -276,7 +303,7 @@ def similarity_keys(df: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     room = F.least(F.col("s_n") - F.col("s_place"), F.col("n") - F.col("place")) >= needed(F.col("s_n"), F.col("n"), percent)
     rest = smaller.join(placed, "token").where(ahead & (F.col("s_component") != F.col("component")) & alike(F.col("s_n"), F.col("n"), percent) & room)
     rest = rest.select(F.least("s_node", "node").alias("a"), F.greatest("s_node", "node").alias("b"))
-    more = confirmed(rest, docs, identity, n, percent, hot)
+    more = confirmed(rest, docs, identity, n, percent, hot, common)
 
     def raised(side: str) -> DataFrame:
         return links.select(F.col("node").alias(side), F.col("component").alias("c_" + side))

@@ -25,6 +25,7 @@ from townloom.llm.wordcodes import batches_by_bytes
 from townloom.session import cut
 
 PIECE_BYTES = 16  # longer pieces of the vocabulary are not used
+COUNT_BYTES = 8 << 20  # text whose words are counted together before the shuffle
 TOP_WORDS = 300_000  # the commonest words travel to all tasks (24 bytes each); the others are joined
 CELLS = 400_000  # lattice cells held at once
 SMOOTHING = 0.1  # expected count added to every piece
@@ -136,7 +137,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
             train = np.asarray(batch.column(1)).astype(np.float64)
-            for i, j in batches_by_bytes(offsets):
+            for i, j in batches_by_bytes(offsets, COUNT_BYTES):
                 low = lower_ascii(raw[offsets[i]:offsets[j]])
                 starts, ends, rows = word_spans(low, offsets[i:j + 1] - offsets[i])
                 _, first, inverse = np.unique(spans_hash(low, starts, ends), return_index=True, return_inverse=True)

@@ -151,8 +151,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     return train(np.concatenate(x) if x else np.zeros((0, FEATURES)), rows, np.array([r.y for r in bags], np.float64))
 
 
-def score_quality(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds `score`, the probability of good quality, to every row, from all passages of its whole text.
+def score_quality(docs: DataFrame, model: dict, score_col: str = "quality_score") -> DataFrame:
+    """Adds a column with the probability of good quality to every row, from all passages of its whole text.
 
     Null and empty texts count as one empty passage. Rows and other columns are kept as they are.
     """
@@ -166,15 +166,16 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
             for i, j in batches_by_bytes(offsets):
                 x, rows = passages(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 scores.append(sigmoid(attend(model, x, rows)[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*names, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def keep_good(df: DataFrame, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """The rows of `df` with a score of at least 0.5 under a model fitted to the labelled ones of `docs`."""
-    scored = score_quality(df, fit_quality(docs, labels, "quality", folds, held))
-    return scored.where("quality_score >= 0.5").drop("quality_score")
+    own = max([*df.columns, ""], key=len) + "_score"  # no column of df has this name
+    scored = score_quality(df, fit_quality(docs, labels, "quality", folds, held), own)
+    return scored.where(F.col(own) >= 0.5).drop(own)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

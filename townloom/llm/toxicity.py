@@ -270,13 +270,15 @@ def train_machine(z: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int =
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over the margins, with smoothed targets."""
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    """Slope and shift of a logistic curve over the margins: smoothed targets, the rarer class counts more."""
+    ones, zeros = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    each = np.sqrt(np.where(y > 0, len(y) / (2 * max(ones, 1)), len(y) / (2 * max(zeros, 1))))
     x, w = np.stack([margin, np.ones_like(margin)], axis=1), np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(x @ w)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (p - target))
+        hess = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (each * (p - target)))
         w = w - step / max(1.0, np.abs(step).max())
     return float(w[0]), float(w[1])
 
@@ -299,7 +301,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     rows = sample.mapInArrow(run, "doc_id bigint, best binary, y int").limit(limit).collect() if landmarks else []
     if not rows:
         counts = sample.agg(F.sum("y").alias("t"), F.count("y").alias("n")).first()
-        return {"landmarks": [], "shift": float(np.log(((counts.t or 0) + 1) / (counts.n - (counts.t or 0) + 1)))}
+        return {"landmarks": [], "shift": float(np.log(((counts.t or 0) + 0.5) / (counts.n - (counts.t or 0) + 1)))}
     rows.sort(key=lambda r: (r.doc_id, bytes(r.best)))
     best = np.stack([np.frombuffer(r.best, np.float32) for r in rows]).astype(np.float64)
     y = np.array([r.y for r in rows], np.float64)

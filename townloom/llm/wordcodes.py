@@ -14,9 +14,9 @@ import numpy as np
 
 from townloom.llm.bytesops import HashSlots, gather, spans_hash, texts_of, worker_store
 
-CACHE_BITS = 22
-FULL = 2_000_000  # parts in a worker's cache beyond which the next batch starts with an empty one
-BATCH_BYTES = 8 << 20  # bytes of text whose ids are held at once
+CACHE_BITS = 21
+FULL = 1_200_000  # parts in a worker's cache beyond which the next batch starts with an empty one
+BATCH_BYTES = 2 << 20  # bytes of text worked on at once; arrays over them take some fifty times as much
 # ASCII punctuation in front of which a part may begin after a letter; no apostrophe (contractions).
 PUNCTUATION = np.frombuffer(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~", np.uint8)
 
