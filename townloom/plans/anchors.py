@@ -158,14 +158,28 @@ def _(L):
                     F.array_join("opportunities", " | ").alias("opportunities"))
 
 
+TOP_LABELS = {"sport": "sport", "residential": "residential", "hotel": "hotel",
+              "retail_food_entertainment": "retail / f&b", "office": "office", "parking": "parking",
+              "open_space": "open space", "other": "other"}
+MOST = f"greatest({', '.join(TOP_LABELS)})"
+MOST_LABEL = "CASE " + " ".join(f"WHEN {b} = {MOST} THEN '{t}'" for b, t in TOP_LABELS.items()) + " END"
+
+
 @query("c23_stat_callouts", f"""
     SELECT district_id, nb || ' buildings inside | 61.8 ac district area | ' || n || ' anchors detected | '
-      || {F0('cov * 100')} || '% built coverage' AS callouts FROM card""", extra={"card": CARD})
+      || {F0('cov * 100')} || '% built coverage | ' || {F0(MOST)} || '% ' || {MOST_LABEL} || ' | '
+      || CASE WHEN district_id % 2 = 0 THEN format('{{:,}}', CAST(round_even(people * 2.589988, 0) AS BIGINT))
+        || ' people / sq mi' ELSE format('{{:,}}', CAST(round_even(med * 10.7639104167, 0) AS BIGINT))
+        || ' sf median bldg area' END AS callouts
+    FROM card JOIN (SELECT district_id, sum(total_pop) / 0.25::double AS people FROM units GROUP BY 1) u USING (district_id)""",
+       extra={"card": CARD})
 def _(L):
-    c = cards.callouts(card_features(L))
-    text = F.array_join(F.transform(F.slice("callouts", 1, 4), lambda s: F.concat(
-        s["value"], F.lit(" "), s["label"])), " | ")
-    return c.select("district_id", text.alias("callouts"))
+    # the density is known for every other district, so both forms of the last number occur
+    people = L.units().groupBy("district_id").agg((F.sum("total_pop") / 0.25).alias("_d"))
+    f = card_features(L).join(people, "district_id").withColumn(
+        "demo_population_density", F.when(F.col("district_id") % 2 == 0, F.col("_d")))
+    text = F.array_join(F.transform("callouts", lambda s: F.concat(s["value"], F.lit(" "), s["label"])), " | ")
+    return cards.callouts(f).select("district_id", text.alias("callouts"))
 
 
 @query("c32_character_description")
