@@ -8,7 +8,7 @@ from townloom.functions import classify as C
 from townloom.functions import vocab as V
 from townloom.operators import census, clustering, programs, spatial
 from townloom.operators import similarity as sim
-from townloom.plans.aggregates import (ANCH, CONTRAST, DAREA, MORPH, STRUCT, district_area, zoned_buildings,
+from townloom.plans.aggregates import (ANCH, CONTRAST, DAREA, MORPH, PARCEL, STRUCT, district_area, zoned_buildings,
                                        zoned_places)
 from townloom.plans.catalog import query
 from townloom.plans.panels import LEVEL
@@ -298,17 +298,13 @@ def _(L):
     return sim.with_fallback(first, raw).select("id", "neighbor", "distance", "basis")
 
 
-PSIG = "SELECT district_id, acres, vacant, yr FROM (SELECT district_id, avg(acres) AS acres, avg((bldg_sqft IS NULL)::INT) AS vacant, avg(year_built) AS yr FROM parcels GROUP BY 1) p"
-
-
-@query("m14_parcel_signal_neighbours", """SELECT id, neighbor, round(distance * sqrt(3), 4) AS distance, rank
-    FROM pn""", "distance", extra={"psig": PSIG, "pn": knn_sql("psig", ["acres", "vacant", "yr"], 3)})
+@query("m14_parcel_signal_neighbours", f"""SELECT id, neighbor, round(distance * sqrt({len(V.PARCEL_FEATURES)}), 4)
+    AS distance, rank FROM pn""", "distance", extra={"parcel_t": PARCEL, "pn": knn_sql("parcel_t", V.PARCEL_FEATURES, 3)})
 def _(L):
-    p = L.view("parcels").groupBy("district_id").agg(
-        F.avg("acres").alias("acres"), F.avg(F.col("bldg_sqft").isNull().cast("int")).alias("vacant"),
-        F.avg("year_built").alias("yr"))
-    near = sim.rank_shares(p, "district_id", ["acres", "vacant", "yr"], 3)
-    return near.select("id", "neighbor", F.round(F.col("distance") * 3 ** 0.5, 4).alias("distance"), "rank")
+    p = census.parcel_summary(L.view("parcels")).select("district_id", *V.PARCEL_FEATURES)
+    near = sim.rank_shares(p, "district_id", V.PARCEL_FEATURES, 3)
+    return near.select("id", "neighbor", F.round(F.col("distance") * len(V.PARCEL_FEATURES) ** 0.5, 4).alias("distance"),
+                       "rank")
 
 
 POOL = """SELECT g AS vec_id, list(m ORDER BY i) AS embedding FROM (SELECT vec_id // 10 AS g, i, avg(e[i]::DOUBLE)
