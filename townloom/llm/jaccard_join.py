@@ -255,7 +255,7 @@ def similarity_components(df: DataFrame, n: int = 4, percent: int = 85, id_col:
 
     Documents link when their sets of n-word shingles have at least `percent` % in common (Jaccard). Equal
     sets become one node first. Nodes that share a prefix token are compared with the node of that token
-    that stands for most documents; links found there already join most copies. Nodes of one token
+    that has it earliest; links found there already join most copies. Nodes of one token
     that are still in different components are then compared with each other, smaller against larger,
     as far as sizes and the token's places allow a link. So no link between different components is lost,
     while a large group of copies costs about one comparison each.
@@ -282,15 +282,19 @@ def similarity_keys(df: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     members = cut(mapped(docs, "key bigint, n int, sig_a bigint, sig_b bigint, prefix array<bigint>", n, first_order, common))
     same = ["n", "sig_a", "sig_b"]
     nodes = members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    # a token's hub is a node with most copies; one number holds the order of their counts and the node's hash
-    standing = F.shiftleft(F.least(F.floor(F.log2("copies")), F.lit(30)).cast("long"), 57) + F.shiftrightunsigned(F.xxhash64("node"), 7)
-    rows = nodes.select("node", "n", standing.alias("standing"), F.posexplode_outer("prefix").alias("place", "token"))
+    # A token's hub is the node that has it earliest, hence the fewest tokens of its own before it: the text that
+    # the others are copies of, or the nearest to it. One number holds the place, copies and the node's hash.
+    who = F.shiftleft(F.least(F.floor(F.log2("copies")), F.lit(30)).cast("long"), 47) + F.shiftrightunsigned(F.xxhash64("node"), 17)
+    rows = nodes.select("node", "n", who.alias("who"), F.posexplode_outer("prefix").alias("place", "token"))
+    rows = rows.select("node", "n", "place", "token", (F.shiftleft(
+        F.lit(1023) - F.least(F.col("place"), F.lit(1023)).cast("long"), 52) + F.col("who")).alias("standing"))
     hubs = rows.groupBy("token").agg(F.count("*").alias("nodes"), F.max("standing").alias("hub")).where("nodes > 1").drop("nodes")
     shared = cut(rows.join(hubs, "token"))
     identity = cut(members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node")))
 
-    chosen = shared.where("standing = hub").select("hub", F.col("node").alias("a"), F.col("n").alias("hub_n")).distinct()
-    star = shared.where("standing <> hub").select("node", "n", "hub").distinct().join(chosen, "hub").where(
+    hub = F.col("hub").bitwiseAND(F.lit((1 << 52) - 1)).alias("hub")
+    chosen = shared.where("standing = hub").select(hub, F.col("node").alias("a"), F.col("n").alias("hub_n")).distinct()
+    star = shared.where("standing <> hub").select("node", "n", hub).distinct().join(chosen, "hub").where(
         alike(F.col("n"), F.col("hub_n"), percent)).select("a", F.col("node").alias("b"))
     links = cut(components(confirmed(star, docs, identity, n, percent, hot, common)))
     placed = shared.drop("hub", "standing").join(small(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
