@@ -23,7 +23,7 @@ from townloom.session import cut
 ORDERS = 3
 HOT_TOKENS = 200_000  # tokens that the orders rank by frequency, at most; any list keeps the join exact
 HOT_IN_BATCH, HOT_IN_ALL = 3, 20
-COUNT_BYTES = 6 << 20  # text that counts as a batch here
+COUNT_BYTES = 3 << 20  # text that counts as a batch here
 COMMON_WORDS = 100_000  # words whose frequency shapes the orders, at most
 COMMON_IN_BATCH = 4
 NO_ID = 1 << 62  # rows without an id are numbered from here by their text
@@ -179,8 +179,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         return out
 
     def whole(batch, sets, sizes, classes):
-        data = [sets[e - k:e].tobytes() for k, e in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
-        return [*own(batch, sets, sizes), pa.array(data, pa.binary())]
+        return [*own(batch, sets, sizes), lists(pa.array(sets.view(np.int64)), sizes)]
 
     def of_ends(pairs: DataFrame, schema: str, make) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sig_a"), "node")
@@ -197,20 +196,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         rest = F.greatest(F.col("ln") - F.size("l" + c), F.col("rn") - F.size("r" + c))
         met = met.where((common_tokens > 0) & (common_tokens + rest >= needed(F.col("ln"), F.col("rn"), percent)))
     met = cut(met.select("a", "b"))
-    found = of_ends(met, "tokens binary", whole)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+    found = of_ends(met, "tokens array<bigint>", whole)
 
     both = met.join(found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(verify, "a bigint, b bigint"))
+        found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    # pairs of sets stay in the JVM, row by row: a batch of them for Python could hold any number of long sets
+    enough = F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent
+    return cut(both.where(enough).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
