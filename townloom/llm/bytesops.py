@@ -23,6 +23,12 @@ def worker_store(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def release_caches() -> None:
+    """Forget the caches of other operators' tasks; called by tasks that need the memory and no cache."""
+    for name in ("part caches", "matchers"):
+        worker_store(name).clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(31))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townloom.llm.bytesops import lower_ascii, mix, spans_hash, text_bytes, word_spans
+from townloom.llm.bytesops import lower_ascii, mix, release_caches, spans_hash, text_bytes, word_spans
 from townloom.llm.decontamination import small
 from townloom.llm.wordcodes import batches_by_bytes
 from townloom.session import cut
@@ -104,6 +104,7 @@ def mapped(docs: DataFrame, schema: str, n: int, make, common=None) -> DataFrame
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for i, j in batches_by_bytes(offsets):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from townloom.llm.bytesops import lower_ascii, mix, spans_hash, text_bytes, word_spans
+from townloom.llm.bytesops import lower_ascii, mix, release_caches, spans_hash, text_bytes, word_spans
 from townloom.llm.labelled import SAMPLE_DOCS, fold, labelled_sample, sigmoid
 from townloom.llm.wordcodes import batches_by_bytes
 
@@ -134,6 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     """A model from at most `limit` labelled documents outside the held-out fold (see labelled_sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for i, j in batches_by_bytes(offsets):
@@ -160,6 +161,7 @@ def score_quality(docs: DataFrame, model: dict, score_col: str = "quality_score"
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(at))
             scores = [np.zeros(0)]
