@@ -245,6 +245,35 @@ def test_pseudonyms(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 1 and pii.pseudonymize(empty, "k").count() == 0
 
 
+def test_pseudonyms_after_matches_that_do_not_validate(spark):
+    cases = {
+        "paid 2019 4111 1111 1111 1111 ok": r"paid 2019 4\d{3} \d{4} \d{4} \d{4} ok", "1 2019 3782 822463 10005 x": r"1 2019 3\d{3} \d{6} \d{5} x",
+        "BE68 5390 0754 7034 FROM me": r"BE\d\d \d{4} \d{4} \d{4} FROM me", "XX12 3456 BE68 5390 0754 7034": r"XX12 3456 BE\d\d \d{4} \d{4} \d{4}",
+        "on 3/7/2021.": r"on \d{1,2}/\d{1,2}/\d{4}\.", "7.3.2021": r"\d{1,2}\.\d{1,2}\.\d{4}", "2021-3-7": r"\d{4}-\d{1,2}-\d{1,2}",
+        "99/99/2021/03/07": r"99/99/\d{4}/\d\d/\d\d", "7 March 2021": r"\d{1,2} [A-Z][a-z]+ \d{4}", "MAR 7th, 2021": r"[A-Z]{3} \d{1,2}(st|nd|rd|th), \d{4}",
+        "7. März 2021": r"\d{1,2}\. \w+ \d{4}", "1er août 2021": r"\d{1,2}(er)? \w+ \d{4}", "7 de marzo de 2021": r"\d{1,2} de \w+ de \d{4}",
+        "call 555 123 4567 now": r"call \d{3} \d{3} \d{4} now", "+33 1 23 45 67 89": r"\+33 \d \d\d \d\d \d\d \d\d",
+        "+33 1 23 45 67 89 4111 1111 1111 1111": r"\+33 \d \d\d \d\d \d\d \d\d 4\d{3} \d{4} \d{4} \d{4}",
+        "+49 30 1234567": r"\+49 \d\d \d{7}", "01 23 45 67 89": r"\d\d \d\d \d\d \d\d \d\d",
+    }
+    two = {"+33 1 23 45 67 89 4111 1111 1111 1111"}
+    same = ["31/4/2021", "30 February 2021", "29 Feb 2021", "2019 4111 1111 1111", "0000-1-1", "1.2.3", "in March of 2021", "GB00 1234 5678 FROM", "00000000000000000000000000000000"]
+    df = spark.createDataFrame([(v,) for v in [*cases, *same]], "text string").withColumn("old", F.col("text"))
+    out = {r.old: r for r in pii.pseudonymize(df, "k", count_col="found").collect()}
+    for old, form in cases.items():
+        assert re.fullmatch(form, out[old].text) and out[old].text != old and out[old].found == 1 + (old in two), (old, out[old])
+    for old in same:
+        assert out[old].text == old and out[old].found == 0, out[old]
+    assert luhn(re.sub(r"\D", "", out["paid 2019 4111 1111 1111 1111 ok"].text[10:]))
+
+
+def test_dates_of_other_forms_are_one_to_one(spark):
+    day = F.date_add(F.lit("1999-12-20").cast("date"), F.col("id").cast("int"))
+    for form in ("M/d/yyyy", "d.M.yyyy", "d MMMM yyyy", "MMM dd, yyyy"):
+        got = pii.pseudonymize(spark.range(13, 900).select(F.date_format(day, form).alias("text")), "k", count_col="found")
+        assert got.where("found <> 1").count() == 0 and got.select("text").distinct().count() == got.count() == 887, form
+
+
 def test_permutations_are_one_to_one(spark):
     key = "k"
     n = spark.range(189 * 773).select(pii.permute_number(F.col("id"), 189, 773, key, F.lit("t")).alias("v"))
