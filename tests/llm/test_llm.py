@@ -219,6 +219,16 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_pieces_of_any_length_have_arcs():
+    names = lattice_lm.vocabulary(PIECES)[0]
+    long = [n for n in names if len(n) > 16]
+    assert long
+    for piece in long:
+        word = piece.removeprefix(b" ")
+        (_, size, pieces), = lattice_lm.lattices([word], names)
+        assert names[pieces[len(piece) - 1][0, size - len(piece)]] == piece
+
+
 def luhn(digits):
     total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
     return total % 10 == 0

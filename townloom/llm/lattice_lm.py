@@ -24,10 +24,9 @@ from townloom.llm.labelled import fold
 from townloom.llm.wordcodes import batches_by_bytes
 from townloom.session import cut
 
-PIECE_BYTES = 16  # longer pieces of the vocabulary are not used
 COUNT_BYTES = 8 << 20  # text whose words are counted together before the shuffle
 TOP_WORDS = 300_000  # the commonest words travel to all tasks (24 bytes each); the others are joined
-CELLS = 400_000  # lattice cells held at once
+CELLS = 400_000  # lattice cells held at once, fewer where pieces have more than 16 bytes
 SMOOTHING = 0.1  # expected count added to every piece
 ROUNDS = 3  # of expectation maximisation
 
@@ -46,7 +45,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if 0 < len(piece) <= PIECE_BYTES and b" " not in piece[1:]:
+        if piece and b" " not in piece[1:]:
             pieces[piece] = model.get_score(i)
     scores = np.array(list(pieces.values()))
     if len(scores) and scores.min() < -1000:
@@ -72,19 +71,19 @@ def lattices(words: list[bytes], names: list[bytes]):
     pieces[k - 1][:, i] is the piece that starts at byte i and has k bytes, or -1.
     """
     index = piece_index(names)
-    values = byte_values()
+    values, longest = byte_values(), max(map(len, names))
     sizes = np.array([len(w) + 1 for w in words])
     for size in np.unique(sizes).tolist():
         everyone = np.flatnonzero(sizes == size)
         forth, back = powers(BASE, size), powers(INVERSE, size)
-        step = max(1, CELLS // size)
+        step = max(1, CELLS * 16 // (size * max(16, min(longest, size))))
         for a in range(0, len(everyone), step):
             at = everyone[a:a + step]
             codes = np.frombuffer(b"".join(b" " + words[i] for i in at.tolist()), np.uint8).reshape(-1, size)
             sums = np.zeros((len(at), size + 1), np.uint64)
             np.cumsum(values[codes] * forth[:size], axis=1, out=sums[:, 1:])
             pieces = []
-            for k in range(1, min(PIECE_BYTES, size) + 1):
+            for k in range(1, min(longest, size) + 1):
                 keys = mix((sums[:, k:] - sums[:, :-k]) * back[:size - k + 1] + np.uint64(k))
                 pieces.append(index.find(keys.ravel()).reshape(keys.shape))
             yield at, size, pieces
