@@ -44,9 +44,10 @@ NAMED_DATE = "|".join(d for form in (r"{d}(?:st|nd|rd|th|er|\.)?[ -](?:of |de )?
                                      r"{m}\.? {d}(?:st|nd|rd|th)?,? {y}") for d in dates(form, False))
 NAMED_PARTS = r"^([0-9]{0,2})([^0-9]*?)(" + month_names(*range(1, 13)) + r")(?!\p{L})([^0-9]*)([0-9]{0,2})([^0-9]*)([0-9]{4})$"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a local part of up to 64 characters, labels of up to 63, 253 in all: bounds keep the search linear and its stack flat
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
-    "hex": r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})",
+    "hex": r"(?=[0-9]{0,127}+[A-Fa-f])(?=[A-Fa-f]{0,127}+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})",
     "date": f"{NUMERIC_DATE}|{NAMED_DATE}",
     "ip": rf"{OCTET}(?:\.{OCTET}){{3}}",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
@@ -58,6 +59,11 @@ PATTERNS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def candidates(text: Column, kind: str) -> Column:
     """The longest match of a kind at every place of a text where one starts; they may overlap."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!{ALNUM})(?=((?:{PATTERNS[kind]})(?!{ALNUM})))"), F.lit(1)))
@@ -82,12 +88,15 @@ def pattern(text: Column) -> Column:
     """What is to be replaced in this text. Account and card numbers are listed one by one, the longest first:
     only those that validate, so a match never hides a value that starts within it."""
 
-    def one_of(found):
+    def one_of(found, kind):
         longest = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(
             a < b, -1).when(a > b, 1).otherwise(0))
-        return F.when(F.size(found) == 0, "(?!)").otherwise(F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(")")))
+        # the list is only tried where something of its form stands
+        head = F.lit(f"(?={PATTERNS[kind]})(?:")
+        return F.when(F.size(found) == 0, "(?!)").otherwise(F.concat(head, F.array_join(longest, "|"), F.lit(")")))
 
-    listed = {"iban": one_of(valid_ibans(text)), "card": one_of(valid_cards(text))}
+    listed = {"iban": let(valid_ibans(text), lambda found: one_of(found, "iban")),
+              "card": let(valid_cards(text), lambda found: one_of(found, "card"))}
     parts = [F.lit(rf"(?<!{ALNUM})(?:")]
     for k, kind in enumerate(PATTERNS):
         parts += [F.lit("|" if k else ""), listed.get(kind, F.lit(PATTERNS[kind]))]
@@ -117,9 +126,8 @@ def permute_number(n: Column, left: int, right: int, key: str, tweak: Column) ->
         return F.pmod(a + prf(key, tweak, i.cast("string"), b.cast("string")),
                       F.when(i % 2 == 0, F.lit(left)).otherwise(F.lit(right)).cast("long"))
 
-    n = n.cast("long")
-    s = rounds(F.floor(n / right).cast("long"), F.pmod(n, F.lit(right).cast("long")), step)
-    return s["l"] * right + s["r"]
+    sides = let(n.cast("long"), lambda v: rounds(F.floor(v / right).cast("long"), F.pmod(v, F.lit(right).cast("long")), step))
+    return let(sides, lambda s: s["l"] * right + s["r"])
 
 
 def permute_string(text: Column, alphabet: str, key: str, tweak: Column) -> Column:
@@ -137,9 +145,11 @@ def permute_string(text: Column, alphabet: str, key: str, tweak: Column) -> Colu
         return F.when(F.length(a) == 0, F.lit("")).otherwise(
             F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(a) - 1, F.lit(0))), turn), ""))
 
-    half = F.floor(F.length(text) / 2).cast("int")
-    s = rounds(F.substr(text, F.lit(1), half), F.substr(text, half + 1, F.length(text)), step)
-    return F.concat(s["l"], s["r"])
+    def halves(t):
+        half = F.floor(F.length(t) / 2).cast("int")
+        return rounds(F.substr(t, F.lit(1), half), F.substr(t, half + 1, F.length(t)), step)
+
+    return let(let(text, halves), lambda s: F.concat(s["l"], s["r"]))
 
 
 def only(text: Column, kept: str) -> Column:
@@ -149,15 +159,21 @@ def only(text: Column, kept: str) -> Column:
 def refill(form: Column, digits: Column, letters: Column | None = None) -> Column:
     """The format with its digits, and its letters if given, replaced in order; letters keep their case."""
 
-    def one(i):
-        c, head = F.substr(form, i, F.lit(1)), F.substr(form, F.lit(1), i)
-        out = F.when(c.rlike("[0-9]"), F.substr(digits, F.length(only(head, "0-9")), F.lit(1)))
-        if letters is not None:
-            new = F.substr(letters, F.length(only(head, "A-Za-z")), F.lit(1))
-            out = out.when(c.rlike("[a-z]"), new).when(c.rlike("[A-Z]"), F.upper(new))
-        return out.otherwise(c)
+    def filled(given):
+        form, digits, letters_ = given["form"], given["digits"], given["letters"]
+
+        def one(i):
+            c, head = F.substr(form, i, F.lit(1)), F.substr(form, F.lit(1), i)
+            out = F.when(c.rlike("[0-9]"), F.substr(digits, F.length(only(head, "0-9")), F.lit(1)))
+            if letters is not None:
+                new = F.substr(letters_, F.length(only(head, "A-Za-z")), F.lit(1))
+                out = out.when(c.rlike("[a-z]"), new).when(c.rlike("[A-Z]"), F.upper(new))
+            return out.otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
+    spare = F.lit("") if letters is None else letters
+    return let(F.struct(form.alias("form"), digits.alias("digits"), spare.alias("letters")), filled)
 
 
 def email(value: Column, key: str) -> Column:
@@ -173,22 +189,23 @@ def mod97(text: Column) -> Column:
         digit = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
         return (rest * F.when(digit > 9, 100).otherwise(10) + digit) % 97
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1))),
-                       F.lit(0), step)
+    return let(text, lambda t: F.aggregate(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(t, i, F.lit(1))),
+                                           F.lit(0), step))
 
 
 def account_rest(value: Column) -> Column:
-    flat = F.regexp_replace(value, " ", "")
-    return mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4))))
+    return mod97(let(F.regexp_replace(value, " ", ""), lambda flat: F.concat(
+        F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))))
 
 
 def iban(value: Column, key: str) -> Column:
-    flat = F.regexp_replace(value, " ", "")
-    land, body = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5), F.length(flat))
-    new = refill(body, permute_string(only(body, "0-9"), "0123456789", key, F.concat(F.lit("iban "), land)))
-    check = F.lpad((98 - mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    out = refill(value, only(F.concat(check, new), "0-9"))
-    return F.when(account_rest(value) == 1, out)
+    def renumbered(flat):
+        land, body = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5), F.length(flat))
+        new = refill(body, permute_string(only(body, "0-9"), "0123456789", key, F.concat(F.lit("iban "), land)))
+        check = lambda n: F.lpad((98 - mod97(F.concat(n, land, F.lit("00")))).cast("string"), 2, "0")
+        return let(new, lambda n: refill(value, only(F.concat(check(n), n), "0-9")))
+
+    return F.when(account_rest(value) == 1, let(F.regexp_replace(value, " ", ""), renumbered))
 
 
 def hexadecimal(value: Column, key: str) -> Column:
@@ -197,11 +214,6 @@ def hexadecimal(value: Column, key: str) -> Column:
     return F.when(value.rlike("[A-Fa-f]") & value.rlike("[0-9]"), new)
 
 
-def let(value: Column, use) -> Column:
-    """`use` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def date(value: Column, key: str) -> Column:
     """Permuted among the 146,097 days of the 400 years from 1600, 2000 and so on that hold the date.
 
@@ -279,39 +291,48 @@ def named_date(value: Column, key: str) -> Column:
 def ip(value: Column, key: str) -> Column:
     octets = F.split(value, r"\.")
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
-    new = permute_number(number, 65536, 65536, key, F.lit("ip"))
-    return F.concat_ws(".", *(F.pmod(F.floor(new / 256 ** k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)))
+    return let(permute_number(number, 65536, 65536, key, F.lit("ip")), lambda new: F.concat_ws(
+        ".", *(F.pmod(F.floor(new / 256 ** k), F.lit(256)).cast("string") for k in (3, 2, 1, 0))))
 
 
 def ssn(value: Column, key: str) -> Column:
     """Area 001-899 without 666, group 01-99, serial 0001-9999."""
     area, group, serial = (F.substr(value, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
-    new = permute_number(number, 898, 99 * 9999, key, F.lit("ssn"))
-    place = F.floor(new / (99 * 9999))
-    out = F.format_string("%03d-%02d-%04d", place + F.when(place >= 665, 2).otherwise(1),
-                          F.pmod(F.floor(new / 9999), F.lit(99)) + 1, F.pmod(new, F.lit(9999)) + 1)
+
+    def written_out(new):
+        place = F.floor(new / (99 * 9999))
+        return F.format_string("%03d-%02d-%04d", place + F.when(place >= 665, 2).otherwise(1),
+                               F.pmod(F.floor(new / 9999), F.lit(99)) + 1, F.pmod(new, F.lit(9999)) + 1)
+
+    out = let(permute_number(number, 898, 99 * 9999, key, F.lit("ssn")), written_out)
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), out)
 
 
 def phone(value: Column, key: str) -> Column:
     """The country code stays; the other digits are permuted."""
-    digits = only(value, "0-9")
     code = F.when(value.startswith("+"), F.when(value.rlike(r"^\+[0-9]+$"), 1).otherwise(
         F.length(F.regexp_extract(value, r"^\+([0-9]+)", 1)))).otherwise(0)
-    head = F.substr(digits, F.lit(1), code)
-    new = permute_string(F.substr(digits, code + 1, F.length(digits)), "0123456789", key, F.concat(F.lit("phone "), head))
-    return F.when(F.length(digits).between(8, 15), refill(value, F.concat(head, new)))
+
+    def renumbered(given):
+        digits, code = given["digits"], given["code"]
+        head = F.substr(digits, F.lit(1), code)
+        new = permute_string(F.substr(digits, code + 1, F.length(digits)), "0123456789", key, F.concat(F.lit("phone "), head))
+        return F.when(F.length(digits).between(8, 15), refill(value, F.concat(head, new)))
+
+    return let(F.struct(only(value, "0-9").alias("digits"), code.alias("code")), renumbered)
 
 
 def card(value: Column, key: str) -> Column:
     """Card numbers by their check digit; the first digit stays and the check digit is made anew."""
-    digits = only(value, "0-9")
-    inner = F.substr(digits, F.lit(2), F.length(digits) - 2)
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permute_string(inner, "0123456789", key, F.lit("card")))
-    check = F.filter(F.sequence(F.lit(0), F.lit(9)),
-                     lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string"))))[0]
-    return F.when(F.call_function("luhn_check", digits), refill(value, F.concat(body, check.cast("string"))))
+    def renumbered(digits):
+        inner = F.substr(digits, F.lit(2), F.length(digits) - 2)
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permute_string(inner, "0123456789", key, F.lit("card")))
+        check = lambda body: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))),
+                                      lambda n: F.call_function("luhn_check", n))[0]
+        return F.when(F.call_function("luhn_check", digits), refill(value, let(body, check)))
+
+    return let(only(value, "0-9"), renumbered)
 
 
 KINDS = {"email": email, "iban": iban, "hex": hexadecimal, "date": date, "ip": ip, "ssn": ssn, "phone": phone,
@@ -327,7 +348,7 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """Replaces personal numbers, dates, addresses and keys in a text column by keyed pseudonyms.
 
-    Found are e-mail addresses (the local part is permuted, the domain stays), account numbers (mod-97),
+    Found are e-mail addresses (a local part of at most 64 characters is permuted, the domain stays), account numbers (mod-97),
     hexadecimal keys, calendar dates (years of four digits; numbers with or without leading zeros, or months by
     their names or short names in English, German, French or Spanish), IPv4 addresses, social security numbers,
     phone numbers (international, ten digits as 3-3-4 or five pairs) and card numbers (check digit). What does not
