@@ -6,13 +6,15 @@ wide: two different strings of one batch collide with probability below 1e-9.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT_BYTES = 2 << 20  # bytes hashed at once; bounds the temporary arrays
+SEGMENT_BYTES = 1 << 18  # bytes hashed at once; bounds the temporary arrays and the kept powers
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -24,9 +26,18 @@ def worker_store(name: str) -> dict:
 
 
 def release_caches() -> None:
-    """Forget the caches of other operators' tasks; called by tasks that need the memory and no cache."""
-    for name in ("part caches", "matchers"):
-        worker_store(name).clear()
+    """Forget what tasks of other operators left in this worker, and give free memory back to the system.
+
+    Workers live on from stage to stage, so a task calls this before it fills stores of its own.
+    """
+    for store in vars(sys.modules.get("townloom_worker_store", types.ModuleType(""))).values():
+        if isinstance(store, dict):
+            store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library: freed arrays stay in its heap otherwise
+    if trim:
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,7 +60,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) <= n:
         factors = np.full(max(n, SEGMENT_BYTES) + 1, base, np.uint64)
         factors[0] = 1
-        have = store[base] = np.cumprod(factors, dtype=np.uint64)
+        have = np.cumprod(factors, dtype=np.uint64)
+        if n <= SEGMENT_BYTES:  # those for a longer word are not kept
+            store[base] = have
     return have
 
 

@@ -12,11 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from townloom.llm.bytesops import HashSlots, gather, spans_hash, texts_of, worker_store
+from townloom.llm.bytesops import HashSlots, gather, release_caches, spans_hash, texts_of, worker_store
 
-CACHE_BITS = 21
-FULL = 1_200_000  # parts in a worker's cache beyond which the next batch starts with an empty one
-BATCH_BYTES = 2 << 20  # bytes of text worked on at once; arrays over them take some fifty times as much
+CACHE_BITS = 16  # the table grows from here
+FULL = 600_000  # parts in a worker's cache beyond which the next batch starts with an empty one
+BATCH_BYTES = 1 << 20  # bytes of text worked on at once; arrays over them take some fifty times as much
 # ASCII punctuation in front of which a part may begin after a letter; no apostrophe (contractions).
 PUNCTUATION = np.frombuffer(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~", np.uint8)
 
@@ -127,6 +127,7 @@ def batches_by_bytes(offsets: np.ndarray, limit: int = BATCH_BYTES):
 def worker_cache(kind: str, path: str, make: Callable[[], Callable]) -> PartCache:
     store = worker_store("part caches")
     if (kind, path) not in store:
+        release_caches()
         store[kind, path] = PartCache(make())
     return store[kind, path]
 
