@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.operators.spatial import KEYS, footprint_pairs
-from townloom.session import cut
+from townloom.session import cut_round as cut
 
 MAX_ROUNDS = 100_000
 
@@ -93,29 +91,29 @@ def shortest_simple(edges: DataFrame, keys=KEYS) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys=KEYS
                    ) -> DataFrame:
-    """Distance from each source node to the nodes within a budget.
+    """Distance from each source node to the nodes within a budget. All districts advance together."""
+    links = cut(both_ways(shortest_simple(edges, keys), list(keys), ["length_m"]))
+    return relaxed(links, sources, cutoff, list(keys))
 
-    Rounds of relaxation: only nodes whose distance improved spread further. All districts and
-    sources advance together.
-    """
+
+def relaxed(links: DataFrame, sources: DataFrame, cutoff: float | None, keys: list[str]) -> DataFrame:
+    """Distances by rounds of relaxation over directed links: only nodes whose distance improved spread further."""
     k = [*keys, "source"]
-    links = cut(both_ways(shortest_simple(edges, keys), list(keys), ["length_m"]))
-    best = cut(sources.select(*keys, F.col("node").alias("source"), "node").withColumn(
-        "dist", F.lit(0.0)))
-    front = best
+    best = cut(sources.select(*keys, F.col("node").alias("source"), "node").withColumns(
+        {"dist": F.lit(0.0), "_up": F.lit(True)}))
     for _ in range(MAX_ROUNDS):
+        front = best.where("_up").drop("_up")
         reach = front.join(links.withColumnRenamed("src", "node"), [*keys, "node"]).select(
             *k, F.col("dst").alias("node"), (F.col("dist") + F.col("length_m")).alias("_d"))
         if cutoff is not None:
             reach = reach.where(F.col("_d") <= cutoff)
         reach = reach.groupBy(*k, "node").agg(F.min("_d").alias("_d"))
-        merged = cut(best.join(reach, [*k, "node"], "full").select(
+        best = cut(best.drop("_up").join(reach, [*k, "node"], "full").select(
             *k, "node", F.least("dist", "_d").alias("dist"),
             (F.col("_d").isNotNull() & (F.col("dist").isNull() | (F.col("_d") < F.col("dist"))))
             .alias("_up")))
-        best, front = merged.drop("_up"), merged.where("_up").drop("_up")
-        if front.isEmpty():
-            return best
+        if best.where("_up").isEmpty():
+            return best.drop("_up")
     raise RuntimeError("paths did not settle")
 
 
@@ -136,9 +134,9 @@ def walk_budgets(reached: DataFrame, minutes, metres_per_minute: float, keys=KEY
         F.count("*").alias("reachable_nodes"))
 
 
-def isochrone_area(reached_xy: DataFrame, cell: float = 20.0, reach_m: float = 60.0, keys=KEYS
-                   ) -> DataFrame:
-    """Area of the cells within 60 m of a reached node."""
+def isochrone_cells(reached_xy: DataFrame, cell: float = 20.0, reach_m: float = 60.0, keys=KEYS
+                    ) -> DataFrame:
+    """The cells whose centre is within 60 m of a reached node."""
     r = int(reach_m // cell) + 1
     ring = F.sequence(F.lit(-r), F.lit(r))
     c = reached_xy.select(*keys, "x", "y", geo.cell_of("x", cell).alias("_cx"),
@@ -148,7 +146,13 @@ def isochrone_area(reached_xy: DataFrame, cell: float = 20.0, reach_m: float = 6
                      F.transform(ring, lambda j: F.col("_cy") + j)).alias("cell_y"))
     dx = geo.cell_centre("cell_x", cell) - F.col("x")
     dy = geo.cell_centre("cell_y", cell) - F.col("y")
-    near = c.where(dx * dx + dy * dy <= reach_m * reach_m).select(*keys, "cell_x", "cell_y").distinct()
+    return c.where(dx * dx + dy * dy <= reach_m * reach_m).select(*keys, "cell_x", "cell_y").distinct()
+
+
+def isochrone_area(reached_xy: DataFrame, cell: float = 20.0, reach_m: float = 60.0, keys=KEYS
+                   ) -> DataFrame:
+    """Area of the cells within 60 m of a reached node."""
+    near = isochrone_cells(reached_xy, cell, reach_m, keys)
     return near.groupBy(*keys).agg((F.count("*") * F.lit(cell * cell)).alias("area_m2"))
 
 
@@ -208,8 +212,8 @@ def graph_diagnostics(nodes: DataFrame, edges: DataFrame, ident: str, keys=KEYS)
 
 # --- betweenness (R4) ---------------------------------------------------------------------------
 
-TASK_EDGES = 50_000
-SOURCES_PER_TASK = 256
+BATCH_STATES = 50_000_000  # (source, node) states of a batch of sources, over all districts
+UNION_PARTS = 16
 
 
 def largest_component_edges(edges: DataFrame, keys=KEYS) -> DataFrame:
@@ -225,135 +229,88 @@ def largest_component_edges(edges: DataFrame, keys=KEYS) -> DataFrame:
     return simple.join(keep, [*keys, "src"])
 
 
-def edge_betweenness(edges: DataFrame, keys=KEYS, task_edges: int = TASK_EDGES) -> DataFrame:
+def edge_betweenness(edges: DataFrame, keys=KEYS, batch_states: int = BATCH_STATES) -> DataFrame:
     """Length-weighted edge betweenness of the largest component, normalised by node pairs.
 
-    Returns src, dst, length_m, centrality per simple edge. Districts whose edge count is below a
-    checked size are solved source block by source block, each task holding one such edge list;
-    larger districts run the same recurrences as joins.
+    Returns src, dst, length_m, centrality per simple edge. Sources are dealt into batches whose
+    (source, node) states are bounded; all districts advance together within a batch, and only the sums per
+    edge are carried from batch to batch. Lengths are positive; paths that differ by less than 1e-9
+    count as equally short.
     """
     k = list(keys)
     e = cut(largest_component_edges(edges, keys))
-    count = e.groupBy(*k).agg(F.count("*").alias("_e"))
-    small = e.join(count.where(F.col("_e") <= task_edges).select(*k), k, "left_semi")
-    large = e.join(count.where(F.col("_e") > task_edges).select(*k), k, "left_semi")
-    parts = _blocks(small, k)
-    if not large.isEmpty():
-        parts = parts.unionByName(_by_joins(large, keys))
-    score = parts.groupBy(*k, "src", "dst").agg(F.sum("score").alias("_s"))
+    links = cut(both_ways(e, k, ["length_m"]))
+    nodes = cut(links.select(*k, F.col("src").alias("node")).distinct())
+    states = e.select(*k, "n").distinct().agg(F.sum(F.col("n") * F.col("n")).alias("s")).first().s
+    batches = max(1, -(-int(states or 0) // batch_states))
+    total = None
+    for batch in range(batches):
+        mine = nodes.where(F.pmod(F.xxhash64(*k, "node"), F.lit(batches)) == batch)
+        part = _flows(links, mine, k)
+        total = part if total is None else total.unionByName(part)
+        total = cut(total.groupBy(*k, "src", "dst").agg(F.sum("score").alias("score")))
     n = F.col("n").cast("double")
-    return e.join(score, [*k, "src", "dst"], "left").select(
+    return e.join(total, [*k, "src", "dst"], "left").select(
         *k, "src", "dst", "length_m",
-        (F.coalesce("_s", F.lit(0.0)) / (n * (n - 1))).alias("centrality"))
-
-
-def _blocks(e: DataFrame, k: list[str]) -> DataFrame:
-    """Partial scores of blocks of sources; one row per (district, block) carries the edges."""
-    packed = e.groupBy(*k, "n").agg(F.sort_array(F.collect_list(F.struct(
-        "src", "dst", "length_m"))).alias("es"))
-    blocks = packed.withColumn("block", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("n") - 1) / SOURCES_PER_TASK).cast("int"))))
-    kinds = {f.name: f.dataType.simpleString() for f in e.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*k, "src", "dst"]) + ", score double"
-    per = SOURCES_PER_TASK
-
-    def solve(batches):
-        import heapq
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                es = row.es
-                src = [r["src"] for r in es]
-                dst = [r["dst"] for r in es]
-                names = sorted(set(src) | set(dst))
-                index = {v: i for i, v in enumerate(names)}
-                adj = [[] for _ in names]
-                for i, r in enumerate(es):
-                    a, b = index[r["src"]], index[r["dst"]]
-                    adj[a].append((b, r["length_m"], i))
-                    adj[b].append((a, r["length_m"], i))
-                total = np.zeros(len(es))
-                for s in range(row.block * per, min(len(names), (row.block + 1) * per)):
-                    dist, done, order = {s: 0.0}, set(), []
-                    paths = np.zeros(len(names))
-                    paths[s] = 1.0
-                    before = [[] for _ in names]
-                    heap = [(0.0, s)]
-                    while heap:
-                        d, v = heapq.heappop(heap)
-                        if v in done:
-                            continue
-                        done.add(v)
-                        order.append(v)
-                        for w, length, i in adj[v]:
-                            if w in done:
-                                continue
-                            nd, old = d + length, dist.get(w)
-                            if old is None or nd < old - 1e-9:
-                                dist[w] = nd
-                                before[w], paths[w] = [(v, i)], paths[v]
-                                heapq.heappush(heap, (nd, w))
-                            elif abs(nd - old) <= 1e-9:
-                                before[w].append((v, i))
-                                paths[w] += paths[v]
-                    load = np.zeros(len(names))
-                    for w in reversed(order):
-                        for v, i in before[w]:
-                            flow = paths[v] / paths[w] * (1.0 + load[w])
-                            total[i] += flow
-                            load[v] += flow
-                out = {c: [getattr(row, c)] * len(es) for c in k}
-                yield pd.DataFrame({**out, "src": src, "dst": dst, "score": total})
-
-    spread = blocks.repartition(*k, "block")
-    return spread.mapInPandas(solve, schema)
-
-
-def _by_joins(e: DataFrame, keys) -> DataFrame:
-    """The same scores from relaxed distances: path counts spread outward, loads inward."""
-    k = list(keys)
-    nodes = both_ways(e, k).select(*k, F.col("src").alias("node")).distinct()
-    dist = cut(shortest_paths(e, nodes, None, keys))
-    links = both_ways(e, k, ["length_m"])
-    a = dist.select(*k, "source", F.col("node").alias("src"), F.col("dist").alias("_da"))
-    b = dist.select(*k, "source", F.col("node").alias("dst"), F.col("dist").alias("_db"))
-    dag = cut(links.join(a, [*k, "src"]).join(b, [*k, "source", "dst"]).where(
-        F.abs(F.col("_da") + F.col("length_m") - F.col("_db")) <= 1e-9).select(
-        *k, "source", "src", "dst"))
+        (F.coalesce("score", F.lit(0.0)) / (n * (n - 1))).alias("centrality"))
+
+
+def _flows(links: DataFrame, sources: DataFrame, k: list[str]) -> DataFrame:
+    """Flow over every edge when each source sends one unit to every node, split evenly over shortest paths."""
     s = [*k, "source"]
-    paths = cut(dist.select(*s, "node", (F.col("node") == F.col("source")).cast("double").alias("p")))
-    for _ in range(MAX_ROUNDS):
-        inflow = dag.join(paths.withColumnRenamed("node", "src"), [*s, "src"]).groupBy(
-            *s, F.col("dst").alias("node")).agg(F.sum("p").alias("_q"))
-        nxt = cut(paths.join(inflow, [*s, "node"], "left").select(
-            *s, "node", F.col("p").alias("_old"), F.when(
-                F.col("node") == F.col("source"), 1.0).otherwise(F.coalesce("_q", F.lit(0.0)))
-            .alias("p")))
-        settled = nxt.where("p <> _old").isEmpty()
-        paths = nxt.drop("_old")
-        if settled:
-            break
-    else:
-        raise RuntimeError(f"scores have not settled after {MAX_ROUNDS} rounds")
-    pa = paths.select(*s, F.col("node").alias("src"), F.col("p").alias("_pa"))
-    pb = paths.select(*s, F.col("node").alias("dst"), F.col("p").alias("_pb"))
-    share = cut(dag.join(pa, [*s, "src"]).join(pb, [*s, "dst"]).select(
-        *s, "src", "dst", (F.col("_pa") / F.col("_pb")).alias("_r")))
-    load = cut(paths.select(*s, "node", F.lit(0.0).alias("l")))
+    dist = relaxed(links, sources, None, k)
+    a = dist.select(*s, F.col("node").alias("src"), F.col("dist").alias("_da"))
+    b = dist.select(*s, F.col("node").alias("dst"), F.col("dist").alias("_db"))
+    arcs = cut(links.join(a, [*k, "src"]).join(b, [*s, "dst"]).where(
+        (F.abs(F.col("_da") + F.col("length_m") - F.col("_db")) <= 1e-9) & (F.col("_db") > F.col("_da"))
+    ).select(*s, "src", "dst"))
+    start = dist.select(*s, "node", F.when(F.col("node") == F.col("source"), 1.0).otherwise(0.0).alias("base"))
+    paths = topological_sums(start, arcs.withColumn("share", F.lit(1.0)), s, 0.0)
+    pa = paths.select(*s, F.col("node").alias("src"), F.col("value").alias("_pa"))
+    pb = paths.select(*s, F.col("node").alias("dst"), F.col("value").alias("_pb"))
+    share = cut(arcs.join(pa, [*s, "src"]).join(pb, [*s, "dst"]).select(
+        *s, "src", "dst", (F.col("_pa") / F.col("_pb")).alias("share")))
+    back = share.select(*s, F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
+    loads = topological_sums(start.withColumn("base", F.lit(0.0)), back, s, 1.0)
+    flow = share.join(loads.withColumnRenamed("node", "dst"), [*s, "dst"])
+    return flow.groupBy(*k, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+                        ).agg(F.sum(F.col("share") * (1 + F.col("value"))).alias("score"))
+
+
+def topological_sums(nodes: DataFrame, arcs: DataFrame, s: list[str], extra: float) -> DataFrame:
+    """value(v) = base(v) + sum over arcs u -> v of share * (extra + value(u)), on acyclic graphs.
+
+    `nodes` has node and base, `arcs` src, dst and share. A node is settled, and sends on its value once,
+    when all its arcs have come in, so every arc is joined once; settled nodes leave the waiting table.
+    """
+    need = arcs.groupBy(*s, F.col("dst").alias("node")).agg(F.count("*").alias("need"))
+    waiting = cut(nodes.select(*s, "node", F.col("base").alias("value")).join(need, [*s, "node"], "left").select(
+        *s, "node", "value", F.coalesce("need", F.lit(0)).alias("need")))
+    done = []
     for _ in range(MAX_ROUNDS):
-        back = share.join(load.withColumnRenamed("node", "dst"), [*s, "dst"]).groupBy(
-            *s, F.col("src").alias("node")).agg(F.sum(F.col("_r") * (1 + F.col("l"))).alias("_q"))
-        nxt = cut(load.join(back, [*s, "node"], "left").select(
-            *s, "node", F.col("l").alias("_old"), F.coalesce("_q", F.lit(0.0)).alias("l")))
-        settled = nxt.where("abs(l - _old) > 1e-9").isEmpty()
-        load = nxt.drop("_old")
-        if settled:
+        front = waiting.where("need = 0").select(*s, "node", "value")
+        if front.isEmpty():
             break
+        done.append(front)
+        sent = arcs.join(front.withColumnRenamed("node", "src"), [*s, "src"]).groupBy(*s, F.col("dst").alias("node")).agg(
+            F.sum(F.col("share") * (F.lit(extra) + F.col("value"))).alias("_v"), F.count("*").alias("_n"))
+        waiting = cut(waiting.where("need > 0").join(sent, [*s, "node"], "left").select(
+            *s, "node", (F.col("value") + F.coalesce("_v", F.lit(0.0))).alias("value"),
+            (F.col("need") - F.coalesce("_n", F.lit(0))).alias("need")))
+        if len(done) >= UNION_PARTS:
+            done = [cut(_all(done))]
     else:
-        raise RuntimeError(f"scores have not settled after {MAX_ROUNDS} rounds")
-    flow = share.join(load.withColumnRenamed("node", "dst"), [*s, "dst"])
-    return flow.groupBy(*k, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
-                        ).agg(F.sum(F.col("_r") * (1 + F.col("l"))).alias("score"))
+        raise RuntimeError(f"sums have not settled after {MAX_ROUNDS} rounds")
+    if not waiting.isEmpty():
+        raise RuntimeError("the arcs hold a cycle")
+    return cut(_all(done)) if done else waiting.drop("need")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def attach_centrality(edges: DataFrame, scores: DataFrame, ident: str = "edge_id", keys=KEYS

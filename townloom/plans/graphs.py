@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.functions import vocab as V
-from townloom.operators import graph
+from townloom.operators import graph, outlines
 from townloom.plans.catalog import query
 from townloom.plans.joins import GAPS
 
@@ -61,6 +61,42 @@ def _(L):
         F.count("*").alias("edges"), F.sum("length_m").alias("total_m"))
 
 
+# Paths of the streets that cars may use: shortest simple edges of the largest component of a district,
+# distances by relaxation, paths counted by listing them. An edge's flow sums, over ordered pairs, the share
+# of their shortest paths that use it.
+PATHS = {
+    "cars": f"""SELECT district_id, lo, hi, min(length_m) AS len FROM streets
+      WHERE highway IN {INLIST(V.VEHICULAR_CLASSES)} GROUP BY ALL""",
+    "ways": "SELECT district_id, lo AS a, hi AS b, len FROM cars UNION SELECT district_id, hi, lo, len FROM cars",
+    "met": """SELECT DISTINCT district_id, a AS root, a AS node FROM ways UNION
+      SELECT m.district_id, m.root, w.b FROM met m JOIN ways w ON w.district_id = m.district_id AND w.a = m.node""",
+    "part": "SELECT district_id, node, min(root) AS comp FROM met GROUP BY ALL",
+    "main": """SELECT district_id, arg_min(comp, (-n, comp)) AS comp, max(n) AS n FROM (
+      SELECT district_id, comp, count(*) AS n FROM part GROUP BY ALL) q GROUP BY 1""",
+    "mway": """SELECT w.*, m.n FROM ways w JOIN part p ON p.district_id = w.district_id AND p.node = w.a
+      JOIN main m ON m.district_id = p.district_id AND m.comp = p.comp""",
+    "far": """SELECT * FROM (WITH RECURSIVE t(district_id, s, v, d) USING KEY (district_id, s, v) AS (
+        SELECT DISTINCT district_id, a, a, 0.0::double FROM mway UNION
+        SELECT x.district_id, x.s, x.v, min(x.d) FROM (SELECT t.district_id, t.s, w.b AS v, t.d + w.len AS d
+          FROM t JOIN mway w ON w.district_id = t.district_id AND w.a = t.v) x
+        LEFT JOIN recurring.t r ON r.district_id = x.district_id AND r.s = x.s AND r.v = x.v
+        WHERE r.d IS NULL OR x.d < r.d GROUP BY ALL) SELECT * FROM t) q""",
+    "arc": """SELECT x.district_id, x.s, x.v AS a, y.v AS b, y.d FROM far x JOIN mway w ON w.district_id = x.district_id
+      AND w.a = x.v JOIN far y ON y.district_id = x.district_id AND y.s = x.s AND y.v = w.b
+      AND abs(x.d + w.len - y.d) <= 1e-9""",
+    "walked": """SELECT district_id, s, s AS v FROM far WHERE s = v UNION ALL
+      SELECT k.district_id, k.s, r.b FROM walked k JOIN arc r ON r.district_id = k.district_id AND r.s = k.s AND r.a = k.v""",
+    "ways_to": "SELECT district_id, s, v, count(*)::double AS p FROM walked GROUP BY ALL",
+    "pair": """SELECT f.district_id, f.s, f.v, f.d, k.p FROM far f JOIN ways_to k
+      ON k.district_id = f.district_id AND k.s = f.s AND k.v = f.v""",
+    "flow": """SELECT r.district_id, least(r.a, r.b) AS src, greatest(r.a, r.b) AS dst,
+        sum(x.p * y.p / z.p) / (max(m.n) * (max(m.n) - 1))::double AS centrality
+      FROM arc r JOIN pair x ON x.district_id = r.district_id AND x.s = r.s AND x.v = r.a
+      JOIN pair y ON y.district_id = r.district_id AND y.s = r.b
+      JOIN pair z ON z.district_id = r.district_id AND z.s = r.s AND z.v = y.v
+      JOIN main m ON m.district_id = r.district_id WHERE abs(r.d + y.d - z.d) <= 1e-9 GROUP BY ALL"""}
+
+
 def centrality(L):
     s = L.view("streets").where(F.col("highway").isin(V.VEHICULAR_CLASSES)).select(
         "district_id", F.concat_ws("-", "lo", "hi", "length_m").alias("edge_id"),
@@ -68,17 +104,38 @@ def centrality(L):
     return s, graph.edge_betweenness(s)
 
 
-@query("r4_edge_betweenness")
+@query("r4_edge_betweenness", """
+    SELECT m.district_id, m.a AS src, m.b AS dst, m.len AS length_m, coalesce(f.centrality, 0.0) AS centrality
+    FROM mway m LEFT JOIN flow f ON f.district_id = m.district_id AND f.src = m.a AND f.dst = m.b WHERE m.a < m.b""",
+       "length_m centrality", extra=PATHS)
 def _(L):
     return centrality(L)[1]
 
 
-@query("a42_centrality_summary")
-def _(L):
+CENTRAL = {**PATHS, "one": f"""
+    SELECT district_id, lo, hi, length_m, lo || '-' || hi || '-' || length_m AS edge FROM streets
+      WHERE highway IN {INLIST(V.VEHICULAR_CLASSES)}""", "shortest": """
+    SELECT o.district_id, o.lo, o.hi, count(*) FILTER (WHERE o.length_m = c.len) AS n FROM one o JOIN cars c
+      ON c.district_id = o.district_id AND c.lo = o.lo AND c.hi = o.hi GROUP BY ALL""", "central": """
+    SELECT district_id, count(*) AS feature_count, max(c) AS max_centrality, avg(c) AS mean_centrality,
+      avg(c) FILTER (WHERE c > 0) AS mean_centrality_nonzero FROM (
+      SELECT s.district_id, s.edge, avg(CASE WHEN s.length_m = c.len AND f.centrality IS NOT NULL
+        THEN f.centrality / n.n ELSE 0 END) AS c FROM one s
+      JOIN cars c ON c.district_id = s.district_id AND c.lo = s.lo AND c.hi = s.hi
+      LEFT JOIN flow f ON f.district_id = s.district_id AND f.src = s.lo AND f.dst = s.hi
+      JOIN shortest n ON n.district_id = s.district_id AND n.lo = s.lo AND n.hi = s.hi GROUP BY ALL) q GROUP BY 1"""}
+
+
+def street_centrality(L):
     s, c = centrality(L)
     return graph.centrality_summary(graph.attach_centrality(s, c))
 
 
+@query("a42_centrality_summary", "SELECT * FROM central", "max_centrality mean_centrality mean_centrality_nonzero", extra=CENTRAL)
+def _(L):
+    return street_centrality(L)
+
+
 def walk_reach(L):
     """Walking distances from the node nearest to the district centre, up to 15 minutes."""
     per_min = V.WALK_SPEED_MPH * 5280 * V.M_PER_FT / 60
@@ -104,18 +161,69 @@ def _(L):
     return graph.nearest_node(nodes, centre)
 
 
-@query("r5_walk_budgets")
+NEAR = f"""
+    SELECT district_id, arg_min(node, (d, node)) AS node FROM (
+      SELECT district_id, node, round(sqrt(pow(x - 500, 2) + pow(y - 500, 2)), 6) AS d FROM spots) q GROUP BY 1"""
+WALKED = {
+    "spots": f"""SELECT district_id, u AS node, x1 AS x, y1 AS y FROM streets WHERE highway IN {INLIST(V.WALKABLE_CLASSES)}
+      UNION SELECT district_id, v, x2, y2 FROM streets WHERE highway IN {INLIST(V.WALKABLE_CLASSES)}""",
+    "first": NEAR,
+    "paces": f"""SELECT district_id, a, b, min(length_m) AS len FROM (
+      SELECT district_id, lo AS a, hi AS b, length_m FROM streets WHERE highway IN {INLIST(V.WALKABLE_CLASSES)} UNION ALL
+      SELECT district_id, hi, lo, length_m FROM streets WHERE highway IN {INLIST(V.WALKABLE_CLASSES)}) q GROUP BY ALL""",
+    "reached": f"""SELECT * FROM (WITH RECURSIVE t(district_id, v, d) USING KEY (district_id, v) AS (
+        SELECT district_id, node, 0.0::double FROM first UNION
+        SELECT x.district_id, x.v, min(x.d) FROM (SELECT t.district_id, w.b AS v, t.d + w.len AS d
+          FROM t JOIN paces w ON w.district_id = t.district_id AND w.a = t.v) x
+        LEFT JOIN recurring.t r ON r.district_id = x.district_id AND r.v = x.v
+        WHERE x.d <= {V.WALK_SPEED_MPH * 5280 * V.M_PER_FT / 60 * 15!r} AND (r.d IS NULL OR x.d < r.d) GROUP BY ALL) SELECT * FROM t) q"""}
+
+
+@query("r5_walk_budgets", f"""
+    SELECT district_id, minutes, minutes * {V.WALK_SPEED_MPH * 5280 * V.M_PER_FT / 60!r} AS budget_m, count(*) AS reachable_nodes
+    FROM reached, (SELECT unnest({list(V.WALK_MINUTES)}) AS minutes) m
+    WHERE d <= minutes * {V.WALK_SPEED_MPH * 5280 * V.M_PER_FT / 60!r} GROUP BY ALL""", "budget_m", extra=WALKED)
 def _(L):
     reached, _, per_min = walk_reach(L)
     return graph.walk_budgets(reached, V.WALK_MINUTES, per_min)
 
 
-@query("r6_walkshed_area")
-def _(L):
+WALK_CELLS = {**WALKED, "shed": """
+    SELECT DISTINCT r.district_id, CAST(floor(p.x / 20) AS BIGINT) + i AS cx, CAST(floor(p.y / 20) AS BIGINT) + j AS cy
+    FROM reached r JOIN spots p ON p.district_id = r.district_id AND p.node = r.v, range(-4, 5) a(i), range(-4, 5) b(j)
+    WHERE pow((floor(p.x / 20) + i + 0.5) * 20 - p.x, 2) + pow((floor(p.y / 20) + j + 0.5) * 20 - p.y, 2) <= 3600"""}
+
+
+def walkshed(L):
     reached, nodes, _ = walk_reach(L)
     return graph.isochrone_area(reached.join(nodes, ["district_id", "node"]))
 
 
+@query("r6_walkshed_area", "SELECT district_id, count(*) * 400.0 AS area_m2 FROM shed GROUP BY 1", "area_m2", extra=WALK_CELLS)
+def _(L):
+    return walkshed(L)
+
+
+# Rings less holes by counting cells, shared sides and full blocks of four; corners by the cells around each point.
+@query("r6_walkshed_outline", """
+    SELECT c.district_id, c.n - coalesce(s.n, 0) + coalesce(q.n, 0) AS rings_less_holes, c.n * 400.0 AS area_m2,
+      (4 * c.n - 2 * coalesce(s.n, 0)) * 20.0 AS perimeter_m, k.corners
+    FROM (SELECT district_id, count(*) AS n FROM shed GROUP BY 1) c
+    LEFT JOIN (SELECT a.district_id, count(*) AS n FROM shed a JOIN shed b ON a.district_id = b.district_id
+      AND ((b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cx = a.cx AND b.cy = a.cy + 1)) GROUP BY 1) s USING (district_id)
+    LEFT JOIN (SELECT district_id, count(*) FILTER (WHERE n = 4) AS n FROM around GROUP BY 1) q USING (district_id)
+    LEFT JOIN (SELECT district_id, CAST(sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND spread = 0 THEN 2 ELSE 0 END) AS BIGINT)
+      AS corners FROM around GROUP BY 1) k USING (district_id)""", "area_m2 perimeter_m", extra={**WALK_CELLS, "around": """
+    SELECT district_id, px, py, count(*) AS n, abs(sum(CASE WHEN i = j THEN 1 ELSE -1 END)) - 2 AS spread FROM (
+      SELECT district_id, cx + i AS px, cy + j AS py, i, j FROM shed, range(0, 2) a(i), range(0, 2) b(j)) p GROUP BY ALL"""})
+def _(L):
+    reached, nodes, _ = walk_reach(L)
+    rings = outlines.isochrone_outline(reached.join(nodes, ["district_id", "node"]))
+    return rings.groupBy("district_id").agg(
+        F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("rings_less_holes"), F.sum("area_m2").alias("area_m2"),
+        F.sum("perimeter_m").alias("perimeter_m"), F.sum("corners").alias("corners"))
+
+
 ADJ = """SELECT c.building_id AS src, c.other AS dst, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))
       AS centroid_m, g.gap AS gap_m, a.district_id FROM cand c JOIN buildings a ON a.building_id = c.building_id
     JOIN buildings b ON b.building_id = c.other JOIN gaps g ON g.building_id = c.building_id AND g.other = c.other

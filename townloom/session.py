@@ -49,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """As cut, for the tables of a loop; also forgets the estimate of their size.
+
+    A checkpoint keeps the optimizer's estimate, and a join's is the product of its sides: in a loop that joins a
+    table with itself the number of digits doubles every round, until the estimate takes longer than the job.
+    """
+    spark, kept = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, reachable by all executors."""
     import uuid
