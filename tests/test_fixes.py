@@ -15,7 +15,7 @@ def test_cosine_of_zero_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [3.0, 0.0]), (5, [0.0, 0.0])],
                                "id bigint, vec array<double>")
     for pivots in (None, 2):
-        got = {(r.id, r.neighbor): r.distance for r in similarity.nearest(df, 9, "id", "vec", "cosine", max_pivots=pivots).collect()}
+        got = {(r.id, r.neighbor): r.distance for r in similarity.nearest(df, 9, "id", "vec", "cosine", pivots=pivots).collect()}
         assert len(got) == 20 and got[2, 4] == 0
         assert all(d == 1 for p, d in got.items() if p not in ((2, 4), (4, 2)))
 

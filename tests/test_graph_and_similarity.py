@@ -40,14 +40,35 @@ def test_betweenness_closed_forms(spark):
     assert [r.centrality for r in star] == pytest.approx([5 / 15] * 5)
 
 
-def test_betweenness_join_path_equals_task_path(spark):
+def test_betweenness_in_batches(spark):
+    """Any number of batches gives the same; all flows add up to the edges on all shortest paths."""
     rng = np.random.default_rng(2)
-    rows = {(int(min(a, b)), int(max(a, b))): int(w) for (a, b), w in zip(
+    rows = {(int(min(a, b)), int(max(a, b))): float(w) for (a, b), w in zip(
         rng.integers(0, 12, (24, 2)), rng.integers(1, 4, 24)) if a != b}
     e = edges(spark, [(a, b, w) for (a, b), w in rows.items()])
     one = {(r.src, r.dst): r.centrality for r in graph.edge_betweenness(e).collect()}
-    two = {(r.src, r.dst): r.centrality for r in graph.edge_betweenness(e, task_edges=0).collect()}
+    two = {(r.src, r.dst): r.centrality for r in graph.edge_betweenness(e, batch_states=30).collect()}
     assert one == pytest.approx(two)
+    free = {k: w + float(x) for (k, w), x in zip(rows.items(), rng.random(len(rows)))}  # no two paths are equally long
+    got = graph.edge_betweenness(edges(spark, [(a, b, w) for (a, b), w in free.items()])).collect()
+    nodes = sorted({r.src for r in got} | {r.dst for r in got})
+    hops = 0
+    for s in nodes:
+        best = {s: (0.0, 0)}
+        for _ in nodes:
+            for (a, b), w in free.items():
+                for u, v in ((a, b), (b, a)):
+                    if u in best and (v not in best or best[u][0] + w < best[v][0]):
+                        best[v] = best[u][0] + w, best[u][1] + 1
+        hops += sum(h for _, h in best.values())
+    assert sum(r.centrality for r in got) * len(nodes) * (len(nodes) - 1) == pytest.approx(hops)
+
+
+def test_sums_need_acyclic_arcs(spark):
+    nodes = spark.createDataFrame([(0, 1, 1.0), (0, 2, 0.0)], "s int, node int, base double")
+    arcs = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 1, 1.0)], "s int, src int, dst int, share double")
+    with pytest.raises(RuntimeError):
+        graph.topological_sums(nodes, arcs, ["s"], 0.0)
 
 
 def test_parallel_edges_share_centrality(spark):
@@ -81,7 +102,7 @@ def test_nearest_with_pivots_and_copies(spark):
     d = np.round(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)), 6)
     np.fill_diagonal(d, np.inf)
     want = {i: [int(j) for j in np.argsort(d[i], kind="stable")[:4]] for i in range(500)}
-    for kw in ({}, {"max_pivots": 7, "block_rows": 40}):
+    for kw in ({}, {"pivots": 7, "block_rows": 40}):
         got = sim.nearest(df, 4, "id", "vec", **kw).orderBy("id", "rank").collect()
         out = {}
         for r in got:
@@ -89,6 +110,55 @@ def test_nearest_with_pivots_and_copies(spark):
         assert out == want
 
 
+def brute_nearest(q, c, k, shared):
+    out = {}
+    for i, a in q.items():
+        found = []
+        for j, b in c.items():
+            both = ~np.isnan(a) & ~np.isnan(b)
+            if i != j and both.any():
+                d = np.sqrt(((a - b)[both] ** 2).sum() / (both.sum() if shared else 1))
+                found.append((round(float(d), 6), j, int(both.sum())))
+        out[i] = sorted(found)[:k]
+    return out
+
+
+@pytest.mark.parametrize("pivots, block_rows", [(None, 1024), (3, 16)])
+def test_nearest_with_missing_features(spark, pivots, block_rows):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(260, 5)) + rng.integers(0, 5, (260, 1)) * 4
+    x[rng.random((260, 5)) < 0.25] = np.nan
+    x[7] = np.nan  # no feature at all: no neighbour and nobody's neighbour
+    c, q = {i: r for i, r in enumerate(x[:200])}, {i + 150: r for i, r in enumerate(x[150:])}
+    frame = lambda rows: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in rows.items()], "id long, vec array<double>")
+    got = {}
+    for r in sim.nearest(frame(q), 4, "id", "vec", corpus=frame(c), shared=True, pivots=pivots, block_rows=block_rows).orderBy(
+            "id", "rank").collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbor, r.dims))
+    want = {i: v for i, v in brute_nearest(q, c, 4, True).items() if v}
+    assert {i: [(j, d) for _, j, d in v] for i, v in got.items()} == {i: [(j, d) for _, j, d in v] for i, v in want.items()}
+    assert 7 not in got and all(j != 7 for v in got.values() for _, j, _ in v)
+
+
+def test_search_meets_few_pairs(spark):
+    """Rows in groups: two rounds and bounds leave most pairs of rows unseen."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = rng.normal(size=(n, 4)) + rng.integers(0, 12, (n, 4)) * 30
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    met = []
+    got = {}
+    for r in sim.nearest(df, 3, "id", "vec", met=met).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbor)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 6)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: np.argsort(d[i], kind="stable")[:3].tolist() for i in range(n)}
+    *rounds, tree = met
+    pairs = sum(int(tree.count[r.cell]) * r["count"] for v in rounds for r in v.groupBy("cell").count().collect())
+    assert len(tree.tops) < len(tree.pivots) == 55 and pairs < n * n / 4
+    assert sim.nearest(df.where("false"), 3, "id", "vec").count() == sim.nearest(df, 3, "id", "vec", corpus=df.where("false")).count() == 0
+
+
 def test_typology_fit_checks(spark):
     mix = {"a": ("Community", [0, .6, 0, .2, .1, 0, .1, 0]), "b": ("Community", [0, .55, 0, .25, .1, 0, .1, 0]),
            "c": ("Innovation", [0, .1, 0, .1, .8, 0, 0, 0]), "d": ("Entertainment", [.1, 0, .1, .8, 0, 0, 0, 0]),
@@ -127,16 +197,68 @@ def blobs(spark):
                                  "district_id int, id long, vec array<double>"), x
 
 
-def test_ward_both_ways(spark):
+def ward_loop(x):
+    """Merges of the nearest pair, one after the other: (a, b, height, size)."""
+    live, out = {i: (np.array(v), 1) for i, v in enumerate(x)}, []
+    while len(live) > 1:
+        h, a, b = min((round(((live[a][0] - live[b][0]) ** 2).sum() * 2 * live[a][1] * live[b][1] / (live[a][1] + live[b][1]), 9), a, b)
+                      for a in live for b in live if a < b)
+        (u, m), (v, n) = live[a], live.pop(b)
+        live[a] = (u * m + v * n) / (m + n), m + n
+        out.append((a, b, round(float(np.sqrt(h)), 6), m + n))
+    return out
+
+
+def leaves_from_left(merges):
+    """Leaf ids in order of a walk that visits the left child first."""
+    node = {}
+    for when, (a, b, h, _) in enumerate(sorted(merges, key=lambda m: (m[2], m[3]))):
+        one, two = node.get(a, (-1.0, a, [a])), node.get(b, (-1.0, b, [b]))
+        first, second = sorted((one, two), key=lambda c: c[:2])
+        node[a] = (h, a, first[2] + second[2])
+    return max(node.values(), key=lambda c: len(c[2]))[2]
+
+
+def test_ward_of_any_block_size(spark):
     rows, x = blobs(spark)
     key = lambda df: sorted((r.a, r.b, round(r.height, 6), r.size) for r in df.collect())
-    one, two = key(clustering.ward_merges(rows)), key(clustering.ward_merges(rows, task_rows=1))
-    assert len(one) == len(x) - 1 and one == two
+    merges = clustering.ward_merges(rows)
+    assert key(merges) == key(clustering.ward_merges(rows, block=3)) == sorted(ward_loop(x))
     # heights are the usual sqrt(2|A||B|/(|A|+|B|)) times the centroid distance
-    cut = clustering.cut_tree(rows, clustering.ward_merges(rows), 3)
+    cut = clustering.cut_tree(rows, merges, 3)
     assert sorted(r["count"] for r in cut.groupBy("cluster_id").count().collect()) == [4, 6, 9]
 
 
+def test_leaves_from_left_to_right(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 2))
+    x[40:44] = x[40]  # copies: merges at height 0
+    rows = spark.createDataFrame([(d, i, [float(a), float(b)]) for d in (0, 1) for i, (a, b) in enumerate(x[:60 - 40 * d])],
+                                 "district_id int, id long, vec array<double>")
+    merges = clustering.ward_merges(rows)
+    programs = spark.createDataFrame([(0, 3, "office")], "district_id int, id long, program string")
+    got = clustering.leaf_order(merges, programs).collect()
+    for d, n in ((0, 60), (1, 20)):
+        mine = sorted((r.position, r.id) for r in got if r.district_id == d)
+        want = leaves_from_left([(r.a, r.b, r.height, r.size) for r in merges.where(F.col("district_id") == d).collect()])
+        assert [p for p, _ in mine] == list(range(n)) and [i for _, i in mine] == want
+    assert {r.program for r in got if r.id == 3} == {"office", None}
+
+
+def test_ward_of_many_rows_and_equal_distances(spark):
+    """A grid, where nearly every distance is tied, and 2,000 rows: whole trees with the inertia of the rows."""
+    grid = [(0, i, [float(i % 8), float(i // 8)]) for i in range(64)]
+    rng = np.random.default_rng(3)
+    many = [(1, i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(2000, 3)))]
+    one = [(2, 5, [1.0, 2.0])]
+    rows = spark.createDataFrame(grid + many + one, "district_id int, id long, vec array<double>")
+    m = clustering.ward_merges(rows)
+    got = {r.district_id: (r.n, r.s) for r in m.groupBy("district_id").agg(F.count("*").alias("n"), F.sum(F.col("height") ** 2 / 2).alias("s")).collect()}
+    total = lambda rs: float(((np.array([v for *_, v in rs]) - np.mean([v for *_, v in rs], axis=0)) ** 2).sum())
+    assert set(got) == {0, 1} and got[0][0] == 63 and got[1][0] == 1999
+    assert got[0][1] == pytest.approx(total(grid)) and got[1][1] == pytest.approx(total(many))
+
+
 def test_greedy_dedup_against_loop(spark):
     rng = np.random.default_rng(6)
     pts = [(0, i, f"n{i % 3}" if i % 10 else "", float(x), float(y))
@@ -151,6 +273,16 @@ def test_greedy_dedup_against_loop(spark):
             seen.setdefault(n, []).append((x, y))
     df = spark.createDataFrame(pts, "district_id int, pid int, name string, x double, y double")
     assert {r.pid for r in greedy_dedup(df, "pid", "name", 25.0).collect()} == kept
+    assert {r.pid for r in greedy_dedup(df, "pid", "name", 25.0, tile_points=20).collect()} == kept
+
+
+@pytest.mark.parametrize("gap, tile_points", [(20.0, 20_000), (20.0, 500), (10.0, 500)])
+def test_a_long_chain_takes_few_rounds(spark, gap, tile_points):
+    n, rounds = 10_000, []
+    df = spark.range(n).select(F.lit(0).alias("district_id"), F.col("id").alias("pid"), F.lit("n").alias("name"),
+                               (F.col("id") * gap).alias("x"), F.lit(0.0).alias("y"))
+    got = sorted(r.pid for r in greedy_dedup(df, "pid", "name", 25.0, tile_points=tile_points, rounds=rounds).collect())
+    assert got == list(range(0, n, 2 if gap == 20 else 3)) and len(rounds) < 40
 
 
 def test_intake_is_idempotent(spark, tmp_path):

@@ -13,11 +13,11 @@ def test_value_ranges_equal_plain_windows(spark):
     df = spark.createDataFrame([(int(i % 3 == 0), float(v)) for i, v in enumerate(vals)], "g int, v double")
     cols = ["g", "v", "n", "le", "total"]
     a = sorted(map(tuple, ranks.value_ranks(df, ["g"], "v").select(cols).collect()))
-    b = sorted(map(tuple, ranks.value_ranks(df, ["g"], "v", force_ranges=True).select(cols).collect()))
+    b = sorted(map(tuple, ranks.value_ranks(df, ["g"], "v", split=40).select(cols).collect()))
     assert a == b
     probs = {"a": 0.1, "b": 0.5, "c": 0.937}
     for how in ("linear", "index"):
-        x = ranks.quantiles(df, ["g"], "v", probs, how, force_ranges=True).orderBy("g").collect()
+        x = ranks.quantiles(df, ["g"], "v", probs, how, split=40).orderBy("g").collect()
         for r in x:
             own = np.sort(vals[[i for i in range(len(vals)) if int(i % 3 == 0) == r.g]])
             for name, p in probs.items():
@@ -25,6 +25,21 @@ def test_value_ranges_equal_plain_windows(spark):
                 assert r[name] == pytest.approx(want)
 
 
+def test_ranges_are_cut_by_count(spark):
+    """One value far from all others: ranges still hold about as many values each, and quantiles are exact."""
+    vals = np.concatenate([np.random.default_rng(6).pareto(0.3, 20_000), [1e300, -1e300]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").withColumns({"g": F.lit(1), "w": -F.col("v")})
+    cuts = df.where(F.pmod(F.xxhash64("v"), F.lit(500)) == 0).select("v").distinct().orderBy("v").collect()
+    held = np.diff(np.searchsorted(np.sort(vals), [-np.inf, *[r.v for r in cuts], np.inf]))
+    assert len(held) > 20 and held.max() < 6 * 500
+    got = ranks.quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.999}, split=500).first()
+    assert [got.a, got.b, got.c] == pytest.approx(list(np.percentile(vals, [1, 50, 99.9])))
+    both = ranks.quantiles_of(df, [], ["v", "w"], {"m": 0.25}).first()
+    assert [both.m_v, both.m_w] == pytest.approx([np.percentile(vals, 25), np.percentile(-vals, 25)])
+    none = df.where("v > 1e299").withColumns({"g": F.lit(2), "v": F.lit(None).cast("double")})
+    assert {r.g: r.b is None for r in ranks.quantiles(df.unionByName(none), ["g"], "v", {"b": 0.5}).collect()} == {1: False, 2: True}
+
+
 def test_strict_and_inclusive_percentiles(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 2, 3, 5])], "id int, v double")
     le = {r.id: r.pct for r in ranks.percentile_of(df, [], "v", scale=1.0).collect()}

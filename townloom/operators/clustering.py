@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from townloom.operators.ranks import quantiles
+from townloom.operators.ranks import quantiles, quantiles_of
 from townloom.operators.spatial import KEYS
-from townloom.session import cut
+from townloom.session import cut_round as cut
 
-TASK_ROWS = 4000
+BLOCK_ROWS = 1024
 MAX_ROUNDS = 100_000
 
 
@@ -94,10 +94,8 @@ def prepare_tree(df: DataFrame, ident: str, columns: list[str], keys=KEYS) -> Da
     missing = sum([F.col(c).isNull().cast("int") for c in columns[1:]],
                   F.col(columns[0]).isNull().cast("int"))
     d = cut(df.where(missing <= len(columns) // 4).select(*k, ident, *columns))
-    gaps = d.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
-    for c in [c for c in columns if gaps[c]]:
-        d = cut(d.join(quantiles(d.select(*k, c), k, c, {"_m": 0.5}), k, "left").withColumn(
-            c, F.coalesce(F.col(c), F.col("_m"))).drop("_m"))
+    q = quantiles_of(d, k, columns, {"_m": 0.5})
+    d = cut(d.join(q, k, "left").select(*k, ident, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in columns]))
     st = d.groupBy(*k).agg(*[a for c in columns for a in (F.avg(c).alias(f"_a{c}"), F.stddev_pop(c)
                                                           .alias(f"_s{c}"))])
     z = lambda c: (F.col(c) - F.col(f"_a{c}")) / F.when(F.col(f"_s{c}") > 0, F.col(f"_s{c}")
@@ -106,119 +104,79 @@ def prepare_tree(df: DataFrame, ident: str, columns: list[str], keys=KEYS) -> Da
                                 F.array(*[z(c) for c in columns]).alias("vec"))
 
 
-def ward_merges(rows: DataFrame, keys=KEYS, task_rows: int = TASK_ROWS) -> DataFrame:
+def ward_merges(rows: DataFrame, keys=KEYS, block: int = BLOCK_ROWS) -> DataFrame:
     """The merges of the Ward tree of each district: a, b, height, size.
 
-    A cluster is named by its smallest member. Districts below a checked size are solved in one
-    task each; larger ones merge all mutual nearest pairs per round, which gives the same tree.
+    A cluster is named by its smallest member. A round merges all pairs of clusters that are each other's nearest,
+    in all districts at once. Merging never brings a cluster nearer to a third one than its parts were, so
+    only new clusters, and those whose nearest was merged, look again; they meet the district's clusters as
+    packed blocks in Arrow calls. Heights are rounded to nine digits, ties take the smaller name.
     """
     k = list(keys)
-    rows = cut(rows)
-    n = rows.groupBy(*k).agg(F.count("*").alias("_n"))
-    small = rows.join(n.where(F.col("_n") <= task_rows).select(*k), k, "left_semi")
-    large = rows.join(n.where(F.col("_n") > task_rows).select(*k), k, "left_semi")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in k) + (
-        f", a {kinds['id']}, b {kinds['id']}, height double, size long")
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
-        d = ((x[:, None] - x[None, :]) ** 2).sum(-1) if len(x) <= 512 else np.maximum(
-            (x ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None, :] - 2 * x @ x.T, 0)
-        np.fill_diagonal(d, np.inf)
-        size, live, out = np.ones(len(x)), list(range(len(x))), []
-        alive = np.ones(len(x), dtype=bool)
-        chain = []
-        while len(out) < len(x) - 1:
-            if not chain:
-                chain = [int(np.flatnonzero(alive)[0])]
-            v = chain[-1]
-            row = np.where(alive, d[v], np.inf)
-            w = int(row.argmin())
-            if len(chain) > 1 and row[chain[-2]] <= row[w]:
-                w = chain[-2]
-            if len(chain) > 1 and w == chain[-2]:
-                chain = chain[:-2]
-                a, b = min(v, w), max(v, w)
-                h, sa, sb = d[a, b], size[a], size[b]
-                out.append((ids[a], ids[b], float(np.sqrt(h)), int(sa + sb)))
-                new = ((sa + size) * d[a] + (sb + size) * d[b] - size * h) / (sa + sb + size)
-                alive[b] = False
-                d[a], d[:, a] = new, new
-                d[a, a] = np.inf
-                d[b], d[:, b] = np.inf, np.inf
-                size[a] = sa + sb
-            else:
-                chain.append(w)
-        res = pd.DataFrame(out, columns=["a", "b", "height", "size"])
-        for i, c in enumerate(k):
-            res.insert(i, c, pdf[c].iloc[0])
-        return res
-
-    merges = cut(small.groupBy(*k).applyInPandas(tree, schema))
-    if not large.isEmpty():
-        merges = merges.unionByName(_ward_rounds(large, k))
-    return merges
-
-
-def _ward_rounds(rows: DataFrame, k: list[str], block: int = 1024) -> DataFrame:
-    """Ward merges by rounds of mutual nearest clusters; blocks of clusters meet in Arrow calls."""
-    state = cut(rows.select(*k, "id", "vec", F.lit(1).cast("long").alias("size")))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ident = kinds["id"]
+    open_ = lambda d: d.withColumns({"nn": F.lit(None).cast(ident), "h": F.lit(None).cast("double")})
+    state = cut(open_(rows.select(*k, "id", "vec", F.lit(1).cast("long").alias("size"))))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in k) + f", id {ident}, nn {ident}, h double"
     out = None
     for _ in range(MAX_ROUNDS):
-        n = state.groupBy(*k).agg(F.ceil(F.count("*") / block).cast("int").alias("_p"))
-        if state.groupBy(*k).count().where("count > 1").isEmpty():
-            return out
-        d = state.join(n, k).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
-        pack = d.groupBy(*k, "sub", "_p").agg(F.array_sort(F.collect_list(F.struct(
-            "id", "size", "vec"))).alias("r"))
-        left = pack.select(*k, F.col("r").alias("q"), F.explode(F.sequence(
-            F.lit(0), F.col("_p") - 1)).alias("sub"))
-        pairs = left.join(pack.select(*k, "sub", F.col("r").alias("c")), [*k, "sub"])
-
-        def solve(batches):
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    qi = np.array([r["id"] for r in row.q])
-                    ci = np.array([r["id"] for r in row.c])
-                    qs = np.array([r["size"] for r in row.q], dtype=float)
-                    cs = np.array([r["size"] for r in row.c], dtype=float)
-                    a = np.array([r["vec"] for r in row.q], dtype=float)
-                    b = np.array([r["vec"] for r in row.c], dtype=float)
-                    h = ((a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T)
-                    h = np.maximum(h, 0) * 2 * qs[:, None] * cs[None, :] / (qs[:, None] + cs[None, :])
-                    h = np.round(h, 9)
-                    h[qi[:, None] == ci[None, :]] = np.inf
-                    best = h.argmin(1)
-                    ok = np.isfinite(h[np.arange(len(qi)), best])
-                    yield pd.DataFrame({**{c: [getattr(row, c)] * int(ok.sum()) for c in k},
-                                        "id": qi[ok], "nn": ci[best][ok],
-                                        "h": h[np.arange(len(qi)), best][ok]})
-
-        near = pairs.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in k)
-                                 + f", id {kinds['id']}, nn {kinds['id']}, h double")
-        near = cut(near.groupBy(*k, "id").agg(F.min_by(F.struct("nn", "h"), F.struct("h", "nn"))
-                                              .alias("_b")).select(*k, "id", "_b.nn", "_b.h"))
-        back = near.select(*k, F.col("id").alias("nn"), F.col("nn").alias("id"))
-        mutual = near.join(back, [*k, "id", "nn"]).where("id < nn")
-        mutual = cut(mutual.select(*k, F.col("id").alias("a"), F.col("nn").alias("b"),
-                                   F.sqrt("h").alias("height")))
-        sa = state.select(*k, F.col("id").alias("a"), F.col("vec").alias("va"), F.col("size").alias("na"))
-        sb = state.select(*k, F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("size").alias("nb"))
-        m = cut(mutual.join(sa, [*k, "a"]).join(sb, [*k, "b"]))
-        step = m.select(*k, "a", "b", "height", (F.col("na") + F.col("nb")).alias("size"))
+        near = _nearest_clusters(state, k, schema, block)
+        found = cut(state.drop("nn", "h").join(state.where("nn IS NOT NULL").select(*k, "id", "nn", "h").unionByName(near),
+                                               [*k, "id"], "left"))
+        side = lambda end, other: found.select(*k, F.col("id").alias(end), F.col("nn").alias(other), F.col("vec").alias("v" + end),
+                                               F.col("size").alias("n" + end), F.col("h").alias("h" + end))
+        m = cut(side("a", "b").where("a < b").join(side("b", "a"), [*k, "a", "b"]))
+        if m.isEmpty():
+            if found.where("nn IS NOT NULL").isEmpty():
+                if out is None:
+                    out = m.select(*k, "a", "b", F.lit(0.0).alias("height"), F.lit(1).cast("long").alias("size"))
+                return out
+            state = cut(open_(found.drop("nn", "h")))  # names of equally near clusters went in a circle: all look again
+            continue
+        both = F.col("na") + F.col("nb")
+        step = m.select(*k, "a", "b", F.sqrt(F.least("ha", "hb")).alias("height"), both.alias("size"))
         out = step if out is None else out.unionByName(step)
         fused = m.select(*k, F.col("a").alias("id"), F.zip_with("va", "vb", lambda p, q: (
-            p * F.col("na") + q * F.col("nb")) / (F.col("na") + F.col("nb"))).alias("vec"),
-            (F.col("na") + F.col("nb")).alias("size"))
+            p * F.col("na") + q * F.col("nb")) / both).alias("vec"), both.alias("size"))
         used = m.select(*k, F.explode(F.array("a", "b")).alias("id"))
-        state = cut(state.join(used, [*k, "id"], "left_anti").unionByName(fused))
+        left = found.join(used, [*k, "id"], "left_anti")
+        lost = used.select(*k, F.col("id").alias("nn"), F.lit(True).alias("_lost"))
+        kept = left.join(lost, [*k, "nn"], "left").select(
+            *k, "id", "vec", "size", F.when(F.col("_lost").isNull(), F.col("nn")).alias("nn"),
+            F.when(F.col("_lost").isNull(), F.col("h")).alias("h"))
+        state = cut(kept.unionByName(open_(fused)))
     raise RuntimeError("the tree did not close")
 
 
+def _nearest_clusters(state: DataFrame, k: list[str], schema: str, block: int) -> DataFrame:
+    """(id, nn, h) of the clusters without a known nearest: squared heights, by blocks of one district."""
+    n = state.groupBy(*k).agg(F.ceil(F.count("*") / block).cast("int").alias("_p"), F.count("*").alias("_n")).where("_n > 1")
+    d = state.join(n.drop("_n"), k).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "size", "vec")))
+    asked = d.where("nn IS NULL").groupBy(*k, "sub", "_p").agg(rows.alias("q"))
+    asked = asked.select(*k, "q", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("sub"))
+    pairs = asked.join(d.groupBy(*k, "sub").agg(rows.alias("c")), [*k, "sub"])
+
+    def solve(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                part = lambda name, side: np.array([r[name] for r in side])
+                qi, ci = part("id", row.q), part("id", row.c)
+                qs, cs = part("size", row.q).astype(float)[:, None], part("size", row.c).astype(float)[None, :]
+                a, b = part("vec", row.q).astype(float), part("vec", row.c).astype(float)
+                h = np.maximum((a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T, 0)
+                h = np.round(h * 2 * qs * cs / (qs + cs), 9)
+                h[qi[:, None] == ci[None, :]] = np.inf
+                best = h.argmin(1)  # rows are sorted, so ties take the smaller name
+                low = h[np.arange(len(qi)), best]
+                ok = np.isfinite(low)
+                yield pd.DataFrame({**{c: [getattr(row, c)] * int(ok.sum()) for c in k}, "id": qi[ok], "nn": ci[best][ok], "h": low[ok]})
+
+    near = pairs.mapInPandas(solve, schema)
+    return near.groupBy(*k, "id").agg(F.min_by(F.struct("nn", "h"), F.struct("h", "nn")).alias("_b")).select(
+        *k, "id", "_b.nn", "_b.h")
+
+
 def cut_tree(rows: DataFrame, merges: DataFrame, clusters: int = 8, keys=KEYS) -> DataFrame:
     """The tree cut into min(clusters, n - 1) groups: merges above the cut are undone."""
     from townloom.operators.graph import connected_components
@@ -246,8 +204,33 @@ def tree_shape(merges: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def leaf_order(merges: DataFrame, programs: DataFrame, keys=KEYS) -> DataFrame:
-    """Leaves in merge order (the height at which a leaf last joined) with their program."""
+    """Position of every leaf from left to right (from 0) with its program.
+
+    Of the two children of a merge the left one is a leaf before a cluster, then the one that formed at the smaller
+    height, then the smaller name. A leaf's position sums the sizes of the left siblings of the right
+    children on its way to the root; ways are added up by pointer jumping, so the rounds grow with the
+    logarithm of the tree's depth.
+    """
     k = list(keys)
-    joined = merges.select(*k, F.explode(F.array("a", "b")).alias("id"), "height").groupBy(
-        *k, "id").agg(F.min("height").alias("first_height"))
-    return joined.join(programs, [*k, "id"], "left")
+    named = Window.partitionBy(*k, "a").orderBy("size")
+    m = merges.select(*k, "a", "b", "height", "size", F.coalesce(F.lag("size").over(named), F.lit(1)).alias("na"),
+                      F.lag("height").over(named).alias("ha"))
+    own = merges.groupBy(*k, F.col("a").alias("b")).agg(F.max_by("height", "size").alias("hb"))
+    m = m.join(own, [*k, "b"], "left").withColumn("nb", F.col("size") - F.col("na"))
+    # the name a also formed the parent and larger clusters; b stood for its last one, of this size
+    m = m.withColumn("hb", F.when(F.col("nb") > 1, F.col("hb")))
+    place = lambda h, name: F.struct(F.coalesce(h, F.lit(-1.0)).alias("h"), F.col(name).alias("name"))
+    a_left = place(F.col("ha"), "a") < place(F.col("hb"), "b")
+    node = lambda name, size: F.struct(F.col(name).alias("name"), F.col(size).cast("long").alias("size"))
+    up = node("a", "size").alias("parent")
+    ways = m.select(*k, node("a", "na").alias("node"), up, F.when(a_left, 0).otherwise(F.col("nb")).cast("long").alias("shift")).unionByName(
+        m.select(*k, node("b", "nb").alias("node"), up, F.when(a_left, F.col("na")).otherwise(0).cast("long").alias("shift")))
+    ways = cut(ways)
+    for _ in range(64):  # doubles the steps taken
+        if ways.where("parent IS NOT NULL").isEmpty():
+            break
+        above = ways.select(*k, F.col("node").alias("parent"), F.col("parent").alias("_next"), F.col("shift").alias("_more"))
+        ways = cut(ways.join(above, [*k, "parent"], "left").select(
+            *k, "node", F.col("_next").alias("parent"), (F.col("shift") + F.coalesce("_more", F.lit(0))).alias("shift")))
+    leaves = ways.where("node.size = 1").select(*k, F.col("node.name").alias("id"), F.col("shift").alias("position"))
+    return leaves.join(programs, [*k, "id"], "left")

@@ -1,8 +1,9 @@
 """Ranks, percentiles and quantiles that stay distributed.
 
 The base is the rank table of distinct values: one row per (keys, value) with the number of
-rows at, below and in total. Rows are counted per value before any shuffle of the group, and a
-group too large for one window is cut into value ranges whose offsets come from range counts.
+rows at, below and in total. Rows are counted per value before any shuffle of the group. A group is cut
+into ranges at sampled splitters, about SPLIT_VALUES distinct values apart whatever their distribution;
+the offsets of ranges come from exact counts. One plan serves all sizes.
 """
 
 from __future__ import annotations
@@ -10,36 +11,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townloom.session import is_small
+SPLIT_VALUES = 65_536
 
-RANGES = 1024
-WINDOW_BYTES = 256 * 1024 * 1024
 
-
-def value_ranks(df: DataFrame, keys: list[str], value: str, force_ranges: bool = False,
+def value_ranks(df: DataFrame, keys: list[str], value: str, split: int | None = None,
                 weight: str | None = None) -> DataFrame:
     """Distinct values with n (rows equal), le (rows at or below) and total (rows of the group);
-    with a weight column, sums of weights instead of rows."""
-    size = F.sum(weight) if weight else F.count("*")
-    vc = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-          .groupBy(*keys, F.col(value).cast("double").alias("v")).agg(size.alias("n")))
+    with a weight column, sums of weights instead of rows. `split` overrides SPLIT_VALUES."""
+    return _ranked(df, keys, value, split, weight).where("v IS NOT NULL")
+
+
+def _ranked(df: DataFrame, keys: list[str], value: str, split: int | None, weight: str | None = None) -> DataFrame:
+    """value_ranks, and for groups with rows without a value one row with a null v and n = 0."""
+    number = F.col(value).cast("double")
+    v = F.when(~F.isnan(number), number)
+    size = F.col(weight) if weight else F.lit(1)
+    vc = df.select(*keys, v.alias("v"), F.when(v.isNotNull(), size).otherwise(0).alias("n")).groupBy(*keys, "v").agg(
+        F.sum("n").alias("n"))
+    chosen = vc.where(F.pmod(F.xxhash64("v"), F.lit(split or SPLIT_VALUES)) == 0)
+    cuts = F.array_sort(F.collect_list("v")).alias("_cuts")
+    parted = vc.join(chosen.groupBy(*keys).agg(cuts), keys, "left") if keys else _join(vc, chosen.agg(cuts), keys)
+    parted = parted.select(*keys, "v", "n", _splitters_up_to("_cuts", "v").alias("_part"))
     every = Window.partitionBy(*keys)
-    if not force_ranges and is_small(df, WINDOW_BYTES):
-        return (vc.withColumn("le", F.sum("n").over(every.orderBy("v")))
-                .withColumn("total", F.sum("n").over(every)))
-    span = vc.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / width * RANGES),
-                                     F.lit(RANGES - 1))).otherwise(0).cast("int")
-    cut = _join(vc, span, keys).withColumn("_part", part).drop("_lo", "_hi")
-    sums = cut.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
+    sums = parted.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     sums = (sums.withColumn("_before", F.sum("_n").over(every.orderBy("_part")) - F.col("_n"))
             .withColumn("total", F.sum("_n").over(every)).drop("_n"))
     local = Window.partitionBy(*keys, "_part").orderBy("v")
-    out = cut.withColumn("_le", F.sum("n").over(local)).join(sums, [*keys, "_part"])
+    out = parted.withColumn("_le", F.sum("n").over(local)).join(sums, [*keys, "_part"])
     return out.select(*keys, "v", "n", (F.col("_le") + F.col("_before")).alias("le"), "total")
 
 
+def _splitters_up_to(cuts: str, v: str) -> Column:
+    """How many of the ascending splitters are at or below the value, by halving."""
+    size = F.coalesce(F.size(cuts), F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def halved(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.get(F.col(cuts), mid) <= F.col(v))
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halved)
+    return F.when((size == 0) | F.col(v).isNull(), 0).otherwise(found["lo"])
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys, or attach a single row when there are none."""
     if keys:
@@ -48,17 +64,13 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-              how: str = "linear", force_ranges: bool = False) -> DataFrame:
-    """Exact quantiles per group.
+              how: str = "linear", split: int | None = None) -> DataFrame:
+    """Exact quantiles per group; null for a group without values.
 
     linear: interpolated at p·(n-1). index: the value at floor(p·n), capped at the last one
     (class breaks; with p = 0.5 the upper middle of W7 and A13).
     """
-    if how == "linear" and not force_ranges and is_small(df, WINDOW_BYTES):
-        v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-        aggs = [F.percentile(v, p).alias(name) for name, p in probs.items()]
-        return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    ranks = value_ranks(df, keys, value, force_ranges)
+    ranks = _ranked(df, keys, value, split)
     aggs, outs = [], []
     for name, p in probs.items():
         if how == "linear":
@@ -76,6 +88,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return grouped.select(*keys, *outs)
 
 
+def quantiles_of(df: DataFrame, keys: list[str], values: list[str], probs: dict[str, float], how: str = "linear") -> DataFrame:
+    """quantiles of several columns in one pass: a column `<name>_<value>` for each."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v"))
+                                                for c in values])).alias("_f")).select(*keys, "_f.*")
+    q = quantiles(long, [*keys, "_c"], "_v", probs, how)
+    wide = [F.max(F.when(F.col("_c") == c, F.col(p))).alias(f"{p}_{c}") for c in values for p in probs]
+    return q.groupBy(*keys).agg(*wide) if keys else q.agg(*wide)
+
+
 def percentile_of(df: DataFrame, keys: list[str], value: str, strict: bool = False,
                   higher_is_better: bool = True, min_values: int = 1, name: str = "pct",
                   scale: float = 100.0) -> DataFrame:

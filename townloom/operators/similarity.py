@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import vocab as V
-from townloom.session import cut, is_small
+from townloom.operators.neighbours import nearest, unit
 
 
 def positioning(subjects: DataFrame, context: DataFrame, group: str, metrics: list[str]) -> DataFrame:
@@ -22,158 +21,11 @@ def positioning(subjects: DataFrame, context: DataFrame, group: str, metrics: li
     return j.withColumn("ratio", F.when(ok, F.round(F.col("value") / F.col("context_value"), 3)))
 
 
-# --- exact nearest neighbours -------------------------------------------------------------------
-
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-ONE_BLOCK_BYTES = 4 * 1024 * 1024
-
-
 def vector_of(values: list):
     """Feature expressions as one array; missing is NaN."""
     return F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in values])
 
 
-def unit(vec):
-    """A vector divided by its length; a zero vector stays zero."""
-    from townloom.functions.geo import let
-
-    v = F.col(vec) if isinstance(vec, str) else vec
-    return let(v, lambda a: let(
-        F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)),
-        lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
-
-
-def apart_unit(vec, own: int):
-    """Unit vectors with two more components; zero vectors get a direction of their own there.
-
-    The product of two such vectors from different sides is their cosine, and 0 where either
-    was zero.
-    """
-    from townloom.functions.geo import let
-
-    return let(unit(vec), lambda a: F.concat(a, F.when(
-        F.exists(a, lambda x: x != 0), F.array(F.lit(0.0), F.lit(0.0))).otherwise(
-        F.array(F.lit(1.0 - own), F.lit(0.0 + own)))))
-
-
-def _pack(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """Rows of a block as sorted ids and one flat array of numbers."""
-    rows = F.array_sort(F.collect_list(F.struct("id", "vec")))
-    return df.groupBy(*by).agg(rows.alias("_r")).select(
-        *by, F.transform("_r", lambda r: r["id"]).alias(f"{prefix}_ids"),
-        F.flatten(F.transform("_r", lambda r: r["vec"])).alias(f"{prefix}_flat"))
-
-
-def _cells(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
-    """Nearest pivot of every vector and the distance to it."""
-    def assign(batches):
-        for pdf in batches:
-            x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
-            d = np.sqrt(np.maximum(((x ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :]
-                                    - 2 * x @ pivots.T), 0))
-            pdf["cell"] = d.argmin(1).astype("int32")
-            pdf["reach"] = d.min(1)
-            yield pdf
-
-    return df.mapInPandas(assign, f"id {id_type}, vec array<double>, cell int, reach double")
-
-
-def nearest(df: DataFrame, k: int, ident: str, vec: str, metric: str = "euclidean",
-            corpus: DataFrame | None = None, shared: bool = False, digits: int = 6,
-            max_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest corpus rows of every row: columns id, neighbor, distance, dims, rank.
-
-    Vectors are grouped around pivots. A group can be skipped when the triangle inequality puts
-    all of it further away than k others surely are; the remaining groups meet as packed blocks,
-    each pair of blocks in one Arrow call that emits only its k best. Nothing but the pivots and
-    the group sizes reaches the driver. With `shared`, NaN features are left out per pair and the
-    distance is the root mean square over the common ones; groups cannot be skipped then.
-    Distances are rounded before ranking, ties take the smaller id. A row is never its own
-    neighbour.
-    """
-    id_type = df.schema[ident].dataType.simpleString()
-    side = lambda own: apart_unit(vec, own) if metric == "cosine" else F.col(vec)
-    prep = lambda d, own: d.select(F.col(ident).alias("id"), side(own).cast("array<double>").alias("vec"))
-    q, c = prep(df, 0), prep(corpus if corpus is not None else df, 1)
-    if max_pivots is None and is_small(q, ONE_BLOCK_BYTES) and is_small(c, ONE_BLOCK_BYTES):
-        pairs = _pack(q.withColumn("one", F.lit(0)), ["one"], "q").join(
-            _pack(c.withColumn("one", F.lit(0)), ["one"], "c"), "one")
-    else:
-        q, c = cut(q), cut(c)
-        n = c.count()
-        wanted = 1 if shared else min(max_pivots or MAX_PIVOTS, max(1, n // block_rows))
-        rows = c.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-        pivots = np.array([r["vec"] for r in rows], dtype=float)
-        if shared:
-            pivots = np.nan_to_num(pivots)
-            zero = lambda d: d.withColumn("cell", F.lit(0)).withColumn("reach", F.lit(0.0))
-            cq, cc = zero(q), zero(c)
-        else:
-            cq, cc = cut(_cells(q, pivots, id_type)), cut(_cells(c, pivots, id_type))
-        stat = lambda d: {r["cell"]: (r["n"], r["r"]) for r in d.groupBy("cell").agg(
-            F.count("*").alias("n"), F.max("reach").alias("r")).collect()}
-        sq, sc = stat(cq), stat(cc)
-        gap = np.sqrt(((pivots[:, None] - pivots[None, :]) ** 2).sum(-1))
-        plan = []
-        for i, (_, ri) in sq.items():
-            upper = sorted((gap[i, j] + ri + rj, nj) for j, (nj, rj) in sc.items())
-            bound, have = float("inf"), 0
-            for far, nj in upper:
-                have += nj
-                if have > k:
-                    bound = far
-                    break
-            plan += [(i, j, int(np.ceil(nj / block_rows))) for j, (nj, rj) in sc.items()
-                     if shared or gap[i, j] - ri - rj <= bound + 1e-6]
-        spark = df.sparkSession
-        parts = {j: int(np.ceil(nj / block_rows)) for j, (nj, _) in sc.items()}
-        qparts = {i: int(np.ceil(ni / block_rows)) for i, (ni, _) in sq.items()}
-        links = F.broadcast(spark.createDataFrame(plan, "cell int, ccell int, parts int"))
-        size = lambda p: F.broadcast(spark.createDataFrame(list(p.items()), "cell int, _p int"))
-        cut_cell = lambda d, p: d.join(size(p), "cell").withColumn(
-            "sub", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
-        qb = _pack(cut_cell(cq, qparts), ["cell", "sub"], "q")
-        cb = _pack(cut_cell(cc, parts), ["cell", "sub"], "c").withColumnRenamed("cell", "ccell")
-        pairs = qb.drop("sub").join(links, "cell").withColumn(
-            "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(cb, ["ccell", "sub"])
-    cosine = metric == "cosine"
-
-    def solve(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
-                a = np.asarray(row.q_flat, dtype=float).reshape(len(qi), -1)
-                b = np.asarray(row.c_flat, dtype=float).reshape(len(ci), -1)
-                ma, mb = ~np.isnan(a), ~np.isnan(b)
-                a0, b0 = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
-                if shared:
-                    dims = ma.astype(float) @ mb.T.astype(float)
-                    d2 = (a0 ** 2) @ mb.T - 2 * a0 @ b0.T + ma @ (b0 ** 2).T
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.where(dims > 0, np.sqrt(np.maximum(d2, 0) / dims), np.inf)
-                else:
-                    dims = np.full((len(qi), len(ci)), float(a.shape[1] - 2 * cosine))
-                    d2 = np.maximum((a0 ** 2).sum(1)[:, None] + (b0 ** 2).sum(1)[None, :]
-                                    - 2 * a0 @ b0.T, 0)
-                    dist = 1 - a0 @ b0.T if cosine else np.sqrt(d2)
-                dist = np.round(dist, digits)
-                dist[qi[:, None] == ci[None, :]] = np.inf
-                # ids are sorted, so a stable sort settles ties by id
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                r = np.repeat(np.arange(len(qi)), best.shape[1])
-                col = best.ravel()
-                ok = np.isfinite(dist[r, col])
-                yield pd.DataFrame({"id": qi[r][ok], "neighbor": ci[col][ok],
-                                    "distance": dist[r, col][ok],
-                                    "dims": dims[r, col][ok].astype("int64")})
-
-    found = pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(
-        solve, f"id {id_type}, neighbor {id_type}, distance double, dims long")
-    w = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 # --- scaling ------------------------------------------------------------------------------------
 
 
@@ -213,17 +65,17 @@ def zscore_population(df: DataFrame, columns: list[str], digits: int = 4, fill:
 
 
 def robust_scale(df: DataFrame, columns: list[str], clip: float = 8.0) -> DataFrame:
-    """M4: median and interquartile range over all rows, tiny ranges count as 1, clipped."""
-    from townloom.operators.ranks import quantiles
+    """M4: median and interquartile range over all rows, tiny ranges count as 1, clipped; one pass for all columns."""
+    from townloom.operators.ranks import quantiles_of
 
-    out = df
-    for c in columns:
-        q = quantiles(df, [], c, {"_l": 0.25, "_m": 0.5, "_h": 0.75})
-        r = F.when(F.col("_h") - F.col("_l") < 1e-6, 1.0).otherwise(F.col("_h") - F.col("_l"))
-        v = (F.col(c) - F.col("_m")) / r
-        out = out.crossJoin(F.broadcast(q)).withColumn(
-            c, F.least(F.greatest(v, F.lit(-clip)), F.lit(clip))).drop("_l", "_m", "_h")
-    return out
+    q = quantiles_of(df, [], columns, {"_l": 0.25, "_m": 0.5, "_h": 0.75})
+
+    def scaled(c):
+        spread = F.col(f"_h_{c}") - F.col(f"_l_{c}")
+        v = (F.col(c) - F.col(f"_m_{c}")) / F.when(spread < 1e-6, 1.0).otherwise(spread)
+        return F.least(F.greatest(v, F.lit(-clip)), F.lit(clip)).alias(c)
+
+    return df.crossJoin(F.broadcast(q)).select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def long_features(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
@@ -286,11 +138,15 @@ def distinguishing(pairs: DataFrame, df: DataFrame, ident: str, columns: list[st
 
 def rank_demographics(queries: DataFrame, corpus: DataFrame, ident: str, columns: list[str],
                       log_columns=(), k: int = 8) -> DataFrame:
-    """M9: nearest corpus districts by RMS z-distance over the features both sides have."""
+    """M9: nearest corpus districts by RMS z-distance over the features both sides have.
+
+    A feature counts only if half of the corpus has it, and three of its districts at least.
+    """
     scaled = lambda d: d.select(ident, *[(F.log1p(c) if c in log_columns else F.col(c)).cast(
         "double").alias(c) for c in columns])
     c0, q0 = scaled(corpus), scaled(queries)
-    stats = c0.agg(*[a for c in columns for a in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c)
+    often = lambda c: F.count(c) >= F.greatest(F.lit(3), F.floor(F.count("*") / 2))
+    stats = c0.agg(*[a for c in columns for a in (F.when(often(c), F.avg(c)).alias(f"_m{c}"), F.stddev_pop(c)
                                                   .alias(f"_s{c}"))])
 
     def z(d):

@@ -72,47 +72,6 @@ def knn_sql(source: str, cols: list[str], k: int) -> str:
       ON a.district_id <> b.district_id) q WHERE r <= {k}"""
 
 
-MF = ["morph_density_per_km2", "morph_coverage", "morph_median_area_m2", "morph_area_iqr",
-      "morph_area_log_skew", "morph_mean_compactness", "morph_orientation_R", "morph_cluster_diversity"]
-M1_COLS = (" ".join(MF) + " " + " ".join(f"prog_pct_{b}" for b in B) + " prog_diversity "
-           "anchor_count_inside anchor_max_area_ratio anchor_size_concentration demo_pop_density "
-           "demo_pct_owner_occupied econ_median_income econ_income_trend")
-M1_EX = {"darea_t": DAREA, "morph": MORPH, "contrast": CONTRAST, "anch": ANCH, "level": LEVEL,
-         "prog": "SELECT district_id, " + ", ".join(
-             f"max(interior_pct) FILTER (WHERE program = '{b}') AS prog_pct_{b}" for b in B)
-         + """, coalesce(sum(CASE WHEN interior_pct > 0 THEN -(interior_pct / t) * ln(interior_pct / t + 1e-12) END), 0)
-            AS prog_diversity FROM (SELECT *, sum(interior_pct) OVER (PARTITION BY district_id) AS t FROM contrast) c
-            GROUP BY 1"""}
-
-
-def district_features(L):
-    """M1: all bands of one row per district."""
-    from townloom.operators.features import assemble
-
-    zb = zoned_buildings(L).where("zone = 'interior'").select(
-        "district_id", "building_id", "area_m2", "perimeter_m", "orientation_deg", "cluster_id")
-    area = district_area(L)
-    km2 = L.view("districts").select("district_id", (F.col("radius") / 1000).alias("area_km2"))
-    return assemble(L.view("districts").select("district_id"), [
-        programs.morphology(zb, area),
-        program_band(programs.interior_exterior(zoned_places(L))),
-        programs.anchor_features(zb.where("area_m2 > 4000"), zb, L.view("districts")),
-        census.level_and_trend(L.view("panel"), km2)])
-
-
-def program_band(contrast):
-    from townloom.operators.features import program_band as band
-
-    return band(contrast)
-
-
-@query("m1_district_features", "SELECT district_id, " + ", ".join(M1_COLS.split()) + """ FROM morph
-    JOIN prog USING (district_id) JOIN anch USING (district_id) JOIN level USING (district_id)""", M1_COLS,
-       extra=M1_EX)
-def _(L):
-    return district_features(L).select("district_id", *M1_COLS.split())
-
-
 @query("m2_zscore_sample", "SELECT district_id, " + ", ".join(
     f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0) AS {c}" for c in FEATS)
     + ", 0.0::double AS flat FROM feats", " ".join(FEATS) + " flat", extra={"feats": FSQL})
@@ -157,7 +116,7 @@ def _(L):
 
 @query("m5_cosine_neighbours_pivoted", "SELECT * FROM cosn", "distance", extra={"cosn": COS.format(k=5)})
 def _(L):
-    return sim.nearest(vectors(L), 5, "vec_id", "vec", "cosine", max_pivots=8, block_rows=64).drop("dims")
+    return sim.nearest(vectors(L), 5, "vec_id", "vec", "cosine", pivots=8, block_rows=64).drop("dims")
 
 
 @query("m5_cosine_to_focus", """
@@ -199,27 +158,6 @@ def _(L):
     return sim.distinguishing(pairs, z, "district_id", FEATS, 3)
 
 
-@query("m9_demographic_rank", f"""
-    SELECT id, neighbor, distance, dims, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id
-      ORDER BY distance, neighbor) AS r FROM (SELECT q.district_id AS id, c.district_id AS neighbor,
-        round(sqrt(({' + '.join(f'coalesce(pow(q.{c} - c.{c}, 2), 0)' for c in FEATS)})
-          / ({' + '.join(f'(q.{c} IS NOT NULL AND c.{c} IS NOT NULL)::INT' for c in FEATS)})), 6) AS distance,
-        CAST({' + '.join(f'(q.{c} IS NOT NULL AND c.{c} IS NOT NULL)::INT' for c in FEATS)} AS BIGINT) AS dims
-      FROM zq q, zc c) d) z WHERE r <= 4""", "distance", extra={
-    "feats": FSQL,
-    "lg": "SELECT district_id, ln(1 + pop) AS pop, rent, age, renter, low FROM feats",
-    "qs": "SELECT district_id + 1000 AS district_id, CASE WHEN district_id % 4 <> 1 THEN pop END AS pop, rent * 1.1 AS rent, age, renter, low FROM feats",
-    "ql": "SELECT district_id, ln(1 + pop) AS pop, rent, age, renter, low FROM qs",
-    "stt": "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATS) + " FROM lg",
-    "zc": "SELECT district_id, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATS) + " FROM lg, stt",
-    "zq": "SELECT district_id, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATS) + " FROM ql, stt"})
-def _(L):
-    f = features(L)
-    q = f.withColumn("pop", F.when(F.col("district_id") % 4 != 1, F.col("pop"))).withColumn(
-        "rent", F.col("rent") * 1.1).withColumn("district_id", F.col("district_id") + 1000)
-    return sim.rank_demographics(q, f, "district_id", FEATS, ["pop"], 4)
-
-
 PKNN = {"psh": PSH, "pk": knn_sql("psh", B, 7)}
 
 
@@ -438,6 +376,33 @@ def _(L):
     return clustering.tree_shape(clustering.ward_merges(ward_rows(L)))
 
 
+@query("m22_tree_inertia", """
+    SELECT district_id, count(*) - 1 AS merges, sum(z) AS inertia FROM (SELECT district_id, building_id,
+      sum(pow(coalesce((v - m) / nullif(sd, 0), 0), 2)) AS z FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd
+        FROM tall WINDOW w AS (PARTITION BY district_id, f)) q GROUP BY ALL) r GROUP BY 1 HAVING count(*) > 1""",
+       "inertia", extra={"tall": """
+    SELECT district_id, building_id, f, v FROM (SELECT district_id, building_id, ln(1 + area_m2) AS la,
+        4 * pi() * area_m2 / pow(perimeter_m, 2) AS compactness, area_m2 / ((greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3))
+          * (greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3)) + 1e-9) AS solidity,
+        greatest(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3), greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3))
+          / (least(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3), greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3)) + 1e-9)
+          AS bbox_elongation FROM buildings JOIN buildings0 USING (building_id, district_id)) s
+    UNPIVOT (v FOR f IN (la, compactness, solidity, bbox_elongation))"""})
+def _(L):
+    """Half the squared heights of a Ward tree add up to the squared distances of its leaves from their mean."""
+    m = clustering.ward_merges(ward_rows(L))
+    return m.groupBy("district_id").agg(F.count("*").alias("merges"), F.sum(F.col("height") ** 2 / 2).alias("inertia"))
+
+
+@query("m22_leaf_order")
+def _(L):
+    from townloom.plans.aggregates import zoned_buildings
+
+    e = programs.building_programs(zoned_buildings(L).drop("x", "y"), L.places())
+    p = e.select("district_id", F.col("building_id").alias("id"), "dominant_program_inside")
+    return clustering.leaf_order(clustering.ward_merges(ward_rows(L)), p)
+
+
 @query("m23_light_clusters")
 def _(L):
     return clustering.light_clusters(shape_rows(L), "building_id")
@@ -487,19 +452,6 @@ def _(L):
     return comparison_record(L.view("districts"), b, b.where("area_m2 > 4000"))
 
 
-@query("m26_thematic_axes", """
-    SELECT chart, district_id, x, y FROM (SELECT 'density vs coverage' AS chart, district_id, morph_coverage AS x,
-      morph_density_per_km2 AS y FROM morph UNION ALL SELECT 'alignment vs variety', district_id, morph_orientation_R,
-      morph_cluster_diversity FROM morph) q""", "x y", extra={"darea_t": DAREA, "morph": MORPH})
-def _(L):
-    from townloom.operators.features import thematic_axes
-
-    zb = zoned_buildings(L).where("zone = 'interior'")
-    return thematic_axes(programs.morphology(zb, district_area(L)), {
-        "density vs coverage": ("morph_coverage", "morph_density_per_km2"),
-        "alignment vs variety": ("morph_orientation_R", "morph_cluster_diversity")})
-
-
 @query("m28_order_from_pivot", """
     SELECT district_id, row_number() OVER (ORDER BY round(d, 9), district_id) AS place FROM (
       SELECT a.district_id, abs(a.pop - p.pop) AS d FROM feats a, (SELECT pop FROM feats WHERE district_id = 0) p) q""",
