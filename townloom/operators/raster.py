@@ -13,7 +13,7 @@ from townloom.functions.classify import lookup
 from townloom.operators.graph import connected_components
 from townloom.operators.ranks import quantiles
 from townloom.operators.spatial import KEYS, cell_cover, line_cover, spread_hot_keys
-from townloom.session import fan_out
+from townloom.session import cut, fan_out
 
 
 def to_celsius(dn) -> Column:
@@ -215,39 +215,59 @@ def priority_partition(cells: DataFrame, boundaries: DataFrame, order: list[str]
                                       ).withColumnRenamed("_n", "cells")
 
 
-def kernel_density(points: DataFrame, boundaries: DataFrame, cell: float, bandwidth: float,
-                   cutoff: float = 0.25, min_points: int = 5, sigmas: float = 4.0, keys=KEYS
-                   ) -> DataFrame:
-    """Gaussian sum per cell of the boundary, low cells dropped.
+KERNEL_ZERO = 38.7  # bandwidths beyond which exp(-d^2 / 2) is 0 in double precision
+KERNEL_TILE = 64  # cells across a tile of the canvas
+KERNEL_POINTS = 2048  # distinct points of a block
 
-    Points are first counted per cell of a tenth of the bandwidth, so copies and dense spots
-    cost one kernel each; kernels end at `sigmas` bandwidths, where a point adds less than
-    exp(-sigmas²/2).
+
+def kernel_density(points: DataFrame, boundaries: DataFrame, canvas: DataFrame, cell: float, bandwidth: float,
+                   cutoff: float = 0.25, min_points: int = 5, category: str | None = None, keys=KEYS) -> DataFrame:
+    """Gaussian sum of each category at every cell centre of the canvas, low cells dropped, cells in the boundary kept.
+
+    `canvas` has a box xmin, ymin, xmax, ymax per district. The cutoff is a percentile over all cells of the
+    canvas with a density above 0. No kernel is cut short: the factor of x times the factor of y, summed over the
+    points of a block, is a matrix product, so blocks of neighbouring points meet tiles of the canvas, and a pair
+    is left out only where every kernel value is 0 in double precision. Copies of a point count as a weight.
     """
-    k = list(keys)
+    import numpy as np
+    import pandas as pd
+
+    k = [*keys, *([category] if category else [])]
     enough = points.groupBy(*k).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points)
-    spots = points.join(enough.select(*k), k, "left_semi").groupBy(*k, "x", "y").agg(
-        F.count("*").alias("_w"))
-    reach = math.ceil(sigmas * bandwidth / cell)
-    ring = F.sequence(F.lit(-reach), F.lit(reach))
-    # near points stay together, so most sums finish before the shuffle
-    zone = lambda c: geo.cell_of(c, 4 * bandwidth)
-    spots = fan_out(spots.withColumn("_zx", zone("x")).withColumn("_zy", zone("y")), *k, "_zx", "_zy")
-    spread = spots.withColumn("_cx", geo.cell_of("x", cell)).withColumn(
-        "_cy", geo.cell_of("y", cell)).select(*k, "x", "y", "_w", "_cy",
-                                              F.explode(F.transform(ring, lambda i: F.col("_cx") + i))
-                                              .alias("cell_x"))
-    spread = spread.select(*k, "x", "y", "_w", "cell_x", F.explode(F.transform(
-        ring, lambda j: F.col("_cy") + j)).alias("cell_y"))
-    dx = geo.cell_centre("cell_x", cell) - F.col("x")
-    dy = geo.cell_centre("cell_y", cell) - F.col("y")
-    d2 = dx * dx + dy * dy
-    dens = spread.where(d2 <= (sigmas * bandwidth) ** 2).groupBy(*k, "cell_x", "cell_y").agg(
-        F.sum(F.col("_w") * F.exp(-d2 / (2.0 * bandwidth * bandwidth))).alias("density"))
+    spots = points.join(enough.select(*k), k, "left_semi").groupBy(*k, "x", "y").agg(F.count("*").cast("double").alias("w"))
+    side = KERNEL_TILE * cell
+    spots = spots.withColumn("_zx", geo.cell_of("x", side)).withColumn("_zy", geo.cell_of("y", side))
+    zones = spots.groupBy(*k, "_zx", "_zy").agg(F.ceil(F.count("*") / KERNEL_POINTS).alias("_b"))
+    blocks = spots.join(zones, [*k, "_zx", "_zy"]).withColumn("_sub", F.pmod(F.xxhash64("x", "y"), F.col("_b"))).groupBy(
+        *k, "_zx", "_zy", "_sub").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"), F.collect_list("w").alias("ws"))
+    first, last = (lambda c: geo.cell_of(f"{c}min", cell)), (lambda c: geo.cell_of(f"{c}max", cell))
+    extent = canvas.select(*keys, first("x").alias("_x0"), last("x").alias("_x1"), first("y").alias("_y0"), last("y").alias("_y1"))
+    reach = math.ceil(KERNEL_ZERO * bandwidth / side)
+    tile = lambda c: F.floor(F.col(c) / KERNEL_TILE)
+    near = lambda z, lo, hi: F.filter(F.sequence(tile(lo), tile(hi)), lambda t: F.abs(t - F.col(z)) <= reach)
+    pairs = blocks.join(extent, list(keys)).withColumn("_tx", F.explode(near("_zx", "_x0", "_x1"))).withColumn(
+        "_ty", F.explode(near("_zy", "_y0", "_y1")))
+    pairs = fan_out(pairs.drop("_zx", "_zy", "_sub"), *k, "_tx", "_ty")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+
+    def sums(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                row = dict(zip(pdf.columns, row))
+                axis = lambda c: np.arange(max(row[f"_{c}0"], row[f"_t{c}"] * KERNEL_TILE),
+                                           min(row[f"_{c}1"], row[f"_t{c}"] * KERNEL_TILE + KERNEL_TILE - 1) + 1)
+                cx, cy = axis("x"), axis("y")
+                factor = lambda at, p: np.exp(-((at[:, None] + 0.5) * cell - np.asarray(p)[None, :]) ** 2 / (2 * bandwidth ** 2))
+                total = (factor(cx, row["xs"]) * np.asarray(row["ws"])) @ factor(cy, row["ys"]).T
+                i, j = np.nonzero(total)
+                yield pd.DataFrame({**{c: [row[c]] * len(i) for c in k}, "cell_x": cx[i], "cell_y": cy[j], "density": total[i, j]})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in k) + ", cell_x bigint, cell_y bigint, density double"
+    dens = pairs.mapInPandas(sums, schema).groupBy(*k, "cell_x", "cell_y").agg(F.sum("density").alias("density"))
     limit = quantiles(dens, k, "density", {"_q": cutoff})
-    inside = cell_cover(boundaries, cell, k)
+    inside = cell_cover(boundaries, cell, list(keys))
     return (dens.join(limit, k).where(F.col("density") >= F.col("_q")).drop("_q")
-            .join(inside, [*k, "cell_x", "cell_y"], "left_semi"))
+            .join(inside, [*keys, "cell_x", "cell_y"], "left_semi"))
 
 
 def neighbours4(cells: DataFrame, keys=KEYS) -> DataFrame:
@@ -327,11 +347,15 @@ def texture(canvas: DataFrame, keys=KEYS) -> DataFrame:
                       mean("e").alias("energy"))
 
 
-def line_alignment(mask: DataFrame, keys=KEYS, angles: int = 36, threshold: float = 0.3,
-                   peaks: int = 50) -> DataFrame:
+def line_alignment(mask: DataFrame, keys=KEYS, angles: int = 36, threshold: float = 0.3, near_angle: float = 10.0,
+                   near_offset: int = 9, peaks: int | None = None) -> DataFrame:
     """How far the strongest straight lines of the mask's edge are horizontal or vertical.
 
-    Edge cells (a neighbour is empty) vote for (angle, offset); strong local bins are peaks.
+    Edge cells (a neighbour is empty) vote for (angle, offset). A bin is a peak if it has at least `threshold` of
+    its district's most votes and no bin within `near_angle` degrees and `near_offset` cells has more, or as
+    many and comes before it by angle, then offset. Beyond 180 degrees angles go on at 0 with the opposite offset.
+    Votes are copied to the neighbouring angles first; then a window over offsets sees all bins near each.
+    `peaks` keeps that many strongest peaks of a district.
     """
     k = list(keys)
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
@@ -344,12 +368,23 @@ def line_alignment(mask: DataFrame, keys=KEYS, angles: int = 36, threshold: floa
         *k, F.col("ox"), F.col("oy")).distinct()
     vote = edge.select(*k, "ox", "oy", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("t"))
     rad = F.radians(F.col("t") * F.lit(180.0 / angles))
-    rho = F.round(F.col("ox") * F.cos(rad) + F.col("oy") * F.sin(rad)).cast("int")
-    acc = vote.groupBy(*k, "t", rho.alias("rho")).agg(F.count("*").alias("votes"))
+    # rounded twice: offsets that are halves but for the last bit go the same way everywhere
+    rho = F.round(F.round(F.col("ox") * F.cos(rad) + F.col("oy") * F.sin(rad), 6)).cast("int")
+    acc = cut(vote.groupBy(*k, "t", rho.alias("rho")).agg(F.count("*").alias("votes")))
+    turn = int(near_angle * angles // 180)
+    moved = acc.select(*k, "t", "rho", "votes", F.explode(F.sequence(F.lit(-turn), F.lit(turn))).alias("_d"))
+    at = F.col("t") + F.col("_d")
+    over = (at < 0) | (at >= angles)
+    moved = moved.select(*k, F.pmod(at, F.lit(angles)).alias("t"), F.when(over, -F.col("rho")).otherwise(F.col("rho")).alias("rho"),
+                         (F.col("_d") == 0).alias("_own"), F.struct("votes", (-F.col("t")).alias("t"), (-F.col("rho")).alias("rho")).alias("_bin"))
+    beside = Window.partitionBy(*k, "t").orderBy("rho").rangeBetween(-near_offset, near_offset)
+    strong = moved.withColumn("_best", F.max("_bin").over(beside)).where(F.col("_own") & (F.col("_best") == F.col("_bin")))
     top = acc.groupBy(*k).agg(F.max("votes").alias("_m"))
-    w = Window.partitionBy(*k).orderBy(F.desc("votes"), "t", "rho")
-    strong = (acc.join(top, k).where(F.col("votes") >= threshold * F.col("_m"))
-              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= peaks))
+    strong = strong.select(*k, "t", "rho", F.col("_bin.votes").alias("votes")).join(top, k).where(
+        F.col("votes") >= threshold * F.col("_m"))
+    if peaks is not None:
+        w = Window.partitionBy(*k).orderBy(F.desc("votes"), "t", "rho")
+        strong = strong.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= peaks)
     deg = F.col("t") * F.lit(180.0 / angles)
     near = lambda a: F.exp(-(deg - a) * (deg - a) / 200.0)
     return strong.groupBy(*k).agg(

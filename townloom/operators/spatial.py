@@ -392,39 +392,60 @@ def distance_rings(anchors: DataFrame, places: DataFrame, anchor_id: str,
 
 
 def match_by_name(labels: DataFrame, districts: DataFrame, label_name: str, district_name: str,
-                  keys=KEYS) -> DataFrame:
-    """Label to district by core name: exact first, then a token, then one unique substring.
+                  label_city: str | None = None, keys=KEYS) -> DataFrame:
+    """Label to district by name: equal core names, then a shared word, then one core name inside the other.
 
-    Exact and token matches are equi-joins. Substrings are found through shared 4-letter
-    pieces, so no cross join is needed.
+    At each step a label needs a single district; among several the only one whose name holds the label's city
+    is taken (for equal core names, failing that, the smallest). Districts are indexed by word and by every
+    part of their core name; an index row holds the number of districts and one of them, so a word that
+    many districts share is one row and no pair of label and district is formed before it is known to be single.
     """
     from townloom.functions.num import core_name
 
-    text = lambda c: F.lower(F.col(c))
-    lab = labels.withColumn("_core", core_name(label_name)).withColumn(
-        "_words", F.array_distinct(F.filter(F.split(text(label_name), "[^a-z0-9]+"),
-                                            lambda w: F.length(w) >= 4)))
-    dis = districts.select(*keys, core_name(district_name).alias("_dcore"),
-                           F.array_distinct(F.filter(F.split(text(district_name), "[^a-z0-9]+"),
-                                                     lambda w: F.length(w) >= 4)).alias("_dwords"))
-    exact = lab.join(dis, F.col("_core") == F.col("_dcore")).select(
-        "label_id", *keys, F.lit(1).alias("_rank"))
-    token = (lab.withColumn("_w", F.explode("_words")).join(
-        dis.withColumn("_w", F.explode("_dwords")), "_w")
-        .select("label_id", *keys).distinct().withColumn("_rank", F.lit(2)))
-    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))),
-                                   lambda i: F.substring(F.col(c), i, F.lit(4)))
-    sub = (lab.where(F.length("_core") >= 4).withColumn("_g", F.substring("_core", 1, 4))
-           .join(dis.withColumn("_g", F.explode(F.array_distinct(pieces("_dcore")))), "_g")
-           .where(F.col("_dcore").contains(F.col("_core")))
-           .select("label_id", *keys).distinct().withColumn("_rank", F.lit(3)))
-    best = exact.unionByName(token).unionByName(sub).groupBy("label_id", "_rank").agg(
-        F.count("*").alias("_n"), *[F.min(k).alias(k) for k in keys])
-    return (best.where("_n = 1 or _rank = 1").groupBy("label_id")
-            .agg(F.min_by(F.struct(*keys, "_rank"), "_rank").alias("_b"))
-            .select("label_id", *[F.col(f"_b.{k}").alias(k) for k in keys],
-                    F.element_at(F.array(F.lit("exact"), F.lit("token"), F.lit("substring")),
-                                 F.col("_b._rank")).alias("matched_by")))
+    letters = lambda c: F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]", "")
+    words = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != "")
+    steps = lambda lo, hi: F.sequence(F.lit(lo) if isinstance(lo, int) else lo, hi)
+
+    def parts(c):
+        """All parts of a text, each once."""
+        return F.array_distinct(F.flatten(F.transform(steps(1, F.length(c)), lambda i: F.transform(
+            steps(1, F.length(c) - i + 1), lambda n: F.substr(c, i, n)))))
+
+    def runs(w):
+        """Neighbouring words written as one, as city names are compared."""
+        return F.array_distinct(F.flatten(F.transform(steps(1, F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(
+            steps(1, F.greatest(F.size(w) - i + 1, F.lit(1))), lambda n: F.array_join(F.slice(w, i, n), "")))))
+
+    city = letters(label_city) if label_city else F.lit("")
+    lab = labels.select("label_id", core_name(label_name).alias("core"), F.array_distinct(words(label_name)).alias("words"),
+                        F.coalesce(city, F.lit("")).alias("city"))
+    dis = districts.select(F.struct(*keys).alias("d"), core_name(district_name).alias("core"),
+                           F.array_distinct(words(district_name)).alias("words"), runs(words(district_name)).alias("runs"))
+    asked = lambda column: lab.select(column.alias("key"), "label_id", "city").where("key <> ''")
+    known = lambda column: dis.select(column.alias("key"), "d", "runs").where("key <> ''")
+    # (step, labels by key, districts by key); a part of a name is only indexed if a label asks for it
+    cores = asked(F.col("core"))
+    ways = [(1, cores, known(F.col("core"))), (2, asked(F.explode("words")), known(F.explode("words"))),
+            (3, cores, known(F.explode(parts(F.col("core")))).join(cores.select("key").distinct(), "key", "left_semi")),
+            (3, asked(F.explode(parts(F.col("core")))), known(F.col("core")))]
+    hits = None
+    for step, ask, rows in ways:
+        single = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("d"))
+        local = rows.select("key", "d", F.explode("runs").alias("city")).groupBy("key", "city").agg(
+            F.count("*").alias("n"), F.min("d").alias("d"))
+        for by_city, index in ((False, single), (True, local)):
+            found = ask.join(index, ["key", "city"] if by_city else ["key"]).select(
+                "label_id", F.lit(step).alias("step"), F.lit(by_city).alias("by_city"), "n", "d")
+            hits = found if hits is None else hits.unionByName(found)
+    # an equal core name is found again as a part of itself, by both ways; that step counts districts, not hits
+    one = hits.groupBy("label_id", "step", "by_city").agg(F.max("n").alias("n"), F.min("d").alias("d"), F.max("d").alias("d2"))
+    one = one.withColumn("single", (F.col("n") == 1) & (F.col("d") == F.col("d2")))
+    ranked = F.struct("step", (~F.col("single")).alias("_s"), "by_city")
+    best = one.where("single OR step = 1 AND NOT by_city").groupBy("label_id").agg(F.min_by(
+        F.struct("d", "step", F.col("by_city")), ranked).alias("b"))
+    return best.select("label_id", *[F.col(f"b.d.{k}").alias(k) for k in keys],
+                       F.element_at(F.array(F.lit("exact"), F.lit("token"), F.lit("substring")), F.col("b.step")).alias("matched_by"),
+                       F.col("b.by_city").alias("by_city"))
 
 
 def footprint_pairs(a: DataFrame, a_id: str, window: float, tile: float = 250.0,

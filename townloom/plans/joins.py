@@ -303,38 +303,40 @@ def _(L):
             .agg(F.count("*").alias("trips")))
 
 
-LABELS = ("SELECT s_suppkey AS label_id, CASE s_suppkey % 3 WHEN 0 THEN code WHEN 1 THEN 'The City'"
-          " || CAST(nk AS VARCHAR) || ' stadium' ELSE substr(code, 4, 8) END AS label_name FROM supplier"
-          " JOIN districts ON district_id = s_suppkey // 2")
+LABEL_NAME = ("CASE s_suppkey % 6 WHEN 0 THEN code WHEN 1 THEN 'The City' || CAST(nk AS {str}) || ' stadium'"
+              " WHEN 2 THEN substr(code, 4, 8) WHEN 3 THEN city WHEN 4 THEN 'Old ' || code || ' grounds' ELSE CAST(nk AS {str}) END")
+LABELS = ("SELECT s_suppkey AS label_id, " + LABEL_NAME.format(str="VARCHAR") + " AS label_name, regexp_replace(lower(city),"
+          " '[^a-z0-9]', '', 'g') AS city FROM supplier JOIN districts ON district_id = s_suppkey // 2")
+CORE = ("regexp_replace(regexp_replace(regexp_replace(lower({c}), '^[0-9]+[_-]', ''), '[_-][a-z]{{2}}$', ''), "
+        "'[^a-z0-9]', '', 'g')")
+WORDS = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
 @query("j19_match_labels", """
-    SELECT label_id, arg_min(district_id, rk) AS district_id,
-      (['exact', 'token', 'substring'])[min(rk)] AS matched_by FROM (
-      SELECT label_id, rk, min(district_id) AS district_id, count(*) AS n FROM (
-        SELECT label_id, district_id, 1 AS rk FROM lab l JOIN dis d ON l.core = d.core
-        UNION ALL SELECT label_id, district_id, 2 FROM lab l JOIN dis d
-          ON len(list_intersect(l.words, d.words)) > 0
-        UNION ALL SELECT label_id, district_id, 3 FROM lab l JOIN dis d
-          ON length(l.core) >= 4 AND contains(d.core, l.core)) m GROUP BY 1, 2
-      HAVING count(*) = 1 OR rk = 1) b GROUP BY 1""", extra={
+    SELECT label_id, arg_min(district_id, (rk, single = 0, by_city)) AS district_id,
+      (['exact', 'token', 'substring'])[min(rk)] AS matched_by, arg_min(by_city, (rk, single = 0, by_city)) AS by_city FROM (
+      SELECT label_id, rk, by_city, min(district_id) AS district_id, (count(DISTINCT district_id) = 1)::INT AS single FROM (
+        SELECT label_id, district_id, rk, by_city FROM met, (VALUES (false), (true)) v(by_city)
+        WHERE NOT by_city OR holds_city) m GROUP BY 1, 2, 3) b
+    WHERE single = 1 OR rk = 1 AND NOT by_city GROUP BY 1""", extra={
     "labels0": LABELS,
-    "lab": """SELECT label_id, list_filter(string_split_regex(lower(label_name), '[^a-z0-9]+'),
-        lambda w: length(w) >= 4) AS words, regexp_replace(regexp_replace(regexp_replace(
-        lower(label_name), '^[0-9]+[_-]', ''), '[_-][a-z]{2}$', ''), '[^a-z0-9]', '', 'g') AS core
-        FROM labels0""",
-    "dis": """SELECT district_id, list_filter(string_split_regex(lower(code), '[^a-z0-9]+'),
-        lambda w: length(w) >= 4) AS words, regexp_replace(regexp_replace(regexp_replace(
-        lower(code), '^[0-9]+[_-]', ''), '[_-][a-z]{2}$', ''), '[^a-z0-9]', '', 'g') AS core
-        FROM districts"""})
+    "lab": f"SELECT label_id, city, {WORDS.format(c='label_name')} AS words, {CORE.format(c='label_name')} AS core FROM labels0",
+    "dis": f"SELECT district_id, string_split_regex(lower(code), '[^a-z0-9]+') AS ws, {WORDS.format(c='code')} AS words, "
+           f"{CORE.format(c='code')} AS core FROM districts",
+    "city_of": """SELECT DISTINCT d.district_id, l.city FROM dis d, (SELECT DISTINCT city FROM lab) l, range(1, 8) a(i), range(1, 8) b(n)
+      WHERE i + n - 1 <= len(d.ws) AND array_to_string(d.ws[i:i + n - 1], '') = l.city""",
+    "met": """SELECT label_id, district_id, rk, EXISTS (SELECT 1 FROM city_of c WHERE c.district_id = m.district_id AND c.city = m.city)
+        AS holds_city FROM (
+        SELECT label_id, l.city, district_id, 1 AS rk FROM lab l JOIN dis d ON l.core = d.core WHERE l.core <> ''
+        UNION SELECT label_id, l.city, district_id, 2 FROM lab l JOIN dis d ON len(list_intersect(l.words, d.words)) > 0
+        UNION SELECT label_id, l.city, district_id, 3 FROM lab l JOIN dis d ON l.core <> '' AND d.core <> ''
+          AND (contains(d.core, l.core) OR contains(l.core, d.core))) m"""})
 def _(L):
     d = L.view("districts")
     s = L.table("supplier").select("s_suppkey", F.expr("s_suppkey div 2").alias("district_id"))
-    lab = s.join(d.select("district_id", "code", "nk"), "district_id").select(
-        F.col("s_suppkey").alias("label_id"), F.expr(
-            "CASE s_suppkey % 3 WHEN 0 THEN code WHEN 1 THEN 'The City' || CAST(nk AS STRING) || "
-            "' stadium' ELSE substr(code, 4, 8) END").alias("label_name"))
-    return spatial.match_by_name(lab, d, "label_name", "code")
+    lab = s.join(d.select("district_id", "code", "nk", "city"), "district_id").select(
+        F.col("s_suppkey").alias("label_id"), "city", F.expr(LABEL_NAME.format(str="STRING")).alias("label_name"))
+    return spatial.match_by_name(lab, d, "label_name", "code", "city")
 
 
 GAPS = {

@@ -193,17 +193,36 @@ def _(L):
 KDE_INSIDE = boundary_cells(25)
 
 
-@query("a31_kernel_density", f"""
-    SELECT district_id, cx AS cell_x, cy AS cell_y, density FROM (SELECT district_id, cx, cy, density,
-        quantile_cont(density, 0.25) OVER (PARTITION BY district_id) AS q FROM (
-        SELECT district_id, cx, cy, sum(exp(-d2 / (2 * 76.2 * 76.2))) AS density FROM (
-          SELECT p.district_id, a.cx, b.cy, pow((a.cx + 0.5) * 25 - p.x, 2) + pow((b.cy + 0.5) * 25 - p.y, 2)
-            AS d2 FROM places p, range(-14, 55) a(cx), range(-14, 55) b(cy)) s
-        WHERE d2 <= pow(4 * 76.2, 2) GROUP BY ALL) k) z
-    JOIN ({KDE_INSIDE}) i USING (district_id, cx, cy) WHERE density >= q""", "density")
+def density_sql(points: str, least: int) -> str:
+    """SQL: every place at every cell of the canvas, no kernel cut short."""
+    return f"""
+    SELECT district_id, category, cx AS cell_x, cy AS cell_y, density FROM (SELECT *,
+        quantile_cont(density, 0.25) OVER (PARTITION BY district_id, category) AS q FROM (
+        SELECT district_id, category, cx, cy, sum(exp(-(pow((cx + 0.5) * 25 - x, 2) + pow((cy + 0.5) * 25 - y, 2))
+          / (2 * 76.2 * 76.2))) AS density FROM (SELECT *, count(*) OVER (PARTITION BY district_id, category) AS n FROM ({points}) p) p,
+          range(0, 40) a(cx), range(0, 40) b(cy) WHERE n >= {least} GROUP BY ALL) k WHERE density > 0) z
+    JOIN ({KDE_INSIDE}) i USING (district_id, cx, cy) WHERE density >= q"""
+
+
+def canvas_box(L):
+    return L.view("districts").select("district_id", F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"),
+                                      F.lit(999.0).alias("xmax"), F.lit(999.0).alias("ymax"))
+
+
+def program_density(L, points, least):
+    return raster.kernel_density(points, L.boundaries(), canvas_box(L), 25.0, 250 * 0.3048, min_points=least, category="category")
+
+
+@query("a31_kernel_density", density_sql("SELECT district_id, 'all' AS category, x, y FROM places", 5), "density")
+def _(L):
+    return program_density(L, L.view("places").select("district_id", F.lit("all").alias("category"), "x", "y"), 5)
+
+
+@query("a31_category_density", density_sql(
+    "SELECT district_id, program AS category, x, y FROM place_zone WHERE zone = 'interior'", 5), "density")
 def _(L):
-    return raster.kernel_density(L.view("places").select("district_id", "x", "y"), L.boundaries(),
-                                 25.0, 250 * 0.3048)
+    inside = spatial.spatial_join(L.places(), L.boundaries(), [], how="left_semi")
+    return program_density(L, inside.select("district_id", F.col("program").alias("category"), "x", "y"), 5)
 
 
 def canvas_cells(L, n: int = 50):
@@ -253,7 +272,19 @@ def _(L):
     return raster.texture(level)
 
 
-@query("a35_line_alignment")
+@query("a35_line_alignment", """
+    SELECT district_id, count(*) AS line_count, avg((exp(-pow(t * 5.0, 2) / 200) + exp(-pow(t * 5.0 - 180, 2) / 200)) / 2) AS h_score,
+      avg(exp(-pow(t * 5.0 - 90, 2) / 200)) AS v_score FROM (
+      SELECT b.district_id, b.t, b.rho, b.votes, max(b.votes) OVER (PARTITION BY b.district_id) AS top,
+        EXISTS (SELECT 1 FROM bins o, (VALUES (-2), (-1), (0), (1), (2)) v(d) WHERE o.district_id = b.district_id
+          AND o.t = (b.t + d + 36) % 36 AND abs(o.rho - b.rho * CASE WHEN b.t + d BETWEEN 0 AND 35 THEN 1 ELSE -1 END) <= 9
+          AND (o.votes > b.votes OR o.votes = b.votes AND (o.t < b.t OR o.t = b.t AND o.rho < b.rho))) AS beaten
+      FROM bins b) q WHERE NOT beaten AND votes >= 0.3 * top GROUP BY 1""", "h_score v_score", extra={**FEX, "rim": """
+    SELECT DISTINCT f.district_id, f.cx, f.cy FROM fig f, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(i, j)
+      WHERE NOT EXISTS (SELECT 1 FROM fig o WHERE o.district_id = f.district_id AND o.cx = f.cx + i AND o.cy = f.cy + j)""",
+    "bins": """SELECT district_id, t, rho, count(*) AS votes FROM (SELECT district_id, t,
+        CAST(round(round(cx * cos(radians(t * 5.0)) + cy * sin(radians(t * 5.0)), 6)) AS INT) AS rho FROM rim, range(0, 36) a(t)) r
+      GROUP BY ALL"""})
 def _(L):
     return raster.line_alignment(figure(L))
 
