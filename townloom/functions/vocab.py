@@ -331,3 +331,22 @@ THUMBNAIL_SIMPLIFY = 4.0
 THUMBNAIL_MIN_AREA_FRACTION = 0.00003
 CANVAS_MAX_BUILDINGS = 20000
 AXIS_END_BUFFER_M = 50.0
+
+# Thematic charts: fixed values, x and y feature of each.
+THEMATIC_CHARTS = {
+    "Density vs coverage": ("morph_coverage", "morph_density_per_km2"),
+    "Typical vs anchor scale": ("morph_median_area_m2", "anchor_max_area_ratio"),
+    "Planned alignment vs morphological variety": ("morph_orientation_R", "morph_cluster_diversity"),
+    "Corporate vs consumer character": ("prog_pct_office", "prog_pct_retail_food_entertainment"),
+    "Venue-driven character": ("prog_pct_sport", "prog_pct_hotel"),
+    "Open space vs built density": ("prog_pct_open_space", "morph_coverage"),
+    "Anchor count vs anchor dominance": ("anchor_count_inside", "anchor_max_area_ratio"),
+    "Anchor dominance vs program mix": ("anchor_size_concentration", "prog_diversity"),
+    "Scale of the district": ("sad_area_km2", "buildings_inside_count"),
+    "Density × corporate concentration": ("morph_coverage", "prog_pct_office"),
+    "Master plan signature": ("morph_orientation_R", "morph_coverage"),
+    "Anchor signature, two readings": ("morph_area_log_skew", "anchor_max_area_ratio"),
+    "Density × wealth": ("demo_population_density", "demo_median_hh_income"),
+    "Education × racial diversity": ("demo_pct_bachelors_plus", "demo_racial_diversity"),
+    "Density × home values": ("demo_population_density", "demo_median_home_value"),
+}

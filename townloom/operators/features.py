@@ -30,6 +30,53 @@ def program_band(contrast: DataFrame, keys=KEYS) -> DataFrame:
         F.coalesce(F.sum(-p * F.log(p + F.lit(1e-12))), F.lit(0.0)).alias("prog_diversity"))
 
 
+def demographic_band(units: DataFrame, weight: str, area_km2: DataFrame, keys=KEYS) -> DataFrame:
+    """M1: people of the district's interior: overlap-weighted units, 0 where nothing is known."""
+    from townloom.functions.num import null_if_sentinel
+
+    w = F.coalesce(F.col(weight), F.lit(0.0))
+    total = lambda c: F.sum(F.coalesce(null_if_sentinel(c), F.lit(0.0)) * w)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    share = lambda part, whole: zero(F.try_divide(part, whole)) * 100.0
+
+    def mean(c):
+        people, v = F.coalesce(F.col("total_pop"), F.lit(0.0)) * w, null_if_sentinel(c)
+        ok = v.isNotNull() & (people > 0)
+        return zero(F.try_divide(F.sum(F.when(ok, v * people)), F.sum(F.when(ok, people))))
+
+    races = ["race_white", "race_black", "race_asian", "hispanic"]
+    sums = units.where(w > 0).groupBy(*keys).agg(
+        total("total_pop").alias("_pop"), mean("median_age").alias("demo_median_age"),
+        mean("median_household_income").alias("demo_median_hh_income"), mean("median_home_value").alias("demo_median_home_value"),
+        share(sum([total(f"edu_{x}") for x in ("masters", "professional", "doctorate")], total("edu_bachelors")),
+              total("edu_total_pop_25plus")).alias("demo_pct_bachelors_plus"),
+        share(total("unemployed"), total("labor_force")).alias("demo_unemployment_rate"),
+        share(total("owner_occupied"), total("occupied_total")).alias("demo_pct_owner_occupied"),
+        *[total(r).alias(f"_{r}") for r in races], total("race_total").alias("_all"))
+    other = F.greatest(F.lit(0.0), F.col("_all") - F.col("_race_white") - F.col("_race_black") - F.col("_race_asian"))
+    groups = F.filter(F.array(*[F.col(f"_{r}") for r in races], other), lambda v: v > 0)
+    whole = F.aggregate(groups, F.lit(0.0), lambda a, v: a + v)
+    entropy = F.aggregate(F.transform(groups, lambda v: v / whole), F.lit(0.0), lambda a, p: a - p * F.log(p + F.lit(1e-12)))
+    a = F.col("area_km2")
+    return sums.join(area_km2.select(*keys, "area_km2"), list(keys), "left").select(
+        *keys, zero(F.try_divide(F.col("_pop"), a)).alias("demo_population_density"), "demo_median_age", "demo_median_hh_income",
+        "demo_median_home_value", "demo_pct_bachelors_plus", "demo_unemployment_rate", "demo_pct_owner_occupied",
+        entropy.alias("demo_racial_diversity"))
+
+
+def scale_band(inside: DataFrame, area_km2: DataFrame, keys=KEYS) -> DataFrame:
+    """M1: size of the district and number of footprints inside."""
+    n = inside.groupBy(*keys).agg(F.count("*").alias("buildings_inside_count"))
+    return area_km2.select(*keys, F.col("area_km2").alias("sad_area_km2")).join(n, list(keys), "left").fillna(
+        0, ["buildings_inside_count"])
+
+
+def residential_footprint(inside: DataFrame, tag: str, keys=KEYS) -> DataFrame:
+    """M1: residential share of the built area, which replaces the share of residential places."""
+    homes = F.sum(F.when(F.col(tag).isin(V.RESIDENTIAL_BUILDING_TAGS), F.col("area_m2")).otherwise(0.0))
+    return inside.groupBy(*keys).agg((100.0 * homes / F.sum("area_m2")).alias("prog_pct_residential"))
+
+
 def connectivity(area: DataFrame, stations: DataFrame, service: DataFrame, walk: DataFrame,
                  streets: DataFrame, keys=KEYS) -> DataFrame:
     """Transit, walking and street measures per district, by area where they are counts."""
@@ -65,7 +112,8 @@ def node_features(enriched: DataFrame, shape: list[str], demographics: list[str]
         if c in V.SIZE_FEATURES:
             return num.log_size(c)
         if c in V.HU_FEATURES:
-            return num.signed_log(c)
+            # beyond 12 digits a moment is rounding noise of a symmetric shape
+            return F.when(F.abs(F.col(c)) > 12, 0.0).otherwise(num.signed_log(c))
         return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
     present = F.lit(False)

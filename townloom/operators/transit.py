@@ -88,36 +88,41 @@ def level_of_service(stop_times: DataFrame, routes: DataFrame, keys=("district_i
     """Service of the served stops of each district.
 
     `stop_times` holds only active trips (feed_id, stop_id, trip_id, route_id, dep_s) of stops
-    in the catchment; `routes` gives the mode. Trip and route ids are per feed.
+    in the catchment; `routes` gives the mode. Trip and route ids are per feed. Departures before 0:00 or
+    from 28:00 on belong to no service day and are counted in `departures_outside_day`. One pass over the
+    departures leaves a row per trip and stop; all distinct counts are taken from those rows.
     """
     k = list(keys)
-    st = stop_times.where((F.col("dep_s") >= 0) & (F.col("dep_s") < V.SERVICE_DAY_MAX_S)).join(
-        routes, ["feed_id", "route_id"], "left").withColumn("mode", F.coalesce("mode", F.lit("other")))
-    trip, route = F.struct("feed_id", "trip_id"), F.struct("feed_id", "route_id")
-    # each distinct count is its own two-step aggregate, so a hot district is pre-aggregated
-    def distinct(df, over, what, name):
-        return df.select(*over, what.alias("_w")).distinct().groupBy(*over).agg(
-            F.count("*").alias(name))
-
-    base = st.groupBy(*k).agg(F.min("dep_s").alias("_a"), F.max("dep_s").alias("_z"),
-                              F.array_join(F.array_sort(F.collect_set("mode")), ",").alias("modes"),
-                              F.size(F.collect_set("mode")).alias("n_modes"))
-    trips = distinct(st, k, trip, "trips_per_day")
-    routes_n = distinct(st, k, route, "routes_serving")
-    per_stop = distinct(st, [*k, "feed_id", "stop_id"], trip, "n").groupBy(*k).agg(
-        F.max("n").alias("busiest_stop_departures"))
-    mid = st.where((F.col("dep_s") >= V.MIDDAY_START_S) & (F.col("dep_s") < V.MIDDAY_END_S))
+    day = (F.col("dep_s") >= 0) & (F.col("dep_s") < V.SERVICE_DAY_MAX_S)
+    noon = (F.col("dep_s") >= V.MIDDAY_START_S) & (F.col("dep_s") < V.MIDDAY_END_S)
+    calls = stop_times.groupBy(*k, "feed_id", "route_id", "trip_id", "stop_id").agg(
+        F.min(F.when(day, F.col("dep_s"))).alias("_a"), F.max(F.when(day, F.col("dep_s"))).alias("_z"),
+        F.max(F.when(noon, 1).otherwise(0)).alias("_noon"),
+        F.count(F.when(~F.coalesce(day, F.lit(False)), 1)).alias("_out"))
+    # trips at each stop of each route, then stops; a trip serves a stop on one route
+    per_line = calls.groupBy(*k, "feed_id", "route_id", "stop_id").agg(
+        F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.count("_a").alias("_n"), F.sum("_noon").alias("_mid"), F.sum("_out").alias("_out"))
+    per_line = cut(per_line)
     window_min = (V.MIDDAY_END_S - V.MIDDAY_START_S) / 60
-    node = distinct(mid, [*k, "feed_id", "stop_id"], trip, "n").groupBy(*k).agg(
-        F.round(window_min / F.max("n"), 1).alias("busiest_node_headway_min"))
-    line = (distinct(mid, [*k, "feed_id", "route_id", "stop_id"], trip, "n")
-            .groupBy(*k, "feed_id", "route_id").agg((window_min / F.max("n")).alias("h")))
-    head = quantiles(line, k, "h", {"_m": 0.5}).select(
-        *k, F.round("_m", 1).alias("median_route_headway_min"))
+    per_stop = per_line.groupBy(*k, "feed_id", "stop_id").agg(F.sum("_n").alias("_n"), F.sum("_mid").alias("_mid")).groupBy(*k).agg(
+        F.max("_n").alias("busiest_stop_departures"), F.max("_mid").alias("_best"))
+    per_route = per_line.groupBy(*k, "feed_id", "route_id").agg(
+        F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.max("_mid").alias("_mid"), F.sum("_out").alias("_out")).join(
+        routes.select("feed_id", "route_id", "mode").distinct(), ["feed_id", "route_id"], "left")
+    per_route = per_route.withColumn("mode", F.when(F.col("_a").isNotNull(), F.coalesce("mode", F.lit("other")))).withColumn(
+        "_h", F.when(F.col("_mid") > 0, window_min / F.col("_mid")))
+    per_route = cut(per_route)
+    base = per_route.groupBy(*k).agg(
+        F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.array_join(F.array_sort(F.collect_set("mode")), ",").alias("modes"),
+        F.size(F.collect_set("mode")).alias("n_modes"), F.count("_a").alias("routes_serving"),
+        F.sum("_out").alias("departures_outside_day")).where("_a IS NOT NULL")
+    trips = calls.where("_a IS NOT NULL").select(*k, "feed_id", "trip_id").distinct().groupBy(*k).agg(F.count("*").alias("trips_per_day"))
+    head = quantiles(per_route, k, "_h", {"_m": 0.5}).select(*k, F.round("_m", 1).alias("median_route_headway_min"))
     out = base
-    for part in (trips, routes_n, per_stop, node, head):
+    for part in (trips, per_stop, head):
         out = out.join(part, k, "left")
-    return out.withColumn("span_hours", F.round((F.col("_z") - F.col("_a")) / 3600, 1)).drop("_a", "_z")
+    return out.withColumn("busiest_node_headway_min", F.when(F.col("_best") > 0, F.round(window_min / F.col("_best"), 1))).withColumn(
+        "span_hours", F.round((F.col("_z") - F.col("_a")) / 3600, 1)).drop("_a", "_z", "_best")
 
 
 def restrict_to_active(stop_times: DataFrame, services: DataFrame) -> DataFrame:

@@ -388,19 +388,3 @@ def _(L):
     return programs.coverage_matrix(L.view("districts"), {
         "large": L.buildings().where("area_m2 > 15000"),
         "casino": L.view("places").where("leaf = 'casino'")})
-
-
-@query("a43_scope_records", """
-    SELECT scope, id, estimated_population FROM (
-      SELECT 'district' AS scope, CAST(district_id AS VARCHAR) AS id, sum(total_pop) AS estimated_population
-      FROM units GROUP BY ALL UNION ALL
-      SELECT 'municipal', city, sum(total_pop) FROM units JOIN districts USING (district_id) GROUP BY ALL
-      UNION ALL SELECT 'metro', region, sum(total_pop) FROM units JOIN districts USING (district_id)
-      GROUP BY ALL) q""", "estimated_population")
-def _(L):
-    u = L.view("units").withColumn("one", F.lit(1.0)).join(
-        L.view("districts").select("district_id", "city", "region"), "district_id")
-    parts = [census.demographics(u, "one", (k,)).select(
-        F.lit(s).alias("scope"), F.col(k).cast("string").alias("id"), "estimated_population")
-        for s, k in (("district", "district_id"), ("municipal", "city"), ("metro", "region"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])

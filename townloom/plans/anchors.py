@@ -187,53 +187,3 @@ def _(L):
     f = card_features(L)
     cols = [f"prog_pct_{b}" for b in V.BUCKETS] + ["morph_coverage"]
     return cards.character(f, programs.peer_medians(f, "typology", cols))
-
-
-@query("a41_connectivity", """
-    SELECT d.district_id, ns / 0.25::double AS conn_stations_per_km2, nt::double AS conn_trips_per_day,
-      60 / (10 + nt % 7)::double AS conn_headway_inv, nin / ns AS conn_stops_inside_ratio,
-      ne / 0.25::double AS conn_street_density FROM districts d JOIN (SELECT district_id, count(DISTINCT stop_id) AS ns,
-        count(DISTINCT trip_id) AS nt, count(DISTINCT stop_id) FILTER (WHERE x < 500) AS nin FROM stop_times GROUP BY 1) s
-      USING (district_id) JOIN (SELECT district_id, count(*) AS ne FROM streets GROUP BY 1) e USING (district_id)""",
-       "conn_stations_per_km2 conn_trips_per_day conn_headway_inv conn_stops_inside_ratio conn_street_density")
-def _(L):
-    from townloom.operators.features import connectivity
-
-    st = L.view("stop_times")
-    area = L.view("districts").select("district_id", F.lit(0.25).alias("area_km2"))
-    stops = st.select("district_id", "stop_id", "x").distinct().groupBy("district_id").agg(
-        F.count("*").alias("total_stations"), F.count("*").alias("stops_in_buffer"),
-        F.count(F.when(F.col("x") < 500, 1)).alias("stops_inside"))
-    trips = st.select("district_id", "trip_id").distinct().groupBy("district_id").agg(
-        F.count("*").alias("trips_per_day")).withColumn(
-        "median_route_headway_min", 10.0 + F.col("trips_per_day") % 7).withColumn(
-        "routes_serving", F.lit(None).cast("long")).withColumn("span_hours", F.lit(None).cast("double"))
-    walk = area.select("district_id", F.lit(None).cast("double").alias("walk_area"))
-    streets = L.view("streets").groupBy("district_id").agg(F.count("*").alias("feature_count")).withColumn(
-        "mean_centrality_nonzero", F.lit(None).cast("double"))
-    return connectivity(area, stops, trips, walk, streets).select(
-        "district_id", "conn_stations_per_km2", "conn_trips_per_day", "conn_headway_inv",
-        "conn_stops_inside_ratio", "conn_street_density")
-
-
-@query("r8_node_features", """
-    SELECT building_id, ln(1 + area_m2) AS shape__area_m2, ln(1 + coalesce(n, 0)) AS prog__count_inside_log,
-      coalesce(share, 0) AS prog__hotel, ln(1 + coalesce(na, 0)) AS prog_adj__count_adjacent_log,
-      CASE WHEN u.unit_id IS NULL THEN 0.0 ELSE 1.0 END::double AS demo__present,
-      CASE WHEN u.unit_id IS NULL THEN 0.0 ELSE ln(1 + u.total_pop) END AS demo__total_pop,
-      CASE WHEN zone = 'interior' THEN 1.0 ELSE 0.0 END::double AS zone__interior FROM bld_zone b
-    LEFT JOIN (SELECT building_id, count(*) AS n, count(*) FILTER (WHERE program = 'hotel') / count(*) AS share FROM place_bld
-      WHERE inside GROUP BY 1) i USING (building_id)
-    LEFT JOIN (SELECT building_id, count(*) AS na FROM place_bld WHERE dist <= 10 GROUP BY 1) a USING (building_id)
-    LEFT JOIN units u ON u.district_id = b.district_id AND u.ux <= cx AND cx < u.ux + 250 AND u.uy <= cy AND cy < u.uy + 250""",
-       "shape__area_m2 prog__count_inside_log prog__hotel prog_adj__count_adjacent_log demo__present demo__total_pop zone__interior")
-def _(L):
-    from townloom.operators.features import node_features
-
-    b = zoned_buildings(L)
-    people = spatial.transfer_first(b, L.units(), "building_id", "unit_id", ["total_pop", "median_age"])
-    e = programs.building_programs(b, L.places()).join(
-        people.select("building_id", "total_pop", "median_age"), "building_id")
-    n = node_features(e, ["area_m2", "perimeter_m"], ["total_pop", "median_age"])
-    return n.select("building_id", "shape__area_m2", "prog__count_inside_log", "prog__hotel",
-                    "prog_adj__count_adjacent_log", "demo__present", "demo__total_pop", "zone__interior")

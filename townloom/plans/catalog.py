@@ -34,5 +34,5 @@ def load_all() -> None:
     import importlib
 
     for module in ("classification", "geometry", "joins", "aggregates", "rankings", "panels",
-                   "transit", "rasters", "graphs", "similarity", "anchors", "sources"):
+                   "transit", "rasters", "graphs", "similarity", "anchors", "bands", "sources"):
         importlib.import_module(f"townloom.plans.{module}")

@@ -10,6 +10,7 @@ from townloom.functions import vocab as V
 from townloom.operators import spatial, transit
 from townloom.plans.catalog import query
 from townloom.plans.classification import ROUTE_TYPE
+from townloom.plans.fixtures import crosses, seg_d2
 
 # Weekday patterns of the five services of each feed.
 PATTERNS = ["1111100", "1111111", "0000011", "0010100", "1010101"]
@@ -66,28 +67,73 @@ def _(L):
     return transit.representative_dates(cal, exc, "2024-01-20")
 
 
-@query("a14_level_of_service", f"""
+def service_sql(source: str) -> dict:
+    """CTEs: level of service of the departures of `source`."""
+    return {
+        "st": f"SELECT s.*, mode FROM ({source}) s JOIN {MODES} USING (route_id) WHERE dep_s < 100800",
+        "mid": "SELECT * FROM st WHERE dep_s >= 36000 AND dep_s < 54000",
+        "los": f"""
     SELECT district_id, count(DISTINCT (feed_id, trip_id)) AS trips_per_day,
       count(DISTINCT (feed_id, route_id)) AS routes_serving,
       string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes, CAST(count(DISTINCT mode) AS INTEGER) AS n_modes,
       any_value(best) AS busiest_stop_departures, any_value(node) AS busiest_node_headway_min,
-      any_value(med) AS median_route_headway_min,
+      any_value(med) AS median_route_headway_min, any_value(outside) AS departures_outside_day,
       round((max(dep_s) - min(dep_s)) / 3600.0, 1) AS span_hours
-    FROM st LEFT JOIN (SELECT district_id, max(n) AS best FROM (SELECT district_id, feed_id, stop_id,
+    FROM st JOIN (SELECT district_id, count(*) FILTER (WHERE dep_s < 0 OR dep_s >= 100800) AS outside FROM ({source}) a GROUP BY 1) o
+      USING (district_id)
+    LEFT JOIN (SELECT district_id, max(n) AS best FROM (SELECT district_id, feed_id, stop_id,
         count(DISTINCT trip_id) AS n FROM st GROUP BY ALL) q GROUP BY 1) b USING (district_id)
     LEFT JOIN (SELECT district_id, round(300.0 / max(n), 1)::double AS node FROM (SELECT district_id, feed_id,
         stop_id, count(DISTINCT trip_id) AS n FROM mid GROUP BY ALL) q GROUP BY 1) c USING (district_id)
     LEFT JOIN (SELECT district_id, round(median(h), 1) AS med FROM (SELECT district_id, 300.0::double / max(n) AS h
         FROM (SELECT district_id, feed_id, route_id, stop_id, count(DISTINCT trip_id) AS n FROM mid
         GROUP BY ALL) q GROUP BY district_id, feed_id, route_id) r GROUP BY 1) d USING (district_id)
-    GROUP BY 1""", "busiest_node_headway_min median_route_headway_min span_hours", extra={
-    "st": f"SELECT s.*, mode FROM stop_times s JOIN {MODES} USING (route_id) WHERE dep_s < 100800",
-    "mid": "SELECT * FROM st WHERE dep_s >= 36000 AND dep_s < 54000"})
+    GROUP BY 1"""}
+
+
+LOS_COLS = "busiest_node_headway_min median_route_headway_min span_hours"
+
+
+def route_modes(L):
+    return L.view("stop_times").select("feed_id", "route_id").distinct().withColumn("mode", route_mode(F.expr(ROUTE_TYPE)))
+
+
+@query("a14_level_of_service", "SELECT * FROM los", LOS_COLS, extra=service_sql("SELECT * FROM stop_times"))
 def _(L):
-    st = L.view("stop_times")
-    routes = st.select("feed_id", "route_id").distinct().withColumn(
-        "mode", route_mode(F.expr(ROUTE_TYPE)))
-    return transit.level_of_service(st, routes)
+    return transit.level_of_service(L.view("stop_times"), route_modes(L))
+
+
+# Stops inside the boundary or within 100 m of it, and on their feed's representative day the trips of active services.
+CAUGHT = f"""
+    SELECT district_id, feed_id, stop_id, inside FROM (SELECT s.district_id, s.feed_id, s.stop_id,
+        count(*) FILTER (WHERE {crosses('s.x', 's.y')}) % 2 = 1 AS inside, min({seg_d2('s.x', 's.y')}) AS d2
+      FROM (SELECT DISTINCT district_id, feed_id, stop_id, x, y FROM stop_times) s JOIN bnd e USING (district_id) GROUP BY ALL) q
+    WHERE inside OR sqrt(d2) <= 100"""
+SERVED = """SELECT s.* FROM stop_times s JOIN (SELECT DISTINCT district_id, feed_id, stop_id FROM caught) c
+      USING (district_id, feed_id, stop_id)
+    WHERE EXISTS (SELECT 1 FROM rep r JOIN active a ON a.feed_id = r.feed_id AND a.day = r.date
+      WHERE a.feed_id = s.feed_id AND a.service_id = s.service_id)
+      OR NOT EXISTS (SELECT 1 FROM rep r JOIN active a ON a.feed_id = r.feed_id AND a.day = r.date WHERE a.feed_id = s.feed_id)"""
+SERVICE = {"cal": CAL, "exc": EXC, "asked": WEDS, "active": ACTIVE, "rep": REP, "caught": CAUGHT, **service_sql(SERVED)}
+
+
+def caught_stops(L):
+    stops = L.view("stop_times").select("district_id", "feed_id", "stop_id", "x", "y").distinct()
+    return spatial.catchment(stops, L.boundaries(), 100.0)
+
+
+def served_departures(L):
+    """J11, T7, T8 in a row: departures of active trips at stops of the catchment."""
+    cal, exc = calendars(L)
+    days = transit.representative_dates(cal, exc, "2024-01-20").select("feed_id", "date")
+    running = transit.restrict_to_active(L.view("stop_times"), transit.active_services(cal, exc, days))
+    stops = caught_stops(L).select("district_id", "feed_id", "stop_id").distinct()
+    return running.join(stops, ["district_id", "feed_id", "stop_id"], "left_semi")
+
+
+@query("a14_service_of_catchment", "SELECT * FROM los", LOS_COLS, extra=SERVICE)
+def _(L):
+    return transit.level_of_service(served_departures(L), route_modes(L))
 
 
 @query("a14_restricted_to_active", """
