@@ -197,6 +197,26 @@ def test_one_of_each(docs):
     assert 10 in ids and not {11, 12, 13, 14, 15} & set(ids) and ids.count(3) == 1 and {0, 1, 2} <= set(ids)
 
 
+def test_texts_under_one_id_are_not_dropped_for_each_other(spark):
+    a, b, c = prose(60, 50), prose(61, 50), prose(62, 50)
+    df = spark.createDataFrame([(5, a), (5, b), (5, b), (7, a), (9, c)], "doc_id bigint, text string")
+    kept = sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect())
+    assert kept == sorted([(5, a), (5, b), (9, c)])
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in jaccard_join.components(edges).collect()} == {0}
+
+
+def test_equal_halves_of_tokens_hide_no_link(spark):
+    """Tokens whose upper halves are all equal: the filter of the other orders still passes the pair."""
+    same = jaccard_join.F.array(*[jaccard_join.F.lit(7)] * 5)
+    hidden = F.least(F.size(same) - F.size(F.array_distinct(same)), F.lit(9))
+    got = spark.range(1).select((F.size(F.array_intersect(same, same)) + hidden).alias("n")).first()
+    assert got.n == 5
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(5, 40).split(" ")
     rows = [(100, prose(50, 200) + " " + " ".join(item) + " " + prose(51, 200)), (101, prose(52, 100) + " " + " ".join(item[:25])),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from townloom.llm.bytesops import lower_ascii, mix, release_caches, spans_hash, text_bytes, word_spans
 from townloom.llm.decontamination import small
 from townloom.llm.wordcodes import batches_by_bytes
-from townloom.session import cut
+from townloom.session import cut, cut_round
 
 ORDERS = 3
 HOT_TOKENS = 200_000  # tokens that the orders rank by frequency, at most; any list keeps the join exact
@@ -175,7 +175,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
         out = [*own(batch, sets, sizes), pa.array(sizes.astype(np.int32))]
         for order in range(1, ORDERS):
             tokens, kept = prefixes(sets, sizes, classes, order, percent, hot)
-            # 32 bits of each token: a filter may pass more, never less
+            # 32 bits of each token: a filter may pass more, never less (see `hidden` below)
             out.append(lists(pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)), kept))
         return out
 
@@ -193,7 +193,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
     for c in columns:
         # one of the prefixes ends first; what it does not hold of the other is not shared, so beyond
         # the common prefix tokens at most the rest of that set is
-        common_tokens = F.size(F.array_intersect("l" + c, "r" + c))
+        # (tokens of equal halves within one prefix count once in the intersection; what that may hide is added)
+        hidden = F.least(*(F.size(side + c) - F.size(F.array_distinct(side + c)) for side in ("l", "r")))
+        common_tokens = F.size(F.array_intersect("l" + c, "r" + c)) + hidden
         rest = F.greatest(F.col("ln") - F.size("l" + c), F.col("rn") - F.size("r" + c))
         met = met.where((common_tokens > 0) & (common_tokens + rest >= needed(F.col("ln"), F.col("rn"), percent)))
     met = cut(met.select("a", "b"))
@@ -211,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until no edge changes; each round cuts its lineage.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = cut_round(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -219,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(low, "a")
-        edges = cut(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).distinct())
+        edges = cut_round(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -236,11 +238,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` without near copies: of each component the document with the smallest id stays, once.
 
-    Rows without shingles stay, once per id. Other columns are kept as they are.
+    Rows without shingles stay, once per id. Different texts under an id that stays all stay, each once: none of
+    them is dropped for another. Other columns are kept as they are. An empty table gives an empty one.
     """
-    keyed = df.withColumn("townloom_key", row_key(F.col("doc_id"), F.col("text")))
+    keyed = df.withColumn("townloom_key", row_key(F.col("doc_id"), F.col("text"))).withColumn("townloom_text", F.xxhash64("text"))
     kept = similarity_keys(df, n, percent).where("key = component").select(F.col("key").alias("townloom_key")).distinct()
-    return keyed.join(kept, "townloom_key", "left_semi").dropDuplicates(["townloom_key"]).drop("townloom_key")
+    return keyed.join(kept, "townloom_key", "left_semi").dropDuplicates(["townloom_key", "townloom_text"]).drop(
+        "townloom_key", "townloom_text")
 
 
 def similarity_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
