@@ -20,12 +20,12 @@ from townloom.llm.bytesops import mix
 from townloom.llm.jaccard_join import NO_ID, alike, components, lists, mapped, needed, row_key, signature
 from townloom.session import cut
 
-BANDS, BAND_ROWS = 32, 6  # a pair at 0.85 shares no band with probability (1 - 0.85 ** 6) ** 32, below 3e-7
-HASHES = BANDS * BAND_ROWS
+BANDS, BAND_ROWS = 25, 5  # a pair at 0.85 shares no band with probability (1 - 0.85 ** 5) ** 25, below 5e-7
+HASHES = 128  # values of a signature, the first of which make the bands; 16 bits are kept of each
 BATCH = 32  # signature values compared between two looks at the posterior
 MISS = 1e-6  # a pair is dropped when it reaches the threshold with less than this probability
 CHUNK = 1 << 16  # shingles hashed at once
-DENSE = 32  # pairs a text in a bucket from which its texts are compared by their rare shingles
+DENSE = 8  # pairs a text in a bucket from which its texts are compared by their rare shingles
 SALT_ROWS = 2000  # rows of one key that meet the other side in one task
 
 
@@ -35,8 +35,8 @@ def hash_seeds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """HASHES minima of every row's shingles; rows without shingles have zeros."""
-    out = np.zeros((len(sizes), HASHES), np.uint32)
+    """The low bits of HASHES minima of every row's shingles; rows without shingles have zeros."""
+    out = np.zeros((len(sizes), HASHES), np.uint16)
     x = (sets >> np.uint64(32)).astype(np.uint32)
     flip, times = hash_seeds()
     filled = np.flatnonzero(sizes)
@@ -50,14 +50,14 @@ def minhashes(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             h = (part ^ flip[k]) * times[k]
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
-            out[filled[i:j], k] = np.minimum.reduceat(h, at)
+            out[filled[i:j], k] = np.minimum.reduceat(h, at) & np.uint32(0xFFFF)
         i = j
     return out
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """A 64-bit key of every band of every signature."""
-    rows = signatures.reshape(len(signatures), BANDS, BAND_ROWS).astype(np.uint64)
+    rows = signatures[:, :BANDS * BAND_ROWS].reshape(len(signatures), BANDS, BAND_ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
     for r in range(BAND_ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
@@ -82,7 +82,7 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
 
 def signature_rows(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<u4").reshape(len(rows), HASHES)
+    return np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), HASHES)
 
 
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -203,8 +203,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 85, id_col: str =
     def summary(batch, sets, sizes, classes):
         a, b = signature(sets, sizes)
         minima = minhashes(sets, sizes)
-        width = 4 * HASHES
-        packed = pa.Array.from_buffers(pa.binary(width), len(minima), [None, pa.py_buffer(minima.astype("<u4").tobytes())])
+        packed = pa.Array.from_buffers(pa.binary(2 * HASHES), len(minima), [None, pa.py_buffer(minima.astype("<u2").tobytes())])
         return [batch.column(0), pa.array(sizes.astype(np.int32)), pa.array(a), pa.array(b), packed.cast(pa.binary())]
 
     members = mapped(docs, "key bigint, n int, sig_a bigint, sig_b bigint, minima binary", n, summary).select(
