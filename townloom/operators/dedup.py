@@ -2,9 +2,10 @@
 
 A point is kept when no kept earlier point of the same name lies within the distance, so its fate can hang
 on a long chain of others. A round cuts the plane into tiles and follows all chains inside a tile at once;
-only points that wait for an open point of another tile stay open. Tiles double from round to round
-while they hold few enough points, so the rounds grow with the logarithm of a chain's length. A tile with more
-points is not gathered: of it, the earliest open point of each small cell is looked at, as often as it takes.
+only points that wait for an open point of another tile stay open. Tiles double from round to round as long
+as none holds too many points, so rounds grow with the logarithm of a chain's length up to what a task
+holds, then with the number of such tiles a chain crosses. A tile with more points is not gathered: of it, the earliest
+open point of each small cell is looked at, and the next round goes back to smaller tiles.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ def greedy_dedup(points: DataFrame, order: str, name: str, distance: float, keys
     spots = named.groupBy(*k, "x", "y").agg(F.min(order).alias("_id"))
     size = distance / 1.4143  # a cell can keep only one point
     open_ = cut(spots.withColumn("_cx", geo.cell_of("x", size)).withColumn("_cy", geo.cell_of("y", size)))
-    kept, level = [], 0
+    kept, level, highest = [], 0, TILE_SIZES
     for nth in range(MAX_ROUNDS):
         left = open_.count()
         if rounds is not None and nth:
             rounds.append(left)
         if not left:
             break
-        edge = distance * FIRST_TILE * 2 ** min(level, TILE_SIZES)
+        edge = distance * FIRST_TILE * 2 ** level
         tile = lambda v: geo.cell_of(v, edge)
         tiled = open_.withColumn("_tx", tile("x")).withColumn("_ty", tile("y"))
         full = tiled.groupBy(*k, "_tx", "_ty").agg(F.count("*").alias("_n")).where(F.col("_n") > tile_points)
@@ -58,7 +59,8 @@ def greedy_dedup(points: DataFrame, order: str, name: str, distance: float, keys
         near = ((F.col("x") - F.col("_fx")) ** 2 + (F.col("y") - F.col("_fy")) ** 2) <= distance * distance
         gone = _around(sure, k).join(open_, [*k, "_cx", "_cy"]).where(near).select(*keys, "_id").distinct()
         open_ = cut(open_.join(gone, [*keys, "_id"], "left_anti"))
-        level = level if crowded else level + 1
+        highest = max(level - 1, 0) if crowded else highest
+        level = min(level + 1, highest)
     else:
         raise RuntimeError(f"points are still open after {MAX_ROUNDS} rounds")
     unnamed = points.where(clean == "")
