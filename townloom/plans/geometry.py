@@ -217,3 +217,19 @@ def _(L):
     lines = transit.lines_from_points(L.view("stop_times"), ["feed_id", "route_id", "trip_id"], "seq")
     best = transit.longest_line(lines, ["feed_id", "route_id"], "trip_id")
     return best.select("feed_id", "route_id", "trip_id", "length_m", F.size("line").alias("points"))
+
+
+# Trips with an even number have a drawn shape; routes without any take the stops of their longest trip.
+@query("g18_route_lines", """
+    SELECT feed_id, route_id, max_by(trip_id, (drawn, round(len, 4), -trip_id)) AS ident,
+      max_by(round(len, 4), (drawn, round(len, 4), -trip_id)) AS length_m,
+      CASE WHEN max(drawn) = 1 THEN 'shape' ELSE 'stops' END AS basis
+    FROM (SELECT feed_id, route_id, trip_id, (trip_id % 2 = 0)::INT AS drawn, coalesce(sum(d), 0) AS len FROM (
+      SELECT feed_id, route_id, trip_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d
+      FROM stop_times WINDOW w AS (PARTITION BY feed_id, trip_id ORDER BY seq)) s GROUP BY ALL) t
+    GROUP BY ALL""", "length_m")
+def _(L):
+    from townloom.operators import transit
+
+    lines = transit.lines_from_points(L.view("stop_times"), ["feed_id", "route_id", "trip_id"], "seq").withColumnRenamed("trip_id", "ident")
+    return transit.route_lines(lines.where("ident % 2 = 0"), lines, ["feed_id", "route_id"]).drop("line")

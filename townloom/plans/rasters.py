@@ -242,7 +242,30 @@ FIG = ("SELECT DISTINCT district_id, cx, cy FROM fig0 WHERE cx BETWEEN 0 AND 49
 FEX = {"fig0": building_cells(20), "fig": FIG}
 
 
-@query("a32_field_metrics")
+def patches_sql(cells: str) -> str:
+    """SQL: the cells with the smallest label that reaches them over shared sides."""
+    return f"""SELECT * FROM (WITH RECURSIVE sides AS MATERIALIZED (
+        SELECT a.district_id, a.cx * 1000 + a.cy AS u, b.cx * 1000 + b.cy AS v FROM (SELECT c.*, i, j FROM {cells} c,
+          (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) w(i, j)) a
+        JOIN {cells} b ON b.district_id = a.district_id AND b.cx = a.cx + a.i AND b.cy = a.cy + a.j),
+      t(district_id, u, l) USING KEY (district_id, u) AS (
+        SELECT district_id, cx * 1000 + cy, cx * 1000 + cy FROM {cells} UNION
+        SELECT x.district_id, x.u, min(x.l) FROM (SELECT s.district_id, s.v AS u, t.l FROM t JOIN sides s
+          ON s.district_id = t.district_id AND s.u = t.u) x
+        JOIN recurring.t r ON r.district_id = x.district_id AND r.u = x.u WHERE x.l < r.l GROUP BY ALL)
+      SELECT * FROM t) q"""
+
+
+@query("a32_field_metrics", """
+    SELECT d.district_id, coalesce(f.s, 0) / 2500.0 AS coverage, f.n AS component_count, f.m AS component_mean,
+      f.md AS component_median, f.mx AS component_max, coalesce(h.mx, 0) AS largest_void FROM districts d
+    LEFT JOIN (SELECT district_id, sum(c)::BIGINT AS s, count(*) AS n, avg(c) AS m, median(c)::double AS md, max(c) AS mx FROM (
+      SELECT district_id, l, count(*) AS c FROM built GROUP BY ALL) p GROUP BY 1) f USING (district_id)
+    LEFT JOIN (SELECT district_id, max(c) AS mx FROM (SELECT district_id, l, count(*) AS c FROM open_space GROUP BY ALL) p
+      GROUP BY 1) h USING (district_id)""", "coverage component_mean component_median", extra={
+    **FEX, "built": patches_sql("fig"), "empty_cells": """SELECT d.district_id, a.cx, b.cy FROM districts d, range(0, 50) a(cx),
+      range(0, 50) b(cy) WHERE NOT EXISTS (SELECT 1 FROM fig f WHERE f.district_id = d.district_id AND f.cx = a.cx AND f.cy = b.cy)""",
+    "open_space": patches_sql("empty_cells")})
 def _(L):
     return raster.field_metrics(figure(L), canvas_cells(L))
 

@@ -360,6 +360,21 @@ def _(L):
     return clustering.form_families(z, ["district_id", "building_id"], cols)[0]
 
 
+FORMS = {"form": """SELECT building_id, district_id, cluster_id, ln(1 + area_m2) AS la,
+      4 * pi() * area_m2 / pow(perimeter_m, 2) AS compactness FROM buildings""",
+         "middle": "SELECT cluster_id AS family, avg(la) AS la, avg(compactness) AS compactness FROM form GROUP BY 1"}
+
+
+@query("m21_nearest_family", """
+    SELECT building_id, arg_min(family, (round(pow(f.la - m.la, 2) + pow(f.compactness - m.compactness, 2), 9), family)) AS family
+    FROM form f, middle m GROUP BY 1""", extra=FORMS)
+def _(L):
+    cols = ["la", "compactness"]
+    rows = shape_rows(L).join(L.buildings().select("building_id", "cluster_id"), "building_id")
+    middle = rows.groupBy(F.col("cluster_id").alias("family")).agg(*[F.avg(c).alias(c) for c in cols])
+    return clustering.nearest_family(rows, middle, "building_id", cols)
+
+
 def ward_rows(L):
     return clustering.prepare_tree(shape_rows(L), "building_id",
                                    ["la", "compactness", "solidity", "bbox_elongation"])
