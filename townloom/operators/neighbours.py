@@ -173,11 +173,12 @@ def visits(queries: DataFrame, tree: PivotTree, k: int, id_type: str, margin: fl
                 row, cell = tree.home(x, k)
                 if not first:
                     bound = part["bound"].fillna(np.inf).to_numpy() + margin
-                    seen = set((row * len(tree.pivots) + cell).tolist())
+                    seen = row * len(tree.pivots) + cell
                     row, cell = tree.within(x, bound)
-                    new = np.array([v not in seen for v in (row * len(tree.pivots) + cell).tolist()], bool)
+                    new = ~np.isin(row * len(tree.pivots) + cell, seen)
                     row, cell = row[new], cell[new]
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "vec": part["vec"].to_numpy()[row], "cell": cell})
+                if len(row):
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[row], "vec": part["vec"].to_numpy()[row], "cell": cell})
 
     return queries.mapInPandas(look, f"id {id_type}, vec array<double>, cell long")
 
@@ -205,8 +206,9 @@ def solved(pairs: DataFrame, k: int, id_type: str, metric: str, shared: bool, di
                 r = np.repeat(np.arange(len(qi)), best.shape[1])
                 col = best.ravel()
                 ok = np.isfinite(dist[r, col])
-                yield pd.DataFrame({"id": qi[r][ok], "neighbor": ci[col][ok], "distance": dist[r, col][ok],
-                                    "dims": dims[r, col][ok].astype("int64")})
+                if ok.any():
+                    yield pd.DataFrame({"id": qi[r][ok], "neighbor": ci[col][ok], "distance": dist[r, col][ok],
+                                        "dims": dims[r, col][ok].astype("int64")})
 
     return pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(
         solve, f"id {id_type}, neighbor {id_type}, distance double, dims long")

@@ -260,7 +260,8 @@ def kernel_density(points: DataFrame, boundaries: DataFrame, canvas: DataFrame,
                 factor = lambda at, p: np.exp(-((at[:, None] + 0.5) * cell - np.asarray(p)[None, :]) ** 2 / (2 * bandwidth ** 2))
                 total = (factor(cx, row["xs"]) * np.asarray(row["ws"])) @ factor(cy, row["ys"]).T
                 i, j = np.nonzero(total)
-                yield pd.DataFrame({**{c: [row[c]] * len(i) for c in k}, "cell_x": cx[i], "cell_y": cy[j], "density": total[i, j]})
+                if len(i):
+                    yield pd.DataFrame({**{c: [row[c]] * len(i) for c in k}, "cell_x": cx[i], "cell_y": cy[j], "density": total[i, j]})
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in k) + ", cell_x bigint, cell_y bigint, density double"
     dens = pairs.mapInPandas(sums, schema).groupBy(*k, "cell_x", "cell_y").agg(F.sum("density").alias("density"))
