@@ -124,3 +124,24 @@ def test_tile_join_equals_brute_force(spark):
     assert left.where("pid is null").count() == 600 - len({i for i, _ in want})
     d = spatial.spatial_join(pt, pg, ["pid"], within=9.0, tile=30.0, distance_as="d")
     assert {(r.id, r.pid) for r in d.where("d = 0").collect()} == want
+
+
+def test_arc_position_takes_the_first_of_equally_near_sides(spark):
+    """Places on a diagonal of the octagon are as near to two sides, but for the last bit of the distances."""
+    r, h = 337.0, 235.0
+    ring = [(500 + r, 500.0), (500 + h, 500 + h), (500.0, 500 + r), (500 - h, 500 + h), (500 - r, 500.0),
+            (500 - h, 500 - h), (500.0, 500 - r), (500 + h, 500 - h), (500 + r, 500.0)]
+    pts = [(500.0 + a, 500.0 + b) for a in np.arange(-240, 240, 7.75) for b in (a, -a)]
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in ring], float(x), float(y)) for x, y in pts],
+                               f"ring {geo.POLYGON[6:-1]}, x double, y double")
+    got = [v.a for v in df.select(geo.arc_position("ring", "x", "y").alias("a")).collect()]
+    for (x, y), at in zip(pts, got):
+        best, walked, want = None, 0.0, None
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            dx, dy = x2 - x1, y2 - y1
+            t = min(max(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0), 1)
+            d2 = (x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2
+            if best is None or d2 < best - 1e-7:
+                best, want = d2, walked + t * np.hypot(dx, dy)
+            walked += np.hypot(dx, dy)
+        assert at == pytest.approx(want)

@@ -172,7 +172,10 @@ def polygon_gap(edges_a, edges_b) -> Column:
 
 
 def arc_position(ring, x, y) -> Column:
-    """Distance along a ring to its point nearest to (x, y); the first nearest wins."""
+    """Distance along a ring to its point nearest to (x, y); the first nearest wins.
+
+    Squared distances that agree to six decimals are equally near.
+    """
     inf = F.lit(float("inf"))
     start = F.struct(F.lit(0.0).alias("walked"), inf.alias("best"), F.lit(0.0).alias("at"))
 
@@ -182,7 +185,7 @@ def arc_position(ring, x, y) -> Column:
         t = F.when(len2 > 0, ((x - s["x1"]) * dx + (y - s["y1"]) * dy) / len2).otherwise(
             F.lit(0.0))
         t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        d2 = point_segment_distance2(s, x, y)
+        d2 = F.round(point_segment_distance2(s, x, y), 6)
         length = F.sqrt(len2)
         closer = d2 < acc["best"]
         return F.struct((acc["walked"] + length).alias("walked"),
