@@ -300,3 +300,12 @@ def test_intake_is_idempotent(spark, tmp_path):
     write(10, 16)
     go()
     assert {r.k: r.n for r in intake.merged_counts(spark, out, ["k"], "n").collect()} == {0: 8, 1: 8}
+
+
+def test_demographic_rank_with_ids_of_both_sides(spark):
+    """A query whose id a corpus district has too is no reason to leave that district out."""
+    schema = "id int, a double, b double"
+    corpus = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(9)], schema)
+    asked = spark.createDataFrame([(4, 4.2, 1.0)], schema)
+    got = sim.rank_demographics(asked, corpus, "id", ["a", "b"], k=9).collect()
+    assert sorted(r.neighbor for r in got) == list(range(9)) and min(got, key=lambda r: r["rank"]).neighbor == 4

@@ -140,7 +140,8 @@ def rank_demographics(queries: DataFrame, corpus: DataFrame, ident: str, columns
                       log_columns=(), k: int = 8) -> DataFrame:
     """M9: nearest corpus districts by RMS z-distance over the features both sides have.
 
-    A feature counts only if half of the corpus has it, and three of its districts at least.
+    A feature counts only if half of the corpus has it, and three of its districts at least. Queries are other
+    districts than those of the corpus, whatever their ids.
     """
     scaled = lambda d: d.select(ident, *[(F.log1p(c) if c in log_columns else F.col(c)).cast(
         "double").alias(c) for c in columns])
@@ -154,7 +155,7 @@ def rank_demographics(queries: DataFrame, corpus: DataFrame, ident: str, columns
         return d.crossJoin(F.broadcast(stats)).select(ident, vector_of(
             [(F.col(c) - F.col(f"_m{c}")) / sd(c) for c in columns]).alias("vec"))
 
-    return nearest(z(q0), k, ident, "vec", corpus=z(c0), shared=True)
+    return nearest(z(q0), k, ident, "vec", corpus=z(c0), shared=True, skip_own=False)
 
 
 def rank_shares(shares: DataFrame, ident: str, columns: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
