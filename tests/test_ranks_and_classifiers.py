@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from townloom.functions import classify as C
 from townloom.functions import num
 from townloom.operators import cards, census, programs, ranks, spatial
+from townloom.plans import rankings
 
 
 def test_value_ranges_equal_plain_windows(spark):
@@ -107,3 +108,21 @@ def test_numbers_as_text_round_halves_to_even(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = df.select("v", cards.fixed("v").alias("a"), cards.fixed("v", 1).alias("b")).collect()
     assert [(r.a, r.b) for r in got] == [(f"{r.v:.0f}", f"{r.v:.1f}") for r in got]
+
+
+def test_means_tie_in_any_order_of_units(spark):
+    """Districts 1 and 2 have the same units in another order; plain sums of doubles differ in the last bit."""
+    a, b = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]
+    rows = [(d, 1.0, v, v) for d, vs in ((1, a), (2, b), (3, [9.0])) for v in vs]
+    units = spark.createDataFrame(rows, "district_id int, total_pop double, median_gross_rent double, median_age double").coalesce(1)
+    layers = type("Layers", (), {"view": lambda self, name: units})()
+    got = {r.district_id: r for r in rankings.district_income(layers).collect()}
+    assert got[1].age == got[2].age and got[1].rent == got[2].rent == 0.2
+
+
+def test_share_between_two_roundings(spark):
+    """29 of 400 is 7.25 %; divided first and scaled after, it is a bit less and rounds down."""
+    members = spark.createDataFrame([(1, 1.0, 29.0), (1, 2.0, 371.0)], "g int, v double, w double")
+    asked = spark.createDataFrame([(1, 1.0)], "g int, x double")
+    got = ranks.share_at_or_below(asked, members, ["g"], "x", "v", "w", scale=100.0).first()
+    assert got.pct == 7.25

@@ -114,10 +114,11 @@ def percentile_of(df: DataFrame, keys: list[str], value: str, strict: bool = Fal
 
 
 def share_at_or_below(subjects: DataFrame, members: DataFrame, keys: list[str], subject_value: str,
-                      value: str, weight: str | None = None, name: str = "pct") -> DataFrame:
-    """Weight share of the members at or below each subject's value.
+                      value: str, weight: str | None = None, name: str = "pct", scale: float = 1.0) -> DataFrame:
+    """Weight share of the members at or below each subject's value, times the scale.
 
-    Subjects enter the rank table with weight 0, so one cumulative sum answers all of them.
+    Subjects enter the rank table with weight 0, so one cumulative sum answers all of them. The scale is applied before
+    the division, so a share that lies between two roundings is not moved off its place first.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     m = members.where(F.col(value).isNotNull() & (w > 0)).select(
@@ -126,7 +127,7 @@ def share_at_or_below(subjects: DataFrame, members: DataFrame, keys: list[str],
         *keys, F.col(subject_value).cast("double").alias("_v"), F.lit(0.0).alias("_w"))
     ranks = value_ranks(m.unionByName(s), keys, "_v", weight="_w").select(
         *[F.col(k).alias(f"_k{k}") for k in keys], F.col("v").alias("_v"),
-        F.try_divide("le", "total").alias(name))
+        F.try_divide(F.col("le") * scale, F.col("total")).alias(name))
     cond = F.col(subject_value).cast("double") == F.col("_v")
     for k in keys:
         cond = (F.col(k) == F.col(f"_k{k}")) & cond

@@ -9,11 +9,19 @@ from townloom.operators import census, ranks
 from townloom.plans.catalog import query
 
 
+def steady(c):
+    """A value to nine decimals: the last bits of a mean depend on the order in which it was added up."""
+    return F.round(c.cast("decimal(38,15)").cast("double"), 9)
+
+
 def district_income(L):
-    """One income and population value per district."""
-    return L.view("units").withColumn("one", F.lit(1.0)).groupBy("district_id").agg(
-        F.sum("total_pop").alias("pop"), F.avg("median_gross_rent").alias("rent"),
-        F.avg("median_age").alias("age"))
+    """One income and population value per district.
+
+    Means are sums of decimals, so districts of equal units tie, in whatever order their units are added.
+    """
+    mean = lambda c: F.round(F.sum(F.col(c).cast("decimal(38,15)")).cast("double") / F.count(c), 9)
+    return L.view("units").groupBy("district_id").agg(
+        F.sum("total_pop").alias("pop"), mean("median_gross_rent").alias("rent"), mean("median_age").alias("age"))
 
 
 INC = ("SELECT district_id, sum(total_pop) AS pop, avg(median_gross_rent) AS rent,"
@@ -27,10 +35,10 @@ INC = ("SELECT district_id, sum(total_pop) AS pop, avg(median_gross_rent) AS ren
     WHERE total_pop > 0 GROUP BY 1""", "pct", extra={"inc": INC})
 def _(L):
     d = L.view("districts").select("district_id", "region")
-    units = L.view("units").join(d, "district_id").select("region", "median_age", "total_pop")
+    units = L.view("units").join(d, "district_id").select("region", steady(F.col("median_age")).alias("median_age"), "total_pop")
     subj = district_income(L).join(d, "district_id").select("district_id", "region", "age")
-    out = ranks.share_at_or_below(subj, units, ["region"], "age", "median_age", "total_pop")
-    return out.select("district_id", F.round(100.0 * F.col("pct"), 1).alias("pct"))
+    out = ranks.share_at_or_below(subj, units, ["region"], "age", "median_age", "total_pop", scale=100.0)
+    return out.select("district_id", F.round("pct", 1).alias("pct"))
 
 
 @query("w2_positioning", """
