@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from townloom.functions.shapes import clipped_area, simple_overlap
 from townloom.operators import programs, raster, similarity
+from townloom.plans import catalog
 from townloom.session import scratch_path
 from townloom.sources import readers
 from townloom.streaming import intake
 
+catalog.load_all()
+
 
 def test_cosine_of_zero_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [3.0, 0.0]), (5, [0.0, 0.0])],
@@ -65,3 +68,11 @@ def test_intake_restart_repeats_nothing(spark):
     assert intake.merged_counts(spark, target, ["district_id"], "n").first().n == 2
     with pytest.raises(TypeError):
         intake.run_intake(spark, source, rows.schema, "*.parquet", count, target)
+
+
+@pytest.mark.parametrize("name", ["a3_building_programs", "a29_plan_footprint", "j4_largest_overlap"])
+def test_polygons_are_not_broadcast(spark, name):
+    """The optimizer takes the cells of all footprints for a table as small as the file they come from."""
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() > 0

@@ -226,6 +226,10 @@ class Layers:
         self.spark, self.dir, self._seen = spark, sf_dir.rstrip("/"), {}
         # inferring constraints from long geometry expressions takes longer than most queries
         spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+        # estimates do not see that a polygon becomes edges, tiles and cells, and a plan has dozens of joins whose tables the
+        # driver would hold at once: only what a query names as small is broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
 
     def table(self, name: str) -> DataFrame:
         if name not in self._seen:
