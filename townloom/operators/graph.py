@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.operators.spatial import KEYS, footprint_pairs
+from townloom.session import by_size, columns_of
 from townloom.session import cut_round as cut
 
 MAX_ROUNDS = 100_000
+LINKED_ROWS = 100_000  # links and nodes of a district whose components one task follows; larger ones go by joins
+ROUTED_ROWS = 1024  # links and sources of a district whose paths one task follows; larger ones go by joins
+PLAIN_IDS = ("tinyint", "smallint", "int", "bigint", "string")
 
 
 def both_ways(edges: DataFrame, keys, extra=()) -> DataFrame:
@@ -17,14 +23,59 @@ def both_ways(edges: DataFrame, keys, extra=()) -> DataFrame:
         edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), *extra))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys=KEYS) -> DataFrame:
+def lowest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest number reachable from every number below n over the links a - b."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        while (new[new] < new).any():
+            new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys=KEYS, limit: int = LINKED_ROWS) -> DataFrame:
     """Smallest reachable node id as the component of every node.
 
+    A district of at most `limit` distinct nodes and links is followed by one task, larger ones by rounds of joins.
+    """
+    k = list(keys)
+    ids = nodes.schema["node"].dataType
+    plain = ids.simpleString() in PLAIN_IDS and all(edges.schema[c].dataType == ids for c in ("src", "dst"))
+    if not plain or not k:
+        return _components_by_joins(nodes, edges, k)
+    # a node is a link to itself
+    rows = nodes.select(*k, F.col("node").alias("src"), F.col("node").alias("dst")).unionByName(
+        edges.select(*k, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst"))
+    rows = cut(rows.dropna().distinct())
+    small, large = by_size(rows, k, limit)
+
+    def follow(key, pdf):
+        ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        known = np.zeros(len(ids), bool)
+        known[a[a == b]] = True
+        link = known[a] & known[b]
+        low = lowest_reachable(a[link], b[link], len(ids))
+        return pd.DataFrame({**dict(zip(k, key)), "node": ids[known], "component": ids[low[known]]}, columns=[*k, "node", "component"])
+
+    out = small.groupBy(*k).applyInPandas(follow, columns_of(nodes, k, node="node", component="node"))
+    if large is not None:
+        large = cut(large)
+        out = out.unionByName(_components_by_joins(large.where("src = dst").select(*k, F.col("src").alias("node")), large.where("src <> dst"), k))
+    return cut(out)
+
+
+def _components_by_joins(nodes: DataFrame, edges: DataFrame, k: list[str]) -> DataFrame:
+    """connected_components by rounds over all districts.
+
     Every node points to a parent with a smaller id. In a round, nodes and their parents move to
     the smallest grandparent seen over an edge, then follow their grandparent (the FastSV scheme),
     so trees merge and flatten together and the number of rounds grows with the logarithm.
     """
-    k = list(keys)
     links = cut(both_ways(edges, k).distinct())
     tree = cut(nodes.select(*k, "node").distinct().withColumn("f", F.col("node"))
                .withColumn("g", F.col("node")))
@@ -89,11 +140,62 @@ def shortest_simple(edges: DataFrame, keys=KEYS) -> DataFrame:
                          .alias("dst")).agg(F.min("length_m").alias("length_m"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys=KEYS
-                   ) -> DataFrame:
-    """Distance from each source node to the nodes within a budget. All districts advance together."""
-    links = cut(both_ways(shortest_simple(edges, keys), list(keys), ["length_m"]))
-    return relaxed(links, sources, cutoff, list(keys))
+def into(value: np.ndarray, to: np.ndarray, n: int, how) -> np.ndarray:
+    """Columns of `value`, one an arc in ascending order of `to`, brought together by their end."""
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    out = np.full((len(value), n), np.inf if how is np.minimum else 0.0)
+    if len(to):
+        out[:, to[first]] = how.reduceat(value, first, axis=1)
+    return out
+
+
+def distances(sources: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Distances of all nodes from every source over arcs a -> b, in ascending order of b."""
+    dist = np.full((len(sources), n), np.inf)
+    dist[np.arange(len(sources)), sources] = 0.0
+    while True:
+        new = np.minimum(dist, into(dist[:, a] + length, b, n, np.minimum))
+        if (new == dist).all():
+            return dist
+        dist = new
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, keys=KEYS,
+                   limit: int = ROUTED_ROWS) -> DataFrame:
+    """Distance from each source node to the nodes within a budget.
+
+    A district of at most `limit` simple edges and sources is followed by one task; in larger ones all advance together.
+    """
+    k = list(keys)
+    simple = shortest_simple(edges, keys).dropna()
+    sources = sources.select(*k, "node").dropna().distinct()
+    ids = sources.schema["node"].dataType
+    if ids.simpleString() not in PLAIN_IDS or any(simple.schema[c].dataType != ids for c in ("src", "dst")):
+        return relaxed(cut(both_ways(simple, k, ["length_m"])), sources, cutoff, k)
+    rows = cut(simple.select(*k, "src", "dst", "length_m").unionByName(sources.select(
+        *k, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("length_m"))))
+    small, large = by_size(rows, k, limit)
+    most = np.inf if cutoff is None else cutoff
+
+    def follow(key, pdf):
+        ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        length = pdf["length_m"].to_numpy(dtype=float)
+        start = a[np.isnan(length)]
+        to, fro, length = np.concatenate([b, a]), np.concatenate([a, b]), np.concatenate([length, length])
+        order = np.lexsort((fro, to))
+        order = order[~np.isnan(length[order])]
+        d = distances(start, fro[order], to[order], length[order], len(ids))
+        s, v = np.nonzero(np.isfinite(d) & ((d <= most) | (np.arange(len(ids)) == start[:, None])))
+        return pd.DataFrame({**dict(zip(k, key)), "source": ids[start[s]], "node": ids[v], "dist": d[s, v]},
+                            columns=[*k, "source", "node", "dist"])
+
+    out = small.groupBy(*k).applyInPandas(follow, columns_of(sources, k, source="node", node="node") + ", dist double")
+    if large is not None:
+        large = cut(large)
+        links = cut(both_ways(large.where("length_m IS NOT NULL"), k, ["length_m"]))
+        out = out.unionByName(relaxed(links, large.where("length_m IS NULL").select(*k, F.col("src").alias("node")), cutoff, k))
+    return cut(out)
 
 
 def relaxed(links: DataFrame, sources: DataFrame, cutoff: float | None, keys: list[str]) -> DataFrame:
@@ -214,11 +316,11 @@ def graph_diagnostics(nodes: DataFrame, edges: DataFrame, ident: str, keys=KEYS)
 
 BATCH_STATES = 50_000_000  # (source, node) states of a batch of sources, over all districts
 UNION_PARTS = 16
+ROUTED_STATES = 1 << 20  # (source, arc) states that a task holds at once
 
 
-def largest_component_edges(edges: DataFrame, keys=KEYS) -> DataFrame:
-    """Shortest simple edges of each district's largest component (ties: smaller label)."""
-    simple = cut(shortest_simple(edges, keys))
+def largest_component_edges(simple: DataFrame, keys=KEYS) -> DataFrame:
+    """The simple edges of each district's largest component (ties: smaller label)."""
     nodes = both_ways(simple, list(keys)).select(*keys, F.col("src").alias("node")).distinct()
     comp = connected_components(nodes, simple, keys)
     size = comp.groupBy(*keys, "component").agg(F.count("*").alias("n"))
@@ -229,16 +331,73 @@ def largest_component_edges(edges: DataFrame, keys=KEYS) -> DataFrame:
     return simple.join(keep, [*keys, "src"])
 
 
-def edge_betweenness(edges: DataFrame, keys=KEYS, batch_states: int = BATCH_STATES) -> DataFrame:
+def settled_sums(base: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, extra: float) -> np.ndarray:
+    """topological_sums for rows of one source each: `share` is 0 off the source's arcs a -> b, in ascending order of b."""
+    value = base
+    while True:
+        new = base + into(share * (extra + value[:, a]), b, base.shape[1], np.add)
+        if (new == value).all():
+            return value
+        value = new
+
+
+def flows(a: np.ndarray, b: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Flow over the edges a - b when each of n nodes sends one unit to every node, split evenly over shortest paths."""
+    fro, to = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((fro, to))
+    turned = np.lexsort((to, fro))  # the same arcs by their start
+    total = np.zeros(2 * len(a))
+    for source in np.array_split(np.arange(n), -(-n * len(order) // ROUTED_STATES)):
+        dist = distances(source, fro[order], to[order], np.concatenate([length, length])[order], n)
+        on = (np.abs(dist[:, fro] + np.concatenate([length, length]) - dist[:, to]) <= 1e-9) & (dist[:, to] > dist[:, fro])
+        start = (np.arange(n) == source[:, None]).astype(float)
+        paths = settled_sums(start, fro[order], to[order], on[:, order].astype(float), 0.0)
+        share = np.where(on, paths[:, fro] / paths[:, to], 0.0)
+        loads = settled_sums(np.zeros_like(start), to[turned], fro[turned], share[:, turned], 1.0)
+        total += (share * (1 + loads[:, to])).sum(0)
+    return total[:len(a)] + total[len(a):]
+
+
+def edge_betweenness(edges: DataFrame, keys=KEYS, batch_states: int = BATCH_STATES, limit: int = ROUTED_ROWS) -> DataFrame:
     """Length-weighted edge betweenness of the largest component, normalised by node pairs.
 
-    Returns src, dst, length_m, centrality per simple edge. Sources are dealt into batches whose
-    (source, node) states are bounded; all districts advance together within a batch, and only the sums per
-    edge are carried from batch to batch. Lengths are positive; paths that differ by less than 1e-9
-    count as equally short.
+    Returns src, dst, length_m, centrality per simple edge. A district of at most `limit` simple edges is followed by
+    one task, larger ones by joins. Lengths are positive; paths that differ by less than 1e-9 count as equally short.
     """
     k = list(keys)
-    e = cut(largest_component_edges(edges, keys))
+    simple = cut(shortest_simple(edges, keys).dropna())
+    ids = simple.schema["src"].dataType
+    if ids.simpleString() not in PLAIN_IDS or simple.schema["dst"].dataType != ids:
+        return _betweenness_by_joins(simple, k, batch_states)
+    small, large = by_size(simple, k, limit)
+
+    def follow(key, pdf):
+        ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        low = lowest_reachable(a, b, len(ids))
+        size = np.bincount(low)
+        mine = low[a] == size.argmax()  # the first of equal ones has the smaller label
+        n = int(size.max())
+        _, at = np.unique(at.reshape(-1, 2)[mine].ravel(), return_inverse=True)
+        c, d = at.reshape(-1, 2).T
+        pdf = pdf[mine]
+        return pd.DataFrame({**dict(zip(k, key)), "src": pdf["src"], "dst": pdf["dst"], "length_m": pdf["length_m"],
+                             "centrality": flows(c, d, pdf["length_m"].to_numpy(dtype=float), n) / (float(n) * (n - 1))},
+                            columns=[*k, "src", "dst", "length_m", "centrality"])
+
+    out = small.groupBy(*k).applyInPandas(follow, columns_of(simple, k, src="src", dst="dst", length_m="length_m") + ", centrality double")
+    if large is not None:
+        out = out.unionByName(_betweenness_by_joins(cut(large), k, batch_states))
+    return cut(out)
+
+
+def _betweenness_by_joins(simple: DataFrame, k: list[str], batch_states: int) -> DataFrame:
+    """edge_betweenness by rounds over all districts.
+
+    Sources are dealt into batches whose (source, node) states are bounded; all districts advance together within a
+    batch, and only the sums per edge are carried from batch to batch.
+    """
+    e = cut(largest_component_edges(simple, k))
     links = cut(both_ways(e, k, ["length_m"]))
     nodes = cut(links.select(*k, F.col("src").alias("node")).distinct())
     states = e.select(*k, "n").distinct().agg(F.sum(F.col("n") * F.col("n")).alias("s")).first().s

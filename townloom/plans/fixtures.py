@@ -202,6 +202,9 @@ VIEWS = {
           FROM {{lineitem}}) p""",
 }
 
+# Layers whose columns are cases of cases: pushed below, a filter would hold each case many times over.
+NESTED = ("streets",)
+
 
 def spark_text(name: str) -> str:
     return VIEWS[name].replace("{div}", "div").replace("{str}", "STRING")
@@ -242,7 +245,11 @@ class Layers:
         if f"v_{name}" not in self._seen:
             text = spark_text(name)
             used = {t: self.table(t) for t in TABLES if "{%s}" % t in text}
-            self._seen[f"v_{name}"] = self.spark.sql(text, **used)
+            df = self.spark.sql(text, **used)
+            if name in NESTED:
+                # a filter stays above an inline, so it reads the columns instead of working out nested cases again
+                df = df.select(F.inline(F.array(F.struct(*df.columns))))
+            self._seen[f"v_{name}"] = df
         return self._seen[f"v_{name}"]
 
     def boundaries(self) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A frame whose estimated size is below this fits into one task or one broadcast.
 SMALL_BYTES = 32 * 1024 * 1024
@@ -59,6 +60,20 @@ def cut_round(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
 
 
+def by_size(rows: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys that hold at most `limit` rows, and those of the other keys, if there are any."""
+    crowded = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys))
+    if crowded.isEmpty():
+        return rows, None
+    return rows.join(crowded, keys, "left_anti"), rows.join(crowded, keys, "left_semi")
+
+
+def columns_of(df: DataFrame, same: list[str], **named: str) -> str:
+    """A schema of columns as they are in the frame, and of new ones typed like a column of it."""
+    of = lambda c: df.schema[c].dataType.simpleString()
+    return ", ".join([f"`{c}` {of(c)}" for c in same] + [f"`{new}` {of(c)}" for new, c in named.items()])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, reachable by all executors."""
     import uuid
