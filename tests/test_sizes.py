@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from townloom.operators import graph
+from townloom.operators import graph, outlines
 from townloom.plans import graphs
 from townloom.plans.fixtures import Layers
 
@@ -32,3 +32,11 @@ def test_street_filters_read_columns(spark):
     """Filters of nested cases were pushed below the layer, each case many times over."""
     plan = graphs.walkable(Layers(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE") < 40
+
+
+def test_outlines_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    cells = [(d, int(x), int(y)) for d, n in ((0, 300), (1, 20), (2, 1)) for x, y in set(map(tuple, rng.integers(-9, 9, (n, 2))))]
+    df = spark.createDataFrame(cells, "district_id int, cell_x long, cell_y long")
+    one, two = (sorted(map(tuple, outlines.outline_corners(df, 2.0, limit=limit).collect())) for limit in (15, 10_000))
+    assert one == two and {r[0] for r in one} == {0, 1, 2}

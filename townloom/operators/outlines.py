@@ -3,18 +3,23 @@
 Every cell has four sides, walked with the cell on the left. Sides that two cells share cancel; each side
 left is followed by one other, so the sides form cycles. Cycles are told apart and put in order by pointer
 jumping: every side knows the side 1, 2, 4, 8, ... steps ahead, so the rounds grow with the logarithm of the
-longest ring, whatever the number of rings and districts.
+longest ring, whatever the number of rings and districts. A district of bounded size is traced by one task in
+the same way, larger ones by joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.operators.spatial import KEYS
+from townloom.session import by_size, columns_of
 from townloom.session import cut_round as cut
 
 MAX_DOUBLINGS = 64
+TRACED_CELLS = 100_000  # cells of a district whose outline one task traces; larger ones go by joins
 # direction: step to the cell across the side, start corner and end corner of the side, seen from the cell
 SIDES = [(0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)]
 
@@ -48,12 +53,68 @@ def followed(sides: DataFrame, keys=KEYS) -> DataFrame:
         *k, "x", "y", "dir", name("x", "y", "dir").alias("side"), F.col("_n.next").alias("next"))
 
 
-def outline_corners(cells: DataFrame, cell: float, keys=KEYS) -> DataFrame:
+def traced(cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sides of a set of cells as (x, y, dir), with the number of each one's first side and the steps from there."""
+    xs, ys = (np.unique(np.concatenate([c - 1, c, c + 1])) for c in (cx, cy))
+    at = lambda x, y: np.searchsorted(xs, x) * len(ys) + np.searchsorted(ys, y)
+    cells = at(cx, cy)
+    cells, first = np.unique(cells, return_index=True)
+    cx, cy = cx[first], cy[first]
+    start, end, way = [], [], []
+    for d, i, j, sx, sy, ex, ey in SIDES:
+        free = ~np.isin(at(cx + i, cy + j), cells)
+        start.append(at(cx[free] + sx, cy[free] + sy))
+        end.append(at(cx[free] + ex, cy[free] + ey))
+        way.append(np.full(free.sum(), d))
+    start, end, way = map(np.concatenate, (start, end, way))
+    order = np.argsort(start * 4 + way)
+    start, end, way = start[order], end[order], way[order]
+    side, follow = start * 4 + way, np.full(len(start), -1)
+    for turn in (3, 0, 1):  # right, straight on, left: the last that is there counts
+        wanted = end * 4 + (way + turn) % 4
+        found = np.minimum(np.searchsorted(side, wanted), len(side) - 1)
+        follow = np.where(side[found] == wanted, found, follow)
+    ahead, ring = follow, np.minimum(np.arange(len(side)), follow)
+    while (ring[ahead] < ring).any():
+        ring, ahead = np.minimum(ring, ring[ahead]), ahead[ahead]
+    none = len(side)  # before a first side comes none
+    before, steps = np.full(none + 1, none), np.zeros(none + 1, np.int64)
+    later = follow != ring
+    before[follow[later]], steps[follow[later]] = np.flatnonzero(later), 1
+    while (before < none).any():
+        steps, before = steps + steps[before], before[before]
+    return xs[start // len(ys)], ys[start % len(ys)], way, ring, steps[:none]
+
+
+def outline_corners(cells: DataFrame, cell: float, keys=KEYS, limit: int = TRACED_CELLS) -> DataFrame:
     """(ring, position, x, y): the corners of the rings in metres, outer rings counter-clockwise, holes clockwise.
 
     A ring is named by its smallest side; positions count sides from there and skip those that go straight on.
+    A district of at most `limit` cells is traced by one task.
     """
     k = list(keys)
+    cells = cut(cells.select(*k, F.col("cell_x").cast("long").alias("cell_x"), F.col("cell_y").cast("long").alias("cell_y")).dropna())
+    small, large = by_size(cells, k, limit)
+
+    def trace(key, pdf):
+        x, y, way, ring, steps = traced(pdf["cell_x"].to_numpy(), pdf["cell_y"].to_numpy())
+        last = np.lexsort((steps, ring))
+        came = np.empty(len(way), way.dtype)  # the direction of the side before; a ring's last one is before its first
+        came[last[1:]] = way[last[:-1]]
+        heads = np.flatnonzero(np.diff(ring[last], prepend=-1))
+        came[last[heads]] = way[last[np.append(heads[1:], len(last)) - 1]]
+        c = np.flatnonzero(came != way)
+        return pd.DataFrame({**dict(zip(k, key)), "rx": x[ring[c]], "ry": y[ring[c]], "rd": way[ring[c]], "position": steps[c],
+                             "x": x[c] * cell, "y": y[c] * cell}, columns=[*k, "rx", "ry", "rd", "position", "x", "y"])
+
+    out = small.groupBy(*k).applyInPandas(trace, columns_of(cells, k) + ", rx bigint, ry bigint, rd int, position bigint, x double, y double")
+    out = out.select(*k, F.struct(F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rd").alias("d")).alias("ring"), "position", "x", "y")
+    return out if large is None else out.unionByName(_corners_by_joins(cut(large), cell, k))
+
+
+def _corners_by_joins(cells: DataFrame, cell: float, keys: list[str]) -> DataFrame:
+    """outline_corners by rounds over all districts."""
+    k = list(keys)
     sides = cut(followed(boundary_sides(cells, keys), keys))
     jump = cut(sides.select(*k, "side", F.col("next").alias("ahead"), F.least("side", "next").alias("ring")))
     for _ in range(MAX_DOUBLINGS):
