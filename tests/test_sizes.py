@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from townloom.operators import graph, outlines
+from townloom.operators import graph, outlines, similarity
 from townloom.plans import graphs
 from townloom.plans.fixtures import Layers
 
@@ -40,3 +40,18 @@ def test_outlines_of_any_size(spark):
     df = spark.createDataFrame(cells, "district_id int, cell_x long, cell_y long")
     one, two = (sorted(map(tuple, outlines.outline_corners(df, 2.0, limit=limit).collect())) for limit in (15, 10_000))
     assert one == two and {r[0] for r in one} == {0, 1, 2}
+
+
+def test_focus_pairs_are_not_shuffled(spark):
+    """Pairs went through a group-by; only rows and focus rows are to be sent."""
+    vec = lambda r: np.array([v or 0.0 for v in r])
+    data = {0: (1.0, 2.0), 1: (None, 3.0), 2: (0.0, 0.0), 3: (4.0, None), 4: (None, None), 5: (-2.0, 1.0)}
+    df = spark.createDataFrame([(i, *v) for i, v in data.items()], "id long, a double, b double")
+    out = similarity.distances_to(df, df.where("id in (0, 1)"), "id", ["a", "b"])
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.focus, r.id): r.distance for r in out.collect()}
+    assert len(got) == 2 * len(data)
+    for (f, i), d in got.items():
+        x, y = vec(data[f]), vec(data[i])
+        length = np.sqrt((x @ x) * (y @ y))
+        assert d == pytest.approx(1 - (x @ y / length if length else 0.0))

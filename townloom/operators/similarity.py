@@ -85,15 +85,23 @@ def long_features(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
 
 
 def distances_to(df: DataFrame, focus: DataFrame, ident: str, columns: list[str]) -> DataFrame:
-    """Cosine distance of every row to a few focus rows, nearest first."""
-    both = long_features(df, ident, columns).join(
-        long_features(focus, ident, columns).select(
-            F.col(ident).alias("focus"), "feature", F.col("value").alias("fv")), "feature")
-    s = both.groupBy("focus", ident).agg(
-        F.sum(F.col("value") * F.col("fv")).alias("_d"), F.sum(F.col("value") ** 2).alias("_a"),
-        F.sum(F.col("fv") ** 2).alias("_b"))
-    return s.select("focus", ident, (1 - F.coalesce(F.try_divide(
-        F.col("_d"), F.sqrt(F.col("_a") * F.col("_b"))), F.lit(0.0))).alias("distance"))
+    """Cosine distance of every row to the focus rows; a missing feature counts as 0.
+
+    Rows are dealt to parts, a few for each core, and every part meets all focus rows, one pair at a time: a pair is
+    a row of the result, so pairs are neither grouped nor sent on.
+    """
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    value = lambda c: F.col(c).cast("double")
+    rows = df.select(ident, *(value(c).alias(f"_v{i}") for i, c in enumerate(columns)),
+                     F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int").alias("_p"))
+    held = focus.select(F.col(ident).alias("focus"), *(value(c).alias(f"_f{i}") for i, c in enumerate(columns)),
+                        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    # the count is explicit: by their size, rows that make so many pairs would be put into one task
+    rows, held = rows.repartition(parts, "_p"), held.repartition(parts, "_p")
+    total = lambda a, b: sum((F.coalesce(F.col(f"{a}{i}") * F.col(f"{b}{i}"), F.lit(0.0))
+                              for i in range(len(columns))), F.lit(0.0))
+    return rows.join(held, "_p").select("focus", ident, (1 - F.coalesce(F.try_divide(
+        total("_v", "_f"), F.sqrt(total("_v", "_v") * total("_f", "_f"))), F.lit(0.0))).alias("distance"))
 
 
 def principal_components(df: DataFrame, ident: list[str], columns: list[str], n: int = 2):
