@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from townloom.operators import graph, outlines, similarity
+from townloom.operators import graph, outlines, ranks, similarity
 from townloom.plans import graphs
 from townloom.plans.fixtures import Layers
 
@@ -55,3 +55,14 @@ def test_focus_pairs_are_not_shuffled(spark):
         x, y = vec(data[f]), vec(data[i])
         length = np.sqrt((x @ x) * (y @ y))
         assert d == pytest.approx(1 - (x @ y / length if length else 0.0))
+
+
+def test_filters_do_not_repeat_geometry(spark):
+    """The filter that chooses splitters held the outline's formula many times, in the one task of a small scan."""
+    layers = Layers(spark, "/root/testdata/sf0.001")
+    raw = layers.view("buildings0").withColumn("area_m2", F.col("a") * F.col("b") * 25)
+    for buildings in (layers.buildings(), raw):
+        df = ranks.median_member(buildings, ["district_id", "cluster_id"], "building_id", "area_m2")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.split("\n") if "Filter" in line]
+        assert filters and all("aggregate(" not in f and "p_size" not in f for f in filters)

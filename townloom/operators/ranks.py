@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townloom.session import worked_out
+
 SPLIT_VALUES = 65_536
 
 
@@ -26,8 +28,9 @@ def _ranked(df: DataFrame, keys: list[str], value: str, split: int | None, weigh
     number = F.col(value).cast("double")
     v = F.when(~F.isnan(number), number)
     size = F.col(weight) if weight else F.lit(1)
-    vc = df.select(*keys, v.alias("v"), F.when(v.isNotNull(), size).otherwise(0).alias("n")).groupBy(*keys, "v").agg(
-        F.sum("n").alias("n"))
+    # splitters are chosen by a filter on the values, which must not work them out anew below their sources
+    values = worked_out(df.select(*keys, v.alias("v"), size.alias("n")))
+    vc = values.groupBy(*keys, "v").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("n"))
     chosen = vc.where(F.pmod(F.xxhash64("v"), F.lit(split or SPLIT_VALUES)) == 0)
     cuts = F.array_sort(F.collect_list("v")).alias("_cuts")
     parted = vc.join(chosen.groupBy(*keys).agg(cuts), keys, "left") if keys else _join(vc, chosen.agg(cuts), keys)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.functions import vocab as V
-from townloom.session import spread_scan
+from townloom.session import spread_scan, worked_out
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -247,8 +247,7 @@ class Layers:
             used = {t: self.table(t) for t in TABLES if "{%s}" % t in text}
             df = self.spark.sql(text, **used)
             if name in NESTED:
-                # a filter stays above an inline, so it reads the columns instead of working out nested cases again
-                df = df.select(F.inline(F.array(F.struct(*df.columns))))
+                df = worked_out(df)
             self._seen[f"v_{name}"] = df
         return self._seen[f"v_{name}"]
 
@@ -268,7 +267,7 @@ class Layers:
     def _buildings(self) -> DataFrame:
         b = self.view("buildings0")
         ring = geo.ring_from(("x0", "y0"), ("x1", "y1"), ("x2", "y2"), ("x3", "y3"), ("x0", "y0"))
-        return (b.withColumn("rings", F.array(ring)).withColumn("edges", geo.edges("rings"))
+        return worked_out(b.withColumn("rings", F.array(ring)).withColumn("edges", geo.edges("rings"))
                 .withColumn("area_m2", geo.area("rings"))
                 .withColumn("perimeter_m", geo.perimeter("rings"))
                 .withColumn("centre", geo.centroid("rings"))
