@@ -145,3 +145,18 @@ def test_arc_position_takes_the_first_of_equally_near_sides(spark):
                 best, want = d2, walked + t * np.hypot(dx, dy)
             walked += np.hypot(dx, dy)
         assert at == pytest.approx(want)
+
+
+def test_gaps_of_batches_equal_the_formula(spark):
+    """Footprint pairs were measured by a formula that is interpreted edge by edge."""
+    rng = np.random.default_rng(8)
+    polys = [turned(p, rng.uniform(0, 6), *rng.uniform(0, 40, 2), rng.uniform(0.2, 2)) for p in (SQUARE_WITH_HOLE, ARROW) * 8]
+    polys += [SQUARE_WITH_HOLE, [[(x * 0.1 + 4.5, y * 0.1 + 4.5) for x, y in ARROW[0]]], [[(x + 10, y) for x, y in SQUARE_WITH_HOLE[0]]]]
+    p = polygons(spark, *polys).withColumn("e", geo.edges("rings"))
+    pairs = p.alias("a").crossJoin(p.alias("b"))
+    both = pairs.select(geo.polygon_gap("a.e", "b.e").alias("g"), shapes.outline_gap("a.e", "b.e").alias("f")).collect()
+    assert len(both) == len(polys) ** 2 and 0 < sum(r.g > 0 for r in both) < len(both)
+    assert all(r.g == r.f for r in both)
+    plan = spatial.spatial_context(p.select("district_id", F.col("pid").alias("building_id"), "rings", F.col("e").alias("edges"),
+                                            F.lit(1.0).alias("cx"), F.lit(1.0).alias("cy")))._jdf.queryExecution().optimizedPlan()
+    assert "ArrowEvalPython" in plan.toString()

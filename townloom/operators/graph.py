@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
-from townloom.operators.spatial import KEYS, footprint_pairs
+from townloom.operators.spatial import KEYS, footprint_pairs, with_gaps
 from townloom.session import by_size, columns_of
 from townloom.session import cut_round as cut
 
@@ -265,8 +265,6 @@ def adjacency_edges(buildings: DataFrame, method: str = "radius", k: int = 6, ra
 
     knn looks at the window of the prune distance; an edge exists when either end chose it.
     """
-    from townloom.functions.geo import polygon_gap
-
     reach = radius if method == "radius" else (prune or 120.0)
     pairs = footprint_pairs(buildings, building_id, reach, keys=keys)
     cd = F.sqrt((F.col("cx") - F.col("bx")) ** 2 + (F.col("cy") - F.col("by")) ** 2)
@@ -274,10 +272,9 @@ def adjacency_edges(buildings: DataFrame, method: str = "radius", k: int = 6, ra
     if method == "knn":
         w = Window.partitionBy(*keys, "a_id").orderBy(F.round("centroid_m", 6), "b_id")
         pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    one = pairs.select(*keys, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id")
-                       .alias("dst"), "centroid_m", polygon_gap("ae", "be").alias("gap_m"))
-    one = one.groupBy(*keys, "src", "dst").agg(F.min("centroid_m").alias("centroid_m"),
-                                               F.min("gap_m").alias("gap_m"))
+    one = pairs.groupBy(*keys, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).agg(
+        F.min("centroid_m").alias("centroid_m"))
+    one = with_gaps(one, buildings, building_id, "gap_m", keys)
     return both_ways(one, list(keys), ["centroid_m", "gap_m"])
 
 

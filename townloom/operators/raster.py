@@ -395,6 +395,8 @@ def line_alignment(mask: DataFrame, keys=KEYS, angles: int = 36, threshold: floa
 
 def green_patches(pixels: DataFrame, boundaries: DataFrame, size: float, keys=KEYS) -> DataFrame:
     """Large vegetated patches touching the boundary, distance to the nearest, edge density."""
+    from townloom.functions.shapes import outline_gap
+
     k = list(keys)
     green = pixels.where(F.col("cover").isin(V.GREEN_CLASSES)).select(
         *k, F.col("col_no").alias("cell_x"), F.col("row_no").alias("cell_y")).distinct()
@@ -406,7 +408,7 @@ def green_patches(pixels: DataFrame, boundaries: DataFrame, size: float, keys=KE
     b = boundaries.select(*k, geo.edges("rings").alias("_b"), geo.area("rings").alias("_a"))
     x0, y0 = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
     ring = geo.ring_from((x0, y0), (x0 + size, y0), (x0 + size, y0 + size), (x0, y0 + size), (x0, y0))
-    gap = cells.join(b, k).withColumn("_d", geo.polygon_gap(geo.segments(ring), F.col("_b")))
+    gap = cells.join(b, k).withColumn("_d", outline_gap(geo.segments(ring), F.col("_b")))
     near = gap.groupBy(*k, "component").agg(F.min("_d").alias("_d"))
     pairs = neighbours4(cells, keys).groupBy(*k, F.col("src").alias("node")).agg(
         F.count("*").alias("_p"))

@@ -450,7 +450,7 @@ def match_by_name(labels: DataFrame, districts: DataFrame, label_name: str, dist
 
 def footprint_pairs(a: DataFrame, a_id: str, window: float, tile: float = 250.0,
                     keys=KEYS, force_rows: int | None = None) -> DataFrame:
-    """Ordered pairs (a, b) where the box of b meets the square window around the centre of a.
+    """Ordered pairs (a, b) where the box of b meets the square window around the centre of a, without outlines.
 
     Tiles that hold too many centres are split; `force_rows` does so beyond that many.
     """
@@ -467,20 +467,30 @@ def footprint_pairs(a: DataFrame, a_id: str, window: float, tile: float = 250.0,
                                 / tile).cast("long")
     meet = ((F.col("aw.xmin") <= F.col("bb.xmax")) & (F.col("bb.xmin") <= F.col("aw.xmax"))
             & (F.col("aw.ymin") <= F.col("bb.ymax")) & (F.col("bb.ymin") <= F.col("aw.ymax")))
-    pairs = left.join(right, on).where(
+    return left.join(right, on).where(
         (F.col("a_id") != F.col("b_id")) & meet & (F.col("_t.tx") == corner("x"))
         & (F.col("_t.ty") == corner("y"))).drop("_t", "_tx", "_ty", "_salt", "aw", "bb")
-    # outlines join only the pairs that are left
-    outline = lambda i, e: a.select(*keys, F.col(a_id).alias(i), F.col("edges").alias(e))
-    return pairs.join(outline("a_id", "ae"), [*keys, "a_id"]).join(outline("b_id", "be"), [*keys, "b_id"])
+
+
+def with_gaps(pairs: DataFrame, a: DataFrame, a_id: str, name: str, keys=KEYS) -> DataFrame:
+    """Pairs (src, dst) with the distance of their outlines; outlines join only the pairs that are left."""
+    from townloom.functions.shapes import outline_gap
+
+    outline = lambda i, e: a.select(*keys, F.col(a_id).alias(i), F.col("edges").alias(e))
+    met = pairs.join(outline("src", "_se"), [*keys, "src"]).join(outline("dst", "_de"), [*keys, "dst"])
+    return met.withColumn(name, outline_gap("_se", "_de")).drop("_se", "_de")
 
 
 def spatial_context(buildings: DataFrame, building_id: str = "building_id", radius: float = 50.0,
                     keys=KEYS) -> DataFrame:
     """Gap to the nearest footprint and number of footprints within the radius."""
-    pairs = footprint_pairs(buildings, building_id, radius * 2, keys=keys).withColumn(
-        "gap", geo.polygon_gap("ae", "be"))
-    found = pairs.groupBy(*keys, F.col("a_id").alias(building_id)).agg(
+    pairs = footprint_pairs(buildings, building_id, radius * 2, keys=keys)
+    # a gap is the same both ways, so it is measured once; a footprint counts those that its own window meets
+    ahead = F.col("a_id") < F.col("b_id")
+    once = pairs.groupBy(*keys, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).agg(
+        F.max(F.when(ahead, F.col("a_id"))).alias("_s"), F.max(F.when(~ahead, F.col("a_id"))).alias("_d"))
+    sides = F.explode(F.array_compact(F.array("_s", "_d"))).alias(building_id)
+    found = with_gaps(once, buildings, building_id, "gap", keys).select(*keys, sides, "gap").groupBy(*keys, building_id).agg(
         F.min("gap").alias("nearest_neighbor_m"),
         F.count(F.when(F.col("gap") <= radius, 1)).alias("neighbors_within"))
     return (buildings.select(*keys, building_id).join(found, [*keys, building_id], "left")
