@@ -160,3 +160,16 @@ def test_gaps_of_batches_equal_the_formula(spark):
     plan = spatial.spatial_context(p.select("district_id", F.col("pid").alias("building_id"), "rings", F.col("e").alias("edges"),
                                             F.lit(1.0).alias("cx"), F.lit(1.0).alias("cy")))._jdf.queryExecution().optimizedPlan()
     assert "ArrowEvalPython" in plan.toString()
+
+
+def test_points_within_copies_a_point_to_few_tiles(spark, monkeypatch):
+    """Every point was sent to nine tiles."""
+    rng, sent, spread = np.random.default_rng(3), [], spatial.spread_hot_keys
+    xy = np.round(rng.uniform(-200, 200, (300, 2)) / 5) * 5
+    p = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "district_id int, i int, x double, y double")
+    monkeypatch.setattr(spatial, "spread_hot_keys", lambda left, right, on, *rest: sent.append(right.count()) or spread(left, right, on, *rest))
+    a, b = p.where("i < 150"), p.where("i >= 150")
+    near = {r.i for r in spatial.points_within(a, b, 25.0).collect()}
+    d2 = ((xy[:150, None] - xy[None, 150:]) ** 2).sum(2)
+    assert near == set(np.flatnonzero((d2 <= 625).any(1)))
+    assert 0 < sent[0] <= 4 * 150

@@ -219,14 +219,13 @@ def left_join_filled(left: DataFrame, right: DataFrame, on: list[str], fill: dic
 def points_within(a: DataFrame, b: DataFrame, radius: float, how: str = "left_semi", keys=KEYS,
                   carry: list[str] | None = None) -> DataFrame:
     """Points of a that have a point of b within a radius (or the pairs for how='inner')."""
-    tile = max(radius, 1.0)
+    tile = max(4 * radius, 1.0)  # most points reach one or two tiles, four at most
     left = a.withColumn("_tx", geo.cell_of("x", tile)).withColumn("_ty", geo.cell_of("y", tile))
-    ring = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(
-        F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    right = (b.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), *(carry or []),
-                      ring.alias("_o"))
-             .withColumn("_tx", geo.cell_of("_x", tile) + F.col("_o.i"))
-             .withColumn("_ty", geo.cell_of("_y", tile) + F.col("_o.j")).drop("_o"))
+    spot = F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    right = (b.where("x IS NOT NULL AND y IS NOT NULL").select(
+        *keys, F.col("x").alias("_x"), F.col("y").alias("_y"), *(carry or []),
+        F.explode(tiles_of_box(spot, tile, radius * (1 + 1e-9))).alias("_t"))
+        .withColumn("_tx", F.col("_t.tx")).withColumn("_ty", F.col("_t.ty")).drop("_t"))
     left, right, on = spread_hot_keys(left, right, [*keys, "_tx", "_ty"])
     right = right.select(*[F.col(k).alias(f"_r{k}") for k in on],
                          *[v for v in right.columns if v not in on])
