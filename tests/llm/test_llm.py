@@ -204,6 +204,19 @@ def test_texts_under_one_id_are_not_dropped_for_each_other(spark):
     assert kept == sorted([(5, a), (5, b), (9, c)])
 
 
+def test_few_documents_are_marked_for_a_shuffle(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    keys = docs.where("doc_id % 100 = 7").select(F.col("doc_id").alias("townloom_key"))
+    got = {r.doc_id: r.townloom_mark for r in jaccard_join.marked(
+        docs.withColumn("townloom_key", F.col("doc_id")), keys, "townloom_key").collect()}
+    assert len(got) == 5000 and all(got[i] for i in range(7, 5000, 100)) and sum(got.values()) < 60
+    df = spark.createDataFrame([(i, prose(i, 40)) for i in range(100, 120)] + [(200, prose(100, 40))], "doc_id bigint, text string")
+    kept = jaccard_join.one_of_each(df)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(100, 120))
+    first = kept._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].split("Aggregate")[0]
+    assert "townloom_text" not in first  # most documents are neither joined with keys nor grouped
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(30).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in jaccard_join.components(edges).collect()} == {0}

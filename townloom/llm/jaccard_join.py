@@ -27,6 +27,8 @@ COUNT_BYTES = 3 << 20  # text that counts as a batch here
 COMMON_WORDS = 100_000  # words whose frequency shapes the orders, at most
 COMMON_IN_BATCH = 4
 NO_ID = 1 << 62  # rows without an id are numbered from here by their text
+BITMAP_BITS = 1 << 24  # of a filter that spares most documents a shuffle; broadcast as 64-bit words
+PLACE_BITS, COPIES_BITS = 28, 5  # of a prefix token's row
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray] | None = None
@@ -241,10 +243,24 @@ def one_of_each(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows without shingles stay, once per id. Different texts under an id that stays all stay, each once: none of
     them is dropped for another. Other columns are kept as they are. An empty table gives an empty one.
     """
-    keyed = df.withColumn("townloom_key", row_key(F.col("doc_id"), F.col("text"))).withColumn("townloom_text", F.xxhash64("text"))
-    kept = similarity_keys(df, n, percent).where("key = component").select(F.col("key").alias("townloom_key")).distinct()
-    return keyed.join(kept, "townloom_key", "left_semi").dropDuplicates(["townloom_key", "townloom_text"]).drop(
-        "townloom_key", "townloom_text")
+    keyed = df.withColumn("townloom_key", row_key(F.col("doc_id"), F.col("text")))
+    keys = similarity_keys(df, n, percent).groupBy("key").agg(
+        F.count("*").alias("rows"), F.max(F.col("key") == F.col("component")).alias("stays"))
+    keys = cut(keys.where("not stays or rows > 1").select(F.col("key").alias("townloom_key"), "stays"))
+    maybe = marked(keyed, keys, "townloom_key")
+    rest = maybe.where("townloom_mark").join(keys, "townloom_key", "left").where(F.coalesce("stays", F.lit(True))).withColumn(
+        "townloom_text", F.xxhash64("text")).dropDuplicates(["townloom_key", "townloom_text"])
+    return maybe.where("not townloom_mark").select(*df.columns).union(rest.select(*df.columns))
+
+
+def marked(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The documents with a column townloom_mark: true for those whose key is listed and few others. Shuffles no document."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    found = docs.withColumn("townloom_bit", bit).join(F.broadcast(words), F.shiftright("townloom_bit", 6) == F.col("word"), "left")
+    mark = F.expr("coalesce(shiftright(bits, cast(townloom_bit & 63 as int)) & 1 = 1, false)")
+    return found.select(*docs.columns, mark.alias("townloom_mark"))
 
 
 def similarity_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,8 +297,17 @@ def similarity_keys(df: DataFrame, n: int, percent: int, id_col: str = "doc_id",
     nodes = members.where("n > 0").groupBy(*same).agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
     # A token's hub is the node that has it earliest, hence the fewest tokens of its own before it: the text that
     # the others are copies of, or the nearest to it. One number holds the place, copies and the node's hash.
-    who = F.shiftleft(F.least(F.floor(F.log2("copies")), F.lit(30)).cast("long"), 47) + F.shiftrightunsigned(F.xxhash64("node"), 17)
-    rows = nodes.select("node", "n", who.alias("who"), F.posexplode_outer("prefix").alias("place", "token"))
+    # Rows are dealt by token once, for the hubs and for their join, with n, copies and place (cut off at its bits:
+    # a smaller place only lets more pairs through) in one number.
+    low = lambda c, bits: F.least(c.cast("long"), F.lit((1 << bits) - 1))
+    upper = F.shiftleft(F.col("n").cast("long"), PLACE_BITS + COPIES_BITS) + F.shiftleft(
+        low(F.floor(F.log2("copies")), COPIES_BITS), PLACE_BITS)
+    rows = nodes.select("node", upper.alias("packed"), F.posexplode("prefix").alias("place", "token")).where("token is not null")
+    rows = rows.select("token", "node", (F.col("packed") + low(F.col("place"), PLACE_BITS)).alias("packed")).repartition("token")
+    field = lambda shift, bits: F.shiftright("packed", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    who = F.shiftleft(F.least(field(PLACE_BITS, COPIES_BITS), F.lit(30)), 47) + F.shiftrightunsigned(F.xxhash64("node"), 17)
+    rows = rows.select("node", F.shiftright("packed", PLACE_BITS + COPIES_BITS).cast("int").alias("n"),
+                       field(0, PLACE_BITS).cast("int").alias("place"), "token", who.alias("who"))
     rows = rows.select("node", "n", "place", "token", (F.shiftleft(
         F.lit(1023) - F.least(F.col("place"), F.lit(1023)).cast("long"), 52) + F.col("who")).alias("standing"))
     hubs = rows.groupBy("token").agg(F.count("*").alias("nodes"), F.max("standing").alias("hub")).where("nodes > 1").drop("nodes")
