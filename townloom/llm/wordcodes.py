@@ -17,6 +17,7 @@ from townloom.llm.bytesops import HashSlots, gather, release_caches, spans_hash,
 CACHE_BITS = 16  # the table grows from here
 FULL = 600_000  # parts in a worker's cache beyond which the next batch starts with an empty one
 BATCH_BYTES = 1 << 20  # bytes of text worked on at once; arrays over them take some fifty times as much
+ENCODED_AT_ONCE = 4_000  # parts given to the library at once; what it returns takes over a kilobyte a part
 # ASCII punctuation in front of which a part may begin after a letter; no apostrophe (contractions).
 PUNCTUATION = np.frombuffer(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~", np.uint8)
 
@@ -107,9 +108,9 @@ class PartCache:
         out = self.known.find(keys)
         if (new := np.flatnonzero(out < 0)).size:
             fresh, at = np.unique(keys[new], return_index=True)
-            for i in range(0, len(fresh), 50_000):
-                chosen = new[at[i:i + 50_000]]
-                self.learn(fresh[i:i + 50_000], texts_of(raw, starts[chosen], ends[chosen]))
+            for i in range(0, len(fresh), ENCODED_AT_ONCE):
+                chosen = new[at[i:i + ENCODED_AT_ONCE]]
+                self.learn(fresh[i:i + ENCODED_AT_ONCE], texts_of(raw, starts[chosen], ends[chosen]))
             out[new] = self.known.find(keys[new])
         return out
 
