@@ -75,3 +75,16 @@ def test_neighbour_search_sends_on_what_can_count(spark):
                                         "c_ids array<long>, c_flat array<double>").coalesce(1)
     got = neighbours.solved(pairs, 2, "bigint", "euclidean", False, 6).collect()
     assert sorted((r.id, r.neighbor, r.distance) for r in got) == [(1, 2, 1.0), (1, 4, 0.5)]
+
+
+def test_districts_go_on_over_arrow_batches(spark):
+    """A district whose rows arrive in several batches is followed once, as a whole; neighbours stay apart."""
+    rows = spark.range(400).select((F.col("id") % 7).alias("district_id"), F.col("id").alias("node"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = graph.followed(rows, ["district_id"], lambda of: {"low": of["node"].min(keepdims=True), "n": np.array([float(len(of["node"]))])},
+                             low="node", n="double").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted((r.district_id, r.low, r.n) for r in got) == [(d, d, float(len(range(d, 400, 7)))) for d in range(7)]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.operators.spatial import KEYS, footprint_pairs, with_gaps
-from townloom.session import by_size, columns_of
+from townloom.session import by_size, columns_of, fan_out
 from townloom.session import cut_round as cut
 
 MAX_ROUNDS = 100_000
@@ -37,6 +40,44 @@ def lowest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
+def followed(rows: DataFrame, k: list[str], follow, **columns: str) -> DataFrame:
+    """What `follow` makes of the rows of each key, districts of bounded size one after the other in Arrow batches.
+
+    It turns arrays by column into arrays by new column; `columns` names, for each of these, the column of `rows` that
+    has its type, or double. Only the rows of a batch and of one key are held.
+    """
+    kind = lambda c: c if c == "double" else rows.schema[c].dataType.simpleString()
+    schema = ", ".join([f"`{c}` {kind(c)}" for c in k] + [f"`{new}` {kind(c)}" for new, c in columns.items()])
+    values = [c for c in rows.columns if c not in k]
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            parts = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None and len(t)]
+            if not parts:
+                continue
+            table = pa.concat_tables(parts)
+            fresh = np.zeros(len(table), bool)
+            fresh[0] = True
+            for c in k:
+                key = table[c].to_numpy()
+                fresh[1:] |= key[1:] != key[:-1]
+            starts = np.flatnonzero(fresh)
+            ends = np.append(starts[1:], len(table))
+            if batch is not None:  # the last key may go on
+                held, starts, ends = table.slice(starts[-1]), starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            arrays = {c: table[c].to_numpy() for c in values}
+            found = [follow({c: v[i:j] for c, v in arrays.items()}) for i, j in zip(starts.tolist(), ends.tolist())]
+            at = pa.array(np.repeat(starts, [len(f[next(iter(columns))]) for f in found]))
+            made = [pa.array(np.concatenate([f[new] for f in found]), pa.float64() if c == "double" else table.schema.field(c).type)
+                    for new, c in columns.items()]
+            yield pa.record_batch([*(table[c].combine_chunks().take(at) for c in k), *made], names=[*k, *columns])
+
+    return fan_out(rows, *k).sortWithinPartitions(*k).mapInArrow(run, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, keys=KEYS, limit: int = LINKED_ROWS) -> DataFrame:
     """Smallest reachable node id as the component of every node.
 
@@ -177,20 +218,19 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float | None =
     small, large = by_size(rows, k, limit)
     most = np.inf if cutoff is None else cutoff
 
-    def follow(key, pdf):
-        ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        a, b = at.reshape(-1, 2).T
-        length = pdf["length_m"].to_numpy(dtype=float)
+    def follow(of):
+        ids, at = np.unique(np.concatenate([of["src"], of["dst"]]), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        length = of["length_m"].astype(float)
         start = a[np.isnan(length)]
         to, fro, length = np.concatenate([b, a]), np.concatenate([a, b]), np.concatenate([length, length])
         order = np.lexsort((fro, to))
         order = order[~np.isnan(length[order])]
         d = distances(start, fro[order], to[order], length[order], len(ids))
         s, v = np.nonzero(np.isfinite(d) & ((d <= most) | (np.arange(len(ids)) == start[:, None])))
-        return pd.DataFrame({**dict(zip(k, key)), "source": ids[start[s]], "node": ids[v], "dist": d[s, v]},
-                            columns=[*k, "source", "node", "dist"])
+        return {"source": ids[start[s]], "node": ids[v], "dist": d[s, v]}
 
-    out = small.groupBy(*k).applyInPandas(follow, columns_of(sources, k, source="node", node="node") + ", dist double")
+    out = followed(small, k, follow, source="src", node="src", dist="double")
     if large is not None:
         large = cut(large)
         links = cut(both_ways(large.where("length_m IS NOT NULL"), k, ["length_m"]))
@@ -368,21 +408,20 @@ def edge_betweenness(edges: DataFrame, keys=KEYS, batch_states: int = BATCH_STAT
         return _betweenness_by_joins(simple, k, batch_states)
     small, large = by_size(simple, k, limit)
 
-    def follow(key, pdf):
-        ids, at = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        a, b = at.reshape(-1, 2).T
+    def follow(of):
+        ids, at = np.unique(np.concatenate([of["src"], of["dst"]]), return_inverse=True)
+        a, b = at.reshape(2, -1)
         low = lowest_reachable(a, b, len(ids))
         size = np.bincount(low)
         mine = low[a] == size.argmax()  # the first of equal ones has the smaller label
         n = int(size.max())
-        _, at = np.unique(at.reshape(-1, 2)[mine].ravel(), return_inverse=True)
-        c, d = at.reshape(-1, 2).T
-        pdf = pdf[mine]
-        return pd.DataFrame({**dict(zip(k, key)), "src": pdf["src"], "dst": pdf["dst"], "length_m": pdf["length_m"],
-                             "centrality": flows(c, d, pdf["length_m"].to_numpy(dtype=float), n) / (float(n) * (n - 1))},
-                            columns=[*k, "src", "dst", "length_m", "centrality"])
-
-    out = small.groupBy(*k).applyInPandas(follow, columns_of(simple, k, src="src", dst="dst", length_m="length_m") + ", centrality double")
+        _, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        c, d = at.reshape(2, -1)
+        length = of["length_m"][mine]
+        return {"src": of["src"][mine], "dst": of["dst"][mine], "length_m": length,
+                "centrality": flows(c, d, length.astype(float), n) / (float(n) * (n - 1))}
+
+    out = followed(small, k, follow, src="src", dst="dst", length_m="length_m", centrality="double")
     if large is not None:
         out = out.unionByName(_betweenness_by_joins(cut(large), k, batch_states))
     return cut(out)
@@ -478,8 +517,9 @@ def attach_centrality(edges: DataFrame, scores: DataFrame, ident: str = "edge_id
     j = e.join(scores.select(*k, "src", "dst", F.col("length_m").alias("_m"), "centrality"),
                [*k, "src", "dst"], "left")
     short = F.coalesce(F.col("length_m") == F.col("_m"), F.lit(False))
-    n = j.where(short).groupBy(*k, "src", "dst").agg(F.count("*").alias("_n"))
-    return j.join(n, [*k, "src", "dst"], "left").groupBy(*k, ident).agg(F.avg(
+    # parallels of an edge are where the join has brought them
+    n = F.count(F.when(short, 1)).over(Window.partitionBy(*k, "src", "dst"))
+    return j.withColumn("_n", n).groupBy(*k, ident).agg(F.avg(
         F.when(short, F.col("centrality") / F.col("_n")).otherwise(0.0)).alias("centrality"))
 
 

@@ -9,6 +9,7 @@ from townloom.functions import vocab as V
 from townloom.operators import graph, outlines
 from townloom.plans.catalog import query
 from townloom.plans.joins import GAPS
+from townloom.session import cut
 
 INLIST = lambda vs: "(" + ", ".join(f"'{v}'" for v in vs) + ")"
 
@@ -99,7 +100,7 @@ PATHS = {
 
 def centrality(L):
     s = L.view("streets").where(F.col("highway").isin(V.VEHICULAR_CLASSES)).select(
-        "district_id", F.concat_ws("-", "lo", "hi", "length_m").alias("edge_id"),
+        "district_id", F.struct("lo", "hi", "length_m").alias("edge_id"),
         F.col("u").alias("src"), F.col("v").alias("dst"), "length_m")
     return s, graph.edge_betweenness(s)
 
@@ -140,11 +141,14 @@ def walk_reach(L):
     """Walking distances from the node nearest to the district centre, up to 15 minutes."""
     per_min = V.WALK_SPEED_MPH * 5280 * V.M_PER_FT / 60
     s = L.view("streets").where(F.col("highway").isin(V.WALKABLE_CLASSES))
+    # the shortest of parallel streets, from one scan
+    s = cut(s.groupBy("district_id", "u", "v", "x1", "y1", "x2", "y2").agg(F.min("length_m").alias("length_m")))
     nodes = s.select("district_id", F.col("u").alias("node"), F.col("x1").alias("x"),
                      F.col("y1").alias("y")).union(s.select("district_id", "v", "x2", "y2")).distinct()
     centre = L.view("districts").select("district_id", F.lit(500.0).alias("x"), F.lit(500.0).alias("y"))
     start = graph.nearest_node(nodes, centre)
-    return graph.shortest_paths(walkable(L), start, per_min * 15), nodes, per_min
+    edges = s.select("district_id", F.col("u").alias("src"), F.col("v").alias("dst"), "length_m")
+    return graph.shortest_paths(edges, start, per_min * 15), nodes, per_min
 
 
 @query("r5_nearest_node", f"""
