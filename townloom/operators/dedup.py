@@ -11,12 +11,12 @@ open point of each small cell is looked at, and the next round goes back to smal
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.session import cut_round as cut
+from townloom.session import followed
 
 MAX_ROUNDS = 10_000
 TILE_POINTS = 20_000  # open points that one task follows together
@@ -97,7 +97,6 @@ def _first_of_cells(points: DataFrame, open_: DataFrame, k: list[str], distance:
 
 def _followed(mine: DataFrame, every: DataFrame, k: list[str], edge: float, distance: float) -> DataFrame:
     """The points of the tiles of `mine` that are kept for sure; open points close to a tile come along."""
-    kinds = {f.name: f.dataType.simpleString() for f in mine.schema.fields}
     span = lambda v: F.sequence(geo.cell_of(F.col(v) - distance, edge), geo.cell_of(F.col(v) + distance, edge))
     sent = every.select(*k, "_id", "x", "y", "_cx", "_cy", F.col("_tx").alias("_hx"), F.col("_ty").alias("_hy"),
                         F.explode(span("x")).alias("_tx"))
@@ -105,14 +104,13 @@ def _followed(mine: DataFrame, every: DataFrame, k: list[str], edge: float, dist
     own = (F.col("_hx") == F.col("_tx")) & (F.col("_hy") == F.col("_ty"))
     tiles = mine.select(*k, "_tx", "_ty").distinct()
     sent = sent.join(tiles, [*k, "_tx", "_ty"], "left_semi").withColumn("_own", own).drop("_hx", "_hy")
-    schema = ", ".join(f"{c} {kinds[c]}" for c in k) + f", _cx {kinds['_cx']}, _cy {kinds['_cy']}, _fid {kinds['_id']}, _fx double, _fy double"
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id")
-        x, y, own = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["_own"].to_numpy(bool)
-        cx, cy = pdf["_cx"].tolist(), pdf["_cy"].tolist()
-        cells, sure = {}, np.zeros(len(pdf), bool)
-        for i in range(len(pdf)):  # earlier points are decided or open for this round
+
+    def follow(of):
+        by = np.argsort(of["_id"], kind="stable")
+        x, y, own = of["x"][by].astype(float).tolist(), of["y"][by].astype(float).tolist(), of["_own"][by].tolist()
+        cx, cy = of["_cx"][by].tolist(), of["_cy"][by].tolist()
+        cells, sure = {}, np.zeros(len(by), bool)
+        for i in range(len(by)):  # earlier points are decided or open for this round
             waits, hit = not own[i], False
             for a in range(cx[i] - 2, cx[i] + 3):
                 for b in range(cy[i] - 2, cy[i] + 3):
@@ -125,7 +123,7 @@ def _followed(mine: DataFrame, every: DataFrame, k: list[str], edge: float, dist
                 continue  # removed: it holds back nothing
             sure[i] = not waits
             cells.setdefault((cx[i], cy[i]), []).append(i)
-        out = pdf[sure]
-        return out.rename(columns={"_id": "_fid", "x": "_fx", "y": "_fy"})[[*k, "_cx", "_cy", "_fid", "_fx", "_fy"]]
+        out = by[sure]
+        return {"_cx": of["_cx"][out], "_cy": of["_cy"][out], "_fid": of["_id"][out], "_fx": of["x"][out], "_fy": of["y"][out]}
 
-    return sent.groupBy(*k, "_tx", "_ty").applyInPandas(follow, schema)
+    return followed(sent, [*k, "_tx", "_ty"], follow, _cx="_cx", _cy="_cy", _fid="_id", _fx="double", _fy="double").drop("_tx", "_ty")

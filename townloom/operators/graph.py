@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.operators.spatial import KEYS, footprint_pairs, with_gaps
-from townloom.session import by_size, columns_of, fan_out
+from townloom.session import by_size, columns_of, followed
 from townloom.session import cut_round as cut
 
 MAX_ROUNDS = 100_000
@@ -40,44 +37,6 @@ def lowest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
-def followed(rows: DataFrame, k: list[str], follow, **columns: str) -> DataFrame:
-    """What `follow` makes of the rows of each key, districts of bounded size one after the other in Arrow batches.
-
-    It turns arrays by column into arrays by new column; `columns` names, for each of these, the column of `rows` that
-    has its type, or double. Only the rows of a batch and of one key are held.
-    """
-    kind = lambda c: c if c == "double" else rows.schema[c].dataType.simpleString()
-    schema = ", ".join([f"`{c}` {kind(c)}" for c in k] + [f"`{new}` {kind(c)}" for new, c in columns.items()])
-    values = [c for c in rows.columns if c not in k]
-
-    def run(batches):
-        held = None
-        for batch in chain(batches, [None]):
-            parts = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None and len(t)]
-            if not parts:
-                continue
-            table = pa.concat_tables(parts)
-            fresh = np.zeros(len(table), bool)
-            fresh[0] = True
-            for c in k:
-                key = table[c].to_numpy()
-                fresh[1:] |= key[1:] != key[:-1]
-            starts = np.flatnonzero(fresh)
-            ends = np.append(starts[1:], len(table))
-            if batch is not None:  # the last key may go on
-                held, starts, ends = table.slice(starts[-1]), starts[:-1], ends[:-1]
-            if not len(starts):
-                continue
-            arrays = {c: table[c].to_numpy() for c in values}
-            found = [follow({c: v[i:j] for c, v in arrays.items()}) for i, j in zip(starts.tolist(), ends.tolist())]
-            at = pa.array(np.repeat(starts, [len(f[next(iter(columns))]) for f in found]))
-            made = [pa.array(np.concatenate([f[new] for f in found]), pa.float64() if c == "double" else table.schema.field(c).type)
-                    for new, c in columns.items()]
-            yield pa.record_batch([*(table[c].combine_chunks().take(at) for c in k), *made], names=[*k, *columns])
-
-    return fan_out(rows, *k).sortWithinPartitions(*k).mapInArrow(run, schema)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, keys=KEYS, limit: int = LINKED_ROWS) -> DataFrame:
     """Smallest reachable node id as the component of every node.
 
