@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from townloom.operators import graph, neighbours, outlines, ranks, similarity
+from townloom.operators import dedup, graph, neighbours, outlines, ranks, similarity
 from townloom.plans import graphs
 from townloom.plans.fixtures import Layers
 
@@ -88,3 +88,21 @@ def test_districts_go_on_over_arrow_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted((r.district_id, r.low, r.n) for r in got) == [(d, d, float(len(range(d, 400, 7)))) for d in range(7)]
+
+
+def test_tiles_of_any_order_type_in_small_batches(spark):
+    """Points kept do not depend on the type of the order, nor on how many rows an Arrow batch holds; tiles go in batches."""
+    rng = np.random.default_rng(8)
+    pts = [(f"d{i % 2}", i, "a" if i % 3 else "b", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 90, (120, 2)))]
+    df = spark.createDataFrame(pts, "district_id string, pid int, name string, x double, y double")
+    kept = {r.pid for r in dedup.greedy_dedup(df, "pid", "name", 20.0).collect()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        later = dedup.greedy_dedup(df.withColumn("at", F.timestamp_seconds("pid")), "at", "name", 20.0, tile_points=30)
+        assert {r.pid for r in later.collect()} == kept and len(kept) < 120
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    tiled = df.withColumnsRenamed({"name": "_name", "pid": "_id"}).withColumns({c: F.lit(0) for c in ("_cx", "_cy", "_tx", "_ty")})
+    plan = dedup._followed(tiled, tiled, ["district_id", "_name"], 100.0, 20.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
