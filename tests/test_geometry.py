@@ -173,3 +173,21 @@ def test_points_within_copies_a_point_to_few_tiles(spark, monkeypatch):
     d2 = ((xy[:150, None] - xy[None, 150:]) ** 2).sum(2)
     assert near == set(np.flatnonzero((d2 <= 625).any(1)))
     assert 0 < sent[0] <= 4 * 150
+
+
+def test_overlap_with_windows_that_overlap(spark):
+    """Cells under several windows of a district count once; ranges of cells give what single cells give, and are fewer."""
+    def table(boxes):
+        df = spark.createDataFrame(boxes, "district_id int, unit int, x0 double, y0 double, x1 double, y1 double")
+        return df.withColumn("rings", F.array(geo.ring_from(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
+
+    units = table([(0, 1, 0.0, 0.0, 40.0, 40.0), (0, 2, 41.5, 3.25, 77.0, 20.0), (1, 3, 0.0, 0.0, 9.0, 9.0), (2, 4, 5.0, 5.0, 6.0, 30.0)])
+    windows = table([(0, 0, 10.0, 10.0, 30.0, 30.0), (0, 0, 20.0, 5.0, 60.0, 18.0), (0, 0, 22.0, 6.0, 24.0, 17.0), (2, 0, 0.0, 0.0, 50.0, 12.5)])
+    got = {r.unit: (r.overlap_ratio, r.overlap_m2) for r in spatial.overlap_by_cells(units, windows, "unit", 1.0).collect()}
+    cover = {(r.district_id, r.cell_x, r.cell_y) for r in spatial.cell_cover(windows, 1.0, ["district_id"]).collect()}
+    own = spatial.cell_cover(units, 1.0, ["district_id", "unit"]).collect()
+    for unit in (1, 2, 3, 4):
+        cells = [(r.district_id, r.cell_x, r.cell_y) for r in own if r.unit == unit]
+        met = sum(c in cover for c in cells)
+        assert got[unit] == (met / len(cells), met * 1.0)
+    assert spatial.cell_ranges(units, 1.0, ["district_id", "unit"]).count() < len(own) / 8

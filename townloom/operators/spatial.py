@@ -114,14 +114,8 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly_
     return near.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
 
 
-def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
-    """Cells whose centre lies in the polygon; the basis of every overlay here.
-
-    Filled row by row: the edges crossing the middle of a row, in order, give the stretches
-    that lie inside, so the work follows the outline and the covered cells, not all cells of the
-    box times all edges. Rows are spread one by one, so neither a polygon nor its district stays
-    in one task, and no array is longer than the crossings of one row.
-    """
+def _row_stretches(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
+    """The stretches _lo to _hi inside the polygon along the middle of each row of cells."""
     rows = geo.let(geo.bbox("rings"), lambda b: F.sequence(
         F.floor(b["ymin"] / size).cast("long"), F.floor(b["ymax"] / size).cast("long")))
     y = geo.cell_centre("cell_y", size)
@@ -132,8 +126,30 @@ def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
         *keep, "cell_y", crossings.alias("_x"))
     # outer generators add no filter that would compute the crossings twice
     starts = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("_x") - 2, F.lit(0)), F.lit(2)))
-    stretches = fan_out(per_row, *keep, "cell_y").select(*keep, "cell_y", "_x", starts.alias("_i")).select(
+    return fan_out(per_row, *keep, "cell_y").select(*keep, "cell_y", "_x", starts.alias("_i")).select(
         *keep, "cell_y", F.get("_x", F.col("_i")).alias("_lo"), F.get("_x", F.col("_i") + 1).alias("_hi"))
+
+
+def cell_ranges(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
+    """cell_cover with the cells of a stretch in one row: from _first up to, not including, _end."""
+    def below(v):  # cells whose centre is below v, by the comparison of cell_cover
+        low = F.floor(F.col(v) / size).cast("long") - 1
+        return low + sum(((geo.cell_centre(low + i, size) < F.col(v)).cast("long") for i in (1, 2)),
+                         (geo.cell_centre(low, size) < F.col(v)).cast("long"))
+
+    return _row_stretches(polygons, size, keep).select(
+        *keep, "cell_y", below("_lo").alias("_first"), below("_hi").alias("_end")).where("_first < _end")
+
+
+def cell_cover(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
+    """Cells whose centre lies in the polygon; the basis of every overlay here.
+
+    Filled row by row: the edges crossing the middle of a row, in order, give the stretches
+    that lie inside, so the work follows the outline and the covered cells, not all cells of the
+    box times all edges. Rows are spread one by one, so neither a polygon nor its district stays
+    in one task, and no array is longer than the crossings of one row.
+    """
+    stretches = _row_stretches(polygons, size, keep)
     wide = F.explode_outer(F.sequence(F.floor(F.col("_lo") / size).cast("long") - 1,
                                       F.floor(F.col("_hi") / size).cast("long") + 1))
     centre = geo.cell_centre("cell_x", size)
@@ -195,11 +211,17 @@ def overlap_exact(units: DataFrame, windows: DataFrame, unit_id: str, keys=KEYS)
 def overlap_by_cells(units: DataFrame, windows: DataFrame, unit_id: str, size: float,
                      keys=KEYS) -> DataFrame:
     """Overlap share for any polygons as a ratio of cells; error is about edge x cell size."""
-    u = cell_cover(units, size, [*keys, unit_id])
-    w = cell_cover(windows, size, [*keys]).distinct().withColumn("_in", F.lit(1))
-    return (u.join(w, [*keys, "cell_x", "cell_y"], "left").groupBy(*keys, unit_id)
-            .agg((F.count("_in") / F.count("*")).alias("overlap_ratio"),
-                 (F.count("_in") * F.lit(size * size)).alias("overlap_m2")))
+    u = cell_ranges(units, size, [*keys, unit_id])
+    # windows of one key may overlap: of each range what is beyond the ranges that begin before it
+    before = Window.partitionBy(*keys, "cell_y").orderBy("_first", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    w = cell_ranges(windows, size, [*keys]).withColumn("_from", F.greatest("_first", F.max("_end").over(before))).where(
+        "_from < _end").select(*keys, "cell_y", "_from", F.col("_end").alias("_to"))
+    common = F.greatest(F.least("_end", "_to") - F.greatest("_first", "_from"), F.lit(0))
+    met = u.join(w, [*keys, "cell_y"]).select(*keys, unit_id, F.lit(0).cast("long").alias("_all"), common.alias("_in"))
+    return (u.select(*keys, unit_id, (F.col("_end") - F.col("_first")).alias("_all"), F.lit(0).cast("long").alias("_in"))
+            .unionByName(met).groupBy(*keys, unit_id)
+            .agg((F.sum("_in") / F.sum("_all")).alias("overlap_ratio"),
+                 (F.sum("_in") * F.lit(size * size)).alias("overlap_m2")))
 
 
 def dominant_unit(overlaps: DataFrame, unit_id: str, keys=KEYS, floor_m2: float = 1.0) -> DataFrame:
