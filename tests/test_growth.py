@@ -64,3 +64,22 @@ def test_distances_in_blocks(spark, monkeypatch, shared):
     np.fill_diagonal(dist, np.inf)
     got = found(neighbours.nearest(frame(spark, range(400), x), 4, "id", "vec", shared=shared))
     assert got == {i: v for i, v in brute(dist, range(400), 4).items() if v}
+
+
+def test_hit_rates_send_rows_in_proportion(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    x = np.random.default_rng(6).normal(size=(1500, 64)).astype("float32")
+    rows = [(i, [float(v) for v in r], i % 10) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sent, visits = [], neighbours.visits
+    monkeypatch.setattr(neighbours, "visits", lambda *a: sent.append(visits(*a)) or sent[-1])
+    got = entry.queries()["m17_hit_rates"](spark, str(tmp_path)).first()
+    assert sum(v.count() for v in sent) < 4 * len(rows)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel = con.sql(entry.oracle_sql()["m17_hit_rates"])
+    want = dict(zip(rel.columns, rel.fetchall()[0]))
+    assert {c: round(got[c], 4) for c in want} == {c: round(v, 4) for c, v in want.items()}
