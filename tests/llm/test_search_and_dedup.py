@@ -236,3 +236,27 @@ def test_posterior_keeps_links_and_drops_others():
         for matches, enough in ((s, True), (s - 1, False)):
             density = grid ** matches * (1 - grid) ** (m - matches)
             assert (density[grid >= 0.85].sum() / density.sum() >= minhash_dedup.MISS) == enough
+
+
+def test_pairs_kept_do_not_grow_with_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "ADDED_ROWS", 50)
+    r = random.Random(9)
+    rows = [(i, r.randint(0, 1), [r.choice([0.25, 0.5, 0.75, 1.0]) for _ in range(4)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    kept, whole = [], hard_negatives.kept_pairs
+    monkeypatch.setattr(hard_negatives, "kept_pairs", lambda *a: kept.append(whole(*a)) or kept[-1])
+    got = sorted(tuple(x) for x in hard_negatives.hard_negatives(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == mined(rows, [x for x in rows if x[0] % 50 == 0])
+    tasks = spark.sparkContext.defaultParallelism
+    near, far = (k.count() for k in kept)
+    assert near <= 14 * 5 * tasks and far <= 14 * 25 * tasks  # 44 blocks
+
+
+@pytest.mark.parametrize("size, kind", [(100, np.float32), (10**5, np.float64), (10**9, np.int64)])
+def test_products_are_exact(size, kind):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-size, size + 1, (20, 6)), rng.integers(-size, size + 1, (30, 6))
+    x, y = hard_negatives.exact(a, b)
+    assert x.dtype == kind and [[int(s) for s in row] for row in x @ y.T] == [
+        [sum(int(p) * int(q) for p, q in zip(u, v)) for v in b] for u in a]

@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townloom.llm.topk import products
 from townloom.session import cut
 
 BLOCK_ROWS = 2048  # candidates in a block
-ANCHOR_ROWS = 256  # anchors in a block
+ANCHOR_ROWS = 2048  # anchors in a block
+SLICE_ROWS = 256  # anchors of a block whose scores are looked at together
+TASK_BYTES = 32 << 20  # vectors of the candidates that a task holds
+ADDED_ROWS = 1 << 18  # pairs that wait to be merged with the best so far
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 KEY = ">QQBQ"
 KEY_TYPE = np.dtype([("anchor", ">u8"), ("score", ">u8"), ("kind", "u1"), ("id", ">u8")])
 SIGN = 1 << 63
@@ -40,26 +43,45 @@ def sound_vectors(df: DataFrame, scale: int, id_col: str, vec_col: str, label_co
     return rows.groupBy("vec_id").agg(F.min("row").alias("row")).select("vec_id", "row.label", "row.vec")
 
 
-def blocks_of(df: DataFrame, block: Column, dims: int, *more: str) -> DataFrame:
-    """One row for each value of `block`: arrays of ids and labels (and others), and the vectors one after the other."""
+def blocks_of(df: DataFrame, block: Column, parts: int, dims: int, *more: str) -> DataFrame:
+    """One row for each value of `block`, in so many partitions: arrays of ids and labels (and others), and the vectors one after the other."""
     vec = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("vec")))
     rows = df.select(block.alias("block"), F.struct("vec_id", "label", vec.alias("vec"), *more).alias("row"))
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # about as many rows as aimed at
+    packed = rows.repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # about as many rows as aimed at
     return packed.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.label").alias("labels"),
                          F.flatten("rows.vec").alias("vecs"), *(F.col(f"rows.{c}").alias(c) for c in more))
 
 
-def best(scores: np.ndarray, good: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k highest good scores of each row; ties go to the first columns."""
-    s = np.where(good, scores, np.iinfo(np.int64).min)
-    if s.shape[1] > k:
-        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        good = good & (s >= kth[:, None])
-    row, col = np.nonzero(good)
-    order = np.lexsort((col, -scores[row, col], row))
-    row, col = row[order], col[order]
-    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[kept], col[kept]
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of integers as the shortest numbers that hold every partial sum of their inner products."""
+    longest = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+    top = longest(a) * longest(b) * (1 + 1e-9)  # no sum of absolute products is larger
+    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
+    return a.astype(kind), b.astype(kind)
+
+
+class First:
+    """The k first pairs, by score from the highest, then id, of every list; `floor` is the k-th score of full lists."""
+
+    def __init__(self, lists: int, k: int):
+        self.k, self.floor = k, np.full(lists, LEAST)
+        self.held, self.waiting, self.more = tuple(np.zeros(0, np.int64) for _ in range(3)), [], 0
+
+    def add(self, *pairs: np.ndarray) -> None:
+        """Lists, scores and ids of pairs."""
+        self.waiting.append(pairs)
+        self.more += len(pairs[0])
+        if self.more > ADDED_ROWS:
+            self.merge()
+
+    def merge(self) -> None:
+        lists, score, ids = (np.concatenate(x) for x in zip(self.held, *self.waiting))
+        order = np.lexsort((ids, ~score, lists))
+        lists, score, ids = lists[order], score[order], ids[order]
+        nth = np.arange(len(lists)) - np.searchsorted(lists, lists)
+        last = nth == self.k - 1
+        self.floor[lists[last]] = score[last]
+        self.held, self.waiting, self.more = tuple(x[nth < self.k] for x in (lists, score, ids)), [], 0
 
 
 def packed_keys(anchor: np.ndarray, score: np.ndarray, kind: int, ids: np.ndarray) -> pa.Array:
@@ -77,58 +99,95 @@ def unpacked(key: bytes) -> tuple[int, int, int, int]:
     return anchor - SIGN, (score ^ (2 * SIGN - 1)) - SIGN, kind, i - SIGN
 
 
-def block_pairs(blocks: DataFrame, anchors: DataFrame, shards: int) -> DataFrame:
-    """Every block of anchors next to every block of candidates: the stated anchors against all rows, in blocks."""
-    sent = anchors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"),
-                          *(F.col(c).alias("a_" + c) for c in anchors.columns if c != "block"))
-    return sent.join(blocks, "block").drop("block")
-
-
-def kept_pairs(pairs: DataFrame, dims: int, choose) -> DataFrame:
-    """Keys of the pairs that `choose` keeps of the scores of a block of anchors and a block of candidates."""
+class Positives:
+    """The k best candidates of its label for each anchor of a block."""
+
+    kind = POSITIVE
+
+    def __init__(self, anchors: dict[str, np.ndarray], k: int):
+        self.anchors, self.lists, self.first = anchors, 1, First(len(anchors["ids"]), k)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, vecs: np.ndarray) -> None:
+        a, (own, vecs) = self.anchors, exact(self.anchors["vecs"], vecs)
+        for i in range(0, len(a["ids"]), SLICE_ROWS):
+            s = own[i:i + SLICE_ROWS] @ vecs.T
+            good = (a["labels"][i:i + SLICE_ROWS, None] == labels[None, :]) & (s >= self.first.floor[i:i + SLICE_ROWS, None].astype(s.dtype))
+            row, col = np.divmod(np.flatnonzero(good), s.shape[1])
+            other = a["ids"][row + i] != ids[col]
+            row, col = row[other], col[other]
+            self.first.add(row + i, s[row, col].astype(np.int64), ids[col])
+        self.first.merge()
+
+    def keys(self) -> pa.Array:
+        lists, score, ids = self.first.held
+        row = lists // self.lists
+        order = np.lexsort((ids, row))  # a negative may be in more than one window
+        row, score, ids = row[order], score[order], ids[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        return packed_keys(self.anchors["ids"][row[fresh]], score[fresh], self.kind, ids[fresh])
+
+
+class Negatives(Positives):
+    """The k best candidates of other labels within the window of each positive of each anchor of a block."""
+
+    kind = NEGATIVE
+
+    def __init__(self, anchors: dict[str, np.ndarray], goals: pa.ListArray, k: int, low: int, high: int):
+        offsets = np.asarray(goals.offsets).astype(np.int64)
+        flat, n = np.asarray(goals.flatten()), np.diff(offsets)
+        self.anchors, self.lists = anchors, max(int(n.max(initial=0)), 1)
+        at = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], n)
+        self.low, self.high = np.full((len(n), self.lists), MOST), np.full((len(n), self.lists), LEAST)
+        row = np.repeat(np.arange(len(n)), n)
+        self.low[row, at], self.high[row, at] = -(-low * flat // 100), high * flat // 100
+        self.first = First(self.low.size, k)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, vecs: np.ndarray) -> None:
+        a, (own, vecs) = self.anchors, exact(self.anchors["vecs"], vecs)
+        low = np.maximum(self.low, self.first.floor.reshape(self.low.shape))
+        for i in range(0, len(a["ids"]), SLICE_ROWS):
+            s = own[i:i + SLICE_ROWS] @ vecs.T
+            least = low[i:i + SLICE_ROWS].min(axis=1).astype(s.dtype)
+            some = np.flatnonzero(s.max(axis=1, initial=LEAST) >= least)
+            row, col = np.divmod(np.flatnonzero(s[some] >= least[some, None]), s.shape[1])
+            row = some[row] + i
+            other = a["labels"][row] != labels[col]
+            row, col = row[other], col[other]
+            score = s[row - i, col].astype(np.int64)
+            for nth in range(self.lists):
+                good = (score >= low[row, nth]) & (score <= self.high[row, nth])
+                self.first.add(row[good] * self.lists + nth, score[good], ids[col[good]])
+        self.first.merge()
+
+
+def kept_pairs(anchors: DataFrame, blocks: DataFrame, dims: int, start) -> DataFrame:
+    """Keys of the pairs that are kept of each block of anchors and the blocks of candidates that a task holds.
+
+    Every block of anchors meets every block of candidates in a nested loop over partitions, so nothing is shuffled.
+    """
+    pairs = anchors.select(*(F.col(c).alias("a_" + c) for c in anchors.columns)).hint("shuffle_replicate_nl").crossJoin(blocks)
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
         for batch in batches:
+            column = dict(zip(names, batch.columns))
+            of = lambda c, i: np.asarray(column[c][i].values)
             for i in range(len(batch)):
-                row = {c: np.asarray(batch.column(p)[i].values) for p, c in enumerate(names) if c != "a_goals"}
-                if "a_goals" in names:
-                    row["a_goals"] = batch.column(names.index("a_goals"))[i].values
-                scores = products(row["a_vecs"].reshape(-1, dims), row["vecs"].reshape(-1, dims))
-                kind, r, c = choose(row, scores)
-                yield pa.record_batch([packed_keys(row["a_ids"][r], scores[r, c], kind, row["ids"][c])], names=["key"])
+                if held is None or column["a_block"][i].as_py() != at:
+                    if held is not None:
+                        yield pa.record_batch([held.keys()], names=["key"])
+                    at = column["a_block"][i].as_py()
+                    own = {"ids": of("a_ids", i), "labels": of("a_labels", i), "vecs": of("a_vecs", i).reshape(-1, dims)}
+                    held = start(own, column["a_goals"][i].values if "a_goals" in column else None)
+                held.meet(of("ids", i), of("labels", i), of("vecs", i).reshape(-1, dims))
+        if held is not None:
+            yield pa.record_batch([held.keys()], names=["key"])
 
     return pairs.mapInArrow(run, "key binary")
 
 
-def positives_in(k: int):
-    def choose(row, scores):
-        good = (row["a_labels"][:, None] == row["labels"][None, :]) & (row["a_ids"][:, None] != row["ids"][None, :])
-        return POSITIVE, *best(scores, good, k)
-
-    return choose
-
-
-def negatives_in(k: int, low: int, high: int):
-    """The k best negatives within each positive's window; no other pair of this block can be among its first k."""
-
-    def choose(row, scores):
-        other = row["a_labels"][:, None] != row["labels"][None, :]
-        offsets = np.asarray(row["a_goals"].offsets).astype(np.int64)
-        flat, n = np.asarray(row["a_goals"].flatten()), np.diff(offsets)
-        chosen = [np.zeros(0, np.int64)]
-        for nth in range(int(n.max(initial=0))):
-            have = np.flatnonzero(n > nth)
-            goal = flat[offsets[have] - offsets[0] + nth][:, None]
-            s = scores[have]
-            r, c = best(s, other[have] & (low * goal <= 100 * s) & (100 * s <= high * goal), k)
-            chosen.append(have[r] * scores.shape[1] + c)
-        cell = np.unique(np.concatenate(chosen))
-        return NEGATIVE, cell // scores.shape[1], cell % scores.shape[1]
-
-    return choose
-
-
 def windows(pairs: Iterator[tuple[bytes, None]], positives: int, negatives: int, low: int, high: int):
     """Reads sorted keys; yields (anchor, positive, rank, negative, positive score, negative score)."""
     last, opened, seen = None, [], 0
@@ -163,8 +222,8 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     filled up with zeros. Anchors whose label no other row has, and empty tables, give no rows.
 
     Blocks of anchors meet blocks of candidates twice: first for positives, at most `positives` an anchor
-    and block, then for negatives, at most `negatives` a window and block. Only these are shuffled, so an anchor's
-    share of the sort grows with the number of blocks and not with that of rows.
+    and task, then for negatives, at most `negatives` a window and task. Only these are shuffled, so an anchor's
+    share of the sort grows with the number of tasks and not with that of rows.
     """
     if high > 100:
         raise ValueError("a window ends at its positive: high is at most 100")
@@ -179,11 +238,14 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     dims = max(size.dims, ask.dims, 1)
     shards = max(-(-size.n // BLOCK_ROWS), min(spark.sparkContext.defaultParallelism, -(-size.n // 256)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    blocks = cut(blocks_of(every, deal(shards), dims))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(-(-size.n * dims * 8 // TASK_BYTES), min(cores, shards))
+    blocks = cut(blocks_of(every, deal(shards), parts, dims).drop("block")).coalesce(parts)
     groups = -(-ask.n // ANCHOR_ROWS)
-    near = kept_pairs(block_pairs(blocks, blocks_of(asked, deal(groups), dims), shards), dims, positives_in(positives))
+    ways = min(groups, -(-4 * cores // parts))
+    near = kept_pairs(cut(blocks_of(asked, deal(groups), ways, dims)).coalesce(ways), blocks, dims, lambda own, _: Positives(own, positives))
     field = lambda at: F.substring("key", at, 8)
-    # per block the best are known; of all blocks the first by key are the anchor's positives
+    # per task the best are known; of all tasks the first by key are the anchor's positives
     nth = F.row_number().over(Window.partitionBy("anchor").orderBy("key"))
     near = cut(near.withColumn("anchor", field(1)).withColumn("nth", nth).where(F.col("nth") <= positives).drop("nth"))
 
@@ -195,8 +257,8 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
 
     goals = near.select("key").mapInArrow(decoded, "vec_id bigint, goal bigint").groupBy("vec_id").agg(
         F.array_sort(F.collect_list("goal")).alias("goals"))  # at most `positives` each
-    ready = blocks_of(asked.join(goals, "vec_id"), deal(groups), dims, "goals")
-    far = kept_pairs(block_pairs(blocks, ready, shards), dims, negatives_in(negatives, low, high))
+    ready = cut(blocks_of(asked.join(goals, "vec_id"), deal(groups), ways, dims, "goals")).coalesce(ways)
+    far = kept_pairs(ready, blocks, dims, lambda own, wanted: Negatives(own, wanted, negatives, low, high))
     keys = near.select("key").union(far).rdd.map(lambda r: (bytes(r.key), None))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartitionAndSortWithinPartitions(parts, lambda k: zlib.crc32(k[:8]) % parts)
