@@ -83,3 +83,48 @@ def test_hit_rates_send_rows_in_proportion(spark, monkeypatch, tmp_path):
     rel = con.sql(entry.oracle_sql()["m17_hit_rates"])
     want = dict(zip(rel.columns, rel.fetchall()[0]))
     assert {c: round(got[c], 4) for c in want} == {c: round(v, 4) for c, v in want.items()}
+
+
+def test_field_metrics_of_stretches(spark):
+    """Measured by one task as cell by cell; cells of a district never become rows."""
+    from townloom.operators import raster
+
+    rng = np.random.default_rng(12)
+    rows, boxes = [], []
+    for d in range(9):
+        for _ in range(int(rng.integers(0, 60)) if d else 0):  # district 0 has no mask
+            first = int(rng.integers(-6, 24))
+            rows.append((d, int(rng.integers(-5, 24)), first, first + int(rng.integers(1, 7))))  # some lie beyond the canvas, some on another
+        boxes += [(d, 0, 0, 20, int(rng.integers(1, 20)))] if d != 4 else []  # district 4 has no canvas
+    rows += [(8, y, 0, 20) for y in range(20)]  # a full one
+    mask = spark.createDataFrame(rows, "district_id long, cell_y long, _first long, _end long")
+    canvas = spark.createDataFrame(boxes, "district_id long, x_first long, y_first long, x_end long, y_end long")
+    small, large = raster.field_metrics(mask, canvas), raster.field_metrics(mask, canvas, limit=0)
+    assert small.dtypes == large.dtypes
+    got = {r.district_id: tuple(r) for r in small.collect()}
+    assert got == {r.district_id: tuple(r) for r in large.collect()} == {
+        r.district_id: tuple(r) for r in raster.field_metrics(mask, canvas, limit=500).collect()}
+    assert set(got) == set(range(9)) - {4} and got[0][1:6] == (0.0, None, None, None, None) and got[8][6] == 0
+    assert "Generate" not in small._jdf.queryExecution().executedPlan().toString()
+    for d, (_, _, _, x_end, y_end) in {b[0]: b for b in boxes}.items():
+        cells = {(x, y) for k, y, a, e in rows if k == d for x in range(a, e)}
+        sizes = parts(cells)
+        holes = parts({(x, y) for x in range(x_end) for y in range(y_end)} - cells)
+        assert got[d][1] == len(cells) / (x_end * y_end) and got[d][6] == max(holes, default=0)
+        if sizes:
+            assert got[d][2:6] == (len(sizes), sum(sizes) / len(sizes), float(np.median(sizes)), max(sizes))
+
+
+def parts(cells):
+    left, sizes = set(cells), []
+    while left:
+        todo, n = [left.pop()], 0
+        while todo:
+            x, y = todo.pop()
+            n += 1
+            for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if c in left:
+                    left.remove(c)
+                    todo.append(c)
+        sizes.append(n)
+    return sizes

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townloom.functions import geo
 from townloom.functions import vocab as V
 from townloom.functions.classify import lookup
-from townloom.operators.graph import connected_components
+from townloom.operators.graph import LINKED_ROWS, connected_components, lowest_reachable
 from townloom.operators.ranks import quantiles
 from townloom.operators.spatial import KEYS, cell_cover, line_cover, spread_hot_keys
-from townloom.session import cut, fan_out
+from townloom.session import cut, fan_out, followed
 
 
 def to_celsius(dn) -> Column:
@@ -229,7 +230,6 @@ def kernel_density(points: DataFrame, boundaries: DataFrame, canvas: DataFrame,
     points of a block, is a matrix product, so blocks of neighbouring points meet tiles of the canvas, and a pair
     is left out only where every kernel value is 0 in double precision. Copies of a point count as a weight.
     """
-    import numpy as np
     import pandas as pd
 
     k = [*keys, *([category] if category else [])]
@@ -294,13 +294,80 @@ def mask_components(cells: DataFrame, keys=KEYS) -> DataFrame:
     return connected_components(nodes, neighbours4(cells, keys), keys)
 
 
-def field_metrics(mask: DataFrame, canvas: DataFrame, keys=KEYS) -> DataFrame:
-    """Coverage, component sizes and largest void of a mask on a canvas of cells."""
+def part_sizes(cells: np.ndarray) -> np.ndarray:
+    """Cells of each connected part (4 neighbours) of a mask given as a matrix of booleans."""
+    height, width = cells.shape
+    flat = np.zeros((height, width + 1), bool)  # a free column, so that stretches end with their row
+    flat[:, :-1] = cells
+    flat = flat.ravel()
+    if not flat.any():
+        return np.zeros(0, np.int64)
+    begins = flat.copy()
+    begins[1:] &= ~flat[:-1]
+    stretch = np.cumsum(begins) - 1
+    both = flat[:-(width + 1)] & flat[width + 1:]
+    a, b = stretch[:-(width + 1)][both], stretch[width + 1:][both]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    low = lowest_reachable(a[fresh], b[fresh], int(stretch[-1]) + 1)
+    sizes = np.bincount(low[stretch[flat]])
+    return sizes[sizes > 0]
+
+
+def box_metrics(boxes: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The measures of one district from the boxes of its mask and of its canvas."""
+    x, y = boxes["_x0"].min(), boxes["_y0"].min()
+    shape = boxes["_y1"].max() - y + 1, boxes["_x1"].max() - x + 1
+
+    def filled(rows):  # corners of boxes, summed up in both directions
+        grid = np.zeros(shape, np.int64)
+        for at_y, at_x, sign in (("_y0", "_x0", 1), ("_y1", "_x0", -1), ("_y0", "_x1", -1), ("_y1", "_x1", 1)):
+            np.add.at(grid, (boxes[at_y][rows] - y, boxes[at_x][rows] - x), sign)
+        return grid.cumsum(0).cumsum(1)[:-1, :-1] > 0
+
+    mine = boxes["_canvas"].astype(bool)
+    canvas, mask = filled(mine), filled(~mine)
+    sizes, holes = part_sizes(mask), part_sizes(canvas & ~mask)
+    n = len(sizes)
+    row = {"_t": canvas.sum(), "_n": sizes.sum(), "component_count": n, "component_mean": sizes.mean() if n else 0.0,
+           "component_median": np.median(sizes) if n else 0.0, "component_max": sizes.max(initial=0), "largest_void": holes.max(initial=0)}
+    return {c: np.full(int(mine.any()), v) for c, v in row.items()}
+
+
+def field_metrics(mask: DataFrame, canvas: DataFrame, keys=KEYS, limit: int = LINKED_ROWS) -> DataFrame:
+    """Coverage, component sizes and largest void of a mask on a canvas of cells.
+
+    `mask` has stretches of cells as `cell_ranges` gives them, `canvas` a box of cells of each district, from x_first and
+    y_first up to, not including, x_end and y_end. A district whose cells and stretches are at most `limit` is drawn and
+    measured by one task, so its cells are never rows; larger ones are measured cell by cell.
+    """
     k = list(keys)
+    box = lambda y0, y1, x0, x1, whole: [F.col(y0).cast("long").alias("_y0"), (F.col(y1) if isinstance(y1, str) else y1).cast("long").alias(
+        "_y1"), F.col(x0).cast("long").alias("_x0"), F.col(x1).cast("long").alias("_x1"), F.lit(whole).alias("_canvas")]
+    rows = cut(mask.select(*k, *box("cell_y", F.col("cell_y") + 1, "_first", "_end", 0)).unionByName(
+        canvas.select(*k, *box("y_first", "y_end", "x_first", "x_end", 1))).where("_y0 < _y1 and _x0 < _x1"))
+    spread = lambda c: F.max(f"_{c}1") - F.min(f"_{c}0")
+    crowded = cut(rows.groupBy(*k).agg(F.greatest(F.count("*"), spread("x") * spread("y")).alias("_c")).where(F.col("_c") > limit).select(*k))
+    large = None if crowded.isEmpty() else rows.join(crowded, k, "left_semi")
+    kind = {"_t": "_y0", "_n": "_y0", "component_count": "_y0", "component_mean": "double", "component_median": "double",
+            "component_max": "_y0", "largest_void": "_y0"}
+    out = followed(rows if large is None else rows.join(crowded, k, "left_anti"), k, box_metrics, **kind)
+    some = lambda c: F.when(F.col("component_count") > 0, F.col(c)).alias(c)
+    out = out.select(*k, (F.col("_n") / F.col("_t")).alias("coverage"), *map(some, (
+        "component_count", "component_mean", "component_median", "component_max")), "largest_void")
+    if large is not None:
+        cells = large.select(*k, "_canvas", F.explode(F.sequence("_y0", F.col("_y1") - 1)).alias("cell_y"), "_x0", "_x1").select(
+            *k, "_canvas", F.explode(F.sequence("_x0", F.col("_x1") - 1)).alias("cell_x"), "cell_y").distinct()
+        split = lambda whole: cells.where(F.col("_canvas") == whole).drop("_canvas")
+        out = out.unionByName(_field_metrics_by_cells(split(0), split(1), k))
+    return out
+
+
+def _field_metrics_by_cells(mask: DataFrame, canvas: DataFrame, k: list[str]) -> DataFrame:
     total = canvas.groupBy(*k).agg(F.count("*").alias("_t"))
-    filled = mask_components(mask, keys).groupBy(*k, "component").agg(F.count("*").alias("size"))
+    filled = mask_components(mask, k).groupBy(*k, "component").agg(F.count("*").alias("size"))
     void = canvas.join(mask, [*k, "cell_x", "cell_y"], "left_anti")
-    holes = mask_components(void, keys).groupBy(*k, "component").agg(F.count("*").alias("size"))
+    holes = mask_components(void, k).groupBy(*k, "component").agg(F.count("*").alias("size"))
     f = filled.groupBy(*k).agg(F.sum("size").alias("_n"), F.count("*").alias("component_count"),
                                F.avg("size").alias("component_mean"),
                                F.max("size").alias("component_max"))
